@@ -27,7 +27,6 @@ from .components import components
 
 #: Counters of the frequency table, and slices it travels in. Fixed, so that the table may be broadcast (1 MB).
 COUNTERS, SLICES = 1 << 20, 64
-_PIVOTS = (np.arange(1, 16, dtype=np.uint64) << np.uint64(60)).astype(np.uint64)
 
 
 def _sets(texts, width: int):
@@ -51,6 +50,13 @@ def _signature(s: np.ndarray) -> tuple[int, int]:
     return int(np.add.reduce(mix(s)).view(np.int64)), int(np.add.reduce(mix(s ^ np.uint64(0x5851F42D4C957F2D))).view(np.int64))
 
 
+def _ranges(s: np.ndarray) -> bytes:
+    """How many hashes fall into each of 2**k equal ranges, about six in each."""
+    k = max(len(s) // 6, 1).bit_length() - 1
+    where = (s >> np.uint64(64 - k)).astype(np.int64) if k else np.zeros(len(s), np.int64)
+    return np.bincount(where, minlength=1 << k).astype(np.uint32).tobytes()
+
+
 def _profile(width: int):
     def run(batches):
         seen = np.zeros(COUNTERS, dtype=np.uint32)
@@ -58,7 +64,7 @@ def _profile(width: int):
             rows = []
             for doc, s in zip(pdf.doc_id, _sets(pdf.text, width)):
                 np.add.at(seen, (s & np.uint64(COUNTERS - 1)).astype(np.int64), 1)
-                rows.append((doc, len(s), *_signature(s), -1, None))
+                rows.append((doc, len(s), *_signature(s), -1, _ranges(s)))
             yield pd.DataFrame(rows, columns=["doc_id", "n", "s1", "s2", "slice", "data"]).astype({"doc_id": "Int64"})
         if seen.any():
             pack = zstandard.ZstdCompressor(level=1)
@@ -82,7 +88,7 @@ def _prefixes(width: int, table):
     def run(batches):
         ranks = table.value
         for pdf in batches:
-            keep = {k: [] for k in ("doc_id", "n", "pos", "gram")}
+            keep = {k: [] for k in ("gram", "doc_id", "pos", "sig")}
             for doc, s in zip(pdf.doc_id, _sets(pdf.text, width)):
                 n = len(s)
                 if not n or doc is None or doc != doc:
@@ -91,10 +97,10 @@ def _prefixes(width: int, table):
                 rank = ranks[(s & np.uint64(COUNTERS - 1)).astype(np.int64)]
                 first = s[np.lexsort((s, rank))[:size]]
                 keep["doc_id"].append(np.full(size, doc, dtype=np.int64))
-                keep["n"].append(np.full(size, n, dtype=np.int32))
+                keep["sig"].append(np.full(size, _signature(s)[0], dtype=np.int64))
                 keep["pos"].append(np.arange(size, dtype=np.int32))
                 keep["gram"].append(first.view(np.int64))
-            if keep["n"]:
+            if keep["sig"]:
                 yield pd.DataFrame({k: np.concatenate(v) for k, v in keep.items()})
 
     return run
@@ -108,26 +114,35 @@ def _arrays(width: int):
     return run
 
 
+def _suffix_filter(batches):
+    """Drops pairs whose counts by hash range leave too small an overlap: the sum of the smaller counts bounds it."""
+    for pdf in batches:
+        ok = np.zeros(len(pdf), dtype=bool)
+        for i, (x, y) in enumerate(zip(pdf.data_a, pdf.data_b)):
+            x, y = np.frombuffer(x, np.uint32), np.frombuffer(y, np.uint32)
+            parts = min(len(x), len(y))
+            x, y = x.reshape(parts, -1).sum(axis=1), y.reshape(parts, -1).sum(axis=1)
+            ok[i] = 180 * int(np.minimum(x, y).sum()) >= 80 * int(x.sum() + y.sum())
+        yield pdf.loc[ok, ["a", "b"]]
+
+
 def _check(batches):
-    """Suffix filter by counts in 16 hash ranges, an upper bound of the overlap; then the exact overlap."""
+    """The exact overlap."""
     for pdf in batches:
         ok = np.zeros(len(pdf), dtype=bool)
         for i, (x, y) in enumerate(zip(pdf.arr_a, pdf.arr_b)):
             x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-            need = -(-80 * (len(x) + len(y)) // 180)
-            cx = np.diff(np.searchsorted(x, _PIVOTS), prepend=0, append=len(x))
-            cy = np.diff(np.searchsorted(y, _PIVOTS), prepend=0, append=len(y))
-            if np.minimum(cx, cy).sum() < need:
-                continue
             both = len(np.intersect1d(x, y, assume_unique=True))
             ok[i] = 100 * both >= 80 * (len(x) + len(y) - both)
         yield pdf.loc[ok, ["a", "b"]]
 
 
-def _verify(pairs: DataFrame, arrays: DataFrame) -> DataFrame:
-    with_b = pairs.join(arrays.select(F.col("doc_id").alias("b"), F.col("arr").alias("arr_b")), "b")
-    both = with_b.join(arrays.select(F.col("doc_id").alias("a"), F.col("arr").alias("arr_a")), "a")
-    return both.select("a", "b", "arr_a", "arr_b").mapInPandas(_check, "a long, b long")
+def _both(pairs: DataFrame, side: DataFrame, value: str) -> DataFrame:
+    """pairs with `value` of both documents."""
+    out = pairs
+    for end in "ba":
+        out = out.join(side.select(F.col("doc_id").alias(end), F.col(value).alias(f"{value}_{end}")), end)
+    return out.select("a", "b", f"{value}_a", f"{value}_b")
 
 
 def near_classes(docs: DataFrame, width: int = 5) -> DataFrame:
@@ -142,30 +157,31 @@ def near_classes(docs: DataFrame, width: int = 5) -> DataFrame:
         ranks[row["slice"] * step : (row["slice"] + 1) * step] = np.frombuffer(row["data"], dtype=np.uint8)
     table = spark.sparkContext.broadcast(ranks)
 
-    rows = profile.where("slice < 0").select("doc_id", "n", "s1", "s2")
+    rows = profile.where("slice < 0")
     classes = rows.where("n > 0 and doc_id is not null").groupBy("n", "s1", "s2").agg(F.min("doc_id").alias("rep"))
-    reps = cut(rows.join(classes, ["n", "s1", "s2"], "left").select("doc_id", "n", "rep"))
-    heads = reps.where("rep = doc_id").select(F.col("rep").alias("doc_id")).distinct()
+    reps = cut(rows.join(classes, ["n", "s1", "s2"], "left").select("doc_id", "n", "rep", "data"))
+    heads = reps.where("rep = doc_id").select("doc_id", "n", "data").dropDuplicates(["doc_id"])
 
-    entries = docs.mapInPandas(_prefixes(width, table), "doc_id long, n int, pos int, gram long")
-    entries = entries.join(heads, "doc_id", "left_semi")
-    shared = entries.groupBy("gram").agg(F.count("*").alias("size"), F.min(F.struct("n", "doc_id", "pos")).alias("pivot")).where("size > 1").drop("size")
-    entries = cut(entries.join(shared, "gram").select("gram", "doc_id", "n", "pos", "pivot"))
+    entries = docs.mapInPandas(_prefixes(width, table), "gram long, doc_id long, pos int, sig long")
+    shared = entries.groupBy("gram").agg(F.min("sig").alias("lo"), F.max("sig").alias("hi")).where("lo <> hi").select("gram")
+    entries = entries.drop("sig").join(shared, "gram").join(heads.select("doc_id", "n"), "doc_id")
+    entries = cut(entries.select("gram", "doc_id", "n", "pos"))
+    pivots = entries.groupBy("gram").agg(F.min(F.struct("n", "doc_id", "pos")).alias("pivot"))
 
-    involved = entries.select("doc_id").distinct()
+    def confirmed(pairs: DataFrame) -> DataFrame:
+        pairs = cut(_both(pairs, heads, "data").mapInPandas(_suffix_filter, "a long, b long"))
+        ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+        arrays = docs.join(ids, "doc_id", "left_semi").mapInPandas(_arrays(width), "doc_id long, arr binary")
+        return cut(_both(pairs, arrays, "arr").mapInPandas(_check, "a long, b long"))
 
     def near(n1, p1, n2, p2):
         """Length filter and positional filter; both only drop pairs that can't link."""
         need = F.ceil((F.col(n1) + F.col(n2)) * F.lit(8) / F.lit(18))
         return (F.least(n1, n2) * 10 >= F.greatest(n1, n2) * 8) & (F.least(F.col(n1) - F.col(p1), F.col(n2) - F.col(p2)) >= need)
 
-    stars = cut(
-        entries.where("doc_id <> pivot.doc_id").where(near("n", "pos", "pivot.n", "pivot.pos"))
-        .select(F.col("pivot.doc_id").alias("a"), F.col("doc_id").alias("b")).distinct()
-    )
-    arrays = docs.join(involved, "doc_id", "left_semi").mapInPandas(_arrays(width), "doc_id long, arr binary").join(heads, "doc_id", "left_semi")
-    arrays = cut(arrays.dropDuplicates(["doc_id"]))
-    links = cut(_verify(stars, arrays))
+    stars = entries.join(pivots, "gram").where("doc_id <> pivot.doc_id").where(near("n", "pos", "pivot.n", "pivot.pos"))
+    stars = cut(stars.select(F.col("pivot.doc_id").alias("a"), F.col("doc_id").alias("b")).distinct())
+    links = confirmed(stars)
     label = cut(components(links))
 
     # Lists that still hold two components or more; an entry's index prefix is shorter than its probe prefix.
@@ -178,7 +194,7 @@ def near_classes(docs: DataFrame, width: int = 5) -> DataFrame:
     short = F.expr(f"case when n1 < n2 or (n1 = n2 and d1 < d2) then {index.format(1)} else {index.format(2)} end")
     pairs = some.join(rest, "gram").where("k1 <> k2").where(near("n1", "p1", "n2", "p2")).where(short)
     pairs = cut(pairs.select(F.least("d1", "d2").alias("a"), F.greatest("d1", "d2").alias("b")).distinct().join(stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti"))
-    more = cut(_verify(pairs, arrays))
+    more = confirmed(pairs)
     final = components(links.union(more)) if more.take(1) else label
 
     out = reps.join(final.select(F.col("id").alias("rep"), "component"), "rep", "left")
