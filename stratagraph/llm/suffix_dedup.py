@@ -8,7 +8,8 @@ One suffix array over a corpus doesn't distribute, so suffixes are dealt by cont
 keyed by its smallest 32-gram hash; equal windows have equal keys, so all matches of a window meet at one key. Runs of
 windows with one key make a segment:
 
-1. Segments whose key occurs once in the corpus have no match and are left out before any text moves.
+1. Segments whose key occurs once in the corpus have no match (but for those that repeat in themselves, which are marked)
+   and are left out before any text moves.
 2. Of equal segments all but the first are later copies as a whole (counts combine before the shuffle).
 3. The first occurrences of different segments at one key are gathered with their bytes. Their suffixes are sorted by
    prefix doubling, and previous and next smaller positions in that order give the LPF array.
@@ -74,12 +75,12 @@ def _segments(ids: np.ndarray, blobs: list[bytes], length: int) -> pd.DataFrame:
     ends = np.cumsum(sizes)
     gram, window = _hashes(arr, length)
     if not len(window):
-        return pd.DataFrame({"key": [], "sig": [], "doc_id": [], "pos": [], "n": []}).astype("int64")
+        return pd.DataFrame({k: np.zeros(0, np.int64) for k in ("key", "sig", "doc_id", "pos", "n", "own")})
     key = _smallest(gram, length - GRAM + 1)
     doc = np.repeat(np.arange(len(blobs)), sizes)[: len(window)]
     at = np.flatnonzero(np.arange(length, length + len(window)) <= ends[doc])
     if not len(at):
-        return pd.DataFrame({"key": [], "sig": [], "doc_id": [], "pos": [], "n": []}).astype("int64")
+        return pd.DataFrame({k: np.zeros(0, np.int64) for k in ("key", "sig", "doc_id", "pos", "n", "own")})
     k = key[at]
     start = np.concatenate(([0], np.flatnonzero((k[1:] != k[:-1]) | (at[1:] != at[:-1] + 1)) + 1))
     n = np.diff(start, append=len(at))
@@ -90,7 +91,22 @@ def _segments(ids: np.ndarray, blobs: list[bytes], length: int) -> pd.DataFrame:
     p = at[start]
     sig = mix(window[p] * _M1 + window[p + n - 1] * _M3 + n.astype(np.uint64))
     d = doc[p]
-    return pd.DataFrame({"key": key[p].view(np.int64), "sig": sig.view(np.int64), "doc_id": ids[d], "pos": p - (ends - sizes)[d], "n": n})
+    return pd.DataFrame({"key": key[p].view(np.int64), "sig": sig.view(np.int64), "doc_id": ids[d], "pos": p - (ends - sizes)[d], "n": n, "own": _own_repeats(gram, key, p, n, length)})
+
+
+def _own_repeats(gram: np.ndarray, key: np.ndarray, p: np.ndarray, n: np.ndarray, length: int) -> np.ndarray:
+    """Whether a segment may hold a window twice: then its smallest 32-gram stands at two places in it."""
+    width = length - GRAM + 1
+    edge = np.zeros(width - 1, np.uint64)
+    most = ~_smallest(~np.concatenate((edge, key, edge)), width)  # largest key of the windows over each 32-gram
+    anchor = np.flatnonzero(most == gram)
+    anchor = anchor[np.lexsort((anchor, gram[anchor]))]
+    pair = np.flatnonzero((gram[anchor[1:]] == gram[anchor[:-1]]) & (anchor[1:] - anchor[:-1] < 2 * length))
+    own = np.zeros(len(p), dtype=np.int64)
+    for u, v in zip(anchor[pair], anchor[pair + 1]):
+        i, j = np.searchsorted(p, v - width + 1 - length), np.searchsorted(p, u, side="right")
+        own[i:j] |= p[i:j] + n[i:j] - 1 + width - 1 >= v
+    return own
 
 
 def _scan(length: int):
@@ -238,10 +254,10 @@ def _cut_out(batches):
 def remove_repeats(docs: DataFrame, length: int = 100, hot: int = 20_000) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept binary) for each row."""
     docs = docs.select("doc_id", "text")
-    segs = docs.mapInPandas(_scan(length), "key long, sig long, doc_id long, pos int, n int")
-    part = F.col("sig").cast("int")
-    keys = segs.groupBy("key").agg(F.count("*").cast("int").alias("c"), F.min(part).alias("lo"), F.max(part).alias("hi")).where("c > 1")
-    shared = cut(segs.join(keys.select("key", (F.col("lo") != F.col("hi")).alias("mixed")), "key"))
+    segs = docs.mapInPandas(_scan(length), "key long, sig long, doc_id long, pos int, n int, own int")
+    part = F.expr("cast(sig & 2147483647 as int)")
+    keys = segs.groupBy("key").agg(F.count("*").cast("int").alias("c"), F.min(part).alias("lo"), F.max(part).alias("hi"), F.max("own").alias("own")).where("c > 1 or own > 0")
+    shared = cut(segs.drop("own").join(keys.select("key", F.expr("lo <> hi or own > 0").alias("mixed")), "key"))
 
     place = F.struct("doc_id", "pos")
     firsts = shared.groupBy("key", "sig").agg(F.min(place).alias("f"), F.max("n").alias("n"), F.max("mixed").alias("mixed"), F.count("*").alias("c"))
