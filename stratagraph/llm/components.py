@@ -19,7 +19,7 @@ def components(links: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 6
     No neighbour list is ever gathered: each round is two minimum aggregations, combined before the shuffle, each
     joined back to the links. Empty input gives an empty result; null ends and self links are ignored."""
     edges = links.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct()
-    edges, state = cut(edges), None
+    edges, state = cut(edges), None  # self links only name an id
     for _ in range(max_rounds):
         now = _state(edges)
         if now == state or not now[0]:

@@ -19,14 +19,18 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import as_bytes, cut, mix, shingles, tokenize
 from .components import components
 
-#: Counters of the frequency table, and slices it travels in. Fixed, so that the table may be broadcast (1 MB).
-COUNTERS, SLICES = 1 << 20, 64
+#: Counters of the frequency table, and slices it travels in. Fixed, so that the table may be broadcast (4 MB).
+COUNTERS, SLICES = 1 << 22, 64
+#: Up to so many ids (8 bytes each) are broadcast to pick documents; more are joined by a shuffle.
+BROADCAST_IDS = 500_000
+#: Rounds that link to pivots before the comparison across components, and pivots that a document tries in each.
+PIVOT_ROUNDS, PIVOTS = 3, 8
 
 
 def _sets(texts, width: int):
@@ -80,7 +84,7 @@ def _add_slices(pdf: pd.DataFrame) -> pd.DataFrame:
     total = np.zeros(COUNTERS // SLICES, dtype=np.int64)
     for data in pdf["data"]:
         total += np.frombuffer(zstandard.decompress(data), dtype=np.uint32)
-    rank = np.ceil(np.log2(total + 1)).astype(np.uint8)
+    rank = np.minimum(8 * np.log2(total + 1), 255).astype(np.uint8)  # fine steps: most counters hold many shingles
     return pd.DataFrame({"slice": [int(pdf["slice"].iloc[0])], "data": [rank.tobytes()]})
 
 
@@ -97,7 +101,7 @@ def _prefixes(width: int, table):
                 rank = ranks[(s & np.uint64(COUNTERS - 1)).astype(np.int64)]
                 first = s[np.lexsort((s, rank))[:size]]
                 keep["doc_id"].append(np.full(size, doc, dtype=np.int64))
-                keep["sig"].append(np.full(size, _signature(s)[0], dtype=np.int64))
+                keep["sig"].append((mix(first ^ np.int64(_signature(s)[0]).view(np.uint64)) >> np.uint64(32)).astype(np.uint32).view(np.int32))
                 keep["pos"].append(np.arange(size, dtype=np.int32))
                 keep["gram"].append(first.view(np.int64))
             if keep["sig"]:
@@ -162,15 +166,14 @@ def near_classes(docs: DataFrame, width: int = 5) -> DataFrame:
     reps = cut(rows.join(classes, ["n", "s1", "s2"], "left").select("doc_id", "n", "rep", "data"))
     heads = reps.where("rep = doc_id").select("doc_id", "n", "data").dropDuplicates(["doc_id"])
 
-    entries = docs.mapInPandas(_prefixes(width, table), "gram long, doc_id long, pos int, sig long")
+    entries = docs.mapInPandas(_prefixes(width, table), "gram long, doc_id long, pos int, sig int")
     shared = entries.groupBy("gram").agg(F.min("sig").alias("lo"), F.max("sig").alias("hi")).where("lo <> hi").select("gram")
     entries = entries.drop("sig").join(shared, "gram").join(heads.select("doc_id", "n"), "doc_id")
     entries = cut(entries.select("gram", "doc_id", "n", "pos"))
-    pivots = entries.groupBy("gram").agg(F.min(F.struct("n", "doc_id", "pos")).alias("pivot"))
-
     def confirmed(pairs: DataFrame) -> DataFrame:
         pairs = cut(_both(pairs, heads, "data").mapInPandas(_suffix_filter, "a long, b long"))
-        ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+        ids = cut(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct())
+        ids = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
         arrays = docs.join(ids, "doc_id", "left_semi").mapInPandas(_arrays(width), "doc_id long, arr binary")
         return cut(_both(pairs, arrays, "arr").mapInPandas(_check, "a long, b long"))
 
@@ -179,23 +182,41 @@ def near_classes(docs: DataFrame, width: int = 5) -> DataFrame:
         need = F.ceil((F.col(n1) + F.col(n2)) * F.lit(8) / F.lit(18))
         return (F.least(n1, n2) * 10 >= F.greatest(n1, n2) * 8) & (F.least(F.col(n1) - F.col(p1), F.col(n2) - F.col(p2)) >= need)
 
-    stars = entries.join(pivots, "gram").where("doc_id <> pivot.doc_id").where(near("n", "pos", "pivot.n", "pivot.pos"))
-    stars = cut(stars.select(F.col("pivot.doc_id").alias("a"), F.col("doc_id").alias("b")).distinct())
-    links = confirmed(stars)
-    label = cut(components(links))
-
-    # Lists that still hold two components or more; an entry's index prefix is shorter than its probe prefix.
-    entries = entries.join(label.withColumnRenamed("id", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
-    mixed = entries.groupBy("gram").agg(F.min("component").alias("c1"), F.max("component").alias("c2")).where("c1 <> c2")
-    entries = cut(entries.join(mixed, "gram").select("gram", "doc_id", "n", "pos", "component", "c1"))
+    def mixed(entries: DataFrame, label: DataFrame) -> DataFrame:
+        """The entries of lists that still hold two components or more, with their components."""
+        named = entries.select("gram", "doc_id", "n", "pos").join(label.withColumnRenamed("id", "doc_id"), "doc_id", "left")
+        named = named.withColumn("component", F.coalesce("component", "doc_id"))
+        several = named.groupBy("gram").agg(F.min("component").alias("c1"), F.max("component").alias("c2")).where("c1 <> c2")
+        return cut(named.join(several, "gram").select("gram", "doc_id", "n", "pos", "component", "c1"))
+
+    def pair(a: str, b: str) -> list:
+        return [F.least(a, b).alias("a"), F.greatest(a, b).alias("b")]
+
+    label = heads.select(F.col("doc_id").alias("id"), F.col("doc_id").alias("component")).limit(0)
+    tried = label.select(F.col("id").alias("a"), F.col("id").alias("b"))
+    entries = entries.withColumn("component", F.col("doc_id"))
+    for k in range(PIVOT_ROUNDS):
+        # A list's pivot is its smallest set at first, then any member, another in each list; a document tries the pivots it shares most lists with.
+        order = F.struct("n", "doc_id", "pos", "component") if not k else F.struct(F.xxhash64(F.lit(k), "gram", "doc_id"), "n", "doc_id", "pos", "component")
+        pivots = entries.groupBy("gram").agg(F.min(order).alias("pivot"))
+        stars = entries.join(pivots, "gram").where("component <> pivot.component").where(near("n", "pos", "pivot.n", "pivot.pos"))
+        stars = stars.groupBy(F.col("pivot.doc_id").alias("p"), F.col("doc_id").alias("d")).agg(F.count("*").alias("lists"))
+        place = F.row_number().over(Window.partitionBy("d").orderBy(F.desc("lists"), "p"))
+        stars = stars.withColumn("place", place).where(F.col("place") <= PIVOTS).select(*pair("p", "d")).distinct()
+        stars = cut(stars.join(tried, ["a", "b"], "left_anti"))
+        tried = tried.union(stars)
+        label = cut(components(label.select(F.col("id").alias("a"), F.col("component").alias("b")).union(confirmed(stars))))
+        entries = mixed(entries, label)
+
+    # What is left is compared across components. An entry's index prefix is shorter than its probe prefix.
     index = "p{0} < n{0} - ceil(n{0} * 8 / 9) + 1"
     some = entries.where("component <> c1").select("gram", F.col("doc_id").alias("d1"), F.col("n").alias("n1"), F.col("pos").alias("p1"), F.col("component").alias("k1"))
     rest = entries.select("gram", F.col("doc_id").alias("d2"), F.col("n").alias("n2"), F.col("pos").alias("p2"), F.col("component").alias("k2"))
     short = F.expr(f"case when n1 < n2 or (n1 = n2 and d1 < d2) then {index.format(1)} else {index.format(2)} end")
     pairs = some.join(rest, "gram").where("k1 <> k2").where(near("n1", "p1", "n2", "p2")).where(short)
-    pairs = cut(pairs.select(F.least("d1", "d2").alias("a"), F.greatest("d1", "d2").alias("b")).distinct().join(stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti"))
+    pairs = cut(pairs.select(*pair("d1", "d2")).distinct().join(tried, ["a", "b"], "left_anti"))
     more = confirmed(pairs)
-    final = components(links.union(more)) if more.take(1) else label
+    final = components(label.select(F.col("id").alias("a"), F.col("component").alias("b")).union(more))
 
     out = reps.join(final.select(F.col("id").alias("rep"), "component"), "rep", "left")
     own = F.when(F.col("rep").isNull(), F.col("doc_id")).otherwise(F.coalesce("component", "rep"))
