@@ -122,8 +122,15 @@ def mix_sources(docs: DataFrame, sources: Column | None = None, weights=(1, 2, 3
     rows = rows.join(F.broadcast(cut_at), F.col("_pattern").eqNullSafe(F.col("_q")), "left").drop("_q")
     whole = rows.where("_edge is null or _bin <> _edge").withColumn("_extra", F.coalesce((F.col("_bin") < F.col("_edge")).cast("int"), F.lit(0)))
     before = Window.partitionBy("_pattern").orderBy("_key", *keep).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    edge = rows.where("_bin = _edge").withColumn("_sum", F.sum("size").over(before))
-    # The document that crosses the cut is taken if more than half of it lies before.
-    edge = edge.withColumn("_extra", (2 * (F.col("_room") - F.col("_sum") + F.col("size")) >= F.col("size")).cast("int") * (F.col("_sum") - F.col("size") < F.col("_room")).cast("int")).drop("_sum")
+    edge = rows.where("_bin = _edge").withColumn("_sum", F.sum("size").over(before)).withColumn("_extra", (F.col("_sum") <= F.col("_room")).cast("int"))
+    # The document that crosses the cut gives way to the one that fills what is left best.
+    full = edge.groupBy(F.col("_pattern").alias("_p")).agg(F.max(F.when(F.col("_extra") == 1, F.col("_sum"))).alias("_full"))
+    left = cut_at.join(F.broadcast(full), F.col("_q").eqNullSafe(F.col("_p")), "left")
+    left = left.select(F.col("_q").alias("_l"), (F.col("_room") - F.coalesce("_full", F.lit(0))).alias("_gap"))
+    rows = whole.unionByName(edge.drop("_sum")).join(F.broadcast(left), F.col("_pattern").eqNullSafe(F.col("_l")), "left").drop("_l")
+    filler = rows.where("_extra = 0 and size > 0 and size <= _gap").groupBy(F.col("_pattern").alias("_f")).agg(F.max(F.struct("size", "_key")).alias("_best"))
+    rows = rows.join(F.broadcast(filler), F.col("_pattern").eqNullSafe(F.col("_f")), "left")
+    best = (F.col("_key") == F.col("_best._key")) & (F.col("size") == F.col("_best.size"))
+    rows = rows.withColumn("_extra", F.when((F.col("_extra") == 0) & best, 1).otherwise(F.col("_extra")))
     taken = (F.col("size") * (F.col("_passes") + F.col("_extra"))).alias("taken")
-    return whole.unionByName(edge).select(*keep, "size", "source_size", "target", taken)
+    return rows.select(*keep, "size", "source_size", "target", taken)

@@ -1,8 +1,8 @@
 """Quality rules as weak supervision, in DataFrame functions only.
 
 Each rule votes 1 (good), -1 (bad) or 0 (abstains). Spark counts the documents of each combination of votes (at most
-3 ** rules rows, whatever the corpus), and expectation-maximisation on those counts estimates each rule's accuracy and
-the share of good documents, without labels. The posterior that a document is good is then a sum of log odds, which
+3 ** rules rows, whatever the corpus), and expectation-maximisation on those counts estimates how often each rule votes
+bad on good and on bad documents and the share of good documents, without labels. The posterior that a document is good is then a sum of log odds, which
 Spark evaluates with the weights as literals. Two base conditions reject by themselves.
 
 Edge cases: null and empty texts have no words, so they fail the base; a rule whose measure is undefined abstains; rows
@@ -103,48 +103,64 @@ def votes() -> dict[str, Column]:
     return out
 
 
-def expectation_maximisation(patterns: list[tuple[tuple[int, ...], int]], rounds: int = 100) -> tuple[float, list[float]]:
-    """(share of good documents, accuracy of each rule) from (votes, documents).
+#: Bad votes mark extremes, so at most this share of good documents may get one from a rule. Without the bound, a defect
+#: that is rare and goes with no other would pass as a habit of good documents.
+MOST_FALSE_ALARMS = 0.001
 
-    Rules err independently given the class and are right more often than not (accuracy held in 0.6-0.999), which
-    keeps the classes from changing places. Starts at a good share of 0.9 and accuracies of 0.8."""
+#: Share of good documents, and each rule's rate of bad votes among good and among bad documents.
+Model = tuple[float, list[float], list[float]]
+
+
+def expectation_maximisation(patterns: list[tuple[tuple[int, ...], int]], rounds: int = 200) -> Model:
+    """The latent-class model of votes, from (votes, documents).
+
+    Rules err independently given the class; an abstention tells nothing. Starts from documents without a bad vote as
+    good (0.95) and others as bad (0.05), with one made-up good and bad vote for each rule and class, and keeps bad
+    votes at least as frequent among bad documents as among good ones, so the classes can't change places."""
     n = len(patterns[0][0]) if patterns else len(RULES)
-    share, accuracy = 0.9, [0.8] * n
-    for _ in range(rounds):
-        right, cast, good, total = [0.0] * n, [0.0] * n, 0.0, 0.0
-        for vote, docs in patterns:
-            p = posterior(vote, share, accuracy)
-            good, total = good + docs * p, total + docs
-            for j, v in enumerate(vote):
-                if v:
-                    right[j] += docs * (p if v > 0 else 1 - p)
-                    cast[j] += docs
-        if not total:
+    model: Model = (0.9, [0.02] * n, [0.3] * n)
+    weights = [0.05 if min(vote) < 0 else 0.95 for vote, _ in patterns]
+    for _ in range(rounds if patterns else 0):
+        total, good = sum(d for _, d in patterns), sum(w * d for w, (_, d) in zip(weights, patterns))
+        rates = []
+        for of_good in (True, False):
+            bad, cast = [0.02 if of_good else 1.0] * n, [2.0] * n
+            for w, (vote, docs) in zip(weights, patterns):
+                part = docs * (w if of_good else 1 - w)
+                for j, v in enumerate(vote):
+                    cast[j] += part if v else 0
+                    bad[j] += part if v < 0 else 0
+            most = MOST_FALSE_ALARMS if of_good else 1 - 1e-4
+            rates.append([min(max(x / c, 1e-4), most) for x, c in zip(bad, cast)])
+        new: Model = (min(max(good / total, 0.5), 0.999), rates[0], [max(x, y) for x, y in zip(*rates)])
+        moved = abs(new[0] - model[0]) + sum(abs(x - y) for k in (1, 2) for x, y in zip(new[k], model[k]))
+        model = new
+        weights = [posterior(vote, model) for vote, _ in patterns]
+        if moved < 1e-9:
             break
-        new_share = min(max(good / total, 0.5), 0.999)
-        new = [min(max((r + 8) / (c + 10), 0.6), 0.999) for r, c in zip(right, cast)]
-        done = abs(new_share - share) + sum(abs(a - b) for a, b in zip(new, accuracy)) < 1e-9
-        share, accuracy = new_share, new
-        if done:
-            break
-    return share, accuracy
+    return model
+
+
+def _evidence(model: Model) -> list[tuple[float, float]]:
+    """Log odds of good that each rule's bad and good vote add."""
+    return [(math.log(g / b), math.log((1 - g) / (1 - b))) for g, b in zip(model[1], model[2])]
 
 
-def posterior(vote, share: float, accuracy: list[float]) -> float:
-    odds = math.log(share / (1 - share)) + sum(v * math.log(a / (1 - a)) for v, a in zip(vote, accuracy))
+def posterior(vote, model: Model) -> float:
+    odds = math.log(model[0] / (1 - model[0])) + sum(e[v > 0] for v, e in zip(vote, _evidence(model)) if v)
     return 1 / (1 + math.exp(-odds)) if odds > -700 else 0.0
 
 
-def fit(measured: DataFrame) -> tuple[float, list[float]]:
+def fit(measured: DataFrame) -> Model:
     rules = votes()
     counts = measured.groupBy(*[v.alias(k) for k, v in rules.items()]).count().collect()
     return expectation_maximisation(sorted((tuple(r[k] for k in rules), r["count"]) for r in counts))
 
 
-def quality_probability(share: float, accuracy: list[float]) -> Column:
-    odds = F.lit(math.log(share / (1 - share)))
-    for vote, a in zip(votes().values(), accuracy):
-        odds = odds + vote * F.lit(math.log(a / (1 - a)))
+def quality_probability(model: Model) -> Column:
+    odds = F.lit(math.log(model[0] / (1 - model[0])))
+    for vote, (bad, good) in zip(votes().values(), _evidence(model)):
+        odds = odds + F.when(vote < 0, bad).when(vote > 0, good).otherwise(0.0)
     return 1 / (1 + F.exp(-odds))
 
 
@@ -152,7 +168,7 @@ def judge(docs: DataFrame, threshold: float = 0.5) -> DataFrame:
     """(doc_id, measures, base_failed, quality, kept) of each row."""
     measured = measures(docs.select("doc_id", "text"))
     measured = cut(measured.select(F.col("row.doc_id").alias("doc_id"), *[c for c in measured.columns if c != "row"]))
-    quality = quality_probability(*fit(measured))
+    quality = quality_probability(fit(measured))
     out = measured.withColumn("base_failed", base_failed()).withColumn("quality", quality)
     return out.withColumn("kept", ~F.col("base_failed") & (F.col("quality") >= threshold))
 
@@ -160,5 +176,4 @@ def judge(docs: DataFrame, threshold: float = 0.5) -> DataFrame:
 def keep_good(docs: DataFrame, threshold: float = 0.5) -> DataFrame:
     """The rows of docs that are kept, with the columns of docs."""
     measured = measures(docs)
-    share, accuracy = fit(measured)
-    return measured.where(~base_failed() & (quality_probability(share, accuracy) >= threshold)).select("row.*")
+    return measured.where(~base_failed() & (quality_probability(fit(measured)) >= threshold)).select("row.*")

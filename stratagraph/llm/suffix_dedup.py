@@ -235,7 +235,7 @@ def _windows(length: int):
 def _cut_out(batches):
     for pdf in batches:
         rows = []
-        for doc, text, spans in zip(pdf.doc_id, pdf.text, pdf.spans):
+        for text, spans in zip(pdf.text, pdf.spans):
             b = as_bytes(text)
             runs: list[list[int]] = []
             for s, e in sorted((x["start"], x["end"]) for x in spans) if spans is not None else ():
@@ -247,12 +247,18 @@ def _cut_out(batches):
             for s, e in runs:
                 kept.append(b[at:s])
                 at = e
-            rows.append((doc, len(b), sum(e - s for s, e in runs), len(runs), b"".join([*kept, b[at:]])))
-        yield pd.DataFrame(rows, columns=["doc_id", "n_bytes", "n_removed", "n_spans", "kept"]).astype({"doc_id": "Int64"})
-
-
-def remove_repeats(docs: DataFrame, length: int = 100, hot: int = 20_000) -> DataFrame:
-    """(doc_id, n_bytes, n_removed, n_spans, kept binary) for each row."""
+            rows.append((len(b), sum(e - s for s, e in runs), len(runs), b"".join([*kept, b[at:]])))
+        done = pd.DataFrame(rows, columns=["n_bytes", "n_removed", "n_spans", "kept"], index=pdf.index)
+        out = pd.concat([pdf.drop(columns=["text", "spans"]), done], axis=1)
+        for name in out.columns:  # whole numbers with nulls come as floats
+            if out[name].dtype == float and name not in done:
+                out[name] = out[name].astype("Float64") if (out[name] % 1).any() else out[name].astype("Int64")
+        yield out
+
+
+def remove_repeats(docs: DataFrame, length: int = 100, hot: int = 20_000, carry: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, n_bytes, n_removed, n_spans, kept binary) for each row; `carry` names further columns to pass on."""
+    rows = docs.select("doc_id", *carry, "text")
     docs = docs.select("doc_id", "text")
     segs = docs.mapInPandas(_scan(length), "key long, sig long, doc_id long, pos int, n int, own int")
     part = F.expr("cast(sig & 2147483647 as int)")
@@ -277,7 +283,8 @@ def remove_repeats(docs: DataFrame, length: int = 100, hot: int = 20_000) -> Dat
     again = windows.join(least, ["w1", "w2"]).where(place != F.col("f")).select("doc_id", span("pos", f"pos + {length}").alias("span"))
 
     spans = copies.union(cold).union(again).groupBy("doc_id").agg(F.collect_list("span").alias("spans"))
-    return docs.join(spans, "doc_id", "left").mapInPandas(_cut_out, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name != "text")
+    return rows.join(spans, "doc_id", "left").mapInPandas(_cut_out, f"{kinds}, n_bytes long, n_removed long, n_spans long, kept binary")
 
 
 def removal_report(docs: DataFrame, length: int = 100) -> DataFrame:
