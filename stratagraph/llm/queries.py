@@ -46,6 +46,12 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(load(spark, sf_dir, "documents"), weights=(1, 2, 3), repeats=3)
 
 
+def op7_tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .tool_calls import linked_conversations
+
+    return linked_conversations(load(spark, sf_dir, "conversations"))
+
+
 def op8_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .lm_scoring import score_documents
 
@@ -69,8 +75,7 @@ def queries() -> dict:
     return {k: f for k, f in globals().items() if k.startswith("op") and callable(f)}
 
 
-ORACLES: dict[str, str] = {}
-
-
 def oracle_sql() -> dict[str, str]:
-    return dict(ORACLES)
+    from .tool_calls import ORACLE
+
+    return {"op7_tool_calls": ORACLE}
