@@ -27,7 +27,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_bytes, cut, mix
+from .common import as_bytes, cut, gentle, mix
 
 RATE = 8000
 #: Bounds of a chunk; between them a cut falls after about MEAN bytes.
@@ -88,7 +88,7 @@ def _lists(batches):
 
 
 def _bytes(batches):
-    pack = zstandard.ZstdCompressor(level=3, write_content_size=True)
+    pack = zstandard.ZstdCompressor(level=12, write_content_size=True, write_checksum=False, write_dict_id=False)
     for pdf in batches:
         rows = []
         for doc, text in zip(pdf.doc_id, pdf.text):
@@ -123,28 +123,30 @@ def _rebuild(batches):
 
 def media_features(docs: DataFrame) -> DataFrame:
     """(doc_id, n_bytes, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, feature, n_chunks) of every row."""
-    docs = docs.select("doc_id", "text")
+    docs = gentle(docs).select("doc_id", "text")
     lists = cut(docs.mapInPandas(_lists, "doc_id long, n_bytes long, payload_bytes long, media_bytes long, media_sha256 string, chunks array<binary>"))
     named = F.coalesce("doc_id", F.lit(-(1 << 63)))
 
-    # One row for each distinct medium, in the name of its first document.
+    # One row for each distinct medium, in the name of its first document. `mid` is short for the digest; with the
+    # document's name it is the key of all that follows, and the digest itself is checked in the end.
     first = lists.groupBy("media_sha256").agg(F.min(named).alias("doc"))
-    media = lists.withColumn("doc", named).join(first, ["media_sha256", "doc"], "left_semi").select("doc", F.col("media_sha256").alias("medium"), "chunks").dropDuplicates(["doc", "medium"])
-    refs = media.select("doc", "medium", F.posexplode("chunks").alias("i", "chunk"))
-    owners = refs.groupBy("chunk").agg(F.min(F.struct("medium", "i")).alias("owner"), (F.count("*") > 1).alias("wanted"))
-    refs = refs.join(owners, "chunk").select("doc", "medium", "i", "owner", "wanted", ((F.col("owner.medium") == F.col("medium")) & (F.col("owner.i") == F.col("i"))).alias("mine"))
-    refs = cut(refs)
-    mine = refs.where("mine").groupBy("doc", "medium").agg(F.collect_list("i").alias("keep"), F.collect_list(F.when(F.col("wanted"), F.col("i"))).alias("lend"))
+    media = lists.withColumn("doc", named).join(first, ["media_sha256", "doc"], "left_semi")
+    media = media.select("doc", F.xxhash64("media_sha256").alias("mid"), F.col("media_sha256").alias("medium"), "chunks").dropDuplicates(["doc", "mid"])
+    refs = media.select("doc", "mid", F.posexplode("chunks").alias("i", "chunk"))
+    owners = refs.groupBy("chunk").agg(F.min(F.struct("doc", "mid", "i")).alias("owner"), (F.count("*") > 1).alias("wanted"))
+    own = (F.col("owner.doc") == F.col("doc")) & (F.col("owner.mid") == F.col("mid")) & (F.col("owner.i") == F.col("i"))
+    refs = cut(refs.join(owners.where("wanted").drop("wanted"), "chunk", "left").select("doc", "mid", "i", "owner", F.coalesce(own, F.lit(True)).alias("mine")))
+    mine = refs.where("mine").groupBy("doc", "mid").agg(F.collect_list("i").alias("keep"), F.collect_list(F.when(F.col("owner").isNotNull(), F.col("i"))).alias("lend"))
     empty = F.array().cast("array<int>")
-    layout = media.join(mine, ["doc", "medium"], "left").withColumn("keep", F.coalesce("keep", empty)).withColumn("lend", F.coalesce("lend", empty))
+    layout = media.join(mine, ["doc", "mid"], "left").withColumn("keep", F.coalesce("keep", empty)).withColumn("lend", F.coalesce("lend", empty))
 
-    held = docs.mapInPandas(_bytes, "doc_id long, medium string, data array<binary>").select(named.alias("doc"), "medium", "data")
-    store = held.join(layout, ["doc", "medium"])
+    held = docs.mapInPandas(_bytes, "doc_id long, medium string, data array<binary>").select(named.alias("doc"), F.xxhash64("medium").alias("mid"), "data")
+    store = held.join(layout, ["doc", "mid"])
     pick = lambda which: F.transform(F.col(which), lambda i: F.struct(i.alias("i"), F.get(F.col("data"), i).alias("data")))
-    lent = store.select(F.col("medium").alias("m"), F.explode(pick("lend")).alias("c")).select("m", F.col("c.i").alias("j"), "c.data")
-    borrowed = refs.where("not mine").select("doc", "medium", "i", F.col("owner.medium").alias("m"), F.col("owner.i").alias("j")).join(lent, ["m", "j"])
-    borrowed = borrowed.groupBy("doc", "medium").agg(F.collect_list(F.struct("i", "data")).alias("fetched"))
-    whole = store.select("doc", "medium", "chunks", pick("keep").alias("own")).join(borrowed, ["doc", "medium"], "left")
+    lent = store.select(F.col("doc").alias("d"), F.col("mid").alias("m"), F.explode(pick("lend")).alias("c")).select("d", "m", F.col("c.i").alias("j"), "c.data")
+    borrowed = refs.where("not mine").select("doc", "mid", "i", F.col("owner.doc").alias("d"), F.col("owner.mid").alias("m"), F.col("owner.i").alias("j")).join(lent, ["d", "m", "j"])
+    borrowed = borrowed.groupBy("doc", "mid").agg(F.collect_list(F.struct("i", "data")).alias("fetched"))
+    whole = store.select("doc", "mid", "medium", "chunks", pick("keep").alias("own")).join(borrowed, ["doc", "mid"], "left")
     rebuilt = whole.select("medium", "chunks", "own", "fetched").mapInPandas(_rebuild, "media_sha256 string, payload_sha256 string, tail_crc32 long, feature string")
     out = lists.withColumn("n_chunks", F.size("chunks")).join(rebuilt.dropDuplicates(["media_sha256"]), "media_sha256")
     return out.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "n_chunks")
