@@ -209,13 +209,13 @@ class Out:
     def __init__(self, source: Source, parser: str):
         self.source, self.parser, self.nodes, self.edges, self.errors = source, parser, [], [], []
 
-    def node(self, kind: str, name: str, at: int = 0, path: str | None = None, **metadata) -> str:
+    def node(self, kind: str, name: str, at: int = 0, path: str | None = None, /, **metadata) -> str:
         path = self.source.path if path is None else path
         id_ = f"{kind}:{path}:{name}"
         self.nodes.append({"id": id_, "type": kind, "name": name, "file_path": path, "line": self.source.line(at), "column": self.source.column(at), "metadata": {k: v for k, v in metadata.items() if v is not None}})
         return id_
 
-    def edge(self, source: str, kind: str, target: str, certain: bool = True, **metadata) -> None:
+    def edge(self, source: str, kind: str, target: str, certain: bool = True, /, **metadata) -> None:
         self.edges.append({"id": f"{source}--{kind}--{target}", "source": source, "target": target, "type": kind, "confidence": "certain" if certain else "inferred", "metadata": {k: v for k, v in metadata.items() if v is not None}})
 
     def error(self, message: str, severity: str = "error", code: str | None = None) -> None:

@@ -70,7 +70,7 @@ def _properties(src: Source, d: dict) -> list[dict]:
     span = d["params"] or d["body"]
     fields = []
     if span:
-        for p in re.finditer(r"((?:@[\w:]+(?:\([^)]*\))?\s*)*)(?:val|var)\s+(\w+)\s*:\s*([\w.<>, ]+\??)", src.code[span[0] : span[1]]):
+        for p in re.finditer(r"((?:@[\w:]+(?:\([^)]*\))?\s*)*)(?:val|var)\s+(\w+)\s*:\s*([\w.]+(?:<[^>]*>)?\??)", src.code[span[0] : span[1]]):
             fields.append({"name": p[2], "type": p[3].strip(), "isRequired": not p[3].strip().endswith("?"), "isId": "@Id" in p[1] or "PrimaryKey" in p[1], "isRelation": False})
     return fields
 

@@ -59,10 +59,11 @@ def read_files(spark: SparkSession, root: str, paths: list[str]) -> DataFrame:
     base = str(Path(base).resolve()) if local else base
     if not paths:
         return spark.createDataFrame([], "path string, text string, ord long")
-    whole = spark.read.format("binaryFile").load([f"{base}/{p}" for p in paths])
+    # Names such as [id] are names here and no patterns.
+    whole = spark.read.format("binaryFile").option("__globPaths__", "false").load([f"{base}/{p}" for p in paths])
     name = F.regexp_extract(F.col("path"), re.escape(base.split("://")[-1]).replace("/", "/+") + "/+(.*)$", 1)
     ordered = spark.createDataFrame([(p, i) for i, p in enumerate(paths)], "path string, ord long")
-    rows = whole.select(F.when(name != "", F.url_decode(F.regexp_replace(name, r"\+", "%2B"))).alias("path"), F.decode("content", "UTF-8").alias("text"))
+    rows = whole.select(name.alias("path"), F.decode("content", "UTF-8").alias("text"))
     return rows.join(F.broadcast(ordered) if len(paths) < 100_000 else ordered, "path")
 
 

@@ -87,8 +87,9 @@ class SnapshotStore:
         if not at:
             return None
         folder = f"{self.path}/snapshots/{at['snapshot_id']}"
-        read = lambda what: self.spark.read.parquet(f"{folder}/{what}")
         model = empty(self.spark)
+        schemas = {"nodes": model.nodes.schema, "edges": model.edges.schema, "errors": ERROR, "issues": ISSUE, "stats": "what string, type string, n long"}
+        read = lambda what: self.spark.read.schema(schemas[what]).parquet(f"{folder}/{what}")
         graph = coerced(Graph(read("nodes").select(*model.nodes.columns), read("edges").select(*model.edges.columns)))
         return Snapshot(at["snapshot_id"], at["digest"], graph, read("errors"), read("issues"), read("stats"), dict(at["meta"] or {}))
 
