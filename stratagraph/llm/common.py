@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 
@@ -33,8 +35,23 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def shuffle_partitions(spark: SparkSession) -> int:
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+def keep(df: DataFrame) -> DataFrame:
+    """As `cut`, as a compressed table in the checkpoint folder; for many rows."""
+    path = f"{checkpoint_dir(df.sparkSession)}/tables/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+#: Rows in one Arrow batch to a Python worker: texts of some KB make batches of some MB.
+BATCH_ROWS = 1000
+
+
+def gentle(df: DataFrame) -> DataFrame:
+    """The frame, with the session's Arrow batches held small enough for long texts."""
+    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(conf.get(key)) <= BATCH_ROWS:
+        conf.set(key, BATCH_ROWS)
+    return df
 
 
 def as_bytes(text) -> bytes:

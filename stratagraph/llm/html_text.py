@@ -22,6 +22,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import gentle
+
 _TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*+(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:"[^"]*+"|'[^']*+'|[^>"']++)*+)(?:>|\Z)""", re.S)
 _ATTRIBUTE = re.compile(r"""(?:^|[\s"'/])(class|id|role)\s*+=\s*+(?:"([^"]*+)"|'([^']*+)'|([^\s"'>]++))""", re.I)
 _GAPS = re.compile(r"\s+")
@@ -218,5 +220,5 @@ def host_paths(pages: DataFrame) -> DataFrame:
 def main_texts(pages: DataFrame) -> DataFrame:
     """(page_id, url, text, n_chars) of every row."""
     host = F.regexp_extract(F.coalesce("url", F.lit("")), r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1)
-    pages = pages.select("page_id", "url", "html", F.lower(host).alias("host"))
+    pages = gentle(pages).select("page_id", "url", "html", F.lower(host).alias("host"))
     return pages.join(host_paths(pages), "host", "left").mapInPandas(_texts, "page_id long, url string, text string, n_chars long")

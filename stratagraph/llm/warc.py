@@ -24,7 +24,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import as_bytes, checkpoint_dir, cut
+from .common import as_bytes, checkpoint_dir, cut, gentle
 
 MAGIC = b"\x1f\x8b\x08"
 _DATE = "2024-01-01T00:00:00Z"
@@ -103,6 +103,7 @@ def _write(folder: str):
 def write_archives(pages: DataFrame, folder: str, least: int = 100) -> DataFrame:
     """(path, size) of the archives written, one for each task that had rows."""
     payload = F.coalesce(F.col("html"), F.lit("")).cast("binary")
+    pages = gentle(pages)
     rows = pages.select("page_id", "url", "html", F.sha2(payload, 256).alias("digest"), F.octet_length(payload).alias("n"))
     first = rows.where(F.col("n") >= least).groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("c")).where("c > 1").drop("c")
     # Only digests are shuffled for this; payloads move once, to meet them.
