@@ -30,12 +30,12 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_bytes, cut, mix
+from .common import as_bytes, gentle, keep, mix
 
 GRAM = 32
 _BYTE = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95))
 _M1, _M2, _M3 = (np.uint64(x) for x in (0x9FB21C651E98DF25, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
-_CHUNK, _BATCH = 1 << 20, 1 << 20
+_CHUNK, _BATCH = 1 << 16, 1 << 18
 
 
 def _join(left: np.ndarray, right: np.ndarray) -> np.ndarray:
@@ -75,12 +75,12 @@ def _segments(ids: np.ndarray, blobs: list[bytes], length: int) -> pd.DataFrame:
     ends = np.cumsum(sizes)
     gram, window = _hashes(arr, length)
     if not len(window):
-        return pd.DataFrame({k: np.zeros(0, np.int64) for k in ("key", "sig", "doc_id", "pos", "n", "own")})
+        return pd.DataFrame({k: np.zeros(0, np.int64) for k in ("key", "sig", "doc_id", "pos", "own")})
     key = _smallest(gram, length - GRAM + 1)
     doc = np.repeat(np.arange(len(blobs)), sizes)[: len(window)]
     at = np.flatnonzero(np.arange(length, length + len(window)) <= ends[doc])
     if not len(at):
-        return pd.DataFrame({k: np.zeros(0, np.int64) for k in ("key", "sig", "doc_id", "pos", "n", "own")})
+        return pd.DataFrame({k: np.zeros(0, np.int64) for k in ("key", "sig", "doc_id", "pos", "own")})
     k = key[at]
     start = np.concatenate(([0], np.flatnonzero((k[1:] != k[:-1]) | (at[1:] != at[:-1] + 1)) + 1))
     n = np.diff(start, append=len(at))
@@ -90,8 +90,9 @@ def _segments(ids: np.ndarray, blobs: list[bytes], length: int) -> pd.DataFrame:
         start, n = first, np.minimum(length, np.repeat(start + n, parts) - first)
     p = at[start]
     sig = mix(window[p] * _M1 + window[p + n - 1] * _M3 + n.astype(np.uint64))
+    sig = (sig >> np.uint64(8) << np.uint64(8)) | n.astype(np.uint64)  # its low byte is n, at most `length`
     d = doc[p]
-    return pd.DataFrame({"key": key[p].view(np.int64), "sig": sig.view(np.int64), "doc_id": ids[d], "pos": p - (ends - sizes)[d], "n": n, "own": _own_repeats(gram, key, p, n, length)})
+    return pd.DataFrame({"key": key[p].view(np.int64), "sig": sig.view(np.int64), "doc_id": ids[d], "pos": p - (ends - sizes)[d], "own": _own_repeats(gram, key, p, n, length)})
 
 
 def _own_repeats(gram: np.ndarray, key: np.ndarray, p: np.ndarray, n: np.ndarray, length: int) -> np.ndarray:
@@ -100,12 +101,18 @@ def _own_repeats(gram: np.ndarray, key: np.ndarray, p: np.ndarray, n: np.ndarray
     edge = np.zeros(width - 1, np.uint64)
     most = ~_smallest(~np.concatenate((edge, key, edge)), width)  # largest key of the windows over each 32-gram
     anchor = np.flatnonzero(most == gram)
-    anchor = anchor[np.lexsort((anchor, gram[anchor]))]
+    anchor = anchor[np.argsort(gram[anchor], kind="stable")]
     pair = np.flatnonzero((gram[anchor[1:]] == gram[anchor[:-1]]) & (anchor[1:] - anchor[:-1] < 2 * length))
-    own = np.zeros(len(p), dtype=np.int64)
-    for u, v in zip(anchor[pair], anchor[pair + 1]):
-        i, j = np.searchsorted(p, v - width + 1 - length), np.searchsorted(p, u, side="right")
-        own[i:j] |= p[i:j] + n[i:j] - 1 + width - 1 >= v
+    if not len(pair):
+        return np.zeros(len(p), dtype=np.int64)
+    u, v = anchor[pair], anchor[pair + 1]
+    near = np.zeros(len(key) + 1, dtype=np.int64)
+    np.add.at(near, np.clip(u - width + 1, 0, len(key)), 1)
+    np.add.at(near, np.clip(v + 1, 0, len(key)), -1)
+    near = np.concatenate(([0], np.cumsum(np.cumsum(near)[:-1] > 0)))
+    own = (near[p + n] > near[p]).astype(np.int64)
+    at = np.flatnonzero(own)
+    own[at] = np.isin(key[p[at]], gram[u])
     return own
 
 
@@ -134,7 +141,7 @@ def _fetch(length: int):
             rows = []
             for doc, text, want in zip(pdf.doc_id, pdf.text, pdf.want):
                 b = as_bytes(text)
-                rows += [(w["key"], doc, w["pos"], b[w["pos"] : w["pos"] + w["n"] + length - 1], w["hot"]) for w in want]
+                rows += [(w["key"], doc, w["pos"], b[w["pos"] : w["pos"] + w["n"] + length - 1], w["hot"]) for w in (want if want is not None else ())]
             if rows:
                 yield pd.DataFrame(rows, columns=["key", "doc_id", "pos", "seg", "hot"])
 
@@ -258,31 +265,34 @@ def _cut_out(batches):
 
 def remove_repeats(docs: DataFrame, length: int = 100, hot: int = 20_000, carry: tuple[str, ...] = ()) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept binary) for each row; `carry` names further columns to pass on."""
-    rows = docs.select("doc_id", *carry, "text")
+    rows = gentle(docs).select("doc_id", *carry, "text")
     docs = docs.select("doc_id", "text")
-    segs = docs.mapInPandas(_scan(length), "key long, sig long, doc_id long, pos int, n int, own int")
-    part = F.expr("cast(sig & 2147483647 as int)")
-    keys = segs.groupBy("key").agg(F.count("*").cast("int").alias("c"), F.min(part).alias("lo"), F.max(part).alias("hi"), F.max("own").alias("own")).where("c > 1 or own > 0")
-    shared = cut(segs.drop("own").join(keys.select("key", F.expr("lo <> hi or own > 0").alias("mixed")), "key"))
+    segs = docs.mapInPandas(_scan(length), "key long, sig long, doc_id long, pos int, own int")
+    keys = segs.groupBy("key").agg(F.count("*").cast("int").alias("c"), F.max("own").alias("own")).where("c > 1 or own > 0")
+    shared = keep(segs.drop("own").join(keys.select("key", "own"), "key").withColumn("n", F.expr("cast(sig & 255 as int)")))
 
     place = F.struct("doc_id", "pos")
-    firsts = shared.groupBy("key", "sig").agg(F.min(place).alias("f"), F.max("n").alias("n"), F.max("mixed").alias("mixed"), F.count("*").alias("c"))
+    firsts = shared.groupBy("key", "sig").agg(F.min(place).alias("f"), F.first("n").alias("n"), F.max("own").alias("own"), F.count("*").alias("c"))
     copies = shared.join(firsts.where("c > 1").select("key", "sig", "f"), ["key", "sig"]).where(place != F.col("f"))
     span = lambda start, end: F.struct(F.expr(start).cast("int").alias("start"), F.expr(end).cast("int").alias("end"))
     copies = copies.select("doc_id", span("pos", f"pos + n + {length - 1}").alias("span"))
 
-    firsts = firsts.where("mixed").select("key", F.col("f.doc_id").alias("doc_id"), F.col("f.pos").alias("pos"), "n")
-    busy = firsts.groupBy("key").agg((F.count("*") > hot).alias("hot"))
-    wanted = firsts.join(busy, "key").groupBy("doc_id").agg(F.collect_list(F.struct("key", "pos", "n", "hot")).alias("want"))
-    fetched = docs.join(wanted, "doc_id").mapInPandas(_fetch(length), "key long, doc_id long, pos int, seg binary, hot boolean")
-    cold = fetched.where("not hot").repartition("key").sortWithinPartitions("key").mapInPandas(_match(length), "doc_id long, start int, end int")
-    cold = cold.select("doc_id", span("start", "end").alias("span"))
-
-    windows = fetched.where("hot").mapInPandas(_windows(length), "w1 long, w2 long, doc_id long, pos int")
-    least = windows.groupBy("w1", "w2").agg(F.min(place).alias("f"), F.count("*").alias("c")).where("c > 1").drop("c")
-    again = windows.join(least, ["w1", "w2"]).where(place != F.col("f")).select("doc_id", span("pos", f"pos + {length}").alias("span"))
-
-    spans = copies.union(cold).union(again).groupBy("doc_id").agg(F.collect_list("span").alias("spans"))
+    busy = firsts.groupBy("key").agg(F.count("*").alias("c"), F.max("own").alias("o")).where("c > 1 or o > 0").select("key", (F.col("c") > hot).alias("hot"))
+    mixed = keep(firsts.join(busy, "key").select("key", F.col("f.doc_id").alias("doc_id"), F.col("f.pos").alias("pos"), "n", "hot"))
+    wanted = mixed.groupBy("doc_id").agg(F.collect_list(F.struct("key", "pos", "n", "hot")).alias("want"))
+    # Outer as the last join is, so that both read the texts from one exchange.
+    fetched = docs.join(wanted, "doc_id", "left").mapInPandas(_fetch(length), "key long, doc_id long, pos int, seg binary, hot boolean")
+    some_hot = bool(mixed.where("hot").take(1))
+    cold = (fetched.where("not hot") if some_hot else fetched).drop("hot")
+    cold = cold.repartition("key").sortWithinPartitions("key").mapInPandas(_match(length), "doc_id long, start int, end int")
+    spans = copies.union(cold.select("doc_id", span("start", "end").alias("span")))
+    if some_hot:
+        windows = fetched.where("hot").mapInPandas(_windows(length), "w1 long, w2 long, doc_id long, pos int")
+        least = windows.groupBy("w1", "w2").agg(F.min(place).alias("f"), F.count("*").alias("c")).where("c > 1").drop("c")
+        again = windows.join(least, ["w1", "w2"]).where(place != F.col("f"))
+        spans = spans.union(again.select("doc_id", span("pos", f"pos + {length}").alias("span")))
+
+    spans = spans.groupBy("doc_id").agg(F.collect_list("span").alias("spans"))
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name != "text")
     return rows.join(spans, "doc_id", "left").mapInPandas(_cut_out, f"{kinds}, n_bytes long, n_removed long, n_spans long, kept binary")
 
