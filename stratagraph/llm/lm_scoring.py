@@ -18,7 +18,8 @@ no task holds more than a block or a shard.
 
 Edge cases: a null or empty text is the end token alone; rows without doc_id count as id text "" and keep a null id;
 repeated rows are scored and counted each; an empty table gives no rows and an empty training part scores with N = 0;
-other columns are ignored. Words are told apart by 64-bit hashes.
+other columns are ignored. Words are told apart by 64-bit hashes, arcs by 48 bits within a shard; an arc's gain over its
+failure path travels with a relative error of at most 2 ** -16.
 """
 
 from __future__ import annotations
@@ -33,7 +34,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_bytes, mix, tokenize
+from .common import as_bytes, gentle, mix, tokenize
 
 END = np.uint64(0x6A09E667F3BCC908)
 _SHIP = "shard long, block long, kind int, data binary"
@@ -136,30 +137,43 @@ def _traverse(shards: int):
         gain = ((1 - weight) / (np.maximum(cc, 1) * weight * root))[use[start]].astype(np.float32) if len(start) else np.zeros(0, np.float32)
         train = np.add.reduceat(~held[doc[use]], start, dtype=np.int64).astype(np.uint32) if len(start) else np.zeros(0, np.uint32)
         where = doc[use]
-        order, edge = _by_shard(pair[start], shards)
+        # By shard, and by document within it, so that the documents' numbers pack well.
+        shard = (pair[start] >> np.uint64(48)).astype(np.int64) % shards
+        order = np.lexsort((where[start], shard))
+        edge = np.searchsorted(shard[order], np.arange(shards + 1))
+        keys, gain = pair[start].view(np.uint8).reshape(-1, 8)[:, :6], ((gain.view(np.uint32) + np.uint32(128)) >> np.uint32(8)).view(np.uint8).reshape(-1, 4)[:, :3]
         begin = np.concatenate((start, [len(pair)]))
         for s in range(shards):
             pick = order[edge[s] : edge[s + 1]]
             n = many[pick]
             at = np.repeat(begin[pick] - (np.cumsum(n) - n), n) + np.arange(n.sum())
-            rows.append((s, block, 0, _pack(pair[start][pick], gain[pick], train[pick], n.astype(np.uint32), where[at].astype(np.uint32), np.array([len(sizes)], np.int64))))
+            steps = np.diff(where[at], prepend=0).astype(np.int32)
+            rows.append((s, block, 0, _pack(keys[pick], gain[pick], train[pick], n.astype(np.uint32), steps, np.array([len(sizes)], np.int64))))
         return pd.DataFrame(rows, columns=["shard", "block", "kind", "data"])
 
     return run
 
 
+def _widen(data: np.ndarray, width: int, kind) -> np.ndarray:
+    """Whole numbers of `width` little-endian bytes."""
+    out = np.zeros((len(data) // width, np.dtype(kind).itemsize), dtype=np.uint8)
+    out[:, :width] = data.reshape(-1, width)
+    return out.view(kind).ravel()
+
+
 def _arcs(pdf: pd.DataFrame) -> pd.DataFrame:
     """One arc shard: the arcs' training counts, and what they add to each document over the failure path."""
-    asked = [(b, _unpack(d, np.uint64, np.float32, np.uint32, np.uint32, np.uint32, np.int64)) for b, k, d in zip(pdf["block"], pdf["kind"], pdf["data"]) if not k]
+    asked = [(b, _unpack(d, np.uint8, np.uint8, np.uint32, np.uint32, np.int32, np.int64)) for b, k, d in zip(pdf["block"], pdf["kind"], pdf["data"]) if not k]
     out = [(s, b, k, d) for s, b, k, d in zip(pdf["shard"], pdf["block"], pdf["kind"], pdf["data"]) if k]
     if asked:
-        pairs, inverse = np.unique(np.concatenate([a[0] for _, a in asked]), return_inverse=True)
+        pairs, inverse = np.unique(_widen(np.concatenate([a[0] for _, a in asked]), 6, np.uint64), return_inverse=True)
         total = np.bincount(inverse, weights=np.concatenate([a[2] for _, a in asked]), minlength=len(pairs))
         at = 0
-        for block, (keys, gain, _, n, where, docs) in asked:
-            value = np.log10(1 + total[inverse[at : at + len(keys)]] * gain.astype(np.float64))
-            at += len(keys)
-            sums = np.bincount(where, weights=np.repeat(value, n), minlength=int(docs[0]))
+        for block, (_, gain, _, n, steps, docs) in asked:
+            gain = (_widen(gain, 3, np.uint32) << np.uint32(8)).view(np.float32)
+            value = np.log10(1 + total[inverse[at : at + len(n)]] * gain.astype(np.float64))
+            at += len(n)
+            sums = np.bincount(np.cumsum(steps), weights=np.repeat(value, n), minlength=int(docs[0]))
             out.append((int(pdf["shard"].iloc[0]), block, 0, _pack(sums)))
     return pd.DataFrame(out, columns=["shard", "block", "kind", "data"])
 
@@ -179,7 +193,7 @@ def score_documents(docs: DataFrame, block_bytes: int = 12_000_000) -> DataFrame
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) of every row.
 
     block_bytes: text in one block; blocks and shards are as many as the text needs."""
-    docs = docs.select("doc_id", "text")
+    docs = gentle(docs).select("doc_id", "text")
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     shards = max(1, -(-int(total) // block_bytes))
     blocks = docs.withColumn("block", F.pmod(F.xxhash64("doc_id", F.octet_length("text")), F.lit(shards)))
