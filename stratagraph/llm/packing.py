@@ -29,16 +29,21 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, gentle
 
 #: A document row can need several sequences; each salt of a length is ranked by its own task.
 SALTS = 64
-_MEMO = 200_000
+_MEMO, _FLUSH = 400_000, 100_000
 _tokenizers: dict = {}
 
 
 class _Encoder:
-    """Ids of a text as little-endian uint32 bytes, by words: this tokenizer drops white space, and none of its merges crosses it."""
+    """Ids of texts as little-endian uint32 bytes, by words: this tokenizer drops white space, and no merge crosses it.
+
+    The ids of words are kept in two generations of at most _MEMO words each; words that are new go through the tokenizer
+    many at a time, with a mark between them that none of them holds."""
+
+    MARK = "~"
 
     def __init__(self, path: str):
         import os
@@ -46,23 +51,51 @@ class _Encoder:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.memo = Tokenizer.from_file(path), {}
+        self.tokenizer, self.memo, self.before = Tokenizer.from_file(path), {}, {}
+        (self.mark,) = self._ids(self.MARK)
 
-    def words(self, texts: list[list[bytes]]) -> None:
-        if len(self.memo) > _MEMO:
-            self.memo.clear()
-        new = list({w for t in texts for w in t if w not in self.memo})
-        for word, got in zip(new, self.tokenizer.encode_batch([w.decode("utf-8", "replace") for w in new], add_special_tokens=False)):
-            self.memo[word] = np.array(got.ids, dtype="<u4").tobytes()
+    def _ids(self, text: str) -> list[int]:
+        return self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids
 
-    def encode(self, text) -> bytes:
-        words = text.encode("utf-8", "replace").split() if isinstance(text, str) else []
-        out = []
-        for i in range(0, len(words), 50_000):
-            part = words[i : i + 50_000]
-            self.words([part])
-            out.append(b"".join(map(self.memo.__getitem__, part)))
-        return b"".join(out)
+    def learn(self, words: set[bytes]) -> None:
+        if len(self.memo) > _MEMO:
+            self.memo, self.before = {}, self.memo
+        new = words.difference(self.memo)
+        if self.before:
+            kept = new.intersection(self.before)
+            self.memo.update(zip(kept, map(self.before.__getitem__, kept)))
+            new -= kept
+        odd = [w for w in new if b"~" in w]
+        plain = [w for w in new if b"~" not in w]
+        for w in odd:
+            self.memo[w] = np.array(self._ids(w.decode("utf-8", "replace")), dtype="<u4").tobytes()
+        for i in range(0, len(plain), 1000):
+            part = plain[i : i + 1000]
+            ids = np.array(self._ids(b" ~ ".join(part).decode("utf-8", "replace")), dtype="<u4")
+            ends = [*np.flatnonzero(ids == self.mark).tolist(), len(ids)]
+            data, at = ids.tobytes(), 0
+            for w, end in zip(part, ends, strict=True):
+                self.memo[w] = data[4 * at : 4 * end]
+                at = end + 1
+
+    def encode(self, texts) -> list[bytes]:
+        words = [t.encode("utf-8", "replace").split() if isinstance(t, str) else [] for t in texts]
+        out: list[list[bytes]] = [[] for _ in words]
+        todo, held = [], 0
+        for k, w in enumerate(words):
+            for i in range(0, len(w), _FLUSH):
+                todo.append((k, w[i : i + _FLUSH]))
+                held += len(todo[-1][1])
+                if held >= _FLUSH:
+                    self._flush(todo, out)
+                    todo, held = [], 0
+        self._flush(todo, out)
+        return [b"".join(parts) for parts in out]
+
+    def _flush(self, todo, out) -> None:
+        self.learn(set().union(*(w for _, w in todo)))
+        for k, w in todo:
+            out[k].append(b"".join(map(self.memo.__getitem__, w)))
 
 
 def encoder(path: str) -> _Encoder:
@@ -78,8 +111,8 @@ def _pieces(path: str, capacity: int, end_id: int):
         enc = encoder(path)
         for pdf in batches:
             rows = []
-            for doc, text in zip(pdf.doc_id, pdf.text):
-                ids = enc.encode(text) + tail
+            for doc, ids in zip(pdf.doc_id, enc.encode(pdf.text)):
+                ids += tail
                 for piece, start in enumerate(range(0, len(ids) // 4, capacity)):
                     part = ids[4 * start : 4 * (start + capacity)]
                     rows.append((doc, piece, start, len(part) // 4, zlib.crc32(part)))
@@ -88,32 +121,34 @@ def _pieces(path: str, capacity: int, end_id: int):
     return run
 
 
+def _three(sizes: list[int], left: dict[int, int]) -> int:
+    """Sum of the three shortest pieces; endless if there are fewer."""
+    out, need = 0, 3
+    for s in sizes:
+        n = min(left[s], need)
+        out, need = out + n * s, need - n
+        if not need:
+            return out
+    return 1 << 60
+
+
 def plan(histogram: dict[int, int], capacity: int) -> list[tuple[int, dict[int, int]]]:
     """[(how many sequences, {length: pieces in each})] for a histogram of lengths."""
     left = {s: n for s, n in histogram.items() if n > 0}
     sizes = sorted(left)
     fixed: list[tuple[int, dict[int, int]]] = []
-    held: list[int] = []  # lengths that no dominance settles
-
-    def fitting(room: int) -> int:
-        i = bisect_right(sizes, room)
-        return sizes[i - 1] if i else 0
 
-    def take(content: dict[int, int]) -> None:
-        times = min(left[s] // n for s, n in content.items())
-        fixed.append((times, content))
-        for s, n in content.items():
-            left[s] -= times * n
-            if not left[s]:
-                del left[s]
-                sizes.remove(s)
-
-    def smallest_two() -> int:
-        a = sizes[0]
-        return 2 * a if left[a] > 1 else a + (sizes[1] if len(sizes) > 1 else capacity)
+    def add(s: int, n: int) -> None:
+        if s not in left:
+            left[s] = 0
+            insort(sizes, s)
+        left[s] += n
+        if not left[s]:
+            del left[s]
+            sizes.remove(s)
 
     def best_pair(room: int) -> int:
-        """Longest sum of two pieces that fit into the room."""
+        """Longest sum of two pieces that fit into the room; 0 if no two do."""
         best, j = 0, len(sizes) - 1
         for i, a in enumerate(sizes):
             while j >= i and a + sizes[j] > room:
@@ -122,30 +157,36 @@ def plan(histogram: dict[int, int], capacity: int) -> list[tuple[int, dict[int,
                 break
             if j > i or left[a] > 1:
                 best = max(best, a + sizes[j])
+            elif j > 0 and i and sizes[i - 1] + a <= room:
+                best = max(best, sizes[i - 1] + a)
         return best
 
-    while sizes:
-        s = sizes[-1]
-        left[s] -= 1  # one piece opens the sequence; the rest are its possible partners
-        alone = not left[s]
-        if alone:
-            sizes.pop()
+    def dominating(s: int) -> dict[int, int] | None:
+        """A set with s that dominates all others; pieces of every length may be partners."""
+        add(s, -1)
         room = capacity - s
-        k = fitting(room)
-        content = None
+        i = bisect_right(sizes, room)
+        k = sizes[i - 1] if i else 0
         if not k:
-            content = {s: 1}
-        elif s + k == capacity or smallest_two() > room or best_pair(room) <= k and 3 * sizes[0] > room:
-            content = {s: 2} if k == s else {s: 1, k: 1}
-        left[s] = left.get(s, 0) + 1
-        if alone:
-            sizes.append(s)
-        if content:
-            take(content)
+            found = {s: 1}
+        elif s + k == capacity or best_pair(room) <= k and (not best_pair(room) or _three(sizes, left) > room):
+            found = {s: 2} if k == s else {s: 1, k: 1}
         else:
-            held.append(s)
-            sizes.pop()
-    rest = {s: left[s] for s in held}
+            found = None
+        add(s, 1)
+        return found
+
+    moved = True
+    while moved:
+        moved = False
+        for s in sorted(left, reverse=True):
+            while s in left and (content := dominating(s)):
+                times = min(left[x] // n for x, n in content.items())
+                fixed.append((times, content))
+                for x, n in content.items():
+                    add(x, -times * n)
+                moved = True
+    rest = left
 
     open_at: dict[int, list[list]] = defaultdict(list)  # room -> [[how many, content]]
     rooms: list[int] = []
@@ -216,7 +257,7 @@ def _place(runs: dict[int, np.ndarray]):
 def pack(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, end_id: int = 0) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32, sequence_id, offset) of every piece."""
     columns = "doc_id long, piece int, start long, length long, ids_crc32 long"
-    pieces = cut(docs.select("doc_id", "text").mapInPandas(_pieces(tokenizer_path, capacity, end_id), columns))
+    pieces = cut(gentle(docs).select("doc_id", "text").mapInPandas(_pieces(tokenizer_path, capacity, end_id), columns))
     salted = pieces.withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(SALTS)).cast("int"))
     counts = salted.groupBy("length", "salt").count()  # at most capacity * SALTS rows
     before = Window.partitionBy("length").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)
