@@ -22,15 +22,17 @@ import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import as_bytes, cut, mix, shingles, tokenize
+from .common import as_bytes, cut, gentle, mix, shingles, tokenize
 from .components import components
 
 #: Counters of the frequency table, and slices it travels in. Fixed, so that the table may be broadcast (4 MB).
 COUNTERS, SLICES = 1 << 22, 64
 #: Up to so many ids (8 bytes each) are broadcast to pick documents; more are joined by a shuffle.
 BROADCAST_IDS = 500_000
-#: Rounds that link to pivots before the comparison across components, and pivots that a document tries in each.
-PIVOT_ROUNDS, PIVOTS = 3, 8
+#: Rounds that link to pivots before the comparison across components, and the most pivots that a document tries in the
+#: first, the second and each later one. More rounds follow, up to MOST_ROUNDS, while lists could give more than CROWD
+#: pairs for each entry. What the rounds leave is compared in full, so these decide the work and not the result.
+PIVOT_ROUNDS, MOST_ROUNDS, PIVOTS, CROWD = 2, 3, (2, 8, 32), 40
 
 
 def _sets(texts, width: int):
@@ -55,10 +57,16 @@ def _signature(s: np.ndarray) -> tuple[int, int]:
 
 
 def _ranges(s: np.ndarray) -> bytes:
-    """How many hashes fall into each of 2**k equal ranges, about six in each."""
-    k = max(len(s) // 6, 1).bit_length() - 1
+    """How many hashes fall into each of 2**k equal ranges, one or two in each: the counts' width in bytes, then the counts."""
+    k = max(len(s), 1).bit_length() - 1
     where = (s >> np.uint64(64 - k)).astype(np.int64) if k else np.zeros(len(s), np.int64)
-    return np.bincount(where, minlength=1 << k).astype(np.uint32).tobytes()
+    counts = np.bincount(where, minlength=1 << k)
+    width = 1 if not len(counts) or counts.max() < 256 else 4
+    return bytes([width]) + counts.astype(f"u{width}").tobytes()
+
+
+def _counts(data: bytes) -> np.ndarray:
+    return np.frombuffer(data, dtype=f"u{data[0]}", offset=1)
 
 
 def _profile(width: int):
@@ -123,9 +131,9 @@ def _suffix_filter(batches):
     for pdf in batches:
         ok = np.zeros(len(pdf), dtype=bool)
         for i, (x, y) in enumerate(zip(pdf.data_a, pdf.data_b)):
-            x, y = np.frombuffer(x, np.uint32), np.frombuffer(y, np.uint32)
+            x, y = _counts(x), _counts(y)
             parts = min(len(x), len(y))
-            x, y = x.reshape(parts, -1).sum(axis=1), y.reshape(parts, -1).sum(axis=1)
+            x, y = (z.reshape(parts, -1).sum(axis=1, dtype=np.int64) for z in (x, y))
             ok[i] = 180 * int(np.minimum(x, y).sum()) >= 80 * int(x.sum() + y.sum())
         yield pdf.loc[ok, ["a", "b"]]
 
@@ -152,7 +160,7 @@ def _both(pairs: DataFrame, side: DataFrame, value: str) -> DataFrame:
 def near_classes(docs: DataFrame, width: int = 5) -> DataFrame:
     """(doc_id, n_shingles, component_id) of every row: documents link at a Jaccard similarity of 0.8 or more."""
     spark = docs.sparkSession
-    docs = docs.select("doc_id", "text")
+    docs = gentle(docs).select("doc_id", "text")
     profile = cut(docs.mapInPandas(_profile(width), "doc_id long, n int, s1 long, s2 long, slice int, data binary"))
     parts = profile.where("slice >= 0").select("slice", "data").groupBy("slice").applyInPandas(_add_slices, "slice int, data binary").collect()
     ranks = np.zeros(COUNTERS, dtype=np.uint8)
@@ -195,15 +203,21 @@ def near_classes(docs: DataFrame, width: int = 5) -> DataFrame:
     label = heads.select(F.col("doc_id").alias("id"), F.col("doc_id").alias("component")).limit(0)
     tried = label.select(F.col("id").alias("a"), F.col("id").alias("b"))
     entries = entries.withColumn("component", F.col("doc_id"))
-    for k in range(PIVOT_ROUNDS):
-        # A list's pivot is its smallest set at first, then any member, another in each list; a document tries the pivots it shares most lists with.
-        order = F.struct("n", "doc_id", "pos", "component") if not k else F.struct(F.xxhash64(F.lit(k), "gram", "doc_id"), "n", "doc_id", "pos", "component")
-        pivots = entries.groupBy("gram").agg(F.min(order).alias("pivot"))
+    for k in range(MOST_ROUNDS):
+        if k >= PIVOT_ROUNDS:
+            # Lists where many components meet many entries need more rounds before all their pairs are worth a look.
+            crowd = entries.groupBy("gram").agg((F.count_if(F.col("component") != F.col("c1")) * F.count("*")).alias("p")).agg(F.sum("p"), F.count("*")).first()
+            if (crowd[0] or 0) <= CROWD * max(entries.count(), 1):
+                break
+        # A list's pivot is its smallest set at first, then some of its members; a document tries those it shares most lists with.
+        whole = ("n", "doc_id", "pos", "component")
+        first = F.array(F.min(F.struct(*whole))) if not k else F.array(*[F.min_by(F.struct(*whole), F.xxhash64(F.lit(4 * k + i), "gram", "doc_id")) for i in range(4)])
+        pivots = entries.groupBy("gram").agg(first.alias("p")).select("gram", F.explode(F.array_distinct("p")).alias("pivot"))
         stars = entries.join(pivots, "gram").where("component <> pivot.component").where(near("n", "pos", "pivot.n", "pivot.pos"))
         stars = stars.groupBy(F.col("pivot.doc_id").alias("p"), F.col("doc_id").alias("d")).agg(F.count("*").alias("lists"))
+        stars = stars.withColumns({"a": F.least("p", "d"), "b": F.greatest("p", "d")}).join(tried, ["a", "b"], "left_anti")
         place = F.row_number().over(Window.partitionBy("d").orderBy(F.desc("lists"), "p"))
-        stars = stars.withColumn("place", place).where(F.col("place") <= PIVOTS).select(*pair("p", "d")).distinct()
-        stars = cut(stars.join(tried, ["a", "b"], "left_anti"))
+        stars = cut(stars.withColumn("place", place).where(F.col("place") <= PIVOTS[min(k, 2)]).select("a", "b").distinct())
         tried = tried.union(stars)
         label = cut(components(label.select(F.col("id").alias("a"), F.col("component").alias("b")).union(confirmed(stars))))
         entries = mixed(entries, label)
@@ -211,13 +225,13 @@ def near_classes(docs: DataFrame, width: int = 5) -> DataFrame:
     # What is left is compared across components. An entry's index prefix is shorter than its probe prefix.
     index = "p{0} < n{0} - ceil(n{0} * 8 / 9) + 1"
     some = entries.where("component <> c1").select("gram", F.col("doc_id").alias("d1"), F.col("n").alias("n1"), F.col("pos").alias("p1"), F.col("component").alias("k1"))
-    rest = entries.select("gram", F.col("doc_id").alias("d2"), F.col("n").alias("n2"), F.col("pos").alias("p2"), F.col("component").alias("k2"))
+    rest = entries.select("gram", F.col("doc_id").alias("d2"), F.col("n").alias("n2"), F.col("pos").alias("p2"), F.col("component").alias("k2"), (F.col("component") == F.col("c1")).alias("leading"))
     short = F.expr(f"case when n1 < n2 or (n1 = n2 and d1 < d2) then {index.format(1)} else {index.format(2)} end")
-    pairs = some.join(rest, "gram").where("k1 <> k2").where(near("n1", "p1", "n2", "p2")).where(short)
+    pairs = some.join(rest, "gram").where("k1 <> k2 and (leading or d1 < d2)").where(near("n1", "p1", "n2", "p2")).where(short)
     pairs = cut(pairs.select(*pair("d1", "d2")).distinct().join(tried, ["a", "b"], "left_anti"))
     more = confirmed(pairs)
     final = components(label.select(F.col("id").alias("a"), F.col("component").alias("b")).union(more))
 
     out = reps.join(final.select(F.col("id").alias("rep"), "component"), "rep", "left")
-    own = F.when(F.col("rep").isNull(), F.col("doc_id")).otherwise(F.coalesce("component", "rep"))
+    own = F.when(F.col("rep").isNull() | F.col("doc_id").isNull(), F.col("doc_id")).otherwise(F.coalesce("component", "rep"))
     return out.select("doc_id", F.col("n").cast("long").alias("n_shingles"), own.alias("component_id"))
