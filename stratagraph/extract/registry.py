@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..graph import Graph
-from ..runtime import cut
+from ..runtime import cut, importable
 from ..schema import EDGE, ERROR, NODE
 from . import kotlin, models, tests, web
 from .code import Out, Source
@@ -103,6 +103,7 @@ def extract(files: DataFrame, meta: dict, registry: Registry | None = None) -> t
 
     facts: path, kind (import, directive, scope, loop), name, value, line; what later joins need from the sources."""
     registry = registry or Registry()
+    importable(files.sparkSession)
 
     def run(batches):
         for pdf in batches:

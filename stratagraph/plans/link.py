@@ -10,7 +10,7 @@ from ..operators.dedup import keep_first, merge_coverage
 from ..operators.joins import component_uses, kotlin_links, literal_links, page_components, repaired_sources
 from ..operators.lookup import ranked_first, route_of
 from ..operators.traverse import reach
-from ..runtime import cut
+from ..runtime import cut, importable
 from ..schema import EDGE, NODE
 
 _ROUTES = ("api_route", "trpc_procedure", "tsrpc_service", "tsrpc_api", "tsrpc_msg", "express_route", "kotlin_route")
@@ -126,6 +126,7 @@ def link_queries(graph: Graph, facts: DataFrame) -> Graph:
 
 def import_edges(facts: DataFrame) -> DataFrame:
     """(file, imported, specifier, line): relative imports against the seven paths they may mean."""
+    importable(facts.sparkSession)
     rel = facts.where("kind = 'import' and source like '.%'").select(F.col("path").alias("file"), F.col("source").alias("specifier"), "line").distinct()
 
     @F.pandas_udf("array<string>")

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import os
+from pathlib import Path
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,6 +12,14 @@ from pyspark.sql import functions as F
 DRIVER_EDGES = 200_000
 
 
+def importable(spark: SparkSession) -> None:
+    """Lets Python workers import this package from where the driver has it. Does nothing on a cluster that ships or
+    installs it; there the path simply isn't found."""
+    home, env = str(Path(__file__).resolve().parents[1]), spark.sparkContext.environment
+    if home not in env.get("PYTHONPATH", "").split(os.pathsep):
+        env["PYTHONPATH"] = os.pathsep.join(filter(None, (home, env.get("PYTHONPATH", ""))))
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Compute once and cut the lineage, in the folder of spark.checkpoint.dir (one of our own only where none is set)."""
     sc = df.sparkSession.sparkContext
