@@ -12,6 +12,7 @@ from .graph import Graph
 from .operators import coverage, dedup, detect, joins, lookup, match, stats, traverse
 from .runtime import load
 from .sources import derived
+from .streaming import watch
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -591,6 +592,137 @@ def page_links(spark, sf):
     return load(spark, sf, "pages").select("page_id", links.alias("link"))
 
 
+# More lookups, joins and functions
+
+
+@query("SELECT id FROM nodes WHERE file_path = 'backend/src/part/r3.ts' ORDER BY o1, o2 LIMIT 1")
+def find_by_file(spark, sf):
+    return lookup.find_by_file(_graph(spark, sf), "backend/src/part/r3.ts").select("id")
+
+
+@query("SELECT id FROM nodes WHERE name = 'NATION_7' ORDER BY o1, o2 LIMIT 1")
+def find_by_name(spark, sf):
+    return lookup.find_by_name(_graph(spark, sf), "NATION_7").select("id")
+
+
+@query("SELECT source, target, type FROM edges WHERE source = 'service:nation:NATION_3' OR target = 'service:nation:NATION_3'")
+def edges_of_node(spark, sf):
+    return lookup.edges_of(_graph(spark, sf), "service:nation:NATION_3").select("source", "target", "type")
+
+
+@query("SELECT a.id AS source, b.id AS target FROM nodes a JOIN nodes b ON a.type = 'page' AND b.type = 'component' AND json_extract_string(b.metadata, '$.isPage') = 'true' AND 'shop/orders/c' || split_part(split_part(a.file_path, '/p', 2), '.', 1) || '.tsx' = b.file_path")
+def page_components(spark, sf):
+    g = _graph(spark, sf)
+    pages = g.nodes.where("type = 'page'").withColumn("file_path", F.regexp_replace("file_path", "^shop/customer/p", "shop/orders/c"))
+    return joins.page_components(Graph(pages.unionByName(g.nodes.where("type <> 'page'")), g.edges))
+
+
+@query("""WITH uses AS (SELECT s_suppkey AS source, 'shop/orders/c' || CAST(s_suppkey % 50 AS STRING) || '.tsx' AS at, CAST(s_suppkey * 7 AS STRING) AS tag FROM supplier)
+SELECT source, id AS target, tag FROM (SELECT u.source, n.id, u.tag, row_number() OVER (PARTITION BY u.source, u.tag ORDER BY (n.file_path = u.at), n.o1, n.o2) AS k FROM uses u JOIN nodes n ON n.name = u.tag AND n.type = 'component') WHERE k = 1""")
+def component_uses(spark, sf):
+    uses = load(spark, sf, "supplier").select(F.col("s_suppkey").alias("source"), F.concat(F.lit("shop/orders/c"), (F.col("s_suppkey") % 50).cast("string"), F.lit(".tsx")).alias("file_path"), (F.col("s_suppkey") * 7).cast("string").alias("tag"))
+    return joins.component_uses(uses, _graph(spark, sf))
+
+
+@query("SELECT source, target, type FROM edges WHERE (source = 'service:nation:NATION_3' AND target LIKE 'db_model:%' AND target = (SELECT 'db_model:region:' || r_name FROM nation JOIN region ON n_regionkey = r_regionkey WHERE n_name = 'NATION_3'))")
+def edges_between(spark, sf):
+    nation, region = load(spark, sf, "nation"), load(spark, sf, "region")
+    name = nation.where("n_name = 'NATION_3'").join(region, nation.n_regionkey == region.r_regionkey).select("r_name").first()[0]
+    return joins.between(_graph(spark, sf), f"db_model:region:{name}", "service:nation:NATION_3").select("source", "target", "type")
+
+
+@query("""SELECT id AS path, 'root/' || split_part(id, '/', 2) || '/layout.tsx' AS layout FROM (SELECT 'root/' || p_brand || '/' || p_type || '/' || CAST(p_partkey AS STRING) || '/page.tsx' AS id FROM part) WHERE split_part(id, '/', 2) < 'Brand#3'
+UNION ALL SELECT id, 'root/layout.tsx' FROM (SELECT 'root/' || p_brand || '/' || p_type || '/' || CAST(p_partkey AS STRING) || '/page.tsx' AS id FROM part) WHERE split_part(id, '/', 2) >= 'Brand#3'""", graph=False)
+def nearest_layout(spark, sf):
+    part = load(spark, sf, "part")
+    files = part.select(F.concat_ws("/", F.lit("root"), "p_brand", "p_type", F.col("p_partkey").cast("string"), F.lit("page.tsx")).alias("path"))
+    own = part.where("p_brand < 'Brand#3'").select(F.concat_ws("/", F.lit("root"), "p_brand", F.lit("layout.tsx")).alias("path")).distinct()
+    return traverse.nearest_layout(files, own.union(spark.sql("SELECT 'root/layout.tsx'")))
+
+
+@query("SELECT c_custkey, '/' || lower(c_mktsegment) || '/[id]' AS app, '/' || lower(c_mktsegment) AS pages FROM customer", graph=False)
+def file_routes(spark, sf):
+    segment = F.lower("c_mktsegment")
+    app = F.concat(F.lit("src/app/(shop)/"), segment, F.lit("/[id]/page.tsx"))
+    pages = F.concat(F.lit("pages/"), segment, F.lit("/index.tsx"))
+    rows = load(spark, sf, "customer").select("c_custkey", app.alias("a"), pages.alias("p"))
+    return rows.select("c_custkey", C.app_route("a").alias("app"), C.pages_route("p").alias("pages"))
+
+
+@query("SELECT p_partkey, replace(p_brand, 'Brand#', 'Brand') || upper(left(p_type, 1)) || substr(split_part(p_type, ' ', 1), 2) AS pascal, '/' || p_brand || '/' || CAST(p_size AS STRING) AS route FROM part", graph=False)
+def scalar_names(spark, sf):
+    part = load(spark, sf, "part").withColumn("word", F.split_part("p_type", F.lit(" "), F.lit(1)))
+    return part.select("p_partkey", C.pascal_case(F.concat_ws("-", "p_brand", "word")).alias("pascal"), C.join_route(F.concat("p_brand", F.lit("/")), F.concat(F.lit("//"), F.col("p_size").cast("string"), F.lit("/"))).alias("route"))
+
+
+@query("SELECT page_id, regexp_matches(url, '^https?://[^/]+/(en|fr)/') AS public, regexp_matches(html, '(?i)\\b(auth|verify|checkAuth)\\s*\\(') AS guarded FROM pages", graph=False)
+def route_predicates(spark, sf):
+    pages = load(spark, sf, "pages")
+    as_api = F.regexp_replace("url", "^https?://[^/]+/(?:en|fr)/", "/api/public/")
+    return pages.select("page_id", C.is_public_route(as_api).alias("public"), C.has_auth("html").alias("guarded"))
+
+
+@query("SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'client' WHEN doc_id % 3 = 1 THEN 'server' END AS directive FROM documents", graph=False)
+def file_directives(spark, sf):
+    head = F.when(F.expr("doc_id % 3 = 0"), F.lit("  \n'use client'\n")).when(F.expr("doc_id % 3 = 1"), F.lit('"use server";')).otherwise(F.lit("// 'use client'\n"))
+    return load(spark, sf, "documents").select("doc_id", C.directive(F.concat(head, "text")).alias("directive"))
+
+
+@query("SELECT CASE WHEN conv_id % 4 = 0 THEN 'failed' WHEN conv_id % 4 = 1 THEN 'skipped' ELSE 'passed' END AS status, turn FROM conversations", graph=False)
+def result_rows(spark, sf):
+    status = F.when(F.expr("conv_id % 4 = 0"), "failed").when(F.expr("conv_id % 4 = 1"), "skipped").otherwise("passed")
+    return load(spark, sf, "conversations").select(status.alias("status"), "turn")
+
+
+@query("""SELECT count(*) AS total, count(*) FILTER (conv_id % 4 > 1) AS passed, count(*) FILTER (conv_id % 4 = 0) AS failed, count(*) FILTER (conv_id % 4 = 1) AS skipped, CAST(sum(turn) AS DOUBLE) AS duration_ms FROM conversations""", graph=False)
+def import_totals(spark, sf):
+    return stats.import_totals(result_rows(spark, sf).withColumn("duration_ms", F.col("turn").cast("double")))
+
+
+@query(f"WITH {_SPARSE}, issues AS ({_ISSUES}) SELECT severity, 'consistency' AS source, count(*) AS n FROM issues GROUP BY severity UNION ALL SELECT 'error', 'parser', count(*) FROM region")
+def findings_by_source(spark, sf):
+    errors = load(spark, sf, "region").select(F.col("r_name").alias("file"), F.lit("unreadable").alias("message"), F.lit("error").alias("severity"), F.lit("x").alias("parser"), F.lit(None).cast("string").alias("code"))
+    return detect.findings_by(detect.findings(errors, _some_issues(spark, sf)))
+
+
+@query(f"WITH {_SPARSE}, issues AS ({_ISSUES}) SELECT type, count(*) AS n FROM issues GROUP BY type")
+def issues_deduplicated(spark, sf):
+    twice = _some_issues(spark, sf)
+    return detect.dedup_issues(twice.unionByName(twice)).groupBy("type").agg(F.count("*").alias("n"))
+
+
+@query("SELECT o_orderkey AS id FROM orders WHERE o_orderstatus = 'P'", graph=False)
+def new_nodes(spark, sf):
+    orders = load(spark, sf, "orders").select(F.col("o_orderkey").alias("id"), "o_orderstatus")
+    return dedup.new_nodes(orders.where("o_orderstatus <> 'P'"), orders).select("id")
+
+
+@query("SELECT date_trunc('hour', ts) AS start, event_type, count(*) AS n FROM events GROUP BY 1, 2", graph=False)
+def event_windows(spark, sf):
+    counts = watch.event_counts(load(spark, sf, "events"), "1 hour")
+    return counts.select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "n")
+
+
+@query("""WITH t AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL 6 HOUR THEN 0 ELSE 1 END AS new FROM events),
+s AS (SELECT user_id, ts, sum(new) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM t)
+SELECT user_id, min(ts) AS start, count(*) AS n FROM s GROUP BY user_id, k""", graph=False)
+def event_sessions(spark, sf):
+    return watch.user_sessions(load(spark, sf, "events"), "6 hours").select("user_id", F.col("start").cast("timestamp_ntz").alias("start"), "n")
+
+
+@query("SELECT user_id, date_trunc('day', ts) AS start, count(*) AS n, count(*) <= 1 AS allowed FROM events GROUP BY 1, 2", graph=False)
+def request_limits(spark, sf):
+    return watch.request_limits(load(spark, sf, "events"), 1, "1 day").withColumn("start", F.col("start").cast("timestamp_ntz"))
+
+
+@query("SELECT count(*) AS n FROM nation", graph=False)
+def table_digest(spark, sf):
+    """The digest doesn't change with the partitions; the count is what another engine can tell."""
+    nation = load(spark, sf, "nation")
+    both = [stats.table_digest(df, ["n_nationkey", "n_name"]) for df in (nation, nation.repartition(7))]
+    return both[0].intersect(both[1]).select("n")
+
+
 def queries() -> dict[str, Query]:
     return dict(_QUERIES)
 
