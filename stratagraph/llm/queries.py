@@ -75,7 +75,15 @@ def queries() -> dict:
     return {k: f for k, f in globals().items() if k.startswith("op") and callable(f)}
 
 
+_WARC = """
+SELECT page_id, strlen(h) AS payload_bytes, sha256(h) AS payload_digest, CASE WHEN again THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN again THEN first END AS refers_to
+FROM (SELECT page_id, h, first, strlen(h) >= 100 AND page_id <> first AS again
+      FROM (SELECT page_id, coalesce(html, '') AS h, min(page_id) OVER (PARTITION BY coalesce(html, '')) AS first FROM pages))
+"""
+
+
 def oracle_sql() -> dict[str, str]:
+    """For the queries that SQL can express; tests/llm holds the others against brute force."""
     from .tool_calls import ORACLE
 
-    return {"op7_tool_calls": ORACLE}
+    return {"op2_warc": _WARC, "op7_tool_calls": ORACLE}
