@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import atexit
 import uuid
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 
+from ..runtime import importable
+
 #: White space of the contracts: space and 0x09-0x0D.
 SPACE = np.zeros(256, dtype=bool)
 SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
@@ -35,9 +38,24 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+_written: list[tuple] = []
+
+
+@atexit.register
+def _remove_written() -> None:
+    """Removes the tables of `keep` when the driver ends; a driver that is killed leaves them to the folder's own retention."""
+    for gateway, path in _written:
+        try:
+            at = gateway.jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(gateway.jvm.org.apache.hadoop.conf.Configuration()).delete(at, True)
+        except Exception:  # the JVM has gone first
+            return
+
+
 def keep(df: DataFrame) -> DataFrame:
     """As `cut`, as a compressed table in the checkpoint folder; for many rows."""
     path = f"{checkpoint_dir(df.sparkSession)}/tables/{uuid.uuid4().hex}"
+    _written.append((df.sparkSession.sparkContext._gateway, path))
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
@@ -48,6 +66,7 @@ BATCH_ROWS = 1000
 
 def gentle(df: DataFrame) -> DataFrame:
     """The frame, with the session's Arrow batches held small enough for long texts."""
+    importable(df.sparkSession)
     conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
     if not 0 < int(conf.get(key)) <= BATCH_ROWS:
         conf.set(key, BATCH_ROWS)

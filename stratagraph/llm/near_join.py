@@ -223,11 +223,16 @@ def near_classes(docs: DataFrame, width: int = 5) -> DataFrame:
         entries = mixed(entries, label)
 
     # What is left is compared across components. An entry's index prefix is shorter than its probe prefix.
+    # A pair is made at the first list that it shares, as far as a document's first three lists tell.
+    ahead = entries.where("pos < 8").groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("pos", "gram"))).alias("_l"))
+    ahead = ahead.select("doc_id", F.transform(F.slice("_l", 1, 3), lambda x: x["gram"]).alias("ahead"))
+    entries = entries.join(ahead, "doc_id", "left")
     index = "p{0} < n{0} - ceil(n{0} * 8 / 9) + 1"
-    some = entries.where("component <> c1").select("gram", F.col("doc_id").alias("d1"), F.col("n").alias("n1"), F.col("pos").alias("p1"), F.col("component").alias("k1"))
-    rest = entries.select("gram", F.col("doc_id").alias("d2"), F.col("n").alias("n2"), F.col("pos").alias("p2"), F.col("component").alias("k2"), (F.col("component") == F.col("c1")).alias("leading"))
+    some = entries.where("component <> c1").select("gram", F.col("doc_id").alias("d1"), F.col("n").alias("n1"), F.col("pos").alias("p1"), F.col("component").alias("k1"), F.col("ahead").alias("a1"))
+    rest = entries.select("gram", F.col("doc_id").alias("d2"), F.col("n").alias("n2"), F.col("pos").alias("p2"), F.col("component").alias("k2"), F.col("ahead").alias("a2"), (F.col("component") == F.col("c1")).alias("leading"))
     short = F.expr(f"case when n1 < n2 or (n1 = n2 and d1 < d2) then {index.format(1)} else {index.format(2)} end")
     pairs = some.join(rest, "gram").where("k1 <> k2 and (leading or d1 < d2)").where(near("n1", "p1", "n2", "p2")).where(short)
+    pairs = pairs.where(F.coalesce(F.get(F.array_intersect("a1", "a2"), F.lit(0)) == F.col("gram"), F.lit(True)))
     pairs = cut(pairs.select(*pair("d1", "d2")).distinct().join(tried, ["a", "b"], "left_anti"))
     more = confirmed(pairs)
     final = components(label.select(F.col("id").alias("a"), F.col("component").alias("b")).union(more))

@@ -178,9 +178,29 @@ def longest_previous(order: np.ndarray, lcp: np.ndarray) -> np.ndarray:
     return lpf
 
 
+def _with_matches(segs: list[bytes], length: int) -> np.ndarray:
+    """Which segments hold a window whose hash another window has too; the others need no place in the suffix array."""
+    sizes = np.array([len(s) for s in segs], dtype=np.int64)
+    window = _hashes(np.frombuffer(b"".join(segs), dtype=np.uint8), length)[1]
+    n = sizes - length + 1
+    seg = np.repeat(np.arange(len(segs)), n)
+    at = np.repeat(np.cumsum(sizes) - sizes - np.cumsum(n) + n, n) + np.arange(n.sum())
+    h = window[at]
+    order = np.argsort(h)
+    same = h[order[1:]] == h[order[:-1]]
+    out = np.zeros(len(segs), dtype=bool)
+    out[seg[order[1:][same]]] = True
+    out[seg[order[:-1][same]]] = True
+    return out
+
+
 def _later(group: list[tuple[np.ndarray, np.ndarray, list[bytes]]], length: int) -> pd.DataFrame:
     """Windows of the gathered segments that also start earlier, as runs (doc_id, start, end)."""
     docs, pos, segs = (np.concatenate([g[0] for g in group]), np.concatenate([g[1] for g in group]), [s for g in group for s in g[2]])
+    use = np.flatnonzero(_with_matches(segs, length))
+    if not len(use):
+        return pd.DataFrame({k: np.zeros(0, np.int64) for k in ("doc_id", "start", "end")})
+    docs, pos, segs = docs[use], pos[use], [segs[i] for i in use]
     sizes = np.array([len(s) for s in segs], dtype=np.int64)
     first = np.cumsum(sizes) - sizes
     arr = np.frombuffer(b"".join(segs), dtype=np.uint8)
