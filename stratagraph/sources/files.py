@@ -8,7 +8,7 @@ import re
 from dataclasses import dataclass, field
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 EXTENSIONS = (".ts", ".tsx", ".js", ".jsx", ".prisma", ".kt")
@@ -72,9 +72,8 @@ def scan_tree(spark: SparkSession, root: str) -> DataFrame:
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
     wanted = F.col("path").rlike("(?:" + "|".join(re.escape(e) for e in EXTENSIONS) + r")\z") & ~F.col("path").rlike("/(?:" + "|".join(re.escape(i) for i in IGNORED) + ")/")
     rows = files.where(wanted).select("path", F.decode("content", "UTF-8").alias("text"))
-    # Paths are ranked by bucket counts rather than in one task's sort.
-    order = F.row_number().over(Window.partitionBy(F.substring("path", 1, 1)).orderBy("path"))
-    return rows.withColumn("ord", order.cast("long"))
+    # A range-partitioned sort: ids grow from partition to partition, so they follow the paths without one task seeing all.
+    return rows.orderBy("path").withColumn("ord", F.monotonically_increasing_id())
 
 
 @dataclass
