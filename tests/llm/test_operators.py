@@ -469,3 +469,8 @@ def test_near_join_edges(spark, nothing):
     rows = spark.createDataFrame([(None, "a b c d e f"), (3, "a b c d e f"), (3, "a b c d e f"), (1, None), (2, "")], "doc_id long, text string")
     got = sorted((r.doc_id or -1, r.n_shingles, r.component_id) for r in near_join.near_classes(rows).collect())
     assert got == [(-1, 2, None), (1, 0, 1), (2, 0, 2), (3, 2, 3), (3, 2, 3)]
+
+
+def test_components_by_rounds(spark):
+    links = spark.createDataFrame([(i, i + 1) for i in range(30)] + [(100, 101), (101, 99), (7, 7)], "a long, b long")
+    assert sorted(map(tuple, components(links, one_task=0).collect())) == sorted(map(tuple, components(links).collect()))
