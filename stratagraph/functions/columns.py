@@ -160,8 +160,8 @@ def is_public_route(route: Name) -> Column:
 
 
 def duration_ms(seconds: Name) -> Column:
-    """Milliseconds, not below 0; 0 for what is no number."""
-    x = F.expr(f"try_cast({seconds} as double)") if isinstance(seconds, str) else F.try_to_number(_col(seconds), F.lit("999999999.999999999")).cast("double")
+    """Milliseconds of a text or number of seconds, not below 0; 0 for what is no number."""
+    x = _col(seconds).try_cast("double")
     return F.greatest(F.lit(0.0), F.coalesce(F.nanvl(x, F.lit(0.0)), F.lit(0.0)) * 1000)
 
 

@@ -179,9 +179,6 @@ def same_file_link(spark, sf):
     return joins.same_file_links(_graph(spark, sf), "handler", "handler")
 
 
-_PART_NAMES = "SELECT DISTINCT p_brand AS name FROM part"
-
-
 @query("""SELECT s_suppkey AS want, min(c_name) AS target FROM supplier JOIN customer ON round(s_acctbal) = round(c_acctbal) GROUP BY s_suppkey HAVING count(DISTINCT c_name) = 1""", graph=False)
 def unique_candidate_link(spark, sf):
     wanted = load(spark, sf, "supplier").select(F.col("s_suppkey").alias("want"), F.round("s_acctbal").alias("k"))
