@@ -32,7 +32,7 @@ BROADCAST_IDS = 500_000
 #: Rounds that link to pivots before the comparison across components, and the most pivots that a document tries in the
 #: first, the second and each later one. More rounds follow, up to MOST_ROUNDS, while lists could give more than CROWD
 #: pairs for each entry. What the rounds leave is compared in full, so these decide the work and not the result.
-PIVOT_ROUNDS, MOST_ROUNDS, PIVOTS, CROWD = 2, 3, (2, 8, 32), 40
+PIVOT_ROUNDS, MOST_ROUNDS, PIVOTS, CROWD = 2, 5, (2, 8, 32), 40
 
 
 def _sets(texts, width: int):
@@ -223,9 +223,9 @@ def near_classes(docs: DataFrame, width: int = 5) -> DataFrame:
         entries = mixed(entries, label)
 
     # What is left is compared across components. An entry's index prefix is shorter than its probe prefix.
-    # A pair is made at the first list that it shares, as far as a document's first three lists tell.
-    ahead = entries.where("pos < 8").groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("pos", "gram"))).alias("_l"))
-    ahead = ahead.select("doc_id", F.transform(F.slice("_l", 1, 3), lambda x: x["gram"]).alias("ahead"))
+    # A pair is made at the first list that it shares, as far as a document's first six lists tell.
+    ahead = entries.where("pos < 12").groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("pos", "gram"))).alias("_l"))
+    ahead = ahead.select("doc_id", F.transform(F.slice("_l", 1, 6), lambda x: x["gram"]).alias("ahead"))
     entries = entries.join(ahead, "doc_id", "left")
     index = "p{0} < n{0} - ceil(n{0} * 8 / 9) + 1"
     some = entries.where("component <> c1").select("gram", F.col("doc_id").alias("d1"), F.col("n").alias("n1"), F.col("pos").alias("p1"), F.col("component").alias("k1"), F.col("ahead").alias("a1"))
