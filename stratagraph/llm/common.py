@@ -64,9 +64,15 @@ def keep(df: DataFrame) -> DataFrame:
 BATCH_ROWS = 1000
 
 
+#: Python workers give freed memory back rather than keep it in pools of their own.
+WORKER_ENV = {"ARROW_DEFAULT_MEMORY_POOL": "system", "MALLOC_ARENA_MAX": "2", "MALLOC_TRIM_THRESHOLD_": "33554432", "MALLOC_MMAP_THRESHOLD_": "8388608"}
+
+
 def gentle(df: DataFrame) -> DataFrame:
-    """The frame, with the session's Arrow batches held small enough for long texts."""
+    """The frame, with the session's Arrow batches held small enough for long texts, and workers that give memory back."""
     importable(df.sparkSession)
+    for name, value in WORKER_ENV.items():
+        df.sparkSession.sparkContext.environment.setdefault(name, value)
     conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
     if not 0 < int(conf.get(key)) <= BATCH_ROWS:
         conf.set(key, BATCH_ROWS)
