@@ -1,8 +1,9 @@
 """Main text of web pages by host consensus.
 
 A first pass scores the containers of each page: a block's text, less what lies in links, counts in full for its nearest
-container and by half for each one further out. A page votes for its best container's path of tags and classes, with
-numbers generalised. Spark counts votes by host, and a second pass extracts from the containers on the host's winning
+container and by half for each one further out. From the best one it climbs to the outermost article or main, else to the
+last container, short of body, whose text is mostly the best one's, so that a title or lede beside it stays. A page votes
+for that container's path of tags and classes, with numbers generalised. Spark counts votes by host, and a second pass extracts from the containers on the host's winning
 path; a page that has none uses its own best container. Only (host, path) counts are shuffled for the vote.
 
 Inside the container, elements that are never main text are left out: by tag (menus, headers, footers, sidebars, forms,
@@ -153,7 +154,7 @@ class Page:
                 return
 
     def best(self) -> tuple[int, float] | None:
-        """The container with the highest score."""
+        """The container to take: from the one with the highest score up to all of its article. With its text's length."""
         score: dict[int, float] = {}
         for node, text, links in self.blocks:
             value = max(len(text) - 2 * links, 0)
@@ -165,7 +166,22 @@ class Page:
         if not score:
             return None
         node = min(score, key=lambda n: (-score[n], n))
-        return node, score[node]
+        whole = [0] * len(self.nodes)
+        for n, text, links in self.blocks:
+            whole[n] += max(len(text) - 2 * links, 0)
+        for n in range(len(whole) - 1, 0, -1):
+            whole[self.nodes[n][0]] += whole[n]
+        main = outer = at = node
+        named = False
+        while at > 0:
+            tag = self.nodes[at][2]
+            if tag in ("article", "main"):
+                main, named = at, True
+            elif tag in CONTAINER and tag != "body" and 2 * whole[node] > whole[at]:
+                outer = at
+            at = self.nodes[at][0]
+        top = main if named else outer
+        return top, float(whole[top])
 
     def within(self, chosen: set[int]) -> str:
         """Text of the blocks that lie in one of the nodes."""

@@ -287,6 +287,16 @@ def test_html_consensus(spark):
     assert got[9] == "short text"
 
 
+def test_html_takes_the_whole_article(spark):
+    """Title and lede beside the longest div, and the smaller of two sections, belong to the text."""
+    long = "long text " * 30
+    rows = [(1, "http://a/", f"<body><article><h1>T</h1><p>lede</p><div class='body'>{long}</div></article></body>")]
+    rows += [(2, "http://b/", f"<body><div class='page'><div class='one'>{'x' * 60}</div><div class='two'>{'y' * 40}</div></div></body>")]
+    rows += [(3, "http://c/", f"<body><main><h1>T</h1><div class='body'><p>{long}</p></div></main><div class='extra'>other</div></body>")]
+    got = {r.page_id: r.text for r in html_text.main_texts(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {1: f"T\nlede\n{long.strip()}", 2: f"{'x' * 60}\n{'y' * 40}", 3: f"T\n{long.strip()}"}
+
+
 # 6
 
 
