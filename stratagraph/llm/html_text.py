@@ -7,7 +7,9 @@ for that container's path of tags and classes, with numbers generalised. Spark c
 path; a page that has none uses its own best container. Only (host, path) counts are shuffled for the vote.
 
 Inside the container, elements that are never main text are left out: by tag (menus, headers, footers, sidebars, forms,
-scripts, styles) and by words in class, id or role (adverts, notices, comments and so on).
+scripts, styles) and by words at the start or end of a class, id or role (adverts, notices, comments and so on; not
+with-sidebar, no-sidebar, ad-free). An element marked by a word stays if it holds an article, main or most of the page's
+unlinked text, unless another article or main with text stands beside it: threads and teasers are made of articles too.
 
 Edge cases: null and empty pages have an empty text; unclosed and stray tags, unclosed comments and very deep nesting are
 accepted; a null URL belongs to the host ""; repeated rows are extracted each; ties between paths go to the one with more
@@ -18,6 +20,7 @@ from __future__ import annotations
 
 import html as entities
 import re
+from bisect import bisect_left, bisect_right
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -42,35 +45,45 @@ CONTAINER = frozenset("article aside blockquote body center dd details dialog di
 #: Opening one of these ends an open element of the named kinds.
 ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}}
 
-# Elements that are never main text: by tag, and by words in class, id or role.
+# Elements that are never main text: by tag, and by words that start or end a class, id or role.
 DROPPED = frozenset("nav header footer aside form head menu button dialog".split()) | RAW
 DROPPED_WORDS = frozenset(
     "ad ads advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments consent contentinfo cookie cookies disqus "
     "footer gdpr header masthead menu modal nav navbar navigation newsletter notice notices notification pagination popup promo promoted promotion "
     "related reply replies search share sharing sidebar signup social sponsor sponsored subscribe toolbar widget".split()
 )
+#: With one of these before it, or "free" at the end, a word says how a page is laid out.
+MODIFIERS = frozenset("with without no has".split())
+
+
+def _marked(token: str) -> bool:
+    words = _WORDS.findall(token)
+    if not words or words[-1] == "free":
+        return False
+    return words[0] in DROPPED_WORDS or (words[-1] in DROPPED_WORDS and words[-2] not in MODIFIERS)
 
 
 def _describe(tag: str, attributes: str) -> tuple[str, bool]:
-    """Generalised label of an element, and whether it is never main text."""
-    label, drop = tag, tag in DROPPED
+    """Generalised label of an element, and whether words mark it as no main text."""
+    label, drop = tag, False
     if attributes:
         for name, *values in _ATTRIBUTE.findall(attributes):
             value = next((v for v in values if v), "").lower()
             if name.lower() == "class":
                 label += "".join("." + c for c in sorted({_NUMBER.sub("#", c) for c in value.split()}))
             if tag not in ("html", "body", "article", "main") and not DROPPED_WORDS.isdisjoint(_WORDS.findall(value)):
-                drop = True
+                drop = drop or any(map(_marked, value.split()))
     return label, drop
 
 
 class Page:
-    """nodes: (parent, path, tag, dropped); blocks: (node, text, characters in links)."""
+    """nodes: (parent, path, tag, dropped by tag); blocks: (node, text, characters in links)."""
 
     def __init__(self, source: str):
         self.nodes: list[tuple[int, str, str, bool]] = [(-1, "", "", False)]
         self.blocks: list[tuple[int, str, int]] = []
-        self._stack, self._text, self._links, self._in_links = [0], [], 0, 0
+        self._stack, self._text, self._in_links = [0], [], 0
+        self._marked, self._raw = [], []  # elements marked by words; blocks as (node, [(node, text, in a link)])
         at = 0
         while at < len(source):
             found = _TAG.search(source, at)
@@ -90,20 +103,62 @@ class Page:
                 at = end.end() if end else len(source)
                 self._end(tag)
         self._flush()
+        self._settle()
 
     def _add(self, text: str) -> None:
         if text and not self.nodes[self._stack[-1]][3]:
             text = entities.unescape(text) if "&" in text else text
-            self._text.append(text)
-            if self._in_links:
-                self._links += len(text.strip())
+            self._text.append((self._stack[-1], text, self._in_links > 0))
 
     def _flush(self) -> None:
         if self._text:
-            text = _GAPS.sub(" ", "".join(self._text)).strip()
+            self._raw.append((self._stack[-1], self._text))
+            self._text = []
+
+    def _settle(self) -> None:
+        """Decides which marked elements are dropped, and makes the blocks of the rest."""
+        lost = self._lost() if self._marked else ()
+        for node, pieces in self._raw:
+            if lost:
+                pieces = [p for p in pieces if not lost[p[0]]]
+            text = _GAPS.sub(" ", "".join([p[1] for p in pieces])).strip()
             if text:
-                self.blocks.append((self._stack[-1], text, self._links))
-        self._text, self._links = [], 0
+                self.blocks.append((node, text, sum([len(p[1].strip()) for p in pieces if p[2]])))
+        self._raw = []
+
+    def _lost(self) -> list[bool]:
+        """Whether a node lies in a dropped marked element. The elements with most text are settled first."""
+        count = len(self.nodes)
+        size, last = [0] * count, list(range(count))
+        for _, pieces in self._raw:
+            for n, text, linked in pieces:
+                if not linked:
+                    size[n] += len(text.strip())
+        for n in range(count - 1, 0, -1):
+            parent = self.nodes[n][0]
+            size[parent] += size[n]
+            last[parent] = max(last[parent], last[n])
+        articles = [n for n in range(count) if self.nodes[n][2] in ("article", "main") and not self.nodes[n][3] and size[n]]
+        within = lambda a, n: n <= a <= last[n]
+        over = {a: 0 for a in articles}  # marked elements around it
+        candidates = []
+        for n in self._marked:
+            held = articles[bisect_left(articles, n) : bisect_right(articles, last[n])]
+            for a in held:
+                over[a] += 1
+            if held or 2 * size[n] > size[0]:
+                candidates.append(n)
+        kept = set()
+        for n in sorted(candidates, key=lambda n: (-size[n], n)):
+            if not any(over[a] == 0 and not within(a, n) and not within(n, a) for a in articles):
+                kept.add(n)
+                for a in articles[bisect_left(articles, n) : bisect_right(articles, last[n])]:
+                    over[a] -= 1
+        dropped = set(self._marked) - kept
+        lost = [False] * count
+        for n in range(1, count):
+            lost[n] = n in dropped or lost[self.nodes[n][0]]
+        return lost
 
     def _pop(self) -> None:
         self._in_links -= self.nodes[self._stack.pop()][2] == "a"
@@ -130,10 +185,12 @@ class Page:
             self._stack.append(self._plain(parent, tag))
             return
         parent = self._stack[-1]
-        label, drop = _describe(tag, attributes)
+        label, marked = _describe(tag, attributes)
         path = f"{self.nodes[parent][1]}>{label}" if tag in CONTAINER else self.nodes[parent][1]
-        self.nodes.append((parent, path, tag, drop or self.nodes[parent][3]))
+        self.nodes.append((parent, path, tag, tag in DROPPED or self.nodes[parent][3]))
         self._stack.append(len(self.nodes) - 1)
+        if marked and not self.nodes[-1][3]:
+            self._marked.append(len(self.nodes) - 1)
         self._in_links += tag == "a"
 
     def _plain(self, parent: int, tag: str) -> int:

@@ -297,6 +297,20 @@ def test_html_takes_the_whole_article(spark):
     assert got == {1: f"T\nlede\n{long.strip()}", 2: f"{'x' * 60}\n{'y' * 40}", 3: f"T\n{long.strip()}"}
 
 
+def test_html_keeps_the_article_in_a_layout_class(spark):
+    """A class that says how a page is laid out, or that marks a wrapper of the whole article, drops nothing of it."""
+    text = "long text " * 30
+    classes = ["layout with-sidebar", "content no-sidebar", "ad-free", "post has-comments", "entry share", "sidebar-right", "page layout-with-sidebar"]
+    shapes = ["<div class='{}'><article><p>{}</p></article></div>", "<div class='{}'><p>{}</p></div>", "<main><h1>T</h1><div class='{}'><p>{}</p></div></main>"]
+    side = "<div class='ad'>Buy</div><div class='site-promo'>Offer</div><ul class='share-buttons'><li>Post it</ul>"
+    rows = [(10 * i + j, f"http://h{i}{j}/", "<body>" + side + shape.format(c, text) + "</body>") for i, c in enumerate(classes) for j, shape in enumerate(shapes)]
+    thread = f"<article><p>short</p></article><div id='comments'><article class='comment'><p>{text}</p></article></div>"
+    rows += [(100, "http://t/", f"<body><main>{thread}</main></body>"), (101, "http://u/", f"<body><div class='page sidebar'>{thread}</div></body>")]
+    got = {r.page_id: r.text for r in html_text.main_texts(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert {i: t for i, t in got.items() if i < 100} == {r[0]: ("T\n" if r[0] % 10 == 2 else "") + text.strip() for r in rows if r[0] < 100}
+    assert got[100] == "short" and got[101] == "short"
+
+
 # 6
 
 
