@@ -197,6 +197,11 @@ def _with_matches(segs: list[bytes], length: int) -> np.ndarray:
 def _later(group: list[tuple[np.ndarray, np.ndarray, list[bytes]]], length: int) -> pd.DataFrame:
     """Windows of the gathered segments that also start earlier, as runs (doc_id, start, end)."""
     docs, pos, segs = (np.concatenate([g[0] for g in group]), np.concatenate([g[1] for g in group]), [s for g in group for s in g[2]])
+    order = np.lexsort((pos, docs))
+    again = (np.diff(docs[order]) == 0) & (np.diff(pos[order]) == 0)
+    if again.any():  # rows that repeat a doc_id fetch a segment once each
+        one = order[np.concatenate(([True], ~again))]
+        docs, pos, segs = docs[one], pos[one], [segs[i] for i in one]
     use = np.flatnonzero(_with_matches(segs, length))
     if not len(use):
         return pd.DataFrame({k: np.zeros(0, np.int64) for k in ("doc_id", "start", "end")})

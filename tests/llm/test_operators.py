@@ -103,6 +103,18 @@ def test_suffix_dedup_edges(spark, docs, nothing):
     assert got == [(False, 2, 0), (False, 2, 0), (False, 5, len(long)), (False, 7, 0), (True, 0, 0)]
 
 
+@pytest.mark.parametrize("hot", [20_000, 0])
+def test_suffix_dedup_repeated_rows_that_share_a_part(spark, hot):
+    rng = random.Random(5)
+    passage, other = prose(rng, 60), prose(rng, 60)
+    texts = {2: f"{prose(rng, 30)} {passage} {prose(rng, 30)}", 5: f"{prose(rng, 20)} {passage} {prose(rng, 40)}", 8: f"{other} {prose(rng, 9)} {other}"}
+    want = suffix_dedup.brute_force({i: t.encode() for i, t in texts.items()})
+    rows = spark.createDataFrame([(i, texts[i]) for i in (2, 8, 5, 2, 8, 5, 2)], "doc_id long, text string").repartition(3)
+    got = suffix_dedup.remove_repeats(rows, hot=hot).collect()
+    assert len(got) == 7 and want[2][0] == 0 and want[5][0] >= len(passage) and want[8][0] >= len(other)
+    assert all((r.n_removed, r.n_spans, hashlib.sha256(bytes(r.kept)).hexdigest()) == want[r.doc_id] for r in got)
+
+
 def test_longest_previous_factor():
     rng = random.Random(3)
     for _ in range(30):
