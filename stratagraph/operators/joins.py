@@ -91,9 +91,9 @@ def unique_candidates(wanted: DataFrame, candidates: DataFrame, keys: list[str],
 
 
 def literal_links(texts: DataFrame, routes: DataFrame) -> DataFrame:
-    """(source, target) where a text holds a route in quotes. Quoted literals are taken out of the texts and joined by
-    equality, so no text meets every route."""
-    literal = F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit("""["'`]([^"'`\\n]+)["'`]"""), F.lit(1))))
+    """(source, target) where a text holds a route between two equal quote signs. Every run between neighbouring signs is
+    taken out of the texts, as a closing sign may also open the next, and joined by equality, so no text meets every route."""
+    literal = F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit("""(["'`])([^"'`\\n]+)(?=\\1)"""), F.lit(2))))
     found = texts.select("source", literal.alias("route"))
     return found.join(routes.select("route", "target"), "route").select("source", "target").distinct()
 

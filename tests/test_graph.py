@@ -252,3 +252,10 @@ def test_kotlin_links(spark):
     nodes = [n("r", "kotlin_route", name="get", file_path="a.kt"), n("f", "kotlin_function", name="get", file_path="a.kt"), n("c", "kotlin_class", file_path="a.kt", metadata='{"annotations":["Service"]}'), n("k", "kotlin_class", file_path="a.kt", metadata='{"annotations":["Repository"]}'), n("m", "db_model", file_path="a.kt")]
     got = sorted(map(tuple, joins.kotlin_links(of_rows(spark, nodes, [])).collect()))
     assert got == [("f", "c", "calls_service"), ("k", "m", "queries_db"), ("r", "f", "handles")]
+
+
+def test_literal_links_see_a_route_after_odd_quotes(spark):
+    lines = ["fetch('', '/api/x')", "// don't call '/api/x'", "a='b',c='/api/x'", 'say("it\'s", "/api/x")', "\"/api/x'", "/api/x"]
+    texts = spark.createDataFrame(list(enumerate(lines)), "source int, text string")
+    routes = spark.createDataFrame([("/api/x", "r")], "route string, target string")
+    assert ids(joins.literal_links(texts, routes), "source") == [0, 1, 2, 3]
