@@ -1,235 +1,361 @@
-"""Language-model scoring with a weighted backoff automaton over bigrams.
+"""Language-model scoring with a weighted backoff automaton over trigrams.
 
-States are the contexts (a word, or the text boundary) and one root. A context's arcs carry the smoothed probabilities
-of the words seen after it; its failure arc leads to the root with the context's backoff weight, and the root has an arc
-for every word and one for unknown words. With c a context, w a word, C counts and N all training tokens:
+States are the contexts that training saw: pairs of words, single words, and one root. A text's boundary counts as a word
+of its own, END. With C and c counts, N all training tokens, T(x) the number of different words that follow x in training
+and d the discount (interpolated absolute discounting):
 
-    root:     p(w) = C(w) / (N + 1), an unknown word 1 / (N + 1)
-    weight:   b(c) = (1 + C(c) / 2) / (1 + C(c)), 1 for a context that training never saw
-    arc:      (1 - b(c)) * C(c, w) / C(c) + b(c) * p(w)        failure: b(c) * p(w)
+    root       arc for w:  p1(w) = C(w) / (N + 1), an unknown word 1 / (N + 1)
+    word v     arc for w:  (c(v w) - d) / C(v) + b(v) p1(w)               failure arc to the root: b(v) = d T(v) / C(v)
+    pair u v   arc for w:  (c(u v w) - d) / c(u v) + b(u v) p2(w | v)     failure arc to v: b(u v) = d T(u v) / c(u v)
 
-so each state's probabilities sum to 1. A text is read once from left to right; the state is the last word.
+A word or pair that training never saw is no state; the state of a history is the longest suffix of it that is one. Each
+state's probabilities sum to 1. A text is read once from left to right: from the state carried along, the word's arc is
+taken if there is one, else the failure arc and its weight, up to the root; the log-probabilities add up.
 
-The automaton grows with the corpus, so it is never broadcast: it is sharded by arc. Texts are dealt to blocks. Each
-block asks the word shards for the counts of its distinct words (one packed row per block and shard), reads its texts
-with them, adds up root and failure weights, and sends its distinct bigrams to the arc shards, which total the training
-counts and return one partial sum per document. Rows are packed arrays, no word or context is a group of its own, and
-no task holds more than a block or a shard.
+The automaton grows with the corpus, so it is never gathered or broadcast. Texts are dealt to blocks as they are scanned,
+and n-grams to shards by ranges of their 64-bit hashes; a row is the packed, sorted hashes that one block asks of one
+shard, and there is none where nothing is asked. In one plan whose exchanges are reused:
+
+1. Shards total the counts of the words, pairs and triples that blocks ask for. Each n-gram that training saw is owned
+   by one of the blocks that have it, and the reply says so.
+2. Blocks count the followers of each word and pair among the n-grams they own; shards total these counts of types.
+3. Blocks build the states, arcs and failure arcs that their texts need, and walk the texts.
 
 Edge cases: a null or empty text is the end token alone; rows without doc_id count as id text "" and keep a null id;
-repeated rows are scored and counted each; an empty table gives no rows and an empty training part scores with N = 0;
-other columns are ignored. Words are told apart by 64-bit hashes, arcs by 48 bits within a shard; an arc's gain over its
-failure path travels with a relative error of at most 2 ** -16.
+repeated rows are scored and counted each; ties don't arise; a block holds at least one whole text, so a task's memory
+follows the longest text; an empty table gives no rows and an empty training part scores with N = 0; other columns are
+ignored. N-grams are told apart by 64-bit hashes. A block that a retried task put together otherwise raises an error.
 """
 
 from __future__ import annotations
 
+import hashlib
 import math
 import zlib
-from collections import Counter
+from collections import Counter, defaultdict
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import as_bytes, gentle, mix, tokenize
 
 END = np.uint64(0x6A09E667F3BCC908)
+_BLOCK = "block long, data binary"
 _SHIP = "shard long, block long, kind int, data binary"
 _OUT = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
+#: Shards of the vocabulary when it is counted; an entry takes 8 bytes there, whatever its count.
+WORD_SHARDS = 4096
+
+
+def _planes(a: np.ndarray) -> bytes:
+    """Whole numbers by byte place, low bytes first, so that the many zeros lie together."""
+    return np.ascontiguousarray(a.view(np.uint8).reshape(len(a), a.itemsize).T).tobytes()
 
 
 def _pack(*arrays: np.ndarray) -> bytes:
-    parts = [a.tobytes() for a in arrays]
-    head = np.array([len(parts), *map(len, parts)], dtype=np.int64).tobytes()
-    return zstandard.ZstdCompressor(level=1).compress(head + b"".join(parts))
+    head = np.array([len(arrays), *[len(a) for a in arrays]], dtype=np.int64).tobytes()
+    return zstandard.ZstdCompressor(level=1).compress(head + b"".join(map(_planes, arrays)))
 
 
 def _unpack(data: bytes, *types) -> list[np.ndarray]:
     raw = zstandard.decompress(data)
-    sizes = np.frombuffer(raw, np.int64, len(types) + 1)[1:]
     at, out = 8 * (len(types) + 1), []
-    for kind, n in zip(types, sizes):
-        out.append(np.frombuffer(raw, kind, int(n) // np.dtype(kind).itemsize, at))
-        at += int(n)
+    for kind, n in zip(types, np.frombuffer(raw, np.int64, len(types) + 1)[1:].tolist()):
+        width = np.dtype(kind).itemsize
+        part = np.frombuffer(raw, np.uint8, n * width, at).reshape(width, n)
+        out.append(np.ascontiguousarray(part.T).view(kind).reshape(n))
+        at += n * width
     return out
 
 
+def _steps(keys: np.ndarray) -> np.ndarray:
+    """Ascending keys as differences, which have fewer high bytes."""
+    return np.diff(keys, prepend=np.uint64(0))
+
+
 def held_out(doc_id) -> bool:
-    return zlib.crc32(("" if doc_id is None or doc_id != doc_id else str(int(doc_id))).encode()) % 7 == 2
+    return zlib.crc32(("" if doc_id is None else str(doc_id)).encode()) % 7 == 2
+
+
+def _batches_of_text(batches, size: int):
+    """Ids (None where missing) and texts, about `size` bytes at a time."""
+    ids, blobs, held = [], [], 0
+    for batch in batches:
+        for doc, text in zip(batch["doc_id"].to_pylist(), batch["text"].to_pylist()):
+            ids.append(doc)
+            blobs.append(as_bytes(text))
+            held += len(blobs[-1]) + 64
+            if held >= size:
+                yield ids, blobs
+                ids, blobs, held = [], [], 0
+    if ids:
+        yield ids, blobs
+
+
+def _tokens(ids: list, blobs: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Words of all texts with an END after each, words per text with it, and which texts are held out."""
+    h, counts = tokenize(blobs)
+    return np.insert(h, np.cumsum(counts), END), counts + 1, np.array([held_out(d) for d in ids], dtype=bool)
+
+
+def _corpus(size: int):
+    """Text bytes, and packed distinct training words by shard."""
+
+    def run(batches):
+        for ids, blobs in _batches_of_text(batches, size):
+            words, sizes, held = _tokens(ids, blobs)
+            known = np.unique(words[np.repeat(~held, sizes)])
+            edge = np.searchsorted(known, np.arange(WORD_SHARDS, dtype=np.uint64) << np.uint64(52)).tolist() + [len(known)]
+            rows = [(s, 0, 0, _pack(_steps(known[a:b]))) for s, (a, b) in enumerate(zip(edge[:-1], edge[1:])) if b > a]
+            rows.append((0, sum(map(len, blobs)), int(sizes[~held].sum()), None))
+            yield pa.RecordBatch.from_pydict(dict(zip(("shard", "n_bytes", "tokens", "data"), map(list, zip(*rows)))), schema=pa.schema([("shard", pa.int64()), ("n_bytes", pa.int64()), ("tokens", pa.int64()), ("data", pa.binary())]))
 
+    return run
 
-def _read(pdf: pd.DataFrame):
-    """Documents in a fixed order; the words of all with an end after each, words per document, training flags."""
-    pdf = pdf.assign(text=pdf.text.fillna("")).sort_values(["doc_id", "text"], kind="stable", ignore_index=True)
-    h, counts = tokenize([as_bytes(t) for t in pdf.text])
-    words = np.insert(h, np.cumsum(counts), END)
-    held = np.array([held_out(d) for d in pdf.doc_id], dtype=bool)
-    return pdf.doc_id, words, counts + 1, held
 
+def _distinct(pdf: pd.DataFrame) -> pd.DataFrame:
+    parts = [np.cumsum(_unpack(d, np.uint64)[0], dtype=np.uint64) for d in pdf["data"] if d is not None]
+    n = len(np.unique(np.concatenate(parts))) if parts else 0
+    return pd.DataFrame({"n_bytes": [int(pdf["n_bytes"].sum())], "tokens": [int(pdf["tokens"].sum())], "words": [n]})
+
+
+def _blocks(size: int):
+    """One row for each block: ids, which are missing, which are held out, words per text, vocabulary, words."""
+
+    def run(batches):
+        task = TaskContext.get().partitionId()
+        for nth, (ids, blobs) in enumerate(_batches_of_text(batches, size)):
+            words, sizes, held = _tokens(ids, blobs)
+            known, inverse = np.unique(words, return_inverse=True)
+            own = np.array([0 if d is None else d for d in ids], dtype=np.int64)
+            data = _pack(own, np.array([d is None for d in ids]), held, sizes, _steps(known), inverse.astype(np.uint32))
+            name = int.from_bytes(hashlib.blake2b(data, digest_size=8, key=f"{task} {nth}".encode()).digest(), "little", signed=True)
+            yield pa.RecordBatch.from_pydict({"block": [name], "data": [data]}, schema=pa.schema([("block", pa.int64()), ("data", pa.binary())]))
+
+    return run
 
-def _by_shard(values: np.ndarray, shards: int) -> tuple[np.ndarray, np.ndarray]:
-    """Order by shard, and where each shard begins."""
-    shard = (values >> np.uint64(8)) % np.uint64(shards)
-    order = np.argsort(shard, kind="stable")
-    return order, np.searchsorted(shard[order], np.arange(shards + 1, dtype=np.uint64))
+
+class _Block:
+    """A block's texts and their n-grams: for each order the sorted distinct keys, and each position's place among them."""
+
+    def __init__(self, data: bytes):
+        self.ids, self.missing, self.held, self.sizes, steps, self.word = _unpack(data, np.int64, bool, bool, np.int64, np.uint64, np.uint32)
+        self.words = np.cumsum(steps, dtype=np.uint64)
+        self.first = np.cumsum(self.sizes) - self.sizes
+        end = np.searchsorted(self.words, END)
+        self.before = np.concatenate(([end], self.word[:-1]))  # the word before, END at a text's start
+        self.before[self.first] = end
+        pair = mix(self.words[self.before] * np.uint64(0x9FB21C651E98DF25) + self.words[self.word])
+        third = np.ones(len(self.word), dtype=bool)
+        third[self.first] = False  # a text's first word has no triple, as only END stands before it
+        at = np.flatnonzero(third)
+        triple = mix(pair[at - 1] * np.uint64(0xC2B2AE3D27D4EB4F) + self.words[self.word[at]])
+        self.pairs, self.pair = np.unique(pair, return_inverse=True)
+        self.triples, self.triple = np.unique(triple, return_inverse=True)
+        self.third_at = at
+
+    def counts(self) -> list[np.ndarray]:
+        """Occurrences in training texts of each distinct word, pair and triple."""
+        use = np.repeat(~self.held, self.sizes)
+        count = lambda inverse, of, n: np.bincount(inverse[of], minlength=n).astype(np.uint32)
+        return [count(self.word, use, len(self.words)), count(self.pair, use, len(self.pairs)), count(self.triple, use[self.third_at], len(self.triples))]
+
+    def ranges(self, shards: int, orders: int = 3) -> list[tuple[int, list[slice]]]:
+        """Shards that have any of the distinct words, pairs and triples, and their ranges among each."""
+        shard = [(keys >> np.uint64(32)) * np.uint64(shards) >> np.uint64(32) for keys in (self.words, self.pairs, self.triples)[:orders]]
+        present = np.unique(np.concatenate([np.unique(x) for x in shard]))
+        sides = [[np.searchsorted(x, present, side).tolist() for side in ("left", "right")] for x in shard]
+        return [(s, [slice(low[k], high[k]) for low, high in sides]) for k, s in enumerate(present.tolist())]
 
 
 def _ask(shards: int):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        _, words, sizes, held = _read(pdf)
-        known, inverse = np.unique(words, return_inverse=True)
-        seen = np.bincount(inverse, weights=np.repeat(~held, sizes), minlength=len(known)).astype(np.uint32)
-        order, edge = _by_shard(known, shards)
-        rows = [(s, int(pdf.block.iloc[0]), 0, _pack(known[order[edge[s] : edge[s + 1]]], seen[order[edge[s] : edge[s + 1]]])) for s in range(shards)]
+        block = _Block(pdf["data"].iloc[0])
+        keys, counts, name, rows = (block.words, block.pairs, block.triples), block.counts(), int(pdf.block.iloc[0]), []
+        for s, parts in block.ranges(shards):
+            rows.append((s, name, 0, _pack(*[x for k, c, part in zip(keys, counts, parts) for x in (_steps(k[part]), c[part])])))
         return pd.DataFrame(rows, columns=["shard", "block", "kind", "data"])
 
     return run
 
 
+def _asked(data: bytes) -> list[np.ndarray]:
+    got = _unpack(data, *(np.uint64, np.uint32) * 3)
+    return [np.cumsum(x, dtype=np.uint64) if i % 2 == 0 else x for i, x in enumerate(got)]
+
+
 def _count(pdf: pd.DataFrame) -> pd.DataFrame:
-    """One word shard: training counts of the words that each block asked for, and the shard's totals."""
-    asked = [_unpack(d, np.uint64, np.uint32) for d in pdf["data"]]
-    known, inverse = np.unique(np.concatenate([a[0] for a in asked]), return_inverse=True)
-    total = np.bincount(inverse, weights=np.concatenate([a[1] for a in asked]), minlength=len(known)).astype(np.int64)
-    ends = np.cumsum([len(a[0]) for a in asked])
-    sums = np.array([total.sum(), (total > 0).sum()], dtype=np.int64)
-    data = [_pack(total[part], sums) for part in np.split(inverse, ends[:-1])]
-    return pd.DataFrame({"shard": pdf["shard"], "block": pdf["block"], "kind": 0, "data": data})
-
-
-def _traverse(shards: int):
-    def run(docs: pd.DataFrame, replies: pd.DataFrame) -> pd.DataFrame:
-        ids, words, sizes, held = _read(docs)
-        block = int(docs.block.iloc[0])
-        known, inverse = np.unique(words, return_inverse=True)
-        order, edge = _by_shard(known, shards)
-        counts, totals = np.zeros(len(known), dtype=np.int64), np.zeros(2, dtype=np.int64)
-        for shard, data in zip(replies["shard"], replies["data"]):
-            got, sums = _unpack(data, np.int64, np.int64)
-            counts[order[edge[shard] : edge[shard + 1]]] = got
-            totals += sums
-        doc = np.repeat(np.arange(len(sizes)), sizes)
-        first = np.cumsum(sizes) - sizes
-        c = counts[inverse]
-        context = np.concatenate(([END], words[:-1]))
-        context[first] = END
-        cc = np.concatenate(([0], c[:-1]))
-        cc[first] = counts[np.searchsorted(known, END)]
-        root = np.maximum(c, 1) / (totals[0] + 1.0)
-        weight = (1 + cc / 2) / (1.0 + cc)
-        add = lambda x: np.bincount(doc, weights=x, minlength=len(sizes))
-        base = add(np.log10(c + 1.0)) - sizes * math.log10(totals[0] + totals[1] + 1)
-        walk = add(np.log10(root) + np.log10(weight))
-        missing = np.array([d is None or d != d for d in ids], dtype=bool)
-        own = np.array([0 if m else int(d) for d, m in zip(ids, missing)], dtype=np.int64)
-        about = _pack(own, missing, held, sizes, add(c > 0).astype(np.int64), totals, base, walk)
-        rows = [(block % shards, block, 1, about)]
-
-        use = np.flatnonzero((c > 0) & (cc > 0))  # other bigrams have no arc
-        pair = mix(context[use] * np.uint64(0x9FB21C651E98DF25) + words[use])
-        sort = np.argsort(pair, kind="stable")
-        use, pair = use[sort], pair[sort]
-        start = np.flatnonzero(np.concatenate((pair[:1] == pair[:1], pair[1:] != pair[:-1])))
-        many = np.diff(start, append=len(pair))
-        gain = ((1 - weight) / (np.maximum(cc, 1) * weight * root))[use[start]].astype(np.float32) if len(start) else np.zeros(0, np.float32)
-        train = np.add.reduceat(~held[doc[use]], start, dtype=np.int64).astype(np.uint32) if len(start) else np.zeros(0, np.uint32)
-        where = doc[use]
-        # By shard, and by document within it, so that the documents' numbers pack well.
-        shard = (pair[start] >> np.uint64(48)).astype(np.int64) % shards
-        order = np.lexsort((where[start], shard))
-        edge = np.searchsorted(shard[order], np.arange(shards + 1))
-        keys, gain = pair[start].view(np.uint8).reshape(-1, 8)[:, :6], ((gain.view(np.uint32) + np.uint32(128)) >> np.uint32(8)).view(np.uint8).reshape(-1, 4)[:, :3]
-        begin = np.concatenate((start, [len(pair)]))
-        for s in range(shards):
-            pick = order[edge[s] : edge[s + 1]]
-            n = many[pick]
-            at = np.repeat(begin[pick] - (np.cumsum(n) - n), n) + np.arange(n.sum())
-            steps = np.diff(where[at], prepend=0).astype(np.int32)
-            rows.append((s, block, 0, _pack(keys[pick], gain[pick], train[pick], n.astype(np.uint32), steps, np.array([len(sizes)], np.int64))))
-        return pd.DataFrame(rows, columns=["shard", "block", "kind", "data"])
+    """One shard: for each n-gram that a block asked for, twice its training count, plus one if the block owns it."""
+    pdf = pdf.sort_values("block", ignore_index=True)
+    asked = [_asked(d) for d in pdf["data"]]
+    replies: list[list[np.ndarray]] = [[] for _ in asked]
+    for order in range(3):
+        ends = np.cumsum([len(a[2 * order]) for a in asked])
+        keys, inverse = np.unique(np.concatenate([a[2 * order] for a in asked]), return_inverse=True)
+        seen = np.concatenate([a[2 * order + 1] for a in asked])
+        total = np.bincount(inverse, weights=seen, minlength=len(keys)).astype(np.uint64)
+        trained = np.flatnonzero(seen)[::-1]
+        owner = np.full(len(keys), -1, dtype=np.int64)
+        owner[inverse[trained]] = trained  # the first of them, written last
+        reply = total[inverse] * np.uint64(2) + (owner[inverse] == np.arange(len(inverse))).astype(np.uint64)
+        for k, part in enumerate(np.split(reply, ends[:-1])):
+            replies[k].append(part)
+    return pd.DataFrame({"shard": pdf["shard"], "block": pdf["block"], "kind": 0, "data": [_pack(*r) for r in replies]})
+
+
+def _gather(block: _Block, replies: pd.DataFrame, shards: int, orders: int, kind) -> list[np.ndarray]:
+    """The shards' replies, in the order of the block's distinct words, pairs and triples."""
+    out = [np.zeros(len(keys), dtype=kind) for keys in (block.words, block.pairs, block.triples)[:orders]]
+    expected = dict(block.ranges(shards, orders))
+    for s, data in zip(replies["shard"], replies["data"]):
+        for values, part, got in zip(out, expected.pop(s), _unpack(data, *(kind,) * orders)):
+            values[part] = got
+    if expected:
+        raise ValueError("a block was put together otherwise when its task ran again; give a table that reads the same each time")
+    return out
 
-    return run
 
+def _types(shards: int):
+    """Followers of each word and pair among the n-grams that the block owns; and its counts, to itself."""
+
+    def run(blocks: pd.DataFrame, replies: pd.DataFrame) -> pd.DataFrame:
+        if not len(blocks):
+            return pd.DataFrame(columns=["shard", "block", "kind", "data"])
+        block, name = _Block(blocks["data"].iloc[0]), int(blocks.block.iloc[0])
+        words, pairs, triples = _gather(block, replies, shards, 3, np.uint64)
+        context = np.zeros(len(block.pairs), dtype=np.int64)
+        context[block.pair] = block.before
+        of_word = np.bincount(context[(pairs & np.uint64(1)).astype(bool)], minlength=len(block.words)).astype(np.uint32)
+        before = np.zeros(len(block.triples), dtype=np.int64)
+        before[block.triple] = block.pair[block.third_at - 1]
+        of_pair = np.bincount(before[(triples & np.uint64(1)).astype(bool)], minlength=len(block.pairs)).astype(np.uint32)
+        rows = [(name % shards, name, 1, _pack(*[x >> np.uint64(1) for x in (words, pairs, triples)]))]
+        rows += [(s, name, 0, _pack(of_word[of_words], of_pair[of_pairs])) for s, (of_words, of_pairs) in block.ranges(shards, 2)]
+        return pd.DataFrame(rows, columns=["shard", "block", "kind", "data"])
 
-def _widen(data: np.ndarray, width: int, kind) -> np.ndarray:
-    """Whole numbers of `width` little-endian bytes."""
-    out = np.zeros((len(data) // width, np.dtype(kind).itemsize), dtype=np.uint8)
-    out[:, :width] = data.reshape(-1, width)
-    return out.view(kind).ravel()
+    return run
 
 
-def _arcs(pdf: pd.DataFrame) -> pd.DataFrame:
-    """One arc shard: the arcs' training counts, and what they add to each document over the failure path."""
-    asked = [(b, _unpack(d, np.uint8, np.uint8, np.uint32, np.uint32, np.int32, np.int64)) for b, k, d in zip(pdf["block"], pdf["kind"], pdf["data"]) if not k]
-    out = [(s, b, k, d) for s, b, k, d in zip(pdf["shard"], pdf["block"], pdf["kind"], pdf["data"]) if k]
+def _total_types(asks: pd.DataFrame, types: pd.DataFrame) -> pd.DataFrame:
+    """One shard: followers of each word and pair in the whole corpus. Rows that a block sends to itself pass through."""
+    out = list(types[types["kind"] == 1][["shard", "block", "kind", "data"]].itertuples(index=False, name=None))
+    sent = dict(types.loc[types["kind"] == 0, ["block", "data"]].itertuples(index=False, name=None))
+    asked = [(b, _asked(d)) for b, d in zip(asks["block"], asks["data"]) if b in sent]
     if asked:
-        pairs, inverse = np.unique(_widen(np.concatenate([a[0] for _, a in asked]), 6, np.uint64), return_inverse=True)
-        total = np.bincount(inverse, weights=np.concatenate([a[2] for _, a in asked]), minlength=len(pairs))
-        at = 0
-        for block, (_, gain, _, n, steps, docs) in asked:
-            gain = (_widen(gain, 3, np.uint32) << np.uint32(8)).view(np.float32)
-            value = np.log10(1 + total[inverse[at : at + len(n)]] * gain.astype(np.float64))
-            at += len(n)
-            sums = np.bincount(np.cumsum(steps), weights=np.repeat(value, n), minlength=int(docs[0]))
-            out.append((int(pdf["shard"].iloc[0]), block, 0, _pack(sums)))
+        parts = [_unpack(sent[b], np.uint32, np.uint32) for b, _ in asked]
+        replies: list[list[np.ndarray]] = [[] for _ in asked]
+        for order in range(2):
+            ends = np.cumsum([len(a[2 * order]) for _, a in asked])
+            keys, inverse = np.unique(np.concatenate([a[2 * order] for _, a in asked]), return_inverse=True)
+            total = np.bincount(inverse, weights=np.concatenate([p[order] for p in parts]), minlength=len(keys)).astype(np.uint64)
+            for k, part in enumerate(np.split(total[inverse], ends[:-1])):
+                replies[k].append(part)
+        out += [(int(asks["shard"].iloc[0]), b, 0, _pack(*r)) for (b, _), r in zip(asked, replies)]
     return pd.DataFrame(out, columns=["shard", "block", "kind", "data"])
 
 
-def _finish(pdf: pd.DataFrame) -> pd.DataFrame:
-    about = next(d for k, d in zip(pdf["kind"], pdf["data"]) if k)
-    own, missing, held, sizes, known, totals, base, walk = _unpack(about, np.int64, bool, bool, np.int64, np.int64, np.int64, np.float64, np.float64)
-    score = walk.copy()
-    for _, data in sorted((s, d) for s, k, d in zip(pdf["shard"], pdf["kind"], pdf["data"]) if not k):
-        score += _unpack(data, np.float64)[0]
-    ids = pd.array(own, dtype="Int64")
-    ids[missing] = pd.NA
-    return pd.DataFrame({"doc_id": ids, "held_out": held, "n_tokens": sizes, "n_known": known, "train_tokens": int(totals[0]), "base_score": base, "score": score})
+def _walk(shards: int, tokens: int, vocabulary: int, discount: float):
+    """Builds the part of the automaton that the block's texts touch, and walks all of them."""
+
+    def run(blocks: pd.DataFrame, replies: pd.DataFrame) -> pd.DataFrame:
+        if not len(blocks):
+            return pd.DataFrame({k: [] for k in ("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")})
+        block = _Block(blocks["data"].iloc[0])
+        c1, c2, c3 = (x.astype(np.float64) for x in _unpack(replies.loc[replies["kind"] == 1, "data"].iloc[0], np.uint64, np.uint64, np.uint64))
+        t1, t2 = (x.astype(np.float64) for x in _gather(block, replies[replies["kind"] == 0], shards, 2, np.uint64))
+        with np.errstate(divide="ignore", invalid="ignore"):
+            # Failure arcs: of a word to the root, of a pair to its second word. What is no state passes on for nothing.
+            fail1, fail2 = np.where(c1 > 0, discount * t1 / c1, 1.0), np.where(c2 > 0, discount * t2 / c2, 1.0)
+            root = np.maximum(c1, 1) / (tokens + 1)
+            v, w = np.zeros((2, len(c2)), dtype=np.int64)
+            v[block.pair], w[block.pair] = block.before, block.word
+            arc2 = np.where(c2 > 0, (c2 - discount) / c1[v], 0.0) + fail1[v] * root[w]
+            uv, vw = np.zeros((2, len(c3)), dtype=np.int64)
+            uv[block.triple], vw[block.triple] = block.pair[block.third_at - 1], block.pair[block.third_at]
+            arc3 = np.where(c3 > 0, (c3 - discount) / c2[uv], 0.0) + fail2[uv] * arc2[vw]
+            fail1, fail2, root, arc2, arc3 = (np.log10(x) for x in (fail1, fail2, root, arc2, arc3))
+
+        # One pass over all positions. The state carried to a position is the pair before it where training saw that pair,
+        # else the word before it, else the root; a position whose state has no arc for its word falls along failure arcs.
+        step = np.zeros(len(block.word))
+        left = np.ones(len(step), dtype=bool)
+        has = c3[block.triple] > 0
+        at, falls = block.third_at[has], block.third_at[~has]
+        step[at], left[at] = arc3[block.triple[has]], False
+        step[falls] = fail2[block.pair[falls - 1]]
+        at = np.flatnonzero(left & (c2[block.pair] > 0))
+        step[at] += arc2[block.pair[at]]
+        left[at] = False
+        at = np.flatnonzero(left)
+        step[at] += fail1[block.before[at]] + root[block.word[at]]
+
+        add = lambda x: np.add.reduceat(x, block.first)
+        base = add(np.log10(c1 + 1.0)[block.word]) - block.sizes * math.log10(tokens + vocabulary + 1)
+        ids = pd.array(block.ids, dtype="Int64")
+        ids[block.missing] = pd.NA
+        known = add((c1 > 0)[block.word].astype(np.int64))
+        return pd.DataFrame({"doc_id": ids, "held_out": block.held, "n_tokens": block.sizes, "n_known": known, "train_tokens": tokens, "base_score": base, "score": add(step)})
+
+    return run
 
 
-def score_documents(docs: DataFrame, block_bytes: int = 12_000_000) -> DataFrame:
+def score_documents(docs: DataFrame, block_bytes: int = 12_000_000, discount: float = 0.75) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) of every row.
 
-    block_bytes: text in one block; blocks and shards are as many as the text needs."""
+    block_bytes: text in one block; there are as many shards as blocks of that size. discount: taken off each count."""
     docs = gentle(docs).select("doc_id", "text")
-    total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    shards = max(1, -(-int(total) // block_bytes))
-    blocks = docs.withColumn("block", F.pmod(F.xxhash64("doc_id", F.octet_length("text")), F.lit(shards)))
-    asked = blocks.groupBy("block").applyInPandas(_ask(shards), _SHIP)
-    replies = asked.groupBy("shard").applyInPandas(_count, _SHIP)
-    sent = blocks.groupBy("block").cogroup(replies.groupBy("block")).applyInPandas(_traverse(shards), _SHIP)
-    sums = sent.groupBy("shard").applyInPandas(_arcs, _SHIP)
-    return sums.groupBy("block").applyInPandas(_finish, _OUT)
+    corpus = docs.mapInArrow(_corpus(block_bytes), "shard long, n_bytes long, tokens long, data binary")
+    corpus = corpus.groupBy("shard").applyInPandas(_distinct, "n_bytes long, tokens long, words long")
+    n_bytes, tokens, words = (int(x or 0) for x in corpus.agg(F.sum("n_bytes"), F.sum("tokens"), F.sum("words")).first())
+    shards = max(1, -(-n_bytes // block_bytes))
+    blocks = docs.mapInArrow(_blocks(block_bytes), _BLOCK)
+    asks = blocks.groupBy("block").applyInPandas(_ask(shards), _SHIP)
+    counts = asks.groupBy("shard").applyInPandas(_count, _SHIP)
+    types = blocks.groupBy("block").cogroup(counts.groupBy("block")).applyInPandas(_types(shards), _SHIP)
+    totals = asks.groupBy("shard").cogroup(types.groupBy("shard")).applyInPandas(_total_types, _SHIP)
+    return blocks.groupBy("block").cogroup(totals.groupBy("block")).applyInPandas(_walk(shards, tokens, words, discount), _OUT)
 
 
 class BackoffAutomaton:
-    """The same automaton in memory, for small corpora and tests: states, arcs, failure weights, one traversal."""
+    """The same automaton in memory, word by word, for small corpora and tests. A state is the tuple of its words."""
 
-    def __init__(self, texts: list[str]):
-        self.words, self.arcs = Counter(), {}
+    def __init__(self, texts: list[str], discount: float = 0.75):
+        self.arcs, self.discount, self.words = defaultdict(Counter), discount, Counter()
         for text in texts:
             tokens = [*as_bytes(text).lower().split(), None]
             self.words.update(tokens)
-            for context, word in zip([None, *tokens], tokens):
-                self.arcs.setdefault(context, Counter())[word] += 1
+            history = (None,)
+            for word in tokens:
+                for k in range(len(history) + 1):
+                    self.arcs[history[k:]][word] += 1
+                history = (*history, word)[-2:]
         self.total = sum(self.words.values())
 
-    def root(self, word) -> float:
-        return max(self.words[word], 1) / (self.total + 1)
+    def fail(self, state: tuple) -> float:
+        """Weight of the failure arc to the state without its first word."""
+        arcs = self.arcs[state]
+        return self.discount * len(arcs) / sum(arcs.values())
 
-    def fail(self, state) -> float:
-        return (1 + self.words[state] / 2) / (1 + self.words[state])
+    def arc(self, state: tuple, word) -> float:
+        if not state:
+            return max(self.words[word], 1) / (self.total + 1)
+        lower = self.arc(state[1:], word) if len(state) == 1 or word in self.arcs[state[1:]] else self.fail(state[1:]) * self.arc(state[2:], word)
+        return (self.arcs[state][word] - self.discount) / sum(self.arcs[state].values()) + self.fail(state) * lower
 
-    def step(self, state, word) -> float:
-        failed = self.fail(state) * self.root(word)
-        seen = self.arcs.get(state, {}).get(word, 0)
-        return (1 - self.fail(state)) * seen / self.words[state] + failed if seen else failed
+    def step(self, state: tuple, word) -> float:
+        """Probability of a word in a state, along failure arcs where they are needed."""
+        if state and state not in self.arcs:
+            return self.step(state[1:], word)
+        return self.arc(state, word) if not state or word in self.arcs[state] else self.fail(state) * self.step(state[1:], word)
 
     def score(self, text: str | None) -> float:
-        state, total = None, 0.0
+        history, total = (None,), 0.0
         for word in [*as_bytes(text).lower().split(), None]:
-            total += math.log10(self.step(state, word))
-            state = word
+            total += math.log10(self.step(history, word))
+            history = (*history, word)[-2:]
         return total

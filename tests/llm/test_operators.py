@@ -398,12 +398,13 @@ def test_lm(docs, texts, nothing, spark):
         tokens, r = [*lower(text), None], got[i]
         base = sum(math.log10((model.words[w] + 1) / (model.total + v + 1)) for w in tokens)
         assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == (zlib.crc32(str(i).encode()) % 7 == 2, len(tokens), sum(model.words[w] > 0 for w in tokens), model.total)
-        assert r.base_score == pytest.approx(base, abs=1e-6) and r.score == pytest.approx(model.score(text), abs=1e-3)
-    for state in (None, *list(model.words)[:20]):
-        assert sum(model.step(state, w) for w in model.words) + model.fail(state) / (model.total + 1) == pytest.approx(1)
+        assert r.base_score == pytest.approx(base, abs=1e-6) and r.score == pytest.approx(model.score(text), abs=1e-6)
+    for state in list(model.arcs)[:40]:
+        assert sum(model.step(state, w) for w in model.words) + model.step(state, b"never seen") == pytest.approx(1)
+    assert {len(state) for state in model.arcs} == {0, 1, 2}
     assert lm_scoring.score_documents(nothing).count() == 0
     one = {r.doc_id: r.score for r in lm_scoring.score_documents(docs, block_bytes=1 << 30).collect()}
-    assert all(one[i] == pytest.approx(got[i].score, abs=1e-3) for i in one)
+    assert all(one[i] == pytest.approx(got[i].score, abs=1e-6) for i in one)
     assert lm_scoring.score_documents(spark.createDataFrame([(None, "a b"), (1, None), (1, None)], "doc_id long, text string")).count() == 3
 
 
