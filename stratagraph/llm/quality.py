@@ -1,13 +1,18 @@
 """Quality rules as weak supervision, in DataFrame functions only.
 
 Each rule votes 1 (good), -1 (bad) or 0 (abstains). Spark counts the documents of each combination of votes (at most
-3 ** rules rows, whatever the corpus), and expectation-maximisation on those counts estimates how often each rule votes
-bad on good and on bad documents and the share of good documents, without labels. The posterior that a document is good is then a sum of log odds, which
-Spark evaluates with the weights as literals. Two base conditions reject by themselves.
-
-Edge cases: null and empty texts have no words, so they fail the base; a rule whose measure is undefined abstains; rows
-without doc_id are judged too; repeated rows are judged alike; an empty table keeps the starting weights and gives no
-rows; other columns are ignored, and none of the measures' names reaches the output of `keep_good`.
+3 ** rules rows, whatever the corpus), and expectation-maximisation on those counts estimates, without labels, how often
+each rule votes either way or abstains on good and on bad documents, and the share of good documents. The posterior that
+a document is good is then a sum of log odds, which Spark evaluates with the weights as literals: a bad vote of a rule
+that errs often can be outweighed, and several abstentions can reject a document without any bad vote.
+
+Two base conditions reject by themselves. The rules' rates are those of the documents that pass the base; among all
+documents the two classes would settle on whether a text repeats itself, which the base decides already.
+
+Edge cases: null and empty texts have no words, so they fail the base; very long texts are measured whole, in one row; a
+rule whose measure is undefined abstains; rows without doc_id are judged too; repeated rows are judged alike; a posterior
+equal to the threshold keeps; an empty table gives no rows; other columns are ignored, and none of the measures' names
+reaches the output of `keep_good`.
 """
 
 from __future__ import annotations
@@ -23,13 +28,13 @@ _GAP = r"[ \t\n\x0B\f\r]"
 #: Rules: measure, bad below, good from, good to, bad above. Between good and bad a rule abstains.
 RULES = {
     "length": ("n_words", 10, 20, None, None),
-    "word_length": ("word_chars / n_words", 2.0, 2.5, 12.0, 18.0),
+    "word_length": ("word_chars / n_words", 3.0, 3.6, 7.0, 9.0),
     "symbols": ("n_symbols / n_words", None, 0, 0.05, 0.3),
     "lines": ("n_dup_lines / n_lines", None, 0, 0.1, 0.3),
     "repeats": ("n_repeat_words / n_words", None, 0, 0.1, 0.2),
     "variety": ("n_distinct / sqrt(n_words)", 1.5, 3.0, None, None),
     "digits": ("n_digits / word_chars", None, 0, 0.1, 0.3),
-    "letters": ("n_letters / word_chars", 0.6, 0.85, None, None),
+    "letters": ("n_letters / word_chars", 0.7, 0.9, None, None),
 }
 
 
@@ -103,64 +108,65 @@ def votes() -> dict[str, Column]:
     return out
 
 
-#: Bad votes mark extremes, so at most this share of good documents may get one from a rule. Without the bound, a defect
-#: that is rare and goes with no other would pass as a habit of good documents.
-MOST_FALSE_ALARMS = 0.001
+#: Made-up documents of each class that count beside the real ones: their votes, in the order bad, abstained, good.
+PRIOR = {True: (0.5, 0.5, 2.0), False: (2.0, 0.5, 0.5)}
+#: Accuracy of every rule in the first guess.
+START = 0.7
 
-#: Share of good documents, and each rule's rate of bad votes among good and among bad documents.
-Model = tuple[float, list[float], list[float]]
+#: Share of good documents, and for each rule the rates of bad votes, abstentions and good votes in good and in bad ones.
+Model = tuple[float, list[tuple[float, ...]], list[tuple[float, ...]]]
 
 
-def expectation_maximisation(patterns: list[tuple[tuple[int, ...], int]], rounds: int = 200) -> Model:
+def expectation_maximisation(patterns: list[tuple[tuple[int, ...], int]], rounds: int = 500) -> Model:
     """The latent-class model of votes, from (votes, documents).
 
-    Rules err independently given the class; an abstention tells nothing. Starts from documents without a bad vote as
-    good (0.95) and others as bad (0.05), with one made-up good and bad vote for each rule and class, and keeps bad
-    votes at least as frequent among bad documents as among good ones, so the classes can't change places."""
+    Rules vote independently given the class; each has its own rates of bad votes, abstentions and good votes in either
+    class, without bounds. Starts from all rules being equally accurate, so that the majority of votes decides, and adds
+    the votes of PRIOR. The class whose rules vote better is called good."""
     n = len(patterns[0][0]) if patterns else len(RULES)
-    model: Model = (0.9, [0.02] * n, [0.3] * n)
-    weights = [0.05 if min(vote) < 0 else 0.95 for vote, _ in patterns]
-    for _ in range(rounds if patterns else 0):
-        total, good = sum(d for _, d in patterns), sum(w * d for w, (_, d) in zip(weights, patterns))
-        rates = []
-        for of_good in (True, False):
-            bad, cast = [0.02 if of_good else 1.0] * n, [2.0] * n
-            for w, (vote, docs) in zip(weights, patterns):
-                part = docs * (w if of_good else 1 - w)
+    weights = [1 / (1 + (1 / START - 1) ** sum(vote)) for vote, _ in patterns]
+    for _ in range(rounds):
+        rates, size = {}, {}
+        for good in (True, False):
+            parts = [docs * (w if good else 1 - w) for w, (_, docs) in zip(weights, patterns)]
+            size[good] = sum(parts) + sum(PRIOR[good])
+            cast = [list(PRIOR[good]) for _ in range(n)]
+            for part, (vote, _) in zip(parts, patterns):
                 for j, v in enumerate(vote):
-                    cast[j] += part if v else 0
-                    bad[j] += part if v < 0 else 0
-            most = MOST_FALSE_ALARMS if of_good else 1 - 1e-4
-            rates.append([min(max(x / c, 1e-4), most) for x, c in zip(bad, cast)])
-        new: Model = (min(max(good / total, 0.5), 0.999), rates[0], [max(x, y) for x, y in zip(*rates)])
-        moved = abs(new[0] - model[0]) + sum(abs(x - y) for k in (1, 2) for x, y in zip(new[k], model[k]))
-        model = new
-        weights = [posterior(vote, model) for vote, _ in patterns]
+                    cast[j][v + 1] += part
+            rates[good] = [tuple(x / size[good] for x in c) for c in cast]
+        model: Model = (size[True] / (size[True] + size[False]), rates[True], rates[False])
+        new = [posterior(vote, model) for vote, _ in patterns]
+        moved = max((abs(x - y) for x, y in zip(new, weights)), default=0.0)
+        weights = new
         if moved < 1e-9:
             break
+    if sum(r[2] - r[0] for r in model[1]) < sum(r[2] - r[0] for r in model[2]):
+        model = (1 - model[0], model[2], model[1])
     return model
 
 
-def _evidence(model: Model) -> list[tuple[float, float]]:
-    """Log odds of good that each rule's bad and good vote add."""
-    return [(math.log(g / b), math.log((1 - g) / (1 - b))) for g, b in zip(model[1], model[2])]
+def _evidence(model: Model) -> list[tuple[float, ...]]:
+    """Log odds of good that each rule's bad vote, abstention and good vote add."""
+    return [tuple(math.log(g / b) for g, b in zip(*rates)) for rates in zip(model[1], model[2])]
 
 
 def posterior(vote, model: Model) -> float:
-    odds = math.log(model[0] / (1 - model[0])) + sum(e[v > 0] for v, e in zip(vote, _evidence(model)) if v)
+    odds = math.log(model[0] / (1 - model[0])) + sum(e[v + 1] for v, e in zip(vote, _evidence(model)))
     return 1 / (1 + math.exp(-odds)) if odds > -700 else 0.0
 
 
 def fit(measured: DataFrame) -> Model:
+    """The model of the documents that pass the base; the others are rejected whatever their votes."""
     rules = votes()
-    counts = measured.groupBy(*[v.alias(k) for k, v in rules.items()]).count().collect()
+    counts = measured.where(~base_failed()).groupBy(*[v.alias(k) for k, v in rules.items()]).count().collect()
     return expectation_maximisation(sorted((tuple(r[k] for k in rules), r["count"]) for r in counts))
 
 
 def quality_probability(model: Model) -> Column:
     odds = F.lit(math.log(model[0] / (1 - model[0])))
-    for vote, (bad, good) in zip(votes().values(), _evidence(model)):
-        odds = odds + F.when(vote < 0, bad).when(vote > 0, good).otherwise(0.0)
+    for vote, (bad, none, good) in zip(votes().values(), _evidence(model)):
+        odds = odds + F.when(vote < 0, bad).when(vote > 0, good).otherwise(none)
     return 1 / (1 + F.exp(-odds))
 
 

@@ -5,6 +5,7 @@ import hashlib
 
 import json
 import math
+import os
 import random
 import re
 import zlib
@@ -453,10 +454,68 @@ def test_expectation_maximisation_finds_the_classes():
     counts = collections.Counter()
     for _ in range(4000):
         good = rng.random() < 0.85
-        counts[tuple(0 if rng.random() < 0.2 else 1 if good or rng.random() < 0.4 else -1 for _ in range(6))] += 1
+        counts[tuple(0 if rng.random() < 0.2 else 1 if rng.random() < (0.95 if good else 0.4) else -1 for _ in range(6))] += 1
     model = quality.expectation_maximisation(sorted(counts.items()))
-    assert 0.8 < model[0] < 0.92 and all(0.45 < b < 0.75 for b in model[2])
-    assert quality.posterior((1,) * 6, model) > 0.9 > 0.1 > quality.posterior((-1, -1, 1, 0, 0, 0), model)
+    assert 0.8 < model[0] < 0.9 and all(0.02 < g[0] < 0.06 and 0.4 < b[0] < 0.56 for g, b in zip(model[1], model[2]))
+    assert quality.posterior((1,) * 6, model) > 0.95 and quality.posterior((-1, 1, 1, 1, 1, 1), model) > 0.5 > quality.posterior((-1, -1, -1, 1, 0, 0), model)
+    assert quality.expectation_maximisation([])[0] == pytest.approx(0.5)
+
+
+def brute_verdicts(texts):
+    """Document by document: measures by regular expressions, votes, expectation-maximisation over documents."""
+    cast, failed = {}, {}
+    for i, text in texts.items():
+        t, w = text or "", words_of(text)
+        lines, chars = [x for x in t.split("\n") if words_of(x)], "".join(w)
+        c = collections.Counter(tuple(w[k : k + 5]) for k in range(len(w) - 4))
+        marked = len({j for k in range(len(w) - 4) if c[tuple(w[k : k + 5])] > 1 for j in range(k, k + 5)})
+        failed[i] = len(w) < 10 or 100 * marked > 20 * len(w)
+        share = lambda x, y: x / y if y else None
+        x = [
+            (len(w), 10, 20, None, None), (share(len(chars), len(w)), 3.0, 3.6, 7.0, 9.0), (share(len(re.findall(r"[#*$%&|<>]", t)), len(w)), None, 0, 0.05, 0.3),
+            (share(len(lines) - len(set(lines)), len(lines)), None, 0, 0.1, 0.3), (share(marked, len(w)), None, 0, 0.1, 0.2), (share(len(set(w)), len(w) ** 0.5), 1.5, 3.0, None, None),
+            (share(len(re.findall("[0-9]", t)), len(chars)), None, 0, 0.1, 0.3), (share(sum(ch.isalpha() for ch in t), len(chars)), 0.7, 0.9, None, None),
+        ]
+        cast[i] = [0 if v is None else -1 if (low is not None and v < low) or (high is not None and v > high) else int((a is None or v >= a) and (b is None or v <= b)) for v, low, a, b, high in x]
+    used = [v for i, v in cast.items() if not failed[i]]
+    weight = [0.7 ** sum(v) / (0.7 ** sum(v) + 0.3 ** sum(v)) for v in used]
+
+    def judge(v, p, rate):
+        a, b = p, 1 - p
+        for j, x in enumerate(v):
+            a, b = a * rate[0][j][x], b * rate[1][j][x]
+        return a / (a + b)
+
+    for _ in range(500):
+        rate = []
+        for ws, start in ((weight, {-1: 0.5, 0: 0.5, 1: 2.0}), ([1 - w for w in weight], {-1: 2.0, 0: 0.5, 1: 0.5})):
+            rate.append([{x: (start[x] + sum(w for w, v in zip(ws, used) if v[j] == x)) / (3 + sum(ws)) for x in (-1, 0, 1)} for j in range(8)])
+        p = (sum(weight) + 3) / (len(used) + 6)
+        new = [judge(v, p, rate) for v in used]
+        if max(map(lambda a, b: abs(a - b), new, weight)) < 1e-9:
+            break
+        weight = new
+    return {i: not failed[i] and judge(v, p, rate) >= 0.5 for i, v in cast.items()}, {i: min(v) < 0 for i, v in cast.items()}, failed
+
+
+@pytest.mark.parametrize("table", [None, "/root/testdata/sf0.001/documents.parquet", "/root/testdata/sf0.01/documents.parquet"])
+def test_quality_verdicts(spark, docs, texts, table):
+    if table and not os.path.exists(table):
+        pytest.skip("no test tables here")
+    rows = spark.read.parquet(table) if table else docs
+    want, _, _ = brute_verdicts({r.doc_id: r.text for r in rows.select("doc_id", "text").collect()})
+    got = {r.doc_id: r.kept for r in quality.judge(rows).select("doc_id", "kept").collect()}
+    assert got == want
+
+
+def test_the_posterior_decides(spark):
+    """Documents with a bad vote are kept, and others without one are not."""
+    table = "/root/testdata/sf0.1/documents.parquet"
+    if not os.path.exists(table):
+        pytest.skip("no test tables here")
+    bad = F.least(*quality.votes().values()) < 0
+    got = {(r.bad, r.kept) for r in quality.judge(spark.read.parquet(table)).where("not base_failed").select(bad.alias("bad"), "kept").distinct().collect()}
+    assert got == {(True, True), (True, False), (False, True), (False, False)}
 
 
 # 10
