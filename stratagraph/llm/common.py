@@ -3,10 +3,14 @@
 from __future__ import annotations
 
 import atexit
+import tempfile
 import uuid
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from ..runtime import importable
 
@@ -25,10 +29,13 @@ def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder of the session; one of our own only where none is set."""
+    """The shared folder of the session; one of our own only where none is set and all tasks run on this machine."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints")
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="checkpoints-"))
     return sc.getCheckpointDir()
 
 
@@ -52,10 +59,14 @@ def _remove_written() -> None:
             return
 
 
+def remove_at_exit(spark: SparkSession, path: str) -> str:
+    _written.append((spark.sparkContext._gateway, path))
+    return path
+
+
 def keep(df: DataFrame) -> DataFrame:
     """As `cut`, as a compressed table in the checkpoint folder; for many rows."""
-    path = f"{checkpoint_dir(df.sparkSession)}/tables/{uuid.uuid4().hex}"
-    _written.append((df.sparkSession.sparkContext._gateway, path))
+    path = remove_at_exit(df.sparkSession, f"{checkpoint_dir(df.sparkSession)}/tables/{uuid.uuid4().hex}")
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
@@ -79,6 +90,24 @@ def gentle(df: DataFrame) -> DataFrame:
     return df
 
 
+def map_frames(df: DataFrame, run, schema: str) -> DataFrame:
+    """As mapInPandas, but whole numbers stay exact beside nulls, where pandas would make them doubles.
+
+    run takes pandas frames, with whole numbers and None in columns that hold nulls, and gives columns by name."""
+    kind = to_arrow_schema(StructType.fromDDL(schema))
+
+    def exact(batches):
+        for out in run(b.to_pandas(integer_object_nulls=True) for b in batches):
+            yield pa.RecordBatch.from_arrays([pa.array(out[f.name], type=f.type, from_pandas=True) for f in kind], schema=kind)
+
+    return df.mapInArrow(exact, schema)
+
+
+def columns(rows: list[tuple], names: str) -> dict[str, list]:
+    """Rows as columns by name."""
+    return {name: [r[i] for r in rows] for i, name in enumerate(names.split())}
+
+
 def as_bytes(text) -> bytes:
     return text.encode("utf-8", "surrogatepass") if isinstance(text, str) else b""
 

@@ -35,7 +35,7 @@ def _state(df: DataFrame) -> tuple:
     return row["n"], row["h"]
 
 
-def components(links: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 60, one_task: int = ONE_TASK) -> DataFrame:
+def components(links: DataFrame, a: str = "a", b: str = "b", one_task: int = ONE_TASK) -> DataFrame:
     """(id, component): every id that a link names, with the smallest id that links reach from it.
 
     Few links are joined up by one task, behind a count. Beyond it no neighbour list is ever gathered: each round is two minimum aggregations, combined before the shuffle, each
@@ -44,7 +44,7 @@ def components(links: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 6
     edges, state = cut(edges), None
     if edges.count() <= one_task:
         return edges.coalesce(1).mapInPandas(_joined_up, "id long, component long")
-    for _ in range(max_rounds):
+    while True:  # each round shortens every path; it ends when nothing moves
         now = _state(edges)
         if now == state or not now[0]:
             break

@@ -7,8 +7,8 @@ for that container's path of tags and classes, with numbers generalised. Spark c
 path; a page that has none uses its own best container. Only (host, path) counts are shuffled for the vote.
 
 Inside the container, elements that are never main text are left out: by tag (menus, headers, footers, sidebars, forms,
-scripts, styles) and by words at the start or end of a class, id or role (adverts, notices, comments and so on; not
-with-sidebar, no-sidebar, ad-free). An element marked by a word stays if it holds an article, main or most of the page's
+scripts, styles) and by a class, id or role that is such a word or joins one to words of place (ad, site-promo,
+comment-list; not with-sidebar, ad-free, related-work, share-price). Running text is never dropped by words. An element marked by a word stays if it holds an article, main or most of the page's
 unlinked text, unless another article or main with text stands beside it: threads and teasers are made of articles too.
 
 Edge cases: null and empty pages have an empty text; unclosed and stray tags, unclosed comments and very deep nesting are
@@ -26,7 +26,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import gentle
+from .common import columns, cut, gentle, map_frames
 
 _TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*+(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:"[^"]*+"|'[^']*+'|[^>"']++)*+)(?:>|\Z)""", re.S)
 _ATTRIBUTE = re.compile(r"""(?:^|[\s"'/])(class|id|role)\s*+=\s*+(?:"([^"]*+)"|'([^']*+)'|([^\s"'>]++))""", re.I)
@@ -34,6 +34,9 @@ _GAPS = re.compile(r"\s+")
 _WORDS = re.compile(r"[a-z]+")
 _NUMBER = re.compile(r"\d+")
 
+#: Winning paths of up to so many bytes are broadcast; beyond it they are joined, each host in SALTS parts.
+BROADCAST_BYTES, SALTS = 32_000_000, 64
+
 # Fixed values of HTML.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title noscript template iframe svg math object select".split())
@@ -52,15 +55,20 @@ DROPPED_WORDS = frozenset(
     "footer gdpr header masthead menu modal nav navbar navigation newsletter notice notices notification pagination popup promo promoted promotion "
     "related reply replies search share sharing sidebar signup social sponsor sponsored subscribe toolbar widget".split()
 )
-#: With one of these before it, or "free" at the end, a word says how a page is laid out.
-MODIFIERS = frozenset("with without no has".split())
+#: Words that may stand beside them in a class or id ("site-promo", "share-buttons", "comment-list"): they say where or how
+#: large a part of the page is, and not what it is about. Any other word beside them leaves the element alone.
+PLACES = frozenset(
+    "area bar body bottom box button buttons center column container content end fixed global group header icon icons inner item items label left line "
+    "link links list lists main media message middle mobile outer overlay page panel post posts right row section side site slot small start sticky "
+    "tab thread title top unit widgets wrap wrapper".split()
+)
+#: Elements of running text are never dropped for their class.
+RUNNING = frozenset("html body article main p span em strong b i u a abbr cite code mark small sub sup q time h1 h2 h3 h4 h5 h6 pre blockquote td th tr".split())
 
 
 def _marked(token: str) -> bool:
     words = _WORDS.findall(token)
-    if not words or words[-1] == "free":
-        return False
-    return words[0] in DROPPED_WORDS or (words[-1] in DROPPED_WORDS and words[-2] not in MODIFIERS)
+    return not DROPPED_WORDS.isdisjoint(words) and DROPPED_WORDS.union(PLACES).issuperset(words)
 
 
 def _describe(tag: str, attributes: str) -> tuple[str, bool]:
@@ -71,7 +79,7 @@ def _describe(tag: str, attributes: str) -> tuple[str, bool]:
             value = next((v for v in values if v), "").lower()
             if name.lower() == "class":
                 label += "".join("." + c for c in sorted({_NUMBER.sub("#", c) for c in value.split()}))
-            if tag not in ("html", "body", "article", "main") and not DROPPED_WORDS.isdisjoint(_WORDS.findall(value)):
+            if tag not in RUNNING and not DROPPED_WORDS.isdisjoint(_WORDS.findall(value)):
                 drop = drop or any(map(_marked, value.split()))
     return label, drop
 
@@ -279,7 +287,7 @@ def _texts(batches):
                 best = page.best()
                 text = page.within({best[0]}) if best else ""
             rows.append((page_id, url, text, len(text)))
-        yield pd.DataFrame(rows, columns=["page_id", "url", "text", "n_chars"]).astype({"page_id": "Int64"})
+        yield columns(rows, "page_id url text n_chars")
 
 
 def host_paths(pages: DataFrame) -> DataFrame:
@@ -294,4 +302,12 @@ def main_texts(pages: DataFrame) -> DataFrame:
     """(page_id, url, text, n_chars) of every row."""
     host = F.regexp_extract(F.coalesce("url", F.lit("")), r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1)
     pages = gentle(pages).select("page_id", "url", "html", F.lower(host).alias("host"))
-    return pages.join(host_paths(pages), "host", "left").mapInPandas(_texts, "page_id long, url string, text string, n_chars long")
+    paths = cut(host_paths(pages))
+    size = paths.agg(F.sum(F.length("host") + F.length("path") + 40)).first()[0] or 0
+    if size <= BROADCAST_BYTES:
+        joined = pages.join(F.broadcast(paths), "host", "left")  # pages stay where they were read
+    else:  # a host's pages are dealt to several tasks, with its path beside each
+        paths = paths.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        salt = F.pmod(F.xxhash64("page_id", "url"), F.lit(SALTS)).cast("int")
+        joined = pages.withColumn("salt", salt).join(paths, ["host", "salt"], "left")
+    return map_frames(joined, _texts, "page_id long, url string, text string, n_chars long")

@@ -27,7 +27,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_bytes, cut, gentle, mix
+from .common import as_bytes, columns, cut, gentle, map_frames, mix
 
 RATE = 8000
 #: Bounds of a chunk; between them a cut falls after about MEAN bytes.
@@ -84,7 +84,7 @@ def _lists(batches):
             samples, n = payload_of(text)
             media = to_wav(samples)
             rows.append((doc, n, len(samples), len(media), hashlib.sha256(media).hexdigest(), [digest(c) for c in chunks_of(media)]))
-        yield pd.DataFrame(rows, columns=["doc_id", "n_bytes", "payload_bytes", "media_bytes", "media_sha256", "chunks"]).astype({"doc_id": "Int64"})
+        yield columns(rows, "doc_id n_bytes payload_bytes media_bytes media_sha256 chunks")
 
 
 def _bytes(batches):
@@ -94,7 +94,7 @@ def _bytes(batches):
         for doc, text in zip(pdf.doc_id, pdf.text):
             media = to_wav(payload_of(text)[0])
             rows.append((doc, hashlib.sha256(media).hexdigest(), [pack.compress(c) for c in chunks_of(media)]))
-        yield pd.DataFrame(rows, columns=["doc_id", "medium", "data"]).astype({"doc_id": "Int64"})
+        yield columns(rows, "doc_id medium data")
 
 
 def features(samples: bytes) -> str:
@@ -124,7 +124,7 @@ def _rebuild(batches):
 def media_features(docs: DataFrame) -> DataFrame:
     """(doc_id, n_bytes, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, feature, n_chunks) of every row."""
     docs = gentle(docs).select("doc_id", "text")
-    lists = cut(docs.mapInPandas(_lists, "doc_id long, n_bytes long, payload_bytes long, media_bytes long, media_sha256 string, chunks array<binary>"))
+    lists = cut(map_frames(docs, _lists, "doc_id long, n_bytes long, payload_bytes long, media_bytes long, media_sha256 string, chunks array<binary>"))
     named = F.coalesce("doc_id", F.lit(-(1 << 63)))
 
     # One row for each distinct medium, in the name of its first document. `mid` is short for the digest; with the
@@ -140,7 +140,7 @@ def media_features(docs: DataFrame) -> DataFrame:
     empty = F.array().cast("array<int>")
     layout = media.join(mine, ["doc", "mid"], "left").withColumn("keep", F.coalesce("keep", empty)).withColumn("lend", F.coalesce("lend", empty))
 
-    held = docs.mapInPandas(_bytes, "doc_id long, medium string, data array<binary>").select(named.alias("doc"), F.xxhash64("medium").alias("mid"), "data")
+    held = map_frames(docs, _bytes, "doc_id long, medium string, data array<binary>").select(named.alias("doc"), F.xxhash64("medium").alias("mid"), "data")
     store = held.join(layout, ["doc", "mid"])
     pick = lambda which: F.transform(F.col(which), lambda i: F.struct(i.alias("i"), F.get(F.col("data"), i).alias("data")))
     lent = store.select(F.col("doc").alias("d"), F.col("mid").alias("m"), F.explode(pick("lend")).alias("c")).select("d", "m", F.col("c.i").alias("j"), "c.data")

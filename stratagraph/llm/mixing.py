@@ -8,8 +8,10 @@ first documents in a seeded order. That order is cut by a histogram of hash rang
 falls is sorted, so no source is sorted as a whole.
 
 Edge cases: null and empty texts have size 0 and are never taken; a null source is a source of its own, after all others;
-with nothing to mix all targets are 0; repeated rows count each and are told apart by their text's hash, and identical
-ones by Spark's row order within one hash; rows without doc_id take part; other columns are ignored or kept as they are.
+with nothing to mix all targets are 0; repeated rows count each, and which of identical ones the cut takes is left to
+Spark's row order; a very long text is counted in place and only its size moves; of equally good fillers the largest hash
+is taken; rows without doc_id take part; an empty table gives no rows; other columns are ignored or kept as they are. More
+than MOST_PATTERNS sets of sources raise an error.
 """
 
 from __future__ import annotations
@@ -20,6 +22,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 BINS = 1 << 12
+#: The flow's graph is held by the driver, so there is a bound on its nodes; beyond it the operator refuses.
+MOST_PATTERNS = 100_000
 
 
 def words_in(text: Column) -> Column:
@@ -93,16 +97,20 @@ def allot(patterns: dict[tuple, int], quota: dict, repeats: int) -> dict[tuple,
     return given
 
 
-def mix_sources(docs: DataFrame, sources: Column | None = None, weights=(1, 2, 3), repeats: int = 3, seed: int = 17, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """Columns `keep`, size, source_size, target and taken (words that the mix takes, repeats counted) of each row.
+def mix_sources(docs: DataFrame, sources: Column | None = None, weights=(1, 2, 3), repeats: int = 3, seed: int = 17, with_row: bool = False) -> DataFrame:
+    """(doc_id, size, source_size, target, taken) of each row; taken: words that the mix takes, repeats counted.
 
-    sources: array of the sources a row belongs to, `array(source)` by default; source_size and target are those of a
+    with_row adds a struct `row` of all columns of docs. sources: array of the sources a row belongs to, `array(source)` by default; source_size and target are those of a
     row's first source. weights repeat over the sources in code point order, null last."""
     member = F.array_sort(F.array_distinct(sources if sources is not None else F.array("source")))
     key = F.xxhash64(F.lit(seed), "doc_id", "text")
-    rows = docs.select(*keep, member.alias("_pattern"), words_in(F.col("text")).alias("size"), key.alias("_key"))
+    keep = ["doc_id", "row"] if with_row else ["doc_id"]
+    row = [F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")] if with_row else []
+    rows = docs.select("doc_id", *row, member.alias("_pattern"), words_in(F.col("text")).alias("size"), key.alias("_key"))
     rows = rows.withColumn("_bin", F.pmod(F.col("_key"), F.lit(BINS)).cast("int"))
-    sums = rows.groupBy("_pattern").agg(F.sum("size").alias("n")).collect()
+    sums = rows.groupBy("_pattern").agg(F.sum("size").alias("n")).limit(MOST_PATTERNS + 1).collect()
+    if len(sums) > MOST_PATTERNS:
+        raise ValueError(f"more than {MOST_PATTERNS} different sets of sources: give coarser sources")
     patterns = {tuple(r["_pattern"]): r["n"] for r in sums}
     names = sorted({s for p in patterns for s in p}, key=lambda s: (s is None, s.encode("utf-8") if s is not None else b""))
     sizes = {s: sum(n for p, n in patterns.items() if s in p) for s in names}
@@ -121,14 +129,16 @@ def mix_sources(docs: DataFrame, sources: Column | None = None, weights=(1, 2, 3
     cut_at = bins.where("_end >= _rest and _end - _n < _rest").select(F.col("_pattern").alias("_q"), F.col("_bin").alias("_edge"), (F.col("_rest") - F.col("_end") + F.col("_n")).alias("_room"))
     rows = rows.join(F.broadcast(cut_at), F.col("_pattern").eqNullSafe(F.col("_q")), "left").drop("_q")
     whole = rows.where("_edge is null or _bin <> _edge").withColumn("_extra", F.coalesce((F.col("_bin") < F.col("_edge")).cast("int"), F.lit(0)))
-    before = Window.partitionBy("_pattern").orderBy("_key", *keep).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    before = Window.partitionBy("_pattern").orderBy("_key", "doc_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     edge = rows.where("_bin = _edge").withColumn("_sum", F.sum("size").over(before)).withColumn("_extra", (F.col("_sum") <= F.col("_room")).cast("int"))
     # The document that crosses the cut gives way to the one that fills what is left best.
     full = edge.groupBy(F.col("_pattern").alias("_p")).agg(F.max(F.when(F.col("_extra") == 1, F.col("_sum"))).alias("_full"))
     left = cut_at.join(F.broadcast(full), F.col("_q").eqNullSafe(F.col("_p")), "left")
     left = left.select(F.col("_q").alias("_l"), (F.col("_room") - F.coalesce("_full", F.lit(0))).alias("_gap"))
     rows = whole.unionByName(edge.drop("_sum")).join(F.broadcast(left), F.col("_pattern").eqNullSafe(F.col("_l")), "left").drop("_l")
-    filler = rows.where("_extra = 0 and size > 0 and size <= _gap").groupBy(F.col("_pattern").alias("_f")).agg(F.max(F.struct("size", "_key")).alias("_best"))
+    # Rows that repeat each other can't be told apart, so none of them fills it.
+    fillers = rows.where("_extra = 0 and size > 0 and size <= _gap").groupBy("_pattern", "size", "_key").count().where("count = 1")
+    filler = fillers.groupBy(F.col("_pattern").alias("_f")).agg(F.max(F.struct("size", "_key")).alias("_best"))
     rows = rows.join(F.broadcast(filler), F.col("_pattern").eqNullSafe(F.col("_f")), "left")
     best = (F.col("_key") == F.col("_best._key")) & (F.col("size") == F.col("_best.size"))
     rows = rows.withColumn("_extra", F.when((F.col("_extra") == 0) & best, 1).otherwise(F.col("_extra")))

@@ -22,7 +22,7 @@ import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import as_bytes, cut, gentle, mix, shingles, tokenize
+from .common import as_bytes, columns, cut, gentle, map_frames, mix, shingles, tokenize
 from .components import components
 
 #: Counters of the frequency table, and slices it travels in. Fixed, so that the table may be broadcast (4 MB).
@@ -77,13 +77,10 @@ def _profile(width: int):
             for doc, s in zip(pdf.doc_id, _sets(pdf.text, width)):
                 np.add.at(seen, (s & np.uint64(COUNTERS - 1)).astype(np.int64), 1)
                 rows.append((doc, len(s), *_signature(s), -1, _ranges(s)))
-            yield pd.DataFrame(rows, columns=["doc_id", "n", "s1", "s2", "slice", "data"]).astype({"doc_id": "Int64"})
+            yield columns(rows, "doc_id n s1 s2 slice data")
         if seen.any():
             pack = zstandard.ZstdCompressor(level=1)
-            yield pd.DataFrame(
-                [(None, 0, 0, 0, k, pack.compress(part.tobytes())) for k, part in enumerate(np.split(seen, SLICES))],
-                columns=["doc_id", "n", "s1", "s2", "slice", "data"],
-            ).astype({"doc_id": "Int64"})
+            yield columns([(None, 0, 0, 0, k, pack.compress(part.tobytes())) for k, part in enumerate(np.split(seen, SLICES))], "doc_id n s1 s2 slice data")
 
     return run
 
@@ -103,7 +100,7 @@ def _prefixes(width: int, table):
             keep = {k: [] for k in ("gram", "doc_id", "pos", "sig")}
             for doc, s in zip(pdf.doc_id, _sets(pdf.text, width)):
                 n = len(s)
-                if not n or doc is None or doc != doc:
+                if not n:
                     continue
                 size = n - (8 * n + 9) // 10 + 1
                 rank = ranks[(s & np.uint64(COUNTERS - 1)).astype(np.int64)]
@@ -161,7 +158,7 @@ def near_classes(docs: DataFrame, width: int = 5) -> DataFrame:
     """(doc_id, n_shingles, component_id) of every row: documents link at a Jaccard similarity of 0.8 or more."""
     spark = docs.sparkSession
     docs = gentle(docs).select("doc_id", "text")
-    profile = cut(docs.mapInPandas(_profile(width), "doc_id long, n int, s1 long, s2 long, slice int, data binary"))
+    profile = cut(map_frames(docs, _profile(width), "doc_id long, n int, s1 long, s2 long, slice int, data binary"))
     parts = profile.where("slice >= 0").select("slice", "data").groupBy("slice").applyInPandas(_add_slices, "slice int, data binary").collect()
     ranks = np.zeros(COUNTERS, dtype=np.uint8)
     for row in parts:
@@ -174,7 +171,7 @@ def near_classes(docs: DataFrame, width: int = 5) -> DataFrame:
     reps = cut(rows.join(classes, ["n", "s1", "s2"], "left").select("doc_id", "n", "rep", "data"))
     heads = reps.where("rep = doc_id").select("doc_id", "n", "data").dropDuplicates(["doc_id"])
 
-    entries = docs.mapInPandas(_prefixes(width, table), "gram long, doc_id long, pos int, sig int")
+    entries = docs.where("doc_id is not null").mapInPandas(_prefixes(width, table), "gram long, doc_id long, pos int, sig int")
     shared = entries.groupBy("gram").agg(F.min("sig").alias("lo"), F.max("sig").alias("hi")).where("lo <> hi").select("gram")
     entries = entries.drop("sig").join(shared, "gram").join(heads.select("doc_id", "n"), "doc_id")
     entries = cut(entries.select("gram", "doc_id", "n", "pos"))

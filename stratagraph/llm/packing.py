@@ -25,14 +25,15 @@ from bisect import bisect_right, insort
 from collections import defaultdict
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, gentle
+from .common import columns, cut, gentle, map_frames
 
-#: A document row can need several sequences; each salt of a length is ranked by its own task.
-SALTS = 64
+#: Pieces of one length that one task ranks, about; a length has as many salts as its pieces need.
+RANKED = 250_000
+#: Up to so many rows (length, salt, base) are broadcast; more, at some 10 ** 11 pieces, are joined by a shuffle.
+BROADCAST_BASES = 500_000
 _MEMO, _FLUSH = 400_000, 100_000
 _tokenizers: dict = {}
 
@@ -116,7 +117,7 @@ def _pieces(path: str, capacity: int, end_id: int):
                 for piece, start in enumerate(range(0, len(ids) // 4, capacity)):
                     part = ids[4 * start : 4 * (start + capacity)]
                     rows.append((doc, piece, start, len(part) // 4, zlib.crc32(part)))
-            yield pd.DataFrame(rows, columns=["doc_id", "piece", "start", "length", "ids_crc32"]).astype({"doc_id": "Int64"})
+            yield columns(rows, "doc_id piece start length ids_crc32")
 
     return run
 
@@ -249,22 +250,25 @@ def _place(runs: dict[int, np.ndarray]):
                 inside = rank[at] - row[:, 0]
                 sequence[at] = row[:, 1] + inside // row[:, 2]
                 offset[at] = row[:, 3] + inside % row[:, 2] * s
-            yield pdf.drop(columns="rank").assign(sequence_id=sequence, offset=offset)
+            yield pdf.drop(columns="rank").assign(sequence_id=sequence, offset=offset)  # the id may be None
 
     return run
 
 
 def pack(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, end_id: int = 0) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32, sequence_id, offset) of every piece."""
-    columns = "doc_id long, piece int, start long, length long, ids_crc32 long"
-    pieces = cut(gentle(docs).select("doc_id", "text").mapInPandas(_pieces(tokenizer_path, capacity, end_id), columns))
-    salted = pieces.withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(SALTS)).cast("int"))
-    counts = salted.groupBy("length", "salt").count()  # at most capacity * SALTS rows
+    kinds = "doc_id long, piece int, start long, length long, ids_crc32 long"
+    pieces = cut(map_frames(gentle(docs).select("doc_id", "text"), _pieces(tokenizer_path, capacity, end_id), kinds))
+    histogram = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}  # at most capacity rows
+    salts = {s: -(-n // RANKED) for s, n in histogram.items()}
+    table = pieces.sparkSession.createDataFrame(list(salts.items()), "length long, salts long")
+    salted = pieces.join(F.broadcast(table), "length").withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), "salts")).drop("salts")
+    counts = salted.groupBy("length", "salt").count()
     before = Window.partitionBy("length").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)
     bases = counts.withColumn("base", F.coalesce(F.sum("count").over(before), F.lit(0))).drop("count")
-    histogram = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}
+    bases = F.broadcast(bases) if sum(salts.values()) <= BROADCAST_BASES else bases
     runs = _runs(plan(histogram, capacity))
     order = Window.partitionBy("length", "salt").orderBy("doc_id", "piece", "ids_crc32")
-    ranked = salted.withColumn("nth", F.row_number().over(order)).join(F.broadcast(bases), ["length", "salt"])
+    ranked = salted.withColumn("nth", F.row_number().over(order)).join(bases, ["length", "salt"])
     ranked = ranked.select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("base") + F.col("nth") - 1).alias("rank"))
-    return ranked.mapInPandas(_place(runs), columns + ", sequence_id long, offset long")
+    return map_frames(ranked, _place(runs), kinds + ", sequence_id long, offset long")

@@ -10,9 +10,11 @@ windows with one key make a segment:
 
 1. Segments whose key occurs once in the corpus have no match (but for those that repeat in themselves, which are marked)
    and are left out before any text moves.
-2. Of equal segments all but the first are later copies as a whole (counts combine before the shuffle).
-3. The first occurrences of different segments at one key are gathered with their bytes. Their suffixes are sorted by
-   prefix doubling, and previous and next smaller positions in that order give the LPF array.
+2. Of equal segments (equal in key, size and a further 56 bits of hash) all but the first are later copies as a whole:
+   their LPF is their length. Counts combine before the shuffle, so thousands of copies cost a row each and no bytes.
+3. The first occurrences of different segments at one key are gathered with their bytes; those with no window hash that
+   occurs twice are left out. Prefix doubling ranks the suffixes and gives the LCP array, previous and next smaller
+   positions in that order give the LPF array, and every factor of `length` bytes or more is cut out.
 4. Keys with more than `hot` different segments are re-dealt by whole window, where equal windows collapse to a minimum;
    so no task ever holds an unbounded key.
 
@@ -27,10 +29,12 @@ import hashlib
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from .common import as_bytes, gentle, keep, mix
+from .common import as_bytes, columns, gentle, keep, map_frames, mix
 
 GRAM = 32
 _BYTE = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95))
@@ -119,7 +123,6 @@ def _own_repeats(gram: np.ndarray, key: np.ndarray, p: np.ndarray, n: np.ndarray
 def _scan(length: int):
     def run(batches):
         for pdf in batches:
-            pdf = pdf[pdf.doc_id.notna()]
             ids, blobs = pdf.doc_id.to_numpy(dtype=np.int64), [as_bytes(t) for t in pdf.text]
             i = 0
             while i < len(blobs):
@@ -143,21 +146,40 @@ def _fetch(length: int):
                 b = as_bytes(text)
                 rows += [(w["key"], doc, w["pos"], b[w["pos"] : w["pos"] + w["n"] + length - 1], w["hot"]) for w in (want if want is not None else ())]
             if rows:
-                yield pd.DataFrame(rows, columns=["key", "doc_id", "pos", "seg", "hot"])
+                yield columns(rows, "key doc_id pos seg hot")
 
     return run
 
 
-def suffix_ranks(arr: np.ndarray, depth: int) -> np.ndarray:
-    """Rank of each position's first `depth` bytes, by prefix doubling. Past the end counts as smallest."""
-    rank, have = arr.astype(np.int64) + 1, 1
+def suffix_ranks(arr: np.ndarray, left: np.ndarray, depth: int) -> dict[int, np.ndarray]:
+    """Ranks of all suffixes by their first 4, 8, 16, ... bytes, up to `depth` at least, by prefix doubling.
+
+    left: bytes from each position to the end of its own string; what is past the end counts as smallest."""
+    unit, first = np.zeros(len(arr) + 3, dtype=np.uint64), np.zeros(len(arr), dtype=np.uint64)
+    unit[: len(arr)] = arr.astype(np.uint64) + np.uint64(1)
+    for k in range(4):
+        first = (first << np.uint64(16)) | np.where(left > k, unit[k : k + len(arr)], np.uint64(0))
+    ranks, have = {4: np.unique(first, return_inverse=True)[1] + 1}, 4
     while have < depth:
-        step = min(have, depth - have)
+        rank = ranks[have]
         after = np.zeros_like(rank)
-        after[: len(rank) - step] = rank[step:]
-        _, rank = np.unique(rank * np.int64(len(arr) + 300) + after, return_inverse=True)
-        rank, have = rank.astype(np.int64) + 1, have + step
-    return rank
+        after[: max(len(rank) - have, 0)] = rank[have:]
+        pair = rank * np.int64(len(arr) + 2) + np.where(left > have, after, 0)
+        have *= 2
+        ranks[have] = np.unique(pair, return_inverse=True)[1] + 1
+    return ranks
+
+
+def shared_prefix(i: np.ndarray, j: np.ndarray, arr: np.ndarray, left: np.ndarray, ranks: dict[int, np.ndarray]) -> np.ndarray:
+    """Bytes that the suffixes at i and at j share: whole powers of two by their ranks, the last few byte by byte."""
+    most, out, end = np.minimum(left[i], left[j]), np.zeros(len(i), dtype=np.int64), len(arr) - 1
+    for depth in sorted(ranks, reverse=True):
+        same = (out < most) & (ranks[depth][np.minimum(i + out, end)] == ranks[depth][np.minimum(j + out, end)])
+        out[same] += depth
+    for _ in range(3):
+        same = (out < most) & (arr[np.minimum(i + out, end)] == arr[np.minimum(j + out, end)])
+        out[same] += 1
+    return np.minimum(out, most)
 
 
 def longest_previous(order: np.ndarray, lcp: np.ndarray) -> np.ndarray:
@@ -212,21 +234,25 @@ def _later(group: list[tuple[np.ndarray, np.ndarray, list[bytes]]], length: int)
     windows = sizes - length + 1
     seg = np.repeat(np.arange(len(segs)), windows)
     offset = np.arange(windows.sum()) - np.repeat(np.cumsum(windows) - windows, windows)
-    rank = suffix_ranks(arr, length)[first[seg] + offset]
-    at = pos[seg] + offset
+    start, at = first[seg] + offset, pos[seg] + offset
+    left = np.repeat(first + sizes, sizes) - np.arange(len(arr))
+    ranks = suffix_ranks(arr, left, int(sizes.max()))
+    whole = ranks.pop(max(ranks))[start]
     place = np.empty(len(seg), dtype=np.int64)  # position in the corpus order, dense within this batch
     place[np.lexsort((at, docs[seg]))] = np.arange(len(seg))
-    _, inverse, count = np.unique(rank, return_inverse=True, return_counts=True)
-    several = np.flatnonzero(count[inverse] > 1)
-    order = several[np.argsort(rank[several], kind="stable")]
-    lcp = np.where(np.diff(rank[order], prepend=-1) == 0, length, 0)
-    hit = order[longest_previous(place[order], lcp) >= length]
-    out = pd.DataFrame({"doc_id": docs[seg[hit]], "start": at[hit]}).sort_values(["doc_id", "start"], ignore_index=True)
+    order = np.argsort(whole, kind="stable")  # the suffix array of the windows' places
+    lcp = np.concatenate(([0], shared_prefix(start[order[:-1]], start[order[1:]], arr, left, ranks)))
+    # A suffix that shares less than `length` with both neighbours shares less with all others, so its LPF is less too.
+    near = np.maximum(lcp, np.append(lcp[1:], 0)) >= length
+    order, lcp = order[near], lcp[near]
+    lpf = longest_previous(place[order], lcp)
+    hit = lpf >= length
+    out = pd.DataFrame({"doc_id": docs[seg[order[hit]]], "start": at[order[hit]], "lpf": lpf[hit]}).sort_values(["doc_id", "start"], ignore_index=True)
     if not len(out):
-        return out.assign(end=np.zeros(0, np.int64))
+        return pd.DataFrame({k: np.zeros(0, np.int64) for k in ("doc_id", "start", "end")})
     new = (out.doc_id.diff().fillna(1) != 0) | (out.start.diff().fillna(1) != 1)
-    run = out.groupby(new.cumsum(), sort=False).agg(doc_id=("doc_id", "first"), start=("start", "first"), end=("start", "last"))
-    return run.assign(end=run.end + length)
+    # Each factor's bytes go. It loses at most its first byte from one place to the next, so a run ends where its last one does.
+    return out.assign(end=out.start + out.lpf).groupby(new.cumsum(), sort=False).agg(doc_id=("doc_id", "first"), start=("start", "first"), end=("end", "last"))
 
 
 def _match(length: int):
@@ -264,35 +290,48 @@ def _windows(length: int):
     return run
 
 
-def _cut_out(batches):
-    for pdf in batches:
-        rows = []
-        for text, spans in zip(pdf.text, pdf.spans):
-            b = as_bytes(text)
-            runs: list[list[int]] = []
-            for s, e in sorted((x["start"], x["end"]) for x in spans) if spans is not None else ():
-                if runs and s <= runs[-1][1]:
-                    runs[-1][1] = max(runs[-1][1], e)
-                else:
-                    runs.append([s, e])
-            kept, at = [], 0
-            for s, e in runs:
-                kept.append(b[at:s])
-                at = e
-            rows.append((len(b), sum(e - s for s, e in runs), len(runs), b"".join([*kept, b[at:]])))
-        done = pd.DataFrame(rows, columns=["n_bytes", "n_removed", "n_spans", "kept"], index=pdf.index)
-        out = pd.concat([pdf.drop(columns=["text", "spans"]), done], axis=1)
-        for name in out.columns:  # whole numbers with nulls come as floats
-            if out[name].dtype == float and name not in done:
-                out[name] = out[name].astype("Float64") if (out[name] % 1).any() else out[name].astype("Int64")
-        yield out
-
-
-def remove_repeats(docs: DataFrame, length: int = 100, hot: int = 20_000, carry: tuple[str, ...] = ()) -> DataFrame:
-    """(doc_id, n_bytes, n_removed, n_spans, kept binary) for each row; `carry` names further columns to pass on."""
-    rows = gentle(docs).select("doc_id", *carry, "text")
+def _cut_out(as_text: bool):
+    """What is left of each text; the other columns pass through as they are."""
+
+    def run(batches):
+        for batch in batches:
+            sizes, gone, n_runs, left = [], [], [], []
+            for text, spans in zip(batch["text"].to_pylist(), batch["spans"].to_pylist()):
+                b = as_bytes(text)
+                runs: list[list[int]] = []
+                for s, e in sorted((x["start"], x["end"]) for x in spans or ()):
+                    if runs and s <= runs[-1][1]:
+                        runs[-1][1] = max(runs[-1][1], e)
+                    else:
+                        runs.append([s, e])
+                kept, at = [], 0
+                for s, e in runs:
+                    kept.append(b[at:s])
+                    at = e
+                kept.append(b[at:])
+                sizes.append(len(b))
+                gone.append(sum(e - s for s, e in runs))
+                n_runs.append(len(runs))
+                if not as_text:
+                    left.append(b"".join(kept))
+                else:  # a character that a cut splits goes whole; each part is valid but for its ends
+                    left.append("".join([k.decode("utf-8", "ignore") for k in kept]) if runs else text)
+            names = [n for n in batch.schema.names if n not in ("text", "spans")]
+            done = [*(pa.array(x, type=pa.int64()) for x in (sizes, gone, n_runs)), pa.array(left, type=pa.string() if as_text else pa.binary())]
+            yield pa.RecordBatch.from_arrays([*(batch[n] for n in names), *done], names=[*names, "n_bytes", "n_removed", "n_spans", "kept"])
+
+    return run
+
+
+def remove_repeats(docs: DataFrame, length: int = 100, hot: int = 20_000, with_row: bool = False, as_text: bool = False) -> DataFrame:
+    """(doc_id, n_bytes, n_removed, n_spans, kept) for each row.
+
+    kept is binary; as_text makes it a string, without the characters that a cut splits, and null where the text was.
+    with_row adds a struct `row` of all columns but the text."""
+    row = [F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "text"]).alias("row")] if with_row else []
+    rows = gentle(docs).select("doc_id", *row, "text")
     docs = docs.select("doc_id", "text")
-    segs = docs.mapInPandas(_scan(length), "key long, sig long, doc_id long, pos int, own int")
+    segs = docs.where("doc_id is not null").mapInPandas(_scan(length), "key long, sig long, doc_id long, pos int, own int")
     keys = segs.groupBy("key").agg(F.count("*").cast("int").alias("c"), F.max("own").alias("own")).where("c > 1 or own > 0")
     shared = keep(segs.drop("own").join(keys.select("key", "own"), "key").withColumn("n", F.expr("cast(sig & 255 as int)")))
 
@@ -306,7 +345,7 @@ def remove_repeats(docs: DataFrame, length: int = 100, hot: int = 20_000, carry:
     mixed = keep(firsts.join(busy, "key").select("key", F.col("f.doc_id").alias("doc_id"), F.col("f.pos").alias("pos"), "n", "hot"))
     wanted = mixed.groupBy("doc_id").agg(F.collect_list(F.struct("key", "pos", "n", "hot")).alias("want"))
     # Outer as the last join is, so that both read the texts from one exchange.
-    fetched = docs.join(wanted, "doc_id", "left").mapInPandas(_fetch(length), "key long, doc_id long, pos int, seg binary, hot boolean")
+    fetched = map_frames(docs.join(wanted, "doc_id", "left"), _fetch(length), "key long, doc_id long, pos int, seg binary, hot boolean")
     some_hot = bool(mixed.where("hot").take(1))
     cold = (fetched.where("not hot") if some_hot else fetched).drop("hot")
     cold = cold.repartition("key").sortWithinPartitions("key").mapInPandas(_match(length), "doc_id long, start int, end int")
@@ -318,8 +357,9 @@ def remove_repeats(docs: DataFrame, length: int = 100, hot: int = 20_000, carry:
         spans = spans.union(again.select("doc_id", span("pos", f"pos + {length}").alias("span")))
 
     spans = spans.groupBy("doc_id").agg(F.collect_list("span").alias("spans"))
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name != "text")
-    return rows.join(spans, "doc_id", "left").mapInPandas(_cut_out, f"{kinds}, n_bytes long, n_removed long, n_spans long, kept binary")
+    kept = f"n_bytes long, n_removed long, n_spans long, kept {'string' if as_text else 'binary'}"
+    kinds = StructType([*[f for f in rows.schema if f.name != "text"], *StructType.fromDDL(kept)])
+    return rows.join(spans, "doc_id", "left").mapInArrow(_cut_out(as_text), kinds)
 
 
 def removal_report(docs: DataFrame, length: int = 100) -> DataFrame:

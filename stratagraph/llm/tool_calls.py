@@ -15,6 +15,8 @@ ignored.
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -43,7 +45,7 @@ def canonical(arguments: Column) -> Column:
     return F.to_json(F.try_parse_json(arguments))
 
 
-def levels(calls: DataFrame, max_rounds: int = 10_000) -> DataFrame:
+def levels(calls: DataFrame) -> DataFrame:
     """(call_id, level) of the distinct calls (call_id, needs) that can be ordered; 1 needs nothing.
 
     An identifier that several rows carry needs what any of them needs."""
@@ -52,7 +54,7 @@ def levels(calls: DataFrame, max_rounds: int = 10_000) -> DataFrame:
     done = calls.select("call_id").distinct().join(needs, "call_id", "left_anti").withColumn("level", F.lit(1))
     done = cut(done)
     open_ = needs
-    for level in range(2, max_rounds):
+    for level in itertools.count(2):
         if not open_.take(1):
             break
         # A call is ready once none of its needs is outside of what is done.

@@ -20,11 +20,10 @@ from __future__ import annotations
 import uuid
 import zlib
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import as_bytes, checkpoint_dir, cut, gentle
+from .common import as_bytes, checkpoint_dir, cut, gentle, map_frames, remove_at_exit
 
 MAGIC = b"\x1f\x8b\x08"
 _DATE = "2024-01-01T00:00:00Z"
@@ -83,19 +82,18 @@ def _write(folder: str):
         path, out, size = f"{base}/{uuid.uuid4().hex}.warc.gz", None, 0
         for pdf in batches:
             for row in pdf.itertuples(index=False):
-                whole = lambda x: None if x is None or x != x else int(x)
                 if out is None:
                     fs.create_dir(base, recursive=True)
                     out = fs.open_output_stream(path, compression=None)
                 payload = as_bytes(row.html)
-                first, page = whole(row.first), whole(row.page_id)
+                first, page = row.first, row.page_id
                 kind = "revisit" if first is not None and page is not None and page != first else "response"
                 data = record(page, row.url, kind, payload, row.digest, first)
                 out.write(data)
                 size += len(data)
         if out is not None:
             out.close()
-            yield pd.DataFrame({"path": [path], "size": [size]})
+            yield {"path": [path], "size": [size]}
 
     return run
 
@@ -107,8 +105,10 @@ def write_archives(pages: DataFrame, folder: str, least: int = 100) -> DataFrame
     rows = pages.select("page_id", "url", "html", F.sha2(payload, 256).alias("digest"), F.octet_length(payload).alias("n"))
     first = rows.where(F.col("n") >= least).groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("c")).where("c > 1").drop("c")
     # Only digests are shuffled for this; payloads move once, to meet them.
-    rows = rows.join(first, "digest", "left")
-    return cut(rows.mapInPandas(_write(folder), "path string, size long"))
+    # Small payloads get a key of their own each, so that all empty pages don't meet in one task.
+    key = F.when(F.col("n") >= least, F.col("digest")).otherwise(F.concat(F.lit("-"), F.xxhash64("page_id", "url").cast("string")))
+    rows = rows.withColumn("key", key).join(first.withColumnRenamed("digest", "key"), "key", "left")
+    return cut(map_frames(rows, _write(folder), "path string, size long"))
 
 
 class _Window:
@@ -187,38 +187,38 @@ def _read(folder: str):
                         rows.append(row)
                         held += len(row["payload"])
                         if held > 8_000_000:
-                            yield _frame(rows)
+                            yield {name: [r[name] for r in rows] for name in rows[0]}
                             rows, held = [], 0
                 if rows:
-                    yield _frame(rows)
+                    yield {name: [r[name] for r in rows] for name in rows[0]}
 
     return run
 
 
-def _frame(rows: list[dict]) -> pd.DataFrame:
-    return pd.DataFrame(rows).astype({"page_id": "Int64", "refers_to": "Int64"})
-
-
 def read_archives(files: DataFrame, folder: str, split_bytes: int = 1 << 20) -> DataFrame:
     """The records of archives given as (path, size); `folder` tells the file system."""
     starts = F.explode(F.sequence(F.lit(0).cast("long"), F.col("size") - 1, F.lit(split_bytes).cast("long")))
     ranges = files.where("size > 0").select("path", "size", starts.alias("start"))
     ranges = ranges.withColumn("end", F.least(F.col("size"), F.col("start") + split_bytes))
-    return ranges.repartition("path", "start").mapInPandas(_read(folder), READ_COLUMNS)
+    return map_frames(ranges.repartition("path", "start"), _read(folder), READ_COLUMNS)
 
 
 def archive_folder(spark: SparkSession) -> str:
-    return f"{checkpoint_dir(spark)}/warc-{uuid.uuid4().hex}"
+    """A new folder in the shared checkpoint folder; removed when the driver ends."""
+    return remove_at_exit(spark, f"{checkpoint_dir(spark)}/warc-{uuid.uuid4().hex}")
 
 
 def round_trip(pages: DataFrame) -> DataFrame:
-    """Writes the pages' archives and reads them back: each record with its payload.
+    """Writes the pages' archives and reads them back: (page_id, url, record_type, refers_to, payload_bytes, payload_digest).
 
-    A revisit's payload is that of the record it refers to; lengths and digests of responses are taken from the bytes read."""
+    Lengths and digests are those of the bytes read, a revisit's those of the response it refers to; a response that is
+    missing or differs from what the revisit's header says raises an error. `read_archives` gives the payloads."""
     folder = archive_folder(pages.sparkSession)
-    files = write_archives(pages, folder)
-    found = read_archives(files, folder)
+    found = read_archives(write_archives(pages, folder), folder)
+    found = found.select("page_id", "url", "record_type", "refers_to", F.octet_length("payload").cast("long").alias("n"), F.sha2("payload", 256).alias("read"), "payload_bytes", "payload_digest")
+    found = cut(found)
     response = F.col("record_type") == "response"
-    digest = F.when(response, F.sha2("payload", 256)).otherwise(F.col("payload_digest"))
-    size = F.when(response, F.octet_length("payload").cast("long")).otherwise(F.col("payload_bytes"))
-    return found.select("page_id", "url", "payload", size.alias("payload_bytes"), digest.alias("payload_digest"), "record_type", "refers_to")
+    responses = found.where(response).select(F.col("page_id").alias("refers_to"), F.col("read").alias("payload_digest"), "n", "read").distinct()
+    again = found.where(~response).drop("n", "read").join(responses, ["refers_to", "payload_digest"], "left")
+    again = again.withColumn("n", F.when(F.col("n") == F.col("payload_bytes"), F.col("n")).otherwise(F.raise_error(F.lit("a revisit's response is missing or damaged")).cast("long")))
+    return found.where(response).unionByName(again).select("page_id", "url", "record_type", "refers_to", F.col("n").alias("payload_bytes"), F.col("read").alias("payload_digest"))

@@ -126,8 +126,10 @@ def test_longest_previous_factor():
         lpf = suffix_dedup.longest_previous(np.array(order), np.array(lcp))
         want = [max((common(i, j) for j in range(i)), default=0) for i in order]
         assert lpf.tolist() == want, s
-        ranks = suffix_dedup.suffix_ranks(np.frombuffer(s.encode(), np.uint8), len(s))
-        assert [i for _, i in sorted((r, i) for i, r in enumerate(ranks))] == order
+        arr, left = np.frombuffer(s.encode(), np.uint8), np.arange(len(s), 0, -1)
+        ranks = suffix_dedup.suffix_ranks(arr, left, len(s))
+        assert [i for _, i in sorted((r, i) for i, r in enumerate(ranks[max(ranks)]))] == order
+        assert suffix_dedup.shared_prefix(np.array(order[:-1], int), np.array(order[1:], int), arr, left, ranks).tolist() == lcp[1:]
 
 
 # 2
@@ -570,3 +572,96 @@ def test_near_join_edges(spark, nothing):
 def test_components_by_rounds(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(30)] + [(100, 101), (101, 99), (7, 7)], "a long, b long")
     assert sorted(map(tuple, components(links, one_task=0).collect())) == sorted(map(tuple, components(links).collect()))
+
+
+# all
+
+
+BIG = [(1 << 60) + 1, (1 << 60) + 3, (1 << 53) + 1]
+
+
+def test_ids_beyond_doubles_beside_a_null(spark):
+    """Ids above 2 ** 53 in one batch with a null id come back exactly, and stay apart."""
+    rng = random.Random(12)
+    texts = [prose(rng, 60) for _ in range(4)]
+    rows = [(BIG[0], texts[0], texts[0], "s"), (None, texts[1], texts[1], "s"), (BIG[1], texts[2], texts[2], "s"), (BIG[2], texts[3], texts[3], "s"), (BIG[1] + 1, texts[2], texts[2], "s")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, html string, source string").coalesce(1)
+    want = sorted([*BIG, BIG[1] + 1, -1])
+    pages = df.select(F.col("doc_id").alias("page_id"), F.col("source").alias("url"), "html")
+    found = {
+        1: suffix_dedup.remove_repeats(df), 2: warc.round_trip(pages), 3: packing.pack(df, tokenizer_path()), 4: media.media_features(df), 5: html_text.main_texts(pages),
+        6: mixing.mix_sources(df), 8: lm_scoring.score_documents(df), 9: quality.judge(df), 10: near_join.near_classes(df),
+    }
+    for op, out in found.items():
+        name = "page_id" if op in (2, 5) else "doc_id"
+        assert sorted(-1 if r[name] is None else r[name] for r in out.select(name).collect()) == want, op
+    removed = {r.doc_id: r.n_removed for r in found[1].collect()}
+    assert removed[BIG[1] + 1] == len(texts[2]) and not any(n for i, n in removed.items() if i != BIG[1] + 1)
+    assert {r.page_id: r.refers_to for r in found[2].collect() if r.record_type == "revisit"} == {BIG[1] + 1: BIG[1]}
+    assert {r.doc_id: r.component_id for r in found[10].collect()} == {None: None, BIG[0]: BIG[0], BIG[1]: BIG[1], BIG[2]: BIG[2], BIG[1] + 1: BIG[1]}
+
+
+def test_very_long_texts(spark):
+    """Texts of a megabyte beside short ones, against brute force where there is one."""
+    rng = random.Random(13)
+    passage = prose(rng, 50)
+    long = " ".join(f"{rng.choice(WORDS)}{rng.randrange(1000)}" for _ in range(120_000)) + " " + passage
+    texts = {1: long, 2: f"start {passage} end", 3: long.replace(" ", " x ", 50), 4: "short text"}
+    df = spark.createDataFrame([(i, t, "s") for i, t in texts.items()], "doc_id long, text string, source string").repartition(2)
+    want = suffix_dedup.brute_force({i: t.encode() for i, t in texts.items()})
+    got = {r.doc_id: (r.n_removed, r.n_spans, r.kept_sha256) for r in suffix_dedup.removal_report(df).collect()}
+    assert got == want
+    pages = df.select(F.col("doc_id").alias("page_id"), F.lit("http://h").alias("url"), F.concat(F.lit("<article><p>"), "text", F.lit("</p></article>")).alias("html"))
+    assert {r.page_id: r.payload_bytes for r in warc.round_trip(pages).collect()} == {i: len(t) + 26 for i, t in texts.items()}
+    assert {r.page_id: r.text for r in html_text.main_texts(pages).collect()} == texts
+    assert {r.doc_id: r.payload_sha256 for r in media.media_features(df).collect()} == {i: hashlib.sha256(media.payload_of(t)[0]).hexdigest() for i, t in texts.items()}
+    assert {r.doc_id: r.size for r in mixing.mix_sources(df).collect()} == {i: len(t.split()) for i, t in texts.items()}
+    assert {r.doc_id: r.n_words for r in quality.judge(df).collect()} == {i: len(t.split()) for i, t in texts.items()}
+    assert {r.doc_id: r.component_id for r in near_join.near_classes(df).collect()} == {1: 1, 2: 2, 3: 1, 4: 4}
+    model = lm_scoring.BackoffAutomaton([t for i, t in texts.items() if not lm_scoring.held_out(i)])
+    assert {r.doc_id: r.score for r in lm_scoring.score_documents(df, 300_000).collect()} == pytest.approx({i: model.score(t) for i, t in texts.items()}, abs=1e-6)
+    pieces = packing.pack(df, tokenizer_path()).groupBy("doc_id").agg(F.count("*").alias("n"), F.sum("length").alias("ids")).collect()
+    assert all(r.n == -(-r.ids // 2048) for r in pieces) and {r.doc_id for r in pieces} == set(texts)
+
+
+def test_mixing_fills_with_one_of_repeated_rows(spark):
+    rows = [(i, "w " * 7, "a") for i in range(9)] + [(50, "w " * 2, "a")] * 4 + [(100 + i, "w " * 11, "b") for i in range(9)]
+    got = mixing.mix_sources(spark.createDataFrame(rows, "doc_id long, text string, source string"), weights=(1, 1)).collect()
+    for s in (range(100), range(100, 200)):
+        part = [r for r in got if r.doc_id in s]
+        assert abs(sum(r.taken for r in part) - part[0].target) <= 11
+
+
+def test_words_in_classes_keep_article_text(spark):
+    """Words of the list in an element's class drop it only where they say what the element is."""
+    text = "long text " * 30
+    kept = "<section class='related-work'><p>work</p></section><p class='share-price'>price</p><div id='search-algorithms'>search</div>"
+    gone = "<div class='share-buttons'>Share</div><div class='related-posts'>More</div><ul id='comment-list'><li>Hm</ul><div class='notice'>Note</div>"
+    rows = [(1, "http://h/", f"<body><article><p>{text}</p>{kept}{gone}</article></body>")]
+    got = html_text.main_texts(spark.createDataFrame(rows, "page_id long, url string, html string")).first().text
+    assert got == f"{text.strip()}\nwork\nprice\nsearch"
+
+
+def test_html_paths_of_many_hosts(spark, monkeypatch):
+    """Beyond the broadcast, a host's path meets its pages in parts, with the same texts."""
+    rows = [(i, f"http://h{i % 3}/{i}", f"<body><div class='m{i % 3}'><p>{'text ' * (5 + i)}</p></div><div class='x'><p>few</p></div></body>") for i in range(40)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    want = {r.page_id: r.text for r in html_text.main_texts(pages).collect()}
+    monkeypatch.setattr(html_text, "BROADCAST_BYTES", 0)
+    assert {r.page_id: r.text for r in html_text.main_texts(pages).collect()} == want and len(want) == 40
+
+
+def test_packing_ranks_by_salts(spark, docs, monkeypatch):
+    monkeypatch.setattr(packing, "RANKED", 2)
+    rows = packing.pack(docs, tokenizer_path(), capacity=64).collect()
+    seqs = collections.defaultdict(list)
+    for r in rows:
+        seqs[r.sequence_id].append((r.offset, r.length))
+    for parts in seqs.values():
+        ends = [0, *(o + n for o, n in sorted(parts))]
+        assert [o for o, _ in sorted(parts)] == ends[:-1] and ends[-1] <= 64
+
+
+def test_tool_calls_of_many_levels(spark):
+    calls = spark.createDataFrame([(f"c{i}", [f"c{i - 1}"] if i else []) for i in range(12)], "call_id string, needs array<string>")
+    assert {r.call_id: r.level for r in tool_calls.levels(calls).collect()} == {f"c{i}": i + 1 for i in range(12)}

@@ -52,3 +52,21 @@ def test_stages(spark, folder):
 
 def test_run_reads_the_tables(spark, folder):
     assert corpus_pipeline.run(spark, folder).count() > 50
+
+
+def test_clashing_columns_and_repeated_ids(spark):
+    """Extra columns with the operators' own names pass through; rows with one id and two texts are two documents."""
+    rng = random.Random(14)
+    texts = [prose(rng, 60) for _ in range(4)]
+    rows = [(1, texts[0]), (1, texts[1]), (2, texts[1]), (2, texts[1]), (3, texts[2] + " \N{REPLACEMENT CHARACTER} é"), (4, "ü" * 3 + texts[2]), (None, texts[3]), (None, None)]
+    extra = "n_bytes spans kept size taken row key _key _pattern again text2 n_chars path"
+    names = extra.split()
+    docs = spark.createDataFrame([(i, t, "s", *([str(k)] * len(names))) for k, (i, t) in enumerate(rows)], "doc_id long, text string, source string, " + ", ".join(f"{n} string" for n in names)).drop("n_chars")
+    for stage in (corpus_pipeline.quality, corpus_pipeline.near_duplicates, corpus_pipeline.passages, corpus_pipeline.mixing):
+        out = stage(spark, docs, "")
+        assert out.columns == docs.columns and all(r.n_bytes == r["taken"] == r.path for r in out.collect())
+    kept = sorted((r.doc_id or 0, r.text) for r in corpus_pipeline.near_duplicates(spark, docs, "").collect() if r.text)
+    assert kept == sorted([(1, texts[0]), (1, texts[1]), (3, rows[4][1]), (0, texts[3])])
+    left = {r.doc_id: r.text for r in corpus_pipeline.passages(spark, docs.where("doc_id > 2"), "").collect()}
+    assert left == {3: rows[4][1], 4: "ü" * 3}
+    assert corpus_pipeline.packing(spark, docs, "").count() == 8
