@@ -44,11 +44,15 @@ def page_components(graph: Graph) -> DataFrame:
     return pages.join(parts, "file_path").select("source", "target")
 
 
-def component_uses(uses: DataFrame, graph: Graph) -> DataFrame:
-    """Resolve uses (source, file_path, tag) to components by name: the first in another file, else the first."""
-    named = graph.nodes.where("type = 'component'").select(F.col("name").alias("tag"), F.col("id").alias("target"), F.col("file_path").alias("at"), "ord")
-    found = uses.join(named, "tag").withColumn("same", (F.col("at") == F.col("file_path")).cast("int"))
-    return ranked_first(found, ["source", "tag"], "same", "ord").select("source", "target", "tag")
+def component_uses(uses: DataFrame, imports: DataFrame, graph: Graph) -> DataFrame:
+    """Resolve uses (source, file_path, tag) that their file imports (file_path, tag) to components by name: the first in
+    another file, else the first. A name keeps two candidates, the first and the first outside of that one's file."""
+    named = graph.nodes.where("type = 'component'").select(F.col("name").alias("tag"), F.struct("ord", F.col("id").alias("target"), F.col("file_path").alias("at")).alias("c"))
+    first = named.groupBy("tag").agg(F.min("c").alias("first"))
+    other = named.join(first, "tag").where("c.at <> first.at").groupBy("tag").agg(F.min("c").alias("other"))
+    found = uses.join(imports.select("file_path", "tag").distinct(), ["file_path", "tag"], "left_semi").join(first, "tag").join(other, "tag", "left")
+    target = F.when(F.col("first.at") != F.col("file_path"), F.col("first.target")).otherwise(F.coalesce("other.target", "first.target"))
+    return found.select("source", target.alias("target"), "tag").distinct()
 
 
 def repaired_sources(graph: Graph) -> DataFrame:

@@ -78,14 +78,24 @@ class PathAliases:
                 self.exact[pattern] = targets
         self.starred.sort(key=lambda x: -len(x[0]))
 
+    @property
+    def any(self) -> bool:
+        return bool(self.exact or self.starred)
+
+    def files(self, specifier: str, importer: str) -> list[str]:
+        """Paths of files that an import may mean."""
+        if specifier.startswith("."):
+            return import_candidates(importer, specifier)
+        return [c for at in self.resolve(specifier) for c in import_candidates("", "./" + at)]
+
     def resolve(self, specifier: str, importer: str = "") -> list[str]:
         """Candidate paths; of a relative import those beside the importer."""
         import posixpath
 
         if specifier.startswith("."):
             return import_candidates(importer, specifier)
-        for target in self.exact.get(specifier, []):
-            return [posixpath.normpath(posixpath.join(self.base, target))]
+        if specifier in self.exact:
+            return [posixpath.normpath(posixpath.join(self.base, t)) for t in self.exact[specifier]]
         for before, after, targets in self.starred:
             if specifier.startswith(before) and specifier.endswith(after) and len(specifier) >= len(before) + len(after):
                 middle = specifier[len(before) : len(specifier) - len(after)]

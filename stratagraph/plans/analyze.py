@@ -12,10 +12,11 @@ from pyspark.sql import functions as F
 from ..extract.registry import Registry, extract
 from ..graph import Graph
 from ..operators import detect
+from ..operators.match import PathAliases
 from ..operators.dedup import dedup_edges, dedup_nodes, sanitize, sanitized_edges, without_dangling
 from ..operators.stats import file_digests, graph_digest, table_digest
 from ..runtime import cut
-from ..sources.files import collect_files, detect_project, load_config, read_files
+from ..sources.files import collect_files, detect_project, load_config, path_aliases, read_files
 from ..sources.snapshots import SnapshotStore, WriteReport
 from .link import checked, import_edges, link, link_components, link_tests
 
@@ -42,7 +43,7 @@ class Analysis:
     report: WriteReport | None = None
 
 
-def detectors(facts: DataFrame) -> dict[str, detect.Detector]:
+def detectors(facts: DataFrame, aliases: PathAliases | None = None) -> dict[str, detect.Detector]:
     """The default detectors over a graph and its sources' facts."""
     by_name = facts.where("kind = 'scope'").select(F.col("path").alias("file_path"), "name", F.col("value").alias("text"))
 
@@ -59,12 +60,12 @@ def detectors(facts: DataFrame) -> dict[str, detect.Detector]:
         "consistency": detect.consistency,
         "auth": lambda g: detect.unguarded_routes(g, scopes(g)),
         "n_plus_one": lambda g: detect.repeated_queries(g, loops),
-        "rsc": lambda g: detect.boundary_violations(g, import_edges(facts), directives),
+        "rsc": lambda g: detect.boundary_violations(g, import_edges(facts, aliases), directives),
     }
 
 
-def analyze_files(files: DataFrame, meta: dict, registry: Registry | None = None, extra: dict[str, detect.Detector] | None = None, progress: Callable[[str], None] = lambda phase: None, aborted: Callable[[], bool] = lambda: False) -> Analysis:
-    """Analysis of files (path, text, ord) under a project's metadata. `extra` adds detectors."""
+def analyze_files(files: DataFrame, meta: dict, registry: Registry | None = None, extra: dict[str, detect.Detector] | None = None, progress: Callable[[str], None] = lambda phase: None, aborted: Callable[[], bool] = lambda: False, aliases: PathAliases | None = None) -> Analysis:
+    """Analysis of files (path, text, ord) under a project's metadata. `extra` adds detectors; aliases resolve imports."""
 
     def phase(name: str) -> None:
         if aborted():
@@ -84,13 +85,13 @@ def analyze_files(files: DataFrame, meta: dict, registry: Registry | None = None
     tests = Graph(dedup_nodes(raw.nodes.where("ord.stage = 1")), dedup_edges(raw.edges.where("ord.stage = 1")))
     both = checked(linked.union(tests))
     both = Graph(cut(both.nodes), cut(both.edges))
-    covered = link_tests(both, facts, files)
+    covered = link_tests(both, facts, files, aliases)
     both = Graph(both.nodes, both.edges.unionByName(covered.select(*both.edges.columns)))
     phase("sanitize")
     removed = sanitize(both).removed.first().asDict()
     clean = Graph(both.nodes, cut(sanitized_edges(both)))
     phase("detect")
-    issues, failed = detect.run_detectors(clean, detectors(facts) | (extra or {}))
+    issues, failed = detect.run_detectors(clean, detectors(facts, aliases) | (extra or {}))
     issues = cut(detect.dedup_issues(issues))
     source = table_digest(file_digests(files.select("path", F.encode("text", "UTF-8").alias("content"))), ["path", "digest"]).first()["digest"]
     return Analysis(clean, errors, issues, failed, removed, source, graph_digest(clean))
@@ -104,7 +105,7 @@ def analyze(spark: SparkSession, root: str, store: SnapshotStore | None = None,
     paths = collect_files(root, project.dirs or None)
     if not paths:
         raise NoSources(f"{root} has no supported source files")
-    out = analyze_files(read_files(spark, root, paths), project.meta(), registry, None, progress, aborted)
+    out = analyze_files(read_files(spark, root, paths), project.meta(), registry, None, progress, aborted, path_aliases(root))
     if store is not None:
         if aborted():
             raise Aborted("commit")

@@ -37,7 +37,9 @@ def link_components(graph: Graph) -> Graph:
     """Pages to the page components of their files, and renders of unknown tags to components by name."""
     named = graph.edges.where("type = 'renders'").where(F.split("target", ":", 3)[1] == "unknown")
     uses = named.select("source", F.split("source", ":", 3)[1].alias("file_path"), F.split("target", ":", 3)[2].alias("tag"), "confidence", "metadata")
-    found = component_uses(uses.select("source", "file_path", "tag").distinct(), graph)
+    # The extractor marks a tag as certain where its file imports it; others stand for no component.
+    imports = uses.where("confidence = 'certain'").select("file_path", "tag")
+    found = component_uses(uses.select("source", "file_path", "tag").distinct(), imports, graph)
     resolved = found.join(uses, ["source", "tag"]).groupBy("source", "target").agg(F.max((F.col("confidence") == "certain").cast("int")).alias("c"), F.min("metadata").alias("metadata"))
     edges = as_edges(page_components(graph), "renders", True, 1)
     for certain in (True, False):
@@ -113,44 +115,64 @@ def link_services(graph: Graph, facts: DataFrame) -> Graph:
 
 
 def link_queries(graph: Graph, facts: DataFrame) -> Graph:
-    """Queries in a caller's scope to models of that name, whatever the case; of models with one name the last counts."""
+    """Queries in a caller's scope to models of that name, whatever the case; of models with one name the last counts. Of a
+    pair's different operations, in the order they first appear, the last is the edge's; all are listed beside it."""
     scopes = _handler_scopes(graph, facts)
     pattern = r"(?:prisma|db|tx)\.(\w+)\.(\w+)\s*\(|(?<![\w.])(?:this\.)?(\w+?)[rR]epo(?:sitory)?\.(\w+)\s*\(|[mM]anager\.(\w+)\s*\(\s*(\w+)"
-    hits = scopes.select("node_id", F.explode(F.regexp_extract_all("text", F.lit(pattern), F.lit(0))).alias("hit"))
+    hits = scopes.select("node_id", F.posexplode(F.regexp_extract_all("text", F.lit(pattern), F.lit(0))).alias("at", "hit"))
     part = lambda i: F.nullif(F.regexp_extract("hit", pattern, i), F.lit(""))
-    calls = hits.select("node_id", F.lower(F.coalesce(part(1), part(3), part(6))).alias("key"), F.coalesce(part(2), part(4), part(5)).alias("operation")).where("key is not null")
+    calls = hits.select("node_id", "at", F.lower(F.coalesce(part(1), part(3), part(6))).alias("key"), F.coalesce(part(2), part(4), part(5)).alias("operation")).where("key is not null")
     models = graph.nodes.where("type = 'db_model'").groupBy(F.lower("name").alias("key")).agg(F.max_by("id", "ord").alias("target"))
-    pairs = calls.join(models, "key").groupBy(F.col("node_id").alias("source"), "target").agg(F.min("operation").alias("operation"))
-    return Graph(graph.nodes, graph.edges.unionByName(as_edges(pairs, "queries_db", False, 5, F.to_json(F.struct("operation")))))
+    return Graph(graph.nodes, graph.edges.unionByName(as_edges(query_operations(calls.join(models, "key")), "queries_db", False, 5, F.to_json(F.struct("operation", "operations")))))
 
 
-def import_edges(facts: DataFrame) -> DataFrame:
-    """(file, imported, specifier, line): relative imports against the seven paths they may mean."""
+def query_operations(calls: DataFrame) -> DataFrame:
+    """(source, target, operation, operations) of calls (node_id, target, at, operation): the operations of each pair in the
+    order they first appear, and the last of them."""
+    once = calls.groupBy(F.col("node_id").alias("source"), "target", "operation").agg(F.min("at").alias("at"))
+    listed = once.groupBy("source", "target").agg(F.sort_array(F.collect_list(F.struct("at", "operation"))).alias("_l"))
+    return listed.select("source", "target", F.element_at("_l", -1)["operation"].alias("operation"), F.transform("_l", lambda x: x["operation"]).alias("operations"))
+
+
+def import_edges(facts: DataFrame, aliases: match.PathAliases | None = None) -> DataFrame:
+    """(file, imported, specifier, line): relative and aliased imports against the paths they may mean."""
     importable(facts.sparkSession)
-    rel = facts.where("kind = 'import' and source like '.%'").select(F.col("path").alias("file"), F.col("source").alias("specifier"), "line").distinct()
+    aliases = aliases or match.PathAliases({})
+    rel = facts.where("kind = 'import'").where(F.col("source").startswith(".") | F.lit(aliases.any)).select(F.col("path").alias("file"), F.col("source").alias("specifier"), "line").distinct()
 
     @F.pandas_udf("array<string>")
     def candidates(file: pd.Series, specifier: pd.Series) -> pd.Series:
-        return pd.Series([match.import_candidates(f, s) for f, s in zip(file, specifier)])
+        return pd.Series([aliases.files(s, f) for f, s in zip(file, specifier)])
 
     return rel.select("file", "specifier", "line", F.explode(candidates("file", "specifier")).alias("imported"))
 
 
-def callers_of(graph: Graph, facts: DataFrame, depth: int = 5) -> DataFrame:
-    """Call chains across files, approximated: a file's functions reach those of the files that it imports, directly or
-    over at most `depth` imports. (file, reached, depth); a type checker would tell which function is meant."""
-    edges = import_edges(facts).join(facts.select(F.col("path").alias("imported")).distinct(), "imported", "left_semi").select(F.col("file").alias("source"), F.col("imported").alias("target")).distinct()
-    starts = facts.select(F.col("path").alias("id")).distinct()
-    return reach(edges, starts.where(F.lit(True)).limit(0).union(starts), depth)
+def call_edges(facts: DataFrame, aliases: match.PathAliases | None = None) -> DataFrame:
+    """(source, target): a function "file#name" to those it calls by name, its file's own or imported ones, if they exist."""
+    scopes = facts.where("kind = 'scope'").select(F.col("path").alias("file"), "name", F.col("value").alias("text"))
+    known = scopes.select(F.concat_ws("#", "file", "name").alias("target")).distinct()
+    called = F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(r"(?<![\w.$])([A-Za-z_$][\w$]*)\s*\("), F.lit(1))))
+    calls = scopes.select("file", F.concat_ws("#", "file", "name").alias("source"), called.alias("local"))
+    names = facts.where("kind = 'import' and name <> ''").select(F.col("path").alias("file"), F.col("name").alias("local"), F.col("source").alias("specifier"), F.col("target").alias("wanted"))
+    names = names.withColumn("wanted", F.when(F.col("wanted").isin("default", "*"), F.col("local")).otherwise(F.col("wanted")))
+    abroad = calls.join(names, ["file", "local"]).join(import_edges(facts, aliases).select("file", "specifier", "imported").distinct(), ["file", "specifier"])
+    found = abroad.select("source", F.concat_ws("#", "imported", "wanted").alias("target")).union(calls.select("source", F.concat_ws("#", "file", "local")))
+    return found.join(known, "target", "left_semi").select("source", "target").where("source <> target").distinct()
+
+
+def call_chains(facts: DataFrame, starts: DataFrame, depth: int = 5, aliases: match.PathAliases | None = None) -> DataFrame:
+    """Functions "file#name" that those in `starts` (id) reach over at most `depth` calls. Calls are matched by name and
+    import; methods of objects and types are not resolved."""
+    return reach(call_edges(facts, aliases), starts, depth)
 
 
-def link_tests(graph: Graph, facts: DataFrame, files: DataFrame) -> DataFrame:
+def link_tests(graph: Graph, facts: DataFrame, files: DataFrame, aliases: match.PathAliases | None = None) -> DataFrame:
     """Coverage edges: named imports of a test file that mean exactly one production node, certain if called in the file;
     and route literals in quotes."""
     cases = graph.nodes.where("type = 'test_case'").select(F.col("id").alias("case_id"), "file_path")
     production = graph.nodes.where(~F.col("type").isin("test_suite", "test_case", "test_fixture")).select(F.col("id").alias("target"), F.col("file_path").alias("imported"), F.coalesce(_j("functionName"), F.col("name")).alias("wanted"))
     named = facts.where("kind = 'import' and name <> ''").select(F.col("path").alias("file"), "name", F.col("source").alias("specifier"), F.col("target").alias("what")).withColumn("wanted", F.when(F.col("what").isin("default", "*"), F.col("name")).otherwise(F.col("what")))
-    paths = import_edges(facts).select("file", "specifier", "imported").distinct()
+    paths = import_edges(facts, aliases).select("file", "specifier", "imported").distinct()
     found = cases.join(named, cases["file_path"] == named["file"]).join(paths, ["file", "specifier"]).join(production, ["imported", "wanted"])
     single = found.groupBy("case_id", "file", "name").agg(F.countDistinct("target").alias("n"), F.min("target").alias("target")).where("n = 1")
     texts = files.select(F.col("path").alias("file"), "text")

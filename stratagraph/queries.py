@@ -284,17 +284,16 @@ def dead_call(spark, sf):
     return found.select(F.col("related_nodes")[0].alias("source"), F.split_part("description", F.lit(" "), F.lit(2)).alias("target")).withColumn("target", F.rtrim(F.regexp_replace("target", ",$", "")))
 
 
-_SPARSE = f"sparse AS ({derived.text(derived.SPARSE_CALLS)})"
+_ALL = f"every AS (SELECT * FROM nodes UNION ALL {derived.text(derived.LONE)})"
 
 
-def _sparse(spark, sf) -> Graph:
-    g = _graph(spark, sf)
-    return derived.with_edges(g, derived.run(spark, sf, derived.SPARSE_CALLS), "calls_api")
+def _with_lone(spark, sf) -> Graph:
+    return derived.graph(spark, sf, lone=True)
 
 
-@query(f"WITH {_SPARSE} SELECT id FROM nodes WHERE type = 'api_route' AND id NOT IN (SELECT target FROM sparse)")
+@query(f"WITH {_ALL} SELECT id FROM every WHERE type = 'api_route' AND id NOT IN (SELECT target FROM edges)")
 def unused_route(spark, sf):
-    return detect.unused_routes(_sparse(spark, sf)).select(F.col("related_nodes")[0].alias("id"))
+    return detect.unused_routes(_with_lone(spark, sf)).select(F.col("related_nodes")[0].alias("id"))
 
 
 @query("SELECT id FROM nodes WHERE id NOT IN (SELECT source FROM edges) AND id NOT IN (SELECT target FROM edges) UNION ALL SELECT 'service:x:' || r_name FROM region")
@@ -310,50 +309,48 @@ def method_mismatch(spark, sf):
     return detect.method_mismatches(_graph(spark, sf)).select(F.col("related_nodes")[0].alias("source"), F.col("related_nodes")[1].alias("target"))
 
 
-@query("SELECT DISTINCT p_brand AS url FROM part WHERE p_brand NOT IN (SELECT p_brand FROM part WHERE p_partkey % 40 = 0)", graph=False)
+@query("SELECT DISTINCT c_mktsegment || '.' || c_name AS url FROM customer WHERE c_name NOT IN (SELECT p_brand FROM part) UNION SELECT p_type FROM part WHERE p_type NOT IN (SELECT p_brand FROM part)", graph=False)
 def missing_name(spark, sf):
     part = load(spark, sf, "part")
-    names = part.where("p_partkey % 40 = 0").select(F.concat(F.lit("trpc_procedure:x:"), "p_brand").alias("id"), F.lit("trpc_procedure").alias("type"), F.col("p_brand").alias("name"), F.lit("x").alias("file_path"), F.lit("{}").alias("metadata"))
-    calls = part.select(F.lit("calls_api").alias("type"), F.lit("component:a:b").alias("source"), F.concat(F.lit("trpc_procedure:unknown:"), "p_brand").alias("target"), "p_brand").distinct()
-    calls = calls.select(F.concat_ws("--", "source", "type", "target").alias("id"), "type", "source", "target", F.to_json(F.struct(F.lit("trpc").alias("callType"), F.col("p_brand").alias("url"))).alias("metadata"))
+    names = part.select(F.concat(F.lit("trpc_procedure:x:"), "p_brand").alias("id"), F.lit("trpc_procedure").alias("type"), F.col("p_brand").alias("name"), F.lit("x").alias("file_path"), F.lit("{}").alias("metadata"))
+    urls = part.select(F.explode(F.array("p_brand", "p_type", F.concat(F.lit("any."), "p_brand"))).alias("url")).union(load(spark, sf, "customer").select(F.concat_ws(".", "c_mktsegment", "c_name")))
+    calls = urls.distinct().select(F.lit("calls_api").alias("type"), F.lit("component:a:b").alias("source"), F.concat(F.lit("trpc_procedure:unknown:"), "url").alias("target"), "url")
+    calls = calls.select(F.concat_ws("--", "source", "type", "target").alias("id"), "type", "source", "target", F.to_json(F.struct(F.lit("trpc").alias("callType"), F.col("url"))).alias("metadata"))
     found = detect.missing_procedures(Graph(names, calls))
     return found.select(F.regexp_extract("description", "^Procedure (.*) does not exist$", 1).alias("url"))
 
 
-@query(f"WITH {_SPARSE} SELECT id FROM nodes WHERE type = 'api_route' AND id NOT IN (SELECT target FROM sparse)")
+@query(f"WITH {_ALL} SELECT id FROM every WHERE type = 'api_route' AND id NOT IN (SELECT target FROM edges WHERE type = 'calls_api')")
 def dead_route(spark, sf):
-    return detect.dead_routes(_sparse(spark, sf)).select(F.col("related_nodes")[0].alias("id"))
+    return detect.dead_routes(_with_lone(spark, sf)).select(F.col("related_nodes")[0].alias("id"))
 
 
-@query("SELECT id FROM nodes WHERE type = 'component' AND id NOT IN (SELECT target FROM edges WHERE type = 'renders' AND o2 % 3 <> 0)")
+@query(f"WITH {_ALL} SELECT id FROM every WHERE type = 'component' AND id NOT IN (SELECT target FROM edges WHERE type = 'renders')")
 def dead_component(spark, sf):
-    g = _graph(spark, sf)
-    return detect.dead_components(Graph(g.nodes, g.edges.where("type = 'renders' and ord.file % 3 <> 0"))).select(F.col("related_nodes")[0].alias("id"))
+    return detect.dead_components(_with_lone(spark, sf)).select(F.col("related_nodes")[0].alias("id"))
 
 
-@query("SELECT id FROM nodes WHERE type = 'service' AND id NOT IN (SELECT 'service:nation:' || n_name FROM supplier JOIN nation ON s_nationkey = n_nationkey WHERE s_acctbal < 0)")
+@query(f"WITH {_ALL} SELECT id FROM every WHERE type = 'service' AND id NOT IN (SELECT target FROM edges WHERE type = 'calls_service')")
 def dead_service(spark, sf):
-    g = _graph(spark, sf)
-    poor = load(spark, sf, "supplier").where("s_acctbal < 0").select(F.concat(F.lit("handler:supplier:"), "s_name").alias("source"))
-    return detect.dead_services(Graph(g.nodes, g.edges.where("type = 'calls_service'").join(poor, "source", "left_semi"))).select(F.col("related_nodes")[0].alias("id"))
+    return detect.dead_services(_with_lone(spark, sf)).select(F.col("related_nodes")[0].alias("id"))
 
 
-_ISSUES = f"""SELECT 'unused_route' AS type, 'info' AS severity, id FROM nodes WHERE type = 'api_route' AND id NOT IN (SELECT target FROM sparse)
-UNION ALL SELECT 'dead_route', 'warning', id FROM nodes WHERE type = 'api_route' AND id NOT IN (SELECT target FROM sparse)
-UNION ALL SELECT 'dead_service', 'info', id FROM nodes WHERE type = 'service'"""
+_ISSUES = """SELECT 'unused_route' AS type, 'info' AS severity, id FROM every WHERE type = 'api_route' AND id NOT IN (SELECT target FROM edges)
+UNION ALL SELECT 'dead_route', 'warning', id FROM every WHERE type = 'api_route' AND id NOT IN (SELECT target FROM edges WHERE type = 'calls_api')
+UNION ALL SELECT 'dead_service', 'info', id FROM every WHERE type = 'service' AND id NOT IN (SELECT target FROM edges WHERE type = 'calls_service')"""
 
 
 def _some_issues(spark, sf) -> DataFrame:
-    g = _sparse(spark, sf)
+    g = _with_lone(spark, sf)
     return detect.unused_routes(g).unionByName(detect.dead_routes(g)).unionByName(detect.dead_services(g))
 
 
-@query(f"WITH {_SPARSE}, issues AS ({_ISSUES}) SELECT count(*) AS total, count(*) FILTER (severity = 'critical') AS critical, count(*) FILTER (severity = 'warning') AS warning, count(*) FILTER (severity = 'info') AS info FROM issues")
+@query(f"WITH {_ALL}, issues AS ({_ISSUES}) SELECT count(*) AS total, count(*) FILTER (severity = 'critical') AS critical, count(*) FILTER (severity = 'warning') AS warning, count(*) FILTER (severity = 'info') AS info FROM issues")
 def severity_summary(spark, sf):
     return detect.issue_summary(_some_issues(spark, sf))
 
 
-@query(f"""WITH {_SPARSE}, issues AS ({_ISSUES}) SELECT k AS place, severity, id FROM (SELECT severity, id, row_number() OVER (ORDER BY CASE severity WHEN 'critical' THEN 0 WHEN 'warning' THEN 2 ELSE 3 END, type, id) AS k FROM issues) WHERE k <= 25""")
+@query(f"""WITH {_ALL}, issues AS ({_ISSUES}) SELECT k AS place, severity, id FROM (SELECT severity, id, row_number() OVER (ORDER BY CASE severity WHEN 'critical' THEN 0 WHEN 'warning' THEN 2 ELSE 3 END, type, id) AS k FROM issues) WHERE k <= 25""")
 def issues_ranked_top(spark, sf):
     issues = _some_issues(spark, sf).select("severity", "type", F.col("related_nodes")[0].alias("id"))
     order = Window.orderBy("rank", "type", "id")
@@ -387,13 +384,13 @@ def match_url_tiers(spark, sf):
     return match.match_urls(derived.run(spark, sf, _CALL_URLS), routes)
 
 
-@query("""WITH calls AS (SELECT DISTINCT CASE WHEN p_partkey % 2 = 0 THEN p_name ELSE p_brand || '.' || p_type END AS name FROM part WHERE p_partkey % 3 <> 0),
+@query("""WITH calls AS (SELECT DISTINCT CASE WHEN p_partkey % 2 = 0 THEN p_name ELSE p_brand || '.' || p_type END AS name FROM part UNION SELECT c_name FROM customer),
 hits AS (SELECT c.name, 0 AS tier, p.p_partkey AS k FROM calls c JOIN part p ON p.p_name = c.name
 UNION ALL SELECT c.name, 1, p.p_partkey FROM calls c JOIN part p ON c.name = p.p_brand || '.' || p.p_type)
 SELECT name, CAST(tier AS INTEGER) AS tier, k AS target FROM (SELECT *, row_number() OVER (PARTITION BY name ORDER BY tier, k) AS r FROM hits) WHERE r = 1""", graph=False)
 def match_name_tiers(spark, sf):
     part = load(spark, sf, "part")
-    calls = part.where("p_partkey % 3 <> 0").select(F.when(F.expr("p_partkey % 2 = 0"), F.col("p_name")).otherwise(F.concat_ws(".", "p_brand", "p_type")).alias("name"))
+    calls = part.select(F.when(F.expr("p_partkey % 2 = 0"), F.col("p_name")).otherwise(F.concat_ws(".", "p_brand", "p_type")).alias("name")).union(load(spark, sf, "customer").select("c_name"))
     return match.match_procedures(calls, part.select(F.col("p_name").alias("node_name"), F.col("p_brand").alias("router"), F.col("p_type").alias("procedure"), F.col("p_partkey").alias("target"), F.col("p_partkey").alias("ord")))
 
 
@@ -443,17 +440,11 @@ def model_dataflow(spark, sf):
     return flows.groupBy("transfer_method", "from_id", "to_id").agg(F.count("*").alias("n"))
 
 
-_TRACE = """WITH link AS (SELECT source, target, min(o1 * 1000000000000000 + o2 * 1000000 + o4) AS o FROM edges WHERE type IN ('calls_service', 'queries_db') AND source IN (SELECT id FROM nodes) AND target IN (SELECT id FROM nodes) GROUP BY 1, 2),
-walk(root, here, seen, place) AS (SELECT id AS root, id AS here, [id] AS seen, 0 AS place FROM nodes WHERE type = 'handler'
-UNION ALL (SELECT root, target, list_append(seen, target), place + 1 FROM (SELECT w.root, l.target, w.seen, w.place, row_number() OVER (PARTITION BY w.root ORDER BY l.o, l.target) AS k FROM walk w JOIN link l ON l.source = w.here WHERE NOT list_contains(w.seen, l.target)) WHERE k = 1))
-SELECT root, CAST(place + 1 AS INTEGER) AS "index", here AS node_id FROM walk"""
-
-
-@query(_TRACE)
+@query()
 def linear_trace(spark, sf):
+    """Of each handler over the whole graph and all link types; tests hold it against a walk in plain Python."""
     g = _graph(spark, sf)
-    tail = Graph(g.nodes, g.edges.where("type in ('calls_service', 'queries_db')"))
-    return traverse.linear_traces(tail, g.nodes.where("type = 'handler'").select("id")).select("root", "index", "node_id")
+    return traverse.linear_traces(g, g.nodes.where("type = 'handler'").select("id")).select("root", "index", "node_id", "edge_from_prev")
 
 
 @query(f"""WITH RECURSIVE e AS ({derived.text(derived.IMPORTS)}), r(a, b) AS (SELECT source, target FROM e UNION SELECT r.a, e.target FROM r JOIN e ON e.source = r.b),
@@ -614,11 +605,15 @@ def page_components(spark, sf):
     return joins.page_components(Graph(pages.unionByName(g.nodes.where("type <> 'page'")), g.edges))
 
 
-@query("""WITH uses AS (SELECT s_suppkey AS source, 'shop/orders/c' || CAST(s_suppkey % 50 AS STRING) || '.tsx' AS at, CAST(s_suppkey * 7 AS STRING) AS tag FROM supplier)
-SELECT source, id AS target, tag FROM (SELECT u.source, n.id, u.tag, row_number() OVER (PARTITION BY u.source, u.tag ORDER BY (n.file_path = u.at), n.o1, n.o2) AS k FROM uses u JOIN nodes n ON n.name = u.tag AND n.type = 'component') WHERE k = 1""")
+@query("""WITH uses AS (SELECT s_suppkey AS source, 'shop/orders/c' || CAST(s_suppkey % 50 AS STRING) || '.tsx' AS place, CAST(s_suppkey * 7 AS STRING) AS tag FROM supplier),
+imports AS (SELECT DISTINCT 'shop/orders/c' || CAST(o_orderkey % 50 AS STRING) || '.tsx' AS place, CAST(o_orderkey + o_orderkey % 2 AS STRING) AS tag FROM orders)
+SELECT source, id AS target, tag FROM (SELECT u.source, n.id, u.tag, row_number() OVER (PARTITION BY u.source, u.tag ORDER BY (n.file_path = u.place), n.o1, n.o2) AS k
+FROM uses u JOIN imports USING (place, tag) JOIN nodes n ON n.name = u.tag AND n.type = 'component') WHERE k = 1""")
 def component_uses(spark, sf):
-    uses = load(spark, sf, "supplier").select(F.col("s_suppkey").alias("source"), F.concat(F.lit("shop/orders/c"), (F.col("s_suppkey") % 50).cast("string"), F.lit(".tsx")).alias("file_path"), (F.col("s_suppkey") * 7).cast("string").alias("tag"))
-    return joins.component_uses(uses, _graph(spark, sf))
+    at = lambda c: F.concat(F.lit("shop/orders/c"), (F.col(c) % 50).cast("string"), F.lit(".tsx")).alias("file_path")
+    uses = load(spark, sf, "supplier").select(F.col("s_suppkey").alias("source"), at("s_suppkey"), (F.col("s_suppkey") * 7).cast("string").alias("tag"))
+    imports = load(spark, sf, "orders").select(at("o_orderkey"), (F.col("o_orderkey") + F.col("o_orderkey") % 2).cast("string").alias("tag"))
+    return joins.component_uses(uses, imports, _graph(spark, sf))
 
 
 @query("SELECT source, target, type FROM edges WHERE (source = 'service:nation:NATION_3' AND target LIKE 'db_model:%' AND target = (SELECT 'db_model:region:' || r_name FROM nation JOIN region ON n_regionkey = r_regionkey WHERE n_name = 'NATION_3'))")
@@ -676,13 +671,13 @@ def import_totals(spark, sf):
     return stats.import_totals(result_rows(spark, sf).withColumn("duration_ms", F.col("turn").cast("double")))
 
 
-@query(f"WITH {_SPARSE}, issues AS ({_ISSUES}) SELECT severity, 'consistency' AS source, count(*) AS n FROM issues GROUP BY severity UNION ALL SELECT 'error', 'parser', count(*) FROM region")
+@query(f"WITH {_ALL}, issues AS ({_ISSUES}) SELECT severity, 'consistency' AS source, count(*) AS n FROM issues GROUP BY severity UNION ALL SELECT 'error', 'parser', count(*) FROM region")
 def findings_by_source(spark, sf):
     errors = load(spark, sf, "region").select(F.col("r_name").alias("file"), F.lit("unreadable").alias("message"), F.lit("error").alias("severity"), F.lit("x").alias("parser"), F.lit(None).cast("string").alias("code"))
     return detect.findings_by(detect.findings(errors, _some_issues(spark, sf)))
 
 
-@query(f"WITH {_SPARSE}, issues AS ({_ISSUES}) SELECT type, count(*) AS n FROM issues GROUP BY type")
+@query(f"WITH {_ALL}, issues AS ({_ISSUES}) SELECT type, count(*) AS n FROM issues GROUP BY type")
 def issues_deduplicated(spark, sf):
     twice = _some_issues(spark, sf)
     return detect.dedup_issues(twice.unionByName(twice)).groupBy("type").agg(F.count("*").alias("n"))

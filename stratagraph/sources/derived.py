@@ -45,10 +45,11 @@ UNION ALL
 SELECT 'service:nation:' || n_name, 'db_model:region:' || r_name, 'queries_db', 'certain', '{}', 6, CAST(n_nationkey AS BIGINT), CAST(0 AS BIGINT), CAST(0 AS BIGINT) FROM {nation} JOIN {region} ON n_regionkey = r_regionkey
 """
 
-#: Calls of few line items, so that some routes have none.
-SPARSE_CALLS = """
-SELECT 'component:orders:' || CAST(l_orderkey AS STRING) AS source, 'api_route:part:' || CAST(l_partkey AS STRING) AS target FROM {lineitem} WHERE l_quantity >= 40 AND l_returnflag = 'R'
-"""
+#: Nodes without edges beside the graph: a route, a component and a service for each nation.
+LONE = " UNION ALL ".join(
+    f"""SELECT '{kind}:lone:' || n_name AS id, '{kind}' AS type, n_name AS name, 'lone/' || n_name || '.ts' AS file_path, '{{"method":"GET","route":"/lone/' || n_name || '"}}' AS metadata, 9 AS o1, CAST(n_nationkey AS BIGINT) AS o2 FROM {{nation}}"""
+    for kind in ("api_route", "component", "service")
+)
 
 #: Suppliers that import each other, s to s * s + 1 by the number of suppliers: cycles exist.
 IMPORTS = """
@@ -83,9 +84,9 @@ def run(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
     return spark.sql(sql)
 
 
-def graph(spark: SparkSession, sf_dir: str) -> Graph:
-    """The derived graph; it is not sanitized: it has dangling and repeated edges."""
-    nodes = run(spark, sf_dir, NODES)
+def graph(spark: SparkSession, sf_dir: str, lone: bool = False) -> Graph:
+    """The derived graph; it is not sanitized: it has dangling and repeated edges. lone: with the nodes of LONE."""
+    nodes = run(spark, sf_dir, f"{NODES} UNION ALL {LONE}" if lone else NODES)
     ord_ = lambda *c: F.struct(*[F.coalesce(F.col(x) if x else F.lit(0), F.lit(0)).cast("long").alias(n) for x, n in zip(c, ("stage", "file", "parser", "emit"))])
     nodes = nodes.select("id", "type", "name", "file_path", F.lit(1).alias("line"), F.lit(1).alias("column"), "metadata", ord_("o1", "o2", "", "").alias("ord"))
     edges = run(spark, sf_dir, EDGES)

@@ -11,6 +11,8 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.match import PathAliases
+
 EXTENSIONS = (".ts", ".tsx", ".js", ".jsx", ".prisma", ".kt")
 IGNORED = ("node_modules", "dist", "build", "out", "coverage", ".git", ".next")
 
@@ -187,6 +189,18 @@ CONFIG = {"frontend": list, "backend": list, "database": list, "dirs": list, "de
 CONFIG_DEFAULTS = {"frontend": None, "backend": None, "database": None, "dirs": None, "debounceMs": 1000, "maxDepth": 10}
 
 
+def path_aliases(root: str) -> PathAliases:
+    """The `paths` of the root's tsconfig.json, which may hold comments and trailing commas; none if it can't be read."""
+    try:
+        text = (Path(root) / "tsconfig.json").read_text("utf-8")
+        text = re.sub(r'("(?:\\.|[^"\\])*")|//[^\n]*|/\*.*?\*/', lambda m: m[1] or "", text, flags=re.S)
+        options = json.loads(re.sub(r'("(?:\\.|[^"\\])*")|,(?=\s*[}\]])', lambda m: m[1] or "", text)).get("compilerOptions") or {}
+        paths = {k: [v for v in vs if isinstance(v, str)] for k, vs in (options.get("paths") or {}).items() if isinstance(vs, list)}
+        return PathAliases(paths, options.get("baseUrl") or "")
+    except (OSError, ValueError, AttributeError):
+        return PathAliases({})
+
+
 def load_config(root: str, name: str = "stratagraph.config.json") -> tuple[dict, list[str]]:
     """(config, warnings) with each field checked by itself."""
     given, warnings, out = _json(Path(root) / name), [], dict(CONFIG_DEFAULTS)

@@ -259,3 +259,75 @@ def test_literal_links_see_a_route_after_odd_quotes(spark):
     texts = spark.createDataFrame(list(enumerate(lines)), "source int, text string")
     routes = spark.createDataFrame([("/api/x", "r")], "route string, target string")
     assert ids(joins.literal_links(texts, routes), "source") == [0, 1, 2, 3]
+
+
+def walk(edges, nodes, root, steps):
+    """The main path through a root in plain Python: upstream, then downstream, by the first edge to a node not yet on it."""
+    first = {}
+    for e in edges:
+        if e.source in nodes and e.target in nodes and e.type in traverse.LINK_EDGES:
+            key = (e.source, e.target)
+            first[key] = min(first.get(key, e.ord), e.ord)
+    path, seen, left = [root], {root}, steps - 1
+    for up in (True, False):
+        at = root
+        while left:
+            options = [(o, a if up else b) for (a, b), o in first.items() if (b if up else a) == at and (a if up else b) not in seen]
+            if not options:
+                break
+            at = min(options)[1]
+            seen.add(at)
+            path.insert(0, at) if up else path.append(at)
+            left -= 1
+    return path
+
+
+def test_linear_trace_of_the_whole_graph(spark):
+    """All link types, upstream and downstream, over a cut of the derived graph."""
+    import random
+
+    rng, kinds = random.Random(3), sorted(traverse.LINK_EDGES)
+    ids = [f"n{i:02}" for i in range(30)]
+    edges = [e(rng.choice(ids), rng.choice(kinds), rng.choice([*ids, "gone"]), ord=(0, 0, 0, k)) for k in range(70)]
+    g = of_rows(spark, [n(i, "handler") for i in ids], edges)
+    rows, known = g.edges.collect(), {r.id for r in g.nodes.collect()}
+    got = {}
+    for r in traverse.linear_traces(g, g.nodes.select("id"), steps=9).orderBy("root", "index").collect():
+        got.setdefault(r.root, []).append(r.node_id)
+    assert got == {i: walk(rows, known, i, 9) for i in ids} and max(map(len, got.values())) > 6
+
+
+def test_operations_of_a_query_edge(spark):
+    """The last of a pair's different operations, in the order they first appear, and all of them."""
+    from stratagraph.plans.link import query_operations
+
+    rows = [("h", "m", 0, "create"), ("h", "m", 1, "findMany"), ("h", "m", 2, "create"), ("h", "o", 3, "count")]
+    got = sorted(map(tuple, query_operations(spark.createDataFrame(rows, "node_id string, target string, at int, operation string")).collect()))
+    assert got == [("h", "m", "findMany", ["create", "findMany"]), ("h", "o", "count", ["count"])]
+
+
+def test_call_chains_over_imports(spark):
+    from stratagraph.operators.match import PathAliases
+    from stratagraph.plans.link import call_chains
+
+    facts = [
+        ("a.ts", "scope", "start", None, None, "helper(x); go(1)"), ("a.ts", "scope", "helper", None, None, "return 1"), ("a.ts", "import", "go", "./lib/b", "run", None),
+        ("lib/b.ts", "scope", "run", None, None, "deep()\n obj.other()"), ("lib/b.ts", "scope", "other", None, None, ""), ("lib/b.ts", "import", "deep", "@/c", "default", None), ("src/c.ts", "scope", "deep", None, None, "start()"),
+    ]
+    df = spark.createDataFrame([(*f, 1, 0) for f in facts], "path string, kind string, name string, source string, target string, value string, line int, emit long")
+    starts = spark.createDataFrame([("a.ts#start",)], "id string")
+    reached = lambda depth, aliases: {r[1] if len(r) > 2 else r[0] for r in call_chains(df, starts, depth, aliases).collect()} - {"a.ts#start"}
+    aliases = PathAliases({"@/*": ["src/*"]})
+    assert reached(1, aliases) == {"a.ts#helper", "lib/b.ts#run"}
+    assert reached(5, aliases) == {"a.ts#helper", "lib/b.ts#run", "src/c.ts#deep"}
+    assert reached(5, None) == {"a.ts#helper", "lib/b.ts#run"}
+
+
+def test_path_aliases_of_a_tsconfig(tmp_path):
+    from stratagraph.sources.files import path_aliases
+
+    assert not path_aliases(str(tmp_path)).any
+    (tmp_path / "tsconfig.json").write_text('{ // note\n "compilerOptions": {"baseUrl": ".", "paths": {"@/*": ["src/*", "lib/*"], "@one": ["x/one.ts",],}, /* end */ }, }')
+    aliases = path_aliases(str(tmp_path))
+    assert "src/a/b.ts" in aliases.files("@/a/b", "p.ts") and "lib/a/b/index.tsx" in aliases.files("@/a/b", "p.ts") and "x/one.ts" in aliases.files("@one", "p.ts")
+    assert aliases.files("./q", "d/p.ts")[1] == "d/q.ts" and aliases.files("react", "p.ts") == []

@@ -36,7 +36,7 @@ def engine():
 
 
 def test_every_query_has_sql():
-    assert set(queries.queries()) == set(queries.oracle_sql())
+    assert set(queries.queries()) - set(queries.oracle_sql()) == {"linear_trace"}  # walked in plain Python in test_graph
 
 
 @pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
