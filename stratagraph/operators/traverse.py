@@ -1,5 +1,5 @@
 """Traversals. Set-based ones run as frontier rounds of joins; walks whose result depends on order run on the driver behind
-a size check and as rounds of joins beyond it.
+a size check, and refuse more than it allows.
 
 A round joins the frontier to the edges and drops what was visited before; its result is checkpointed, so the lineage stays
 short and a lost executor costs one round. Cycles end by the visited set, chains by the given bound."""

@@ -9,7 +9,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows that a driver-side walk may hold; larger graphs take the distributed way.
+#: Rows that a driver-side walk may hold; it refuses more.
 DRIVER_EDGES = 200_000
 
 
