@@ -92,12 +92,3 @@ def graph(spark: SparkSession, sf_dir: str, lone: bool = False) -> Graph:
     edges = run(spark, sf_dir, EDGES)
     edges = edges.select(F.concat_ws("--", "source", "type", "target").alias("id"), "source", "target", "type", "confidence", "metadata", ord_("o1", "o2", "o3", "o4").alias("ord"))
     return Graph(nodes, edges)
-
-
-def with_edges(base: Graph, edges: DataFrame, kind: str) -> Graph:
-    """The nodes of a graph, and of the edges' ends as modules, with edges (source, target) of one type."""
-    edges = edges.select(
-        F.concat_ws("--", "source", F.lit(kind), "target").alias("id"), "source", "target", F.lit(kind).alias("type"), F.lit("certain").alias("confidence"), F.lit("{}").alias("metadata"),
-        F.struct(F.lit(0).cast("long").alias("stage"), F.lit(0).cast("long").alias("file"), F.lit(0).cast("long").alias("parser"), F.xxhash64("source", "target").alias("emit")).alias("ord"),
-    )
-    return Graph(base.nodes, edges)
