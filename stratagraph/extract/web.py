@@ -37,7 +37,7 @@ def next_app(src: Source, meta: dict) -> Out:
     for item in src.imports():
         for local in item["names"]:
             if local in used:
-                out.edge(page, "renders", f"component:unknown:{local}", certain=False, jsxLine=item["line"])
+                out.edge(page, "renders", f"component:unknown:{local}", True, jsxLine=item["line"])
     return out
 
 

@@ -25,10 +25,14 @@ def result_files(root: str, pattern: str) -> list[str]:
 
 
 def read_results(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """suite, name, status, duration_ms, failure_message of all cases, nested suites included.
+    """The cases of result files."""
+    return parse_results(spark.read.format("binaryFile").load(paths))
+
+
+def parse_results(files: DataFrame) -> DataFrame:
+    """suite, name, status, duration_ms, failure_message of all cases in files (path, length, content), nested suites included.
 
     Files over 10 MiB and such with DOCTYPE or ENTITY are refused."""
-    files = spark.read.format("binaryFile").load(paths)
 
     def run(batches):
         from xml.etree import ElementTree

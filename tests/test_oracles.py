@@ -4,7 +4,7 @@ import os
 
 import pytest
 
-from stratagraph import queries
+from stratagraph import queries, source_queries
 
 FOLDER = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents pages conversations labels".split()
@@ -39,8 +39,12 @@ def test_every_query_has_sql():
     assert set(queries.queries()) - set(queries.oracle_sql()) == {"linear_trace"}  # walked in plain Python in test_graph
 
 
-@pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
+RUN = queries.queries() | source_queries.queries()
+SQL = queries.oracle_sql() | source_queries.oracle_sql()
+
+
+@pytest.mark.parametrize("name", sorted(SQL))
 def test_query(spark, engine, name):
-    df = queries.queries()[name](spark, FOLDER)
-    found = engine.execute(queries.oracle_sql()[name])
+    df = RUN[name](spark, FOLDER)
+    found = engine.execute(SQL[name])
     assert rows(df.columns, df.collect()) == rows([d[0] for d in found.description], found.fetchall())
