@@ -4,14 +4,11 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..graph import Graph
 
-#: Verdicts of `classified`, in the order in which they apply.
-REASONS = ("self_loop", "dangling", "duplicate")
-
 
 def keep_first(df: DataFrame, *keys: str) -> DataFrame:
     """One row for each key: the first. A partial aggregation, so only one row for each key and task is shuffled."""
@@ -58,15 +55,6 @@ def _ends(graph: Graph) -> DataFrame:
     return flagged.select(*graph.edges.columns, *[F.coalesce(c, F.lit(False)).alias(c) for c in ("has_source", "has_target")])
 
 
-def classified(graph: Graph) -> DataFrame:
-    """Each edge with its reason to go, or null: a self loop, then a dangling end, then a later (source, type, target)."""
-    reason = F.when(F.col("source") == F.col("target"), "self_loop").when(~(F.col("has_source") & F.col("has_target")), "dangling")
-    edges = _ends(graph).withColumn("reason", reason)
-    key = Window.partitionBy("source", "type", "target", "reason").orderBy("ord")
-    again = F.when(F.col("reason").isNull() & (F.row_number().over(key) > 1), "duplicate")
-    return edges.withColumn("reason", F.coalesce("reason", again)).select(*graph.edges.columns, "reason")
-
-
 @dataclass(frozen=True)
 class Sanitized:
     graph: Graph
@@ -74,9 +62,16 @@ class Sanitized:
 
 
 def sanitize(graph: Graph) -> Sanitized:
-    """The graph without self loops, dangling and repeated edges, and how many went for each reason."""
-    edges = classified(graph)
-    counts = edges.agg(*[F.count_if(F.col("reason") == r).alias(r) for r in REASONS], F.count_if(F.col("reason").isNull()).alias("kept"))
+    """The graph without self loops, dangling and repeated edges, and how many went for each reason. Equal edges are counted
+    into one row before their ends are looked up."""
+    keys = graph.edges.groupBy("source", "type", "target").agg(F.count("*").alias("n"))
+    ok = (F.col("source") != F.col("target")) & F.col("has_source") & F.col("has_target")
+    loop = F.col("source") == F.col("target")
+    total = lambda n, when: F.coalesce(F.sum(F.when(when, n)), F.lit(0)).alias
+    counts = _ends(Graph(graph.nodes, keys)).agg(
+        total(F.col("n"), loop)("self_loop"), total(F.col("n"), ~F.coalesce(loop | ok, F.lit(False)))("dangling"),
+        total(F.col("n") - 1, ok)("duplicate"), F.count_if(ok).alias("kept"),
+    )
     return Sanitized(Graph(graph.nodes, sanitized_edges(graph)), counts)
 
 

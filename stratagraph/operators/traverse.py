@@ -23,8 +23,9 @@ SUBTREE_DEPTH = 1000
 def reach(edges: DataFrame, seeds: DataFrame, max_depth: int | None = None, stop: DataFrame | None = None) -> DataFrame:
     """(id, depth): what edges (source, target) reach from seeds (id), the seeds at depth 0, each at its least depth.
 
-    Ids in `stop` are reached but not left again."""
-    edges = cut(edges.select("source", "target").distinct())
+    Ids in `stop` are reached but not left again. The edges are neither copied nor made distinct: a round reads two columns of
+    them, and the few rows that meet the frontier are made distinct after the join."""
+    edges = edges.select("source", "target")
     seen = cut(seeds.select("id").distinct().withColumn("depth", F.lit(0)))
     frontier, depth = seen, 0
     while max_depth is None or depth < max_depth:
@@ -112,7 +113,7 @@ def parent_routes(graph: Graph, callers: DataFrame) -> DataFrame:
     calls = cut(graph.edges.where("type = 'calls_service'").join(known, "source", "left_semi").select(F.col("target").alias("at"), F.col("source").alias("next")).distinct())
     seen = cut(callers.select(F.col("id").alias("caller"), F.col("id").alias("at")).distinct())
     frontier, out = seen, None
-    for _ in range(PARENT_ROUTE_DEPTH):
+    for depth in range(1, PARENT_ROUTE_DEPTH + 1):
         hit = frontier.join(handled, "at").select("caller", "route").distinct()
         out = hit if out is None else out.union(hit)
         more = frontier.join(handled.select("at").distinct(), "at", "left_anti").join(calls, "at").select("caller", F.col("next").alias("at")).distinct()
@@ -120,6 +121,8 @@ def parent_routes(graph: Graph, callers: DataFrame) -> DataFrame:
         if not frontier.take(1):
             break
         seen = seen.union(frontier)
+        if depth % 16 == 0:
+            seen = cut(seen)
     return out.distinct()
 
 
@@ -147,14 +150,15 @@ def api_callers(graph: Graph) -> DataFrame:
 
 
 def model_totals(graph: Graph) -> DataFrame:
-    """model_id, total_routes, total_components of every model."""
+    """model_id, total_routes, total_components of every model. Routes are counted before they meet the components."""
     models = graph.nodes.where("type = 'db_model'").select(F.col("id").alias("model_id"))
     queries = graph.edges.where("type = 'queries_db'").select(F.col("target").alias("model_id"), F.col("source").alias("caller"))
     parents = parent_routes(graph, queries.select(F.col("caller").alias("id")).distinct())
-    routes = queries.join(parents, "caller").select("model_id", "route").distinct()
-    pairs = routes.join(api_callers(graph).distinct(), "route", "left")
-    totals = pairs.groupBy("model_id").agg(F.countDistinct("route").alias("total_routes"), F.countDistinct("component").alias("total_components"))
-    return models.join(totals, "model_id", "left").na.fill(0, ["total_routes", "total_components"])
+    routes = cut(queries.join(parents, "caller").select("model_id", "route").distinct())
+    pairs = routes.join(api_callers(graph).distinct(), "route").select("model_id", "component").distinct()
+    n_routes = routes.groupBy("model_id").agg(F.count("*").alias("total_routes"))
+    n_components = pairs.groupBy("model_id").agg(F.count("*").alias("total_components"))
+    return models.join(n_routes, "model_id", "left").join(n_components, "model_id", "left").na.fill(0, ["total_routes", "total_components"])
 
 
 def flow_edges(flows: DataFrame, models: DataFrame) -> DataFrame:
@@ -247,7 +251,7 @@ def strong_components(edges: DataFrame) -> DataFrame:
             colour = changed.select("id", "c")
             if not changed.where("moved").take(1):
                 break
-        inside = edges.join(colour.select(F.col("id").alias("source"), "c"), "source").join(colour.select(F.col("id").alias("target"), F.col("c").alias("d")), "target").where("c = d")
+        inside = cut(edges.join(colour.select(F.col("id").alias("source"), "c"), "source").join(colour.select(F.col("id").alias("target"), F.col("c").alias("d")), "target").where("c = d").select("source", "target"))
         back = reach(reversed_edges(inside), colour.where("id = c").select("id")).select("id").join(colour, "id")
         done = cut(back.select("id", F.col("c").alias("component")))
         sizes = done.groupBy("component").count().where("count > 1").select("component")
