@@ -43,16 +43,20 @@ _CHUNK, _BATCH = 1 << 16, 1 << 18
 
 
 def _join(left: np.ndarray, right: np.ndarray) -> np.ndarray:
-    x = left * _M1 + right
-    return (x ^ (x >> np.uint64(29))) * _M2
+    x = left * _M1
+    x += right
+    x ^= x >> np.uint64(29)
+    x *= _M2
+    return x
 
 
 def _hashes(arr: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all 32-grams and of all windows."""
     powers, h, width = {}, _BYTE[arr], 1
-    while width <= length and len(h):
-        powers[width] = h
+    powers[width] = h
+    while 2 * width <= length and len(h):
         h, width = _join(h[: max(len(h) - width, 0)], h[width:]), 2 * width
+        powers[width] = h
     n = max(len(arr) - length + 1, 0)
     if not n:
         return np.zeros(0, np.uint64), np.zeros(0, np.uint64)
@@ -186,18 +190,21 @@ def longest_previous(order: np.ndarray, lcp: np.ndarray) -> np.ndarray:
     """LPF of the suffixes in `order` (their positions in suffix order); lcp[i] is shared by order[i - 1] and order[i].
 
     One stack pass finds the previous and the next smaller position of each suffix and the least lcp in between."""
-    lpf = np.zeros(len(order), dtype=np.int64)
-    stack: list[list[int]] = []  # index into order, lcp with the entry below
-    for i in range(len(order)):
-        common = int(lcp[i]) if i else 0
-        while stack and order[stack[-1][0]] > order[i]:
-            j, below = stack.pop()
-            lpf[j] = max(lpf[j], common)  # order[i] is the next smaller position of order[j]
-            common = min(common, below)
-        if stack:
-            lpf[i] = max(lpf[i], common)
-        stack.append([i, common])
-    return lpf
+    lpf = [0] * len(order)
+    stack: list[tuple[int, int, int]] = []  # index into order, its position, lcp with the entry below
+    for i, (place, common) in enumerate(zip(order.tolist(), lcp.tolist())):
+        if not i:
+            common = 0
+        while stack and stack[-1][1] > place:
+            j, _, below = stack.pop()
+            if common > lpf[j]:  # place is the next smaller position of order[j]
+                lpf[j] = common
+            if below < common:
+                common = below
+        if stack and common > lpf[i]:
+            lpf[i] = common
+        stack.append((i, place, common))
+    return np.array(lpf, dtype=np.int64)
 
 
 def _with_matches(segs: list[bytes], length: int) -> np.ndarray:
@@ -261,16 +268,19 @@ def _match(length: int):
     def run(batches):
         group, size, last = [], 0, None
         for pdf in batches:
-            keys = pdf.key.to_numpy()
-            edges = np.concatenate(([0], np.flatnonzero(keys[1:] != keys[:-1]) + 1, [len(keys)]))
-            for i, j in zip(edges[:-1], edges[1:]):
-                if size >= _BATCH and keys[i] != last:
+            if not len(pdf):
+                continue
+            keys, docs, pos, segs = (pdf[c].to_numpy() for c in ("key", "doc_id", "pos", "seg"))
+            held = np.cumsum([0, *map(len, segs)])
+            new = np.flatnonzero(keys[1:] != keys[:-1]) + 1
+            at = 0
+            for j in new if keys[0] == last else (0, *new):
+                if size + held[j] - held[at] >= _BATCH:
+                    group.append((docs[at:j], pos[at:j], segs[at:j]))
                     yield _later(group, length)
-                    group, size = [], 0
-                part = pdf.iloc[i:j]
-                group.append((part.doc_id.to_numpy(), part.pos.to_numpy(), list(part.seg)))
-                size += int(part.seg.str.len().sum())
-                last = keys[i]
+                    group, size, at = [], 0, j
+            group.append((docs[at:], pos[at:], segs[at:]))
+            size, last = size + held[-1] - held[at], keys[-1]
         if group:
             yield _later(group, length)
 
