@@ -9,6 +9,7 @@ import uuid
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
@@ -64,6 +65,12 @@ def remove_at_exit(spark: SparkSession, path: str) -> str:
     return path
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Deletes a folder of the checkpoint folder that nothing will read again."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def keep(df: DataFrame) -> DataFrame:
     """As `cut`, as a compressed table in the checkpoint folder; for many rows."""
     path = remove_at_exit(df.sparkSession, f"{checkpoint_dir(df.sparkSession)}/tables/{uuid.uuid4().hex}")
@@ -71,7 +78,29 @@ def keep(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-#: Rows in one Arrow batch to a Python worker: texts of some KB make batches of some MB.
+#: Up to so many rows of 100 bytes or less are broadcast; more are joined by a shuffle.
+BROADCAST_ROWS = 100_000
+#: A key with more than one in so many rows is hot; so there are fewer hot keys than this, whatever the input.
+HOT_SHARE = 1000
+
+
+def attach_totals(rows: DataFrame, totals: DataFrame, key: str, count: str) -> DataFrame:
+    """rows, each with what `totals` (one row a key, nulls being one key) says of its key; `count` there is the key's number of
+    rows and stays away. Both are read twice, so they are best tables.
+
+    Few totals are broadcast, behind a count. Of many, only those of hot keys are, which are fewer than HOT_SHARE; the others
+    meet their rows by a shuffle, in which no key holds much."""
+    totals = totals.withColumnRenamed(key, "_key")
+    same = rows[key].eqNullSafe(F.col("_key"))
+    if totals.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+        return rows.join(F.broadcast(totals.drop(count)), same, "left").drop("_key")
+    total = totals.agg(F.sum(count)).first()[0]
+    totals = totals.withColumn("_hot", F.col(count) * HOT_SHARE > total).drop(count)
+    hot = F.broadcast(totals.where("_hot").drop("_hot"))
+    return rows.join(hot, same, "inner").unionByName(rows.join(hot.select("_key"), same, "left_anti").join(totals.where("not _hot").drop("_hot"), same, "left")).drop("_key")
+
+
+#: Rows in one Arrow batch to a Python worker: texts of some KB make batches of some MB. Spark itself ends a batch at 64 MB.
 BATCH_ROWS = 1000
 
 
