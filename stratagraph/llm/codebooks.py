@@ -32,6 +32,8 @@ from .lloyd import finite, matrix, scaled
 BEYOND = 1 << 24
 #: Pairs of a part and an entry that are compared at a time.
 PAIRS = 1 << 18
+#: Entries on either side of a part's norm that give the first best distance.
+START = 4
 _FAR = np.iinfo(np.int64).max
 
 
@@ -48,7 +50,7 @@ class Ring:
         norm = np.sqrt(np.einsum("ij,ij->i", parts, parts).astype(np.float64))
         place = np.searchsorted(self.norms, norm)
         best = np.full(len(parts), _FAR)
-        for step in (-1, 0):  # the entries next to the part's own norm bound the search
+        for step in range(-START, START):  # the entries next to the part's own norm give the best distance so far
             d = parts - self.entries[np.clip(place + step, 0, len(self.norms) - 1)]
             best = np.minimum(best, np.einsum("ij,ij->i", d, d))
         radius = np.sqrt(best.astype(np.float64))
