@@ -156,12 +156,11 @@ def delta_lloyd(vectors: DataFrame, *, length: int = 64, scale: int = 1024, k: i
         if state is not None:
             tables.drop(state)
         state = now
-        moves = spark.table(state[0]).where("to is not null").select("to", F.posexplode(F.array_append("sums", F.col("n"))).alias("place", "value"))
-        for row in moves.groupBy("to", "place").agg(F.sum(F.col("value").cast("decimal(38,0)")).alias("value")).collect():
-            if row["place"] < length:
-                sums[row["to"]][row["place"]] += int(row["value"])
-            else:
-                counts[row["to"]] += int(row["value"])
+        exact = lambda c: F.sum(c.cast("decimal(38,0)"))
+        moves = spark.table(state[0]).where("to is not null").groupBy("to")
+        for row in moves.agg(exact(F.col("n")).alias("n"), F.array(*[exact(F.get("sums", F.lit(i))) for i in range(length)]).alias("sums")).collect():
+            counts[row["to"]] += int(row["n"])
+            sums[row["to"]] = [a + int(b) for a, b in zip(sums[row["to"]], row["sums"])]
         if turn == rounds:
             break
         new = np.asarray([[s // counts[c] for s in sums[c]] if counts[c] else centroids[c].tolist() for c in range(k)], dtype=np.int64)
