@@ -8,12 +8,12 @@ import uuid
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
-from ..runtime import importable
+from ..runtime import broadcast_if_small, importable
 
 #: White space of the contracts: space and 0x09-0x0D.
 SPACE = np.zeros(256, dtype=bool)
@@ -100,6 +100,20 @@ def attach_totals(rows: DataFrame, totals: DataFrame, key: str, count: str) -> D
     return rows.join(hot, same, "inner").unionByName(rows.join(hot.select("_key"), same, "left_anti").join(totals.where("not _hot").drop("_hot"), same, "left")).drop("_key")
 
 
+def text_hash() -> Column:
+    """What tells the texts of one doc_id apart."""
+    return F.xxhash64("text")
+
+
+def repeated_ids(docs: DataFrame) -> DataFrame | None:
+    """(doc_id, h): the different texts of each doc_id that rows repeat with another text; None where no id does."""
+    rows = docs.where("doc_id is not null").select("doc_id", text_hash().alias("h"))
+    ids = cut(rows.groupBy("doc_id").agg(F.min("h").alias("lo"), F.max("h").alias("hi")).where("lo <> hi").select("doc_id"))
+    if not ids.take(1):
+        return None
+    return cut(rows.join(broadcast_if_small(ids), "doc_id", "left_semi").distinct())
+
+
 #: Rows in one Arrow batch to a Python worker: texts of some KB make batches of some MB. Spark itself ends a batch at 64 MB.
 BATCH_ROWS = 1000
 

@@ -10,8 +10,9 @@ component need no further pair; in the others only pairs across components are m
 size and not with its square, and still every link between components is found.
 
 Edge cases: null and empty texts have an empty set and link with nothing; texts of fewer than `width` words have one
-shingle, the whole sequence; repeated rows and ids fall into one class; rows without doc_id get no component; other
-columns are ignored.
+shingle, the whole sequence; rows that repeat id and text are one document; different texts of one doc_id are documents of
+their own, each with its own class; rows without doc_id get no component; ties can't occur, as a component is named by its
+smallest id; very long texts are shingled whole, in one row; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -22,7 +23,8 @@ import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import as_bytes, columns, cut, gentle, map_frames, mix, shingles, tokenize
+from ..runtime import broadcast_if_small
+from .common import as_bytes, attach_totals, columns, cut, gentle, keep, map_frames, mix, repeated_ids, shingles, text_hash, tokenize
 from .components import components
 
 #: Counters of the frequency table, and slices it travels in. Fixed, so that the table may be broadcast (4 MB).
@@ -155,9 +157,25 @@ def _both(pairs: DataFrame, side: DataFrame, value: str) -> DataFrame:
 
 
 def near_classes(docs: DataFrame, width: int = 5) -> DataFrame:
-    """(doc_id, n_shingles, component_id) of every row: documents link at a Jaccard similarity of 0.8 or more."""
+    """(doc_id, n_shingles, component_id) of every row: documents link at a Jaccard similarity of 0.8 or more.
+
+    Where ids repeat with another text, each such text goes by a number of its own, below all ids."""
+    docs, texts = gentle(docs).select("doc_id", "text"), repeated_ids(docs)
+    if texts is None:
+        return _classes(docs, width)
+    low = F.lit(min(docs.agg(F.min("doc_id")).first()[0], 0))
+    texts = cut(texts.select(F.col("doc_id").alias("_doc"), "h", (low - 1 - F.monotonically_increasing_id()).alias("key")))
+    own = (F.col("doc_id") == F.col("_doc")) & (text_hash() == F.col("h"))
+    keyed = docs.join(broadcast_if_small(texts), own, "left").select(F.coalesce("key", "doc_id").alias("doc_id"), "text")
+    found = keep(_classes(keyed, width).withColumnRenamed("doc_id", "key"))
+    named = found.join(broadcast_if_small(texts.select("_doc", "key")), "key", "left").withColumn("doc_id", F.coalesce("_doc", "key"))
+    least = named.groupBy("component_id").agg(F.min("doc_id").alias("least"), F.count("*").alias("n"))
+    return attach_totals(named, cut(least), "component_id", "n").select("doc_id", "n_shingles", F.col("least").alias("component_id"))
+
+
+def _classes(docs: DataFrame, width: int) -> DataFrame:
+    """As `near_classes`, where a doc_id names one text."""
     spark = docs.sparkSession
-    docs = gentle(docs).select("doc_id", "text")
     profile = cut(map_frames(docs, _profile(width), "doc_id long, n int, s1 long, s2 long, slice int, data binary"))
     parts = profile.where("slice >= 0").select("slice", "data").groupBy("slice").applyInPandas(_add_slices, "slice int, data binary").collect()
     ranks = np.zeros(COUNTERS, dtype=np.uint8)

@@ -19,8 +19,11 @@ windows with one key make a segment:
    so no task ever holds an unbounded key.
 
 Edge cases: null and empty texts have no bytes and stay; texts shorter than `length` stay as they are; equal texts keep
-the row with the smallest doc_id; doc_id names a document, so rows that repeat it must repeat its text, and none of them
-is removed for another; rows without doc_id stay whole and take no part; other columns are ignored.
+the row with the smallest doc_id; rows that repeat id and text are one document, and none of them is removed for another;
+different texts of one doc_id are documents of their own, in the order of a hash of theirs; rows without doc_id stay whole
+and take no part; other columns are ignored. A very long text is scanned in one task, at some 60 bytes of memory a byte.
+
+Positions are 64-bit: the low half is the place in a text, the high half tells the texts of one doc_id apart.
 """
 
 from __future__ import annotations
@@ -30,13 +33,16 @@ import hashlib
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from .common import as_bytes, columns, gentle, keep, map_frames, mix
+from ..runtime import broadcast_if_small
+from .common import as_bytes, columns, cut, gentle, keep, map_frames, mix, repeated_ids, text_hash
 
 GRAM = 32
+#: Bits of a position within its text, and their mask.
+_PLACE, _TEXT = 32, (1 << 32) - 1
 _BYTE = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95))
 _M1, _M2, _M3 = (np.uint64(x) for x in (0x9FB21C651E98DF25, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
 _CHUNK, _BATCH = 1 << 16, 1 << 18
@@ -77,7 +83,7 @@ def _smallest(h: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(out[: len(out) - rest], out[rest:]) if rest else out
 
 
-def _segments(ids: np.ndarray, blobs: list[bytes], length: int) -> pd.DataFrame:
+def _segments(ids: np.ndarray, base: np.ndarray, blobs: list[bytes], length: int) -> pd.DataFrame:
     arr = np.frombuffer(b"".join(blobs), dtype=np.uint8)
     sizes = np.array([len(b) for b in blobs], dtype=np.int64)
     ends = np.cumsum(sizes)
@@ -100,7 +106,7 @@ def _segments(ids: np.ndarray, blobs: list[bytes], length: int) -> pd.DataFrame:
     sig = mix(window[p] * _M1 + window[p + n - 1] * _M3 + n.astype(np.uint64))
     sig = (sig >> np.uint64(8) << np.uint64(8)) | n.astype(np.uint64)  # its low byte is n, at most `length`
     d = doc[p]
-    return pd.DataFrame({"key": key[p].view(np.int64), "sig": sig.view(np.int64), "doc_id": ids[d], "pos": p - (ends - sizes)[d], "own": _own_repeats(gram, key, p, n, length)})
+    return pd.DataFrame({"key": key[p].view(np.int64), "sig": sig.view(np.int64), "doc_id": ids[d], "pos": p - (ends - sizes)[d] + base[d], "own": _own_repeats(gram, key, p, n, length)})
 
 
 def _own_repeats(gram: np.ndarray, key: np.ndarray, p: np.ndarray, n: np.ndarray, length: int) -> np.ndarray:
@@ -127,14 +133,14 @@ def _own_repeats(gram: np.ndarray, key: np.ndarray, p: np.ndarray, n: np.ndarray
 def _scan(length: int):
     def run(batches):
         for pdf in batches:
-            ids, blobs = pdf.doc_id.to_numpy(dtype=np.int64), [as_bytes(t) for t in pdf.text]
+            ids, base, blobs = pdf.doc_id.to_numpy(dtype=np.int64), pdf["sub"].to_numpy(dtype=np.int64) << _PLACE, [as_bytes(t) for t in pdf.text]
             i = 0
             while i < len(blobs):
                 j, size = i, 0
                 while j < len(blobs) and (j == i or size + len(blobs[j]) < _CHUNK):
                     size += len(blobs[j])
                     j += 1
-                yield _segments(ids[i:j], blobs[i:j], length)
+                yield _segments(ids[i:j], base[i:j], blobs[i:j], length)
                 i = j
 
     return run
@@ -148,7 +154,9 @@ def _fetch(length: int):
             rows = []
             for doc, text, want in zip(pdf.doc_id, pdf.text, pdf.want):
                 b = as_bytes(text)
-                rows += [(w["key"], doc, w["pos"], b[w["pos"] : w["pos"] + w["n"] + length - 1], w["hot"]) for w in (want if want is not None else ())]
+                for w in want if want is not None else ():
+                    at = w["pos"] & _TEXT
+                    rows.append((w["key"], doc, w["pos"], b[at : at + w["n"] + length - 1], w["hot"]))
             if rows:
                 yield columns(rows, "key doc_id pos seg hot")
 
@@ -309,7 +317,7 @@ def _cut_out(as_text: bool):
             for text, spans in zip(batch["text"].to_pylist(), batch["spans"].to_pylist()):
                 b = as_bytes(text)
                 runs: list[list[int]] = []
-                for s, e in sorted((x["start"], x["end"]) for x in spans or ()):
+                for s, e in sorted((x["start"] & _TEXT, x["end"] & _TEXT) for x in spans or ()):
                     if runs and s <= runs[-1][1]:
                         runs[-1][1] = max(runs[-1][1], e)
                     else:
@@ -339,37 +347,46 @@ def remove_repeats(docs: DataFrame, length: int = 100, hot: int = 20_000, with_r
     kept is binary; as_text makes it a string, without the characters that a cut splits, and null where the text was.
     with_row adds a struct `row` of all columns but the text."""
     row = [F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "text"]).alias("row")] if with_row else []
-    rows = gentle(docs).select("doc_id", *row, "text")
-    docs = docs.select("doc_id", "text")
-    segs = docs.where("doc_id is not null").mapInPandas(_scan(length), "key long, sig long, doc_id long, pos int, own int")
+    rows, texts = gentle(docs).select("doc_id", *row, "text"), repeated_ids(docs)
+    if texts is None:
+        by, sub = ["doc_id"], lambda place: []
+        rows = rows.withColumn("sub", F.lit(0))
+    else:
+        by, sub = ["doc_id", "sub"], lambda place: [F.shiftright(place, _PLACE).cast("int").alias("sub")]
+        number = F.row_number().over(Window.partitionBy("doc_id").orderBy("h"))
+        texts = broadcast_if_small(cut(texts.withColumn("_sub", number)).withColumnRenamed("doc_id", "_doc"))
+        own = (F.col("doc_id") == F.col("_doc")) & (text_hash() == F.col("h"))
+        rows = rows.join(texts, own, "left").select("doc_id", *[c for c in rows.columns if c == "row"], "text", F.coalesce("_sub", F.lit(0)).alias("sub"))
+    docs = rows.select("doc_id", "sub", "text")
+    segs = docs.where("doc_id is not null").mapInPandas(_scan(length), "key long, sig long, doc_id long, pos long, own int")
     keys = segs.groupBy("key").agg(F.count("*").cast("int").alias("c"), F.max("own").alias("own")).where("c > 1 or own > 0")
     shared = keep(segs.drop("own").join(keys.select("key", "own"), "key").withColumn("n", F.expr("cast(sig & 255 as int)")))
 
     place = F.struct("doc_id", "pos")
     firsts = shared.groupBy("key", "sig").agg(F.min(place).alias("f"), F.first("n").alias("n"), F.max("own").alias("own"), F.count("*").alias("c"))
     copies = shared.join(firsts.where("c > 1").select("key", "sig", "f"), ["key", "sig"]).where(place != F.col("f"))
-    span = lambda start, end: F.struct(F.expr(start).cast("int").alias("start"), F.expr(end).cast("int").alias("end"))
+    span = lambda start, end: F.struct(F.expr(start).cast("long").alias("start"), F.expr(end).cast("long").alias("end"))
     copies = copies.select("doc_id", span("pos", f"pos + n + {length - 1}").alias("span"))
 
     busy = firsts.groupBy("key").agg(F.count("*").alias("c"), F.max("own").alias("o")).where("c > 1 or o > 0").select("key", (F.col("c") > hot).alias("hot"))
     mixed = keep(firsts.join(busy, "key").select("key", F.col("f.doc_id").alias("doc_id"), F.col("f.pos").alias("pos"), "n", "hot"))
-    wanted = mixed.groupBy("doc_id").agg(F.collect_list(F.struct("key", "pos", "n", "hot")).alias("want"))
+    wanted = mixed.groupBy("doc_id", *sub("pos")).agg(F.collect_list(F.struct("key", "pos", "n", "hot")).alias("want"))
     # Outer as the last join is, so that both read the texts from one exchange.
-    fetched = map_frames(docs.join(wanted, "doc_id", "left"), _fetch(length), "key long, doc_id long, pos int, seg binary, hot boolean")
+    fetched = map_frames(docs.join(wanted, by, "left"), _fetch(length), "key long, doc_id long, pos long, seg binary, hot boolean")
     some_hot = bool(mixed.where("hot").take(1))
     cold = (fetched.where("not hot") if some_hot else fetched).drop("hot")
-    cold = cold.repartition("key").sortWithinPartitions("key").mapInPandas(_match(length), "doc_id long, start int, end int")
+    cold = cold.repartition("key").sortWithinPartitions("key").mapInPandas(_match(length), "doc_id long, start long, end long")
     spans = copies.union(cold.select("doc_id", span("start", "end").alias("span")))
     if some_hot:
-        windows = fetched.where("hot").mapInPandas(_windows(length), "w1 long, w2 long, doc_id long, pos int")
+        windows = fetched.where("hot").mapInPandas(_windows(length), "w1 long, w2 long, doc_id long, pos long")
         least = windows.groupBy("w1", "w2").agg(F.min(place).alias("f"), F.count("*").alias("c")).where("c > 1").drop("c")
         again = windows.join(least, ["w1", "w2"]).where(place != F.col("f"))
         spans = spans.union(again.select("doc_id", span("pos", f"pos + {length}").alias("span")))
 
-    spans = spans.groupBy("doc_id").agg(F.collect_list("span").alias("spans"))
+    spans = spans.groupBy("doc_id", *sub("span.start")).agg(F.collect_list("span").alias("spans"))
     kept = f"n_bytes long, n_removed long, n_spans long, kept {'string' if as_text else 'binary'}"
-    kinds = StructType([*[f for f in rows.schema if f.name != "text"], *StructType.fromDDL(kept)])
-    return rows.join(spans, "doc_id", "left").mapInArrow(_cut_out(as_text), kinds)
+    kinds = StructType([*[f for f in rows.schema if f.name not in ("text", "sub")], *StructType.fromDDL(kept)])
+    return rows.join(spans, by, "left").drop("sub").mapInArrow(_cut_out(as_text), kinds)
 
 
 def removal_report(docs: DataFrame, length: int = 100) -> DataFrame:
