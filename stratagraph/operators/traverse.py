@@ -172,42 +172,66 @@ def flow_edges(flows: DataFrame, models: DataFrame) -> DataFrame:
     )
 
 
+def _first_choices(edges: DataFrame, here: str, there: str, most: int) -> DataFrame:
+    """(at, path): the nodes that first edges lead to from each node, `most` of them at least where the walk is that long.
+
+    Paths double: each takes on the path of its own end, so the rounds are the logarithm of the longest walk. A walk that
+    has run into a circle goes round it."""
+    paths = cut(edges.groupBy(F.col(here).alias("at")).agg(F.array(F.min(F.struct("ord", there))[there]).alias("path")))
+    length = 1
+    while length < most:
+        going = paths.where(F.size("path") == length)
+        if not going.take(1):
+            break
+        more = going.select(F.element_at("path", -1).alias("end")).distinct().join(paths.select(F.col("at").alias("end"), F.col("path").alias("rest")), "end")
+        paths = cut(paths.join(more, (F.size("path") == length) & (F.element_at("path", -1) == F.col("end")), "left").select("at", F.concat("path", F.coalesce("rest", F.array().cast("array<string>"))).alias("path")))
+        length *= 2
+    return paths
+
+
+def _walks(walkers: DataFrame, edges: DataFrame, here: str, there: str, most: int) -> DataFrame:
+    """walkers (root, at, seen, left) after they have gone as far as they can: seen holds the nodes in order.
+
+    A walk follows first choices up to a node it has seen; there, in a repair round, it takes its first edge to another one
+    and follows the first choices from there. Walks that meet nothing of their own end in the first round."""
+    paths, done = _first_choices(edges, here, there, most), None
+    turns = edges.select(F.col(here).alias("_here"), F.col(there).alias("_there"), "ord")
+    while True:
+        ahead = walkers.join(paths, "at", "left").withColumn("path", F.slice(F.coalesce("path", F.array().cast("array<string>")), F.lit(1), F.col("left")))
+        met = F.filter(F.sequence(F.lit(1), F.greatest(F.size("path"), F.lit(1))), lambda i: F.array_contains("seen", F.get("path", i - 1)) | (F.array_position("path", F.get("path", i - 1)) < i))
+        ahead = ahead.withColumn("met", F.get(met, F.lit(0))).withColumn("good", F.when(F.col("met").isNull(), F.col("path")).otherwise(F.slice("path", F.lit(1), F.col("met") - 1)))
+        moved = ahead.select("root", F.coalesce(F.get("good", F.size("good") - 1), F.col("at")).alias("at"), F.concat("seen", "good").alias("seen"), (F.col("left") - F.size("good")).alias("left"), F.col("met").isNotNull().alias("stuck"))
+        moved = cut(moved)
+        stuck = moved.where("stuck and left > 0")
+        done = moved.drop("stuck").where("not stuck or left = 0") if done is None else done.unionByName(moved.where("not stuck or left = 0").drop("stuck"))
+        if not stuck.take(1):
+            return done
+        turn = stuck.join(turns, stuck["at"] == turns["_here"]).where(~F.array_contains("seen", F.col("_there"))).groupBy("root").agg(F.min(F.struct("ord", "_there"))["_there"].alias("next"))
+        turned = cut(stuck.join(turn, "root", "left"))
+        done = done.unionByName(turned.where("next is null").select("root", "at", "seen", "left"))
+        walkers = turned.where("next is not null").select("root", F.col("next").alias("at"), F.array_append("seen", F.col("next")).alias("seen"), (F.col("left") - 1).alias("left"))
+
+
 def linear_traces(graph: Graph, roots: DataFrame, steps: int = TRACE_STEPS) -> DataFrame:
-    """For each root (id) the main path through it: root, index, node_id, edge_from_prev, layer.
+    """For each root (id) the main path through it: root, index, node_id, name, type, edge_from_prev, layer.
 
     From the root upstream, then downstream, each step takes the first link edge to a node not yet on the path; both ways
-    share one budget, upstream first. All roots go at once, one join and one top-1 for each step."""
+    share one budget, upstream first. All roots go at once, by doubled paths of first choices."""
     known = graph.nodes.select("id")
-    edges = graph.edges.where(F.col("type").isin(*LINK_EDGES)).select("source", "target", F.col("type").alias("via"), "ord")
+    edges = graph.edges.where(F.col("type").isin(*LINK_EDGES) & (F.col("source") != F.col("target")))
+    edges = edges.groupBy("source", "target").agg(F.min(F.struct("ord", F.col("type").alias("via"))).alias("first"))
     edges = edges.join(known.withColumnRenamed("id", "source"), "source", "left_semi").join(known.withColumnRenamed("id", "target"), "target", "left_semi")
-    edges = cut(edges.groupBy("source", "target").agg(F.min(F.struct("ord", "via")).alias("first")).select("source", "target", "first.ord", "first.via"))
-    edges = edges.withColumnRenamed("via", "_via")
-    walks = cut(roots.select("id").distinct().join(known, "id", "left_semi").select(F.col("id").alias("root"), F.col("id").alias("at"), F.array("id").alias("seen"), F.lit(0).alias("place")))
-    out = walks.select("root", "place", F.col("at").alias("node_id"), F.lit(None).cast("string").alias("via"))
-    budget = walks.select("root", F.lit(steps - 1).alias("left"))
-    for here, there, sign in (("target", "source", -1), ("source", "target", 1)):
-        current, used = walks, None
-        for k in range(1, steps):
-            nxt = current.drop("via").join(edges, current["at"] == edges[here]).where(~F.array_contains("seen", F.col(there)))
-            nxt = ranked_first(nxt.join(budget.where(F.col("left") >= k), "root"), ["root"], "ord", there)
-            current = cut(nxt.select("root", F.col(there).alias("at"), F.array_append("seen", F.col(there)).alias("seen"), F.lit(sign * k).alias("place"), F.col("_via").alias("via")))
-            if not current.take(1):
-                break
-            out = out.union(current.select("root", "place", F.col("at").alias("node_id"), "via"))
-            used = current.select("root", "seen", F.lit(k).alias("k")) if used is None else used.union(current.select("root", "seen", F.lit(k).alias("k")))
-        if used is not None and sign < 0:
-            last = used.groupBy("root").agg(F.max_by("seen", "k").alias("_seen"), F.max("k").alias("_k"))
-            walks = walks.join(last, "root", "left").select("root", "at", F.coalesce("_seen", "seen").alias("seen"), "place", F.coalesce("_k", F.lit(0)).alias("_k"))
-            walks = cut(walks)
-            budget = walks.select("root", (F.lit(steps - 1) - F.col("_k")).alias("left"))
-            walks = walks.drop("_k")
-    # Upstream, the edge found at a place leads to the next one; downstream, and at the root, it is the edge before.
-    up = out.where("place < 0").select("root", (F.col("place") + 1).alias("place"), F.col("via").alias("_up"))
-    out = out.join(up, ["root", "place"], "left")
-    before = F.when(F.col("place") > 0, F.col("via")).otherwise(F.col("_up"))
-    index = F.row_number().over(Window.partitionBy("root").orderBy("place"))
-    named = out.join(graph.nodes.select(F.col("id").alias("node_id"), "name", "type"), "node_id")
-    return named.select("root", index.alias("index"), "node_id", "name", "type", before.alias("edge_from_prev"), trace_layer("type").alias("layer"))
+    edges = cut(edges.select("source", "target", "first.ord", "first.via"))
+    walkers = roots.select("id").distinct().join(known, "id", "left_semi").select(F.col("id").alias("root"), F.col("id").alias("at"), F.array("id").alias("seen"), F.lit(steps - 1).alias("left"))
+    up = _walks(walkers, edges, "target", "source", steps - 1).select("root", F.col("root").alias("at"), "seen", "left", F.size("seen").alias("ups"))
+    both = _walks(up.drop("ups"), edges, "source", "target", steps - 1).join(up.select("root", "ups"), "root")
+    # seen: the root, its nodes upstream from near to far, then those downstream.
+    order = F.concat(F.reverse(F.slice("seen", F.lit(1), F.col("ups"))), F.slice("seen", F.col("ups") + 1, F.size("seen")))
+    out = both.select("root", order.alias("path")).select("root", "path", F.posexplode("path").alias("place", "node_id"))
+    out = out.select("root", (F.col("place") + 1).alias("index"), "node_id", F.when(F.col("place") > 0, F.get("path", F.col("place") - 1)).alias("_before"))
+    via = edges.select(F.col("source").alias("_before"), F.col("target").alias("node_id"), F.col("via").alias("edge_from_prev"))
+    named = out.join(via, ["_before", "node_id"], "left").join(graph.nodes.select(F.col("id").alias("node_id"), "name", "type"), "node_id")
+    return named.select("root", "index", "node_id", "name", "type", "edge_from_prev", trace_layer("type").alias("layer"))
 
 
 _TEXTS = {
@@ -235,12 +259,13 @@ def strong_components(edges: DataFrame) -> DataFrame:
     colour, gives one component, which is then taken out. Nodes without edges in or out are trimmed first."""
     edges = cut(edges.select("source", "target").where("source <> target").distinct())
     out = edges.select(F.col("source").alias("id"), F.col("source").alias("component")).limit(0)
+    n = edges.count()
     while True:
-        while True:
+        while n:
             sources, targets = edges.select("source").distinct(), edges.select("target").distinct()
+            edges, before = cut(edges.join(targets.withColumnRenamed("target", "source"), "source", "left_semi").join(sources.withColumnRenamed("source", "target"), "target", "left_semi").select("source", "target")), n
             n = edges.count()
-            edges = cut(edges.join(targets.withColumnRenamed("target", "source"), "source", "left_semi").join(sources.withColumnRenamed("source", "target"), "target", "left_semi").select("source", "target"))
-            if edges.count() == n:
+            if n == before:
                 break
         if not n:
             return out.join(out.groupBy("component").agg(F.min("id").alias("least")), "component").select("id", F.col("least").alias("component"))
@@ -258,6 +283,7 @@ def strong_components(edges: DataFrame) -> DataFrame:
         out = cut(out.union(done.join(sizes, "component", "left_semi").select("id", "component")))
         gone = done.select("id")
         edges = cut(edges.join(gone.withColumnRenamed("id", "source"), "source", "left_anti").join(gone.withColumnRenamed("id", "target"), "target", "left_anti").select("source", "target"))
+        n = edges.count()
 
 
 def nearest_layout(files: DataFrame, layouts: DataFrame, levels: int = 64) -> DataFrame:

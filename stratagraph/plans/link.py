@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..graph import Graph
 from ..operators import match
+from ..operators.asof import nearest
 from ..operators.dedup import keep_first, merge_coverage
 from ..operators.joins import component_uses, kotlin_links, literal_links, page_components, repaired_sources
 from ..operators.lookup import ranked_first, route_of
@@ -87,12 +88,27 @@ def link_handlers(graph: Graph) -> Graph:
     return Graph(graph.nodes.unionByName(made), graph.edges.unionByName(edges))
 
 
+def nearest_scopes(nodes: DataFrame, scopes: DataFrame) -> DataFrame:
+    """(node_id, text): of nodes (node_id, file_path, line, wanted) the scope (file_path, function, at, text) of the function
+    they name, else any of their file; of several the one that starts nearest to the line, ties to the first.
+
+    Lines meet scopes by as-of joins, and texts come last, so no node is joined to all scopes of its file."""
+    scopes = scopes.groupBy("file_path", "function", F.col("at").cast("long").alias("line")).agg(F.min("text").alias("text"))
+    nodes = nodes.withColumn("line", F.coalesce(F.col("line").cast("long"), F.lit(0)))
+    own = nodes.withColumn("function", F.col("wanted"))
+    named = own.join(nearest(own, scopes, ["file_path", "function"], "line"), ["file_path", "function", "line"])
+    others = nodes.join(named.select("node_id"), "node_id", "left_anti")
+    first = scopes.groupBy("file_path", "line").agg(F.min("function").alias("function"))
+    anywhere = others.join(nearest(others, first, ["file_path"], "line"), ["file_path", "line"]).join(first.withColumnRenamed("line", "nearest"), ["file_path", "nearest"])
+    found = named.select("node_id", "file_path", "function", "nearest").unionByName(anywhere.select("node_id", "file_path", "function", "nearest"))
+    return found.join(scopes.withColumnRenamed("line", "nearest"), ["file_path", "function", "nearest"]).select("node_id", "text")
+
+
 def _handler_scopes(graph: Graph, facts: DataFrame) -> DataFrame:
     """(node_id, type, file_path, text): the handler's own function by name or nearest line, else by the whole file's scopes."""
     scopes = facts.where("kind = 'scope'").select(F.col("path").alias("file_path"), F.col("name").alias("function"), F.col("line").alias("at"), F.col("value").alias("text"))
     nodes = graph.nodes.where(F.col("type").isin("handler", "service")).select(F.col("id").alias("node_id"), "type", "file_path", "line", F.coalesce(_j("functionName"), _j("methodName"), F.col("name")).alias("wanted"))
-    near = nodes.join(scopes, "file_path").withColumn("other", (F.col("function") != F.col("wanted")).cast("int"))
-    return ranked_first(near, ["node_id"], "other", F.abs(F.col("at") - F.col("line")), "at").select("node_id", "type", "file_path", "text")
+    return nodes.select("node_id", "type", "file_path").join(nearest_scopes(nodes.drop("type"), scopes), "node_id")
 
 
 def link_services(graph: Graph, facts: DataFrame) -> Graph:

@@ -11,6 +11,7 @@ from .functions import columns as C
 from .graph import Graph
 from .operators import coverage, dedup, detect, joins, lookup, match, stats, traverse
 from .runtime import load
+from .schema import LINK_EDGES
 from .sources import derived
 from .streaming import watch
 
@@ -440,9 +441,21 @@ def model_dataflow(spark, sf):
     return flows.groupBy("transfer_method", "from_id", "to_id").agg(F.count("*").alias("n"))
 
 
-@query()
+_LINKS = ", ".join(f"'{t}'" for t in sorted(LINK_EDGES))
+
+
+@query(f"""WITH f AS MATERIALIZED (SELECT source, target, min(struct_pack(a := o1, b := o2, c := o3, d := o4, via := type)) AS o FROM edges
+WHERE type IN ({_LINKS}) AND source <> target AND source IN (SELECT id FROM nodes) AND target IN (SELECT id FROM nodes) GROUP BY source, target),
+up(root, here, seen, k) AS (SELECT id, id, [id], 0 FROM nodes WHERE type = 'handler'
+UNION ALL SELECT root, n.id, list_append(seen, n.id), k + 1 FROM (SELECT w.root, w.seen, w.k, min(struct_pack(o := f.o, id := f.source)) AS n FROM up AS w JOIN f ON f.target = w.here WHERE w.k < 63 AND NOT list_contains(w.seen, f.source) GROUP BY w.root, w.seen, w.k)),
+tops AS (SELECT root, arg_max(seen, k) AS seen, max(k) AS ups FROM up GROUP BY root),
+down(root, here, seen, k, ups) AS (SELECT root, root, seen, ups, ups FROM tops
+UNION ALL SELECT root, n.id, list_append(seen, n.id), k + 1, ups FROM (SELECT w.root, w.seen, w.k, w.ups, min(struct_pack(o := f.o, id := f.target)) AS n FROM down AS w JOIN f ON f.source = w.here WHERE w.k < 63 AND NOT list_contains(w.seen, f.target) GROUP BY w.root, w.seen, w.k, w.ups)),
+whole AS (SELECT root, list_concat(list_reverse(arg_max(seen, k)[:ups + 1]), arg_max(seen, k)[ups + 2:]) AS path FROM down GROUP BY root, ups),
+steps AS (SELECT root, generate_subscripts(path, 1) AS i, path FROM whole)
+SELECT s.root, CAST(s.i AS INTEGER) AS index, s.path[s.i] AS node_id, f.o.via AS edge_from_prev FROM steps AS s LEFT JOIN f ON s.i > 1 AND f.source = s.path[s.i - 1] AND f.target = s.path[s.i]""")
 def linear_trace(spark, sf):
-    """Of each handler over the whole graph and all link types; tests hold it against a walk in plain Python."""
+    """Of each handler over the whole graph and all link types."""
     g = _graph(spark, sf)
     return traverse.linear_traces(g, g.nodes.where("type = 'handler'").select("id")).select("root", "index", "node_id", "edge_from_prev")
 

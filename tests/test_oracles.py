@@ -4,7 +4,7 @@ import os
 
 import pytest
 
-from stratagraph import queries, source_queries
+from stratagraph import index_queries, queries, source_queries
 
 FOLDER = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents pages conversations labels".split()
@@ -36,11 +36,12 @@ def engine():
 
 
 def test_every_query_has_sql():
-    assert set(queries.queries()) - set(queries.oracle_sql()) == {"linear_trace"}  # walked in plain Python in test_graph
+    assert set(RUN) == set(SQL)
 
 
-RUN = queries.queries() | source_queries.queries()
-SQL = queries.oracle_sql() | source_queries.oracle_sql()
+REGISTRIES = (queries, source_queries, index_queries)
+RUN = {k: f for r in REGISTRIES for k, f in r.queries().items()}
+SQL = {k: f for r in REGISTRIES for k, f in r.oracle_sql().items()}
 
 
 @pytest.mark.parametrize("name", sorted(SQL))
