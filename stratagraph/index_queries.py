@@ -7,10 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .operators import asof, reachability
+from .operators import asof, merkle, reachability, text_index
 from .queries import _WITH
-from .runtime import load
-from .sources import derived
+from .runtime import load, work_folder
+from .sources import deltas, derived
+from .streaming import limits
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _ORACLES: dict[str, str] = {}
@@ -70,6 +71,132 @@ def nearest_scope(spark, sf):
     return near.join(scopes.withColumnRenamed("line", "nearest"), ["file", "nearest"]).select("file", "line", F.col("nearest").alias("scope_line"), "name")
 
 
+# Search
+
+
+def _text_index(spark, sf) -> text_index.TextIndex:
+    return text_index.TextIndex.build(derived.graph(spark, sf), work_folder(spark))
+
+
+@query("WITH q AS (SELECT 'nation_1' AS t) SELECT id FROM nodes, q WHERE contains(lower(name), t) OR contains(lower(file_path), t)", graph=True)
+def search_by_index(spark, sf):
+    return _text_index(spark, sf).search("  Nation_1 ").select("id")
+
+
+@query("WITH found AS (SELECT id, o1, o2 FROM nodes WHERE contains(lower(name), '001') OR contains(lower(file_path), '001')) SELECT id FROM found ORDER BY o1, o2 LIMIT 20", graph=True)
+def top20_by_index(spark, sf):
+    return _text_index(spark, sf).search("001").orderBy("ord").limit(20).select("id")
+
+
+_TEXTS = "SELECT n_name AS query FROM {nation} UNION SELECT ' ' || upper(r_name) FROM {region} UNION SELECT '#' || CAST(o_orderkey AS STRING) FROM {orders} UNION SELECT CAST(s_suppkey AS STRING) FROM {supplier} UNION SELECT ' '"
+
+
+@query(f"""WITH q AS MATERIALIZED (SELECT DISTINCT lower(trim(query)) AS query FROM ({derived.text(_TEXTS)}) WHERE trim(query) <> ''), n AS MATERIALIZED (SELECT id, lower(name) || chr(10) || lower(file_path) AS text FROM nodes),
+runs AS (SELECT DISTINCT id, substr(text, i, k) AS query FROM (SELECT id, text, unnest(range(1, length(text) + 1)) AS i FROM n), (SELECT DISTINCT length(query) AS k FROM q) WHERE i + k - 1 <= length(text))
+SELECT query, id FROM runs JOIN q USING (query)""", graph=True)
+def search_many(spark, sf):
+    """Texts from four tables, one and two characters long as well, searched at once."""
+    return _text_index(spark, sf).search_all(derived.run(spark, sf, _TEXTS))
+
+
+# Fingerprints
+
+
+_STATE = """SELECT o_orderkey, o_custkey, o_orderstatus, CAST(round(o_totalprice * 100) AS BIGINT) AS cents, CAST(year(o_orderdate) AS STRING) || '/' || CAST(month(o_orderdate) AS STRING) || '/' || CAST(day(o_orderdate) AS STRING) || '/' || CAST(o_orderkey AS STRING) AS path FROM {orders}"""
+#: Some orders cost more, some are gone, some come twice under a new key; most months keep their orders.
+_LATER = f"""SELECT o_orderkey, o_custkey, o_orderstatus, CASE WHEN o_custkey % 97 = 5 THEN cents + 1 ELSE cents END AS cents, path FROM ({_STATE}) AS s WHERE o_custkey % 101 <> 7
+UNION ALL SELECT -o_orderkey, o_custkey, o_orderstatus, cents, path FROM ({_STATE}) AS s WHERE o_custkey % 103 = 11 AND o_orderkey > 0"""
+_COLUMNS = ["o_orderkey", "o_custkey", "o_orderstatus", "cents"]
+_JSON = "to_json({'cents': cents, 'o_custkey': o_custkey, 'o_orderkey': o_orderkey, 'o_orderstatus': o_orderstatus})"
+_PARTS_SQL = ", ".join(f"sum(CAST('0x' || substr(h, {1 + 12 * i}, 12) AS BIGINT)) AS p{i}" for i in range(5))
+
+
+def _trees(spark, sf):
+    return [merkle.build(derived.run(spark, sf, sql), "path", _COLUMNS, 3) for sql in (_STATE, _LATER)]
+
+
+def _levels_sql(sql: str) -> str:
+    return f"""SELECT level, prefix, count(*) AS n, {_PARTS_SQL} FROM (SELECT k AS level, array_to_string(string_split(path, '/')[:k], '/') AS prefix, sha256({_JSON}) AS h FROM ({derived.text(sql)}), (SELECT unnest([0, 1, 2, 3]) AS k)) GROUP BY ALL"""
+
+
+@query(f"""WITH a AS ({_levels_sql(_STATE)}), b AS ({_levels_sql(_LATER)})
+SELECT CAST(coalesce(a.level, b.level) AS INTEGER) AS level, coalesce(a.prefix, b.prefix) AS prefix, coalesce(a.n, 0) AS n_before, coalesce(b.n, 0) AS n_after FROM a FULL JOIN b ON a.level = b.level AND a.prefix = b.prefix
+WHERE (a.n, a.p0, a.p1, a.p2, a.p3, a.p4) IS DISTINCT FROM (b.n, b.p0, b.p1, b.p2, b.p3, b.p4)""")
+def changed_ranges(spark, sf):
+    """Two states of the orders, by year, month and day."""
+    return merkle.changed_ranges(*_trees(spark, sf))
+
+
+@query(f"""WITH a AS ({derived.text(_STATE)}), b AS ({derived.text(_LATER)})
+SELECT coalesce(a.o_orderkey, b.o_orderkey) AS o_orderkey, CASE WHEN a.o_orderkey IS NULL THEN 'added' WHEN b.o_orderkey IS NULL THEN 'removed' ELSE 'changed' END AS change
+FROM a FULL JOIN b ON a.o_orderkey = b.o_orderkey WHERE a.o_orderkey IS NULL OR b.o_orderkey IS NULL OR a.cents <> b.cents""")
+def changed_rows(spark, sf):
+    return merkle.changed_rows(*_trees(spark, sf), "o_orderkey")
+
+
+@query(f"""WITH t AS ({_levels_sql(_STATE)}) SELECT CAST(level AS INTEGER) AS level, prefix, n, sha256(concat_ws('-', n, p0, p1, p2, p3, p4)) AS digest FROM t""")
+def range_digests(spark, sf):
+    """The digests of the whole table and of all its ranges."""
+    return _trees(spark, sf)[0].nodes.select("level", "prefix", "n", merkle.digest().alias("digest"))
+
+
+# Limits
+
+
+_MICROS = "CAST(epoch_us(ts) AS BIGINT)"
+
+
+def _requests(spark, sf):
+    events = load(spark, sf, "events")
+    return events.select(F.col("user_id").alias("identity"), F.col("event_id").alias("id"), F.unix_micros(F.col("ts").cast("timestamp")).alias("at"), (F.col("value") * 60_000_000).cast("long").alias("takes"))
+
+
+@query(f"""WITH RECURSIVE r AS MATERIALIZED (SELECT user_id, event_id AS id, {_MICROS} AS t, CAST(trunc(value * 60000000) AS BIGINT) AS takes, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM events),
+s(user_id, k, id, t, started, n, ends, reason) AS (
+SELECT user_id, k, id, t, t, 1, [t + takes], CAST(NULL AS VARCHAR) FROM r WHERE k = 1
+UNION ALL SELECT user_id, k, id, t, started, CASE WHEN reason IS NULL THEN n + 1 ELSE n END, CASE WHEN reason IS NULL THEN list_append(ends, t + takes) ELSE ends END, reason FROM (
+  SELECT *, CASE WHEN len(ends) >= 3 THEN 'concurrency' WHEN n >= 4 THEN 'rate' END AS reason FROM (
+    SELECT r.user_id, r.k, r.id, r.t, r.takes, CASE WHEN r.t - s.started >= 14400000000 THEN r.t ELSE s.started END AS started, CASE WHEN r.t - s.started >= 14400000000 THEN 0 ELSE s.n END AS n, list_filter(s.ends, lambda e: e > r.t) AS ends
+    FROM s JOIN r ON r.user_id = s.user_id AND r.k = s.k + 1)))
+SELECT user_id, id, t AS at, reason IS NULL AS ok, reason FROM s""")
+def request_verdicts(spark, sf):
+    """Events as requests that take as many minutes as their value: at most 4 in 4 hours, and 3 at a time."""
+    return limits.verdicts(_requests(spark, sf), 4, 4 * 3600 * 1_000_000, 3).withColumnRenamed("identity", "user_id")
+
+
+@query(f"""WITH r AS (SELECT user_id, {_MICROS} AS t, CAST(trunc(value * 60000000) AS BIGINT) AS takes FROM events), b AS (SELECT * FROM r WHERE takes > 0),
+n AS (SELECT x.user_id, x.t, count(*) AS in_flight FROM (SELECT DISTINCT user_id, t FROM b) AS x JOIN b ON b.user_id = x.user_id AND b.t <= x.t AND b.t + b.takes > x.t GROUP BY ALL)
+SELECT user_id, arg_max(t, (in_flight, -t)) AS at, max(in_flight) AS in_flight FROM n GROUP BY user_id""")
+def busiest_moments(spark, sf):
+    return limits.busiest(_requests(spark, sf)).withColumnRenamed("identity", "user_id")
+
+
+# Deltas
+
+
+@query("""WITH e AS (SELECT event_id, user_id * 7 + event_id % 7 AS id, value, CASE WHEN event_type IN ('purchase', 'view') THEN 'upsert' WHEN event_type = 'error' THEN 'delete' ELSE 'insert' END AS op, ntile(4) OVER (ORDER BY event_id) AS batch FROM events),
+o AS (SELECT *, batch * 10 + CASE op WHEN 'upsert' THEN 1 WHEN 'insert' THEN 2 ELSE 3 END AS seq FROM e),
+last AS (SELECT id, max(seq) AS seq, arg_max(struct_pack(op := op, event_id := event_id, value := value), (seq, event_id)) AS r FROM o WHERE op <> 'insert' GROUP BY id),
+ins AS (SELECT o.id, arg_min(struct_pack(event_id := o.event_id, value := o.value), (o.seq, o.event_id)) AS r FROM o LEFT JOIN last ON last.id = o.id WHERE o.op = 'insert' AND (last.id IS NULL OR last.r.op = 'delete' AND o.seq > last.seq) GROUP BY o.id)
+SELECT id, r.event_id AS ord, r.value AS value FROM last WHERE r.op = 'upsert' UNION ALL SELECT id, r.event_id, r.value FROM ins""")
+def delta_state(spark, sf):
+    """All events as upserts, inserts and deletes in four rounds of appends, a compaction between, and the state read back."""
+    events = load(spark, sf, "events")
+    op = F.when(F.col("event_type").isin("purchase", "view"), "upsert").when(F.col("event_type") == "error", "delete").otherwise("insert")
+    rows = events.select((F.col("user_id") * 7 + F.col("event_id") % 7).alias("id"), F.col("event_id").alias("ord"), "value", op.alias("op"))
+    n, r = divmod(events.count(), 4)
+    table = deltas.DeltaTable(spark, work_folder(spark), rows.drop("op").schema)
+    for k in range(4):
+        first = k * n + min(k, r)
+        part = rows.where(F.col("ord").between(first, first + n + (k < r) - 1))
+        table.upsert(part.where("op = 'upsert'"))
+        table.insert(part.where("op = 'insert'"))
+        table.delete(part.where("op = 'delete'"))
+        if k == 1:
+            table.compact()
+    return table.read()
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(_QUERIES)
 

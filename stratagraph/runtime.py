@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -21,18 +22,28 @@ def importable(spark: SparkSession) -> None:
         env["PYTHONPATH"] = os.pathsep.join(filter(None, (home, env.get("PYTHONPATH", ""))))
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Compute once and cut the lineage, in the folder of spark.checkpoint.dir; one of our own only where none is set and all
-    tasks run on this machine."""
-    sc = df.sparkSession.sparkContext
+def checkpoint_folder(spark: SparkSession) -> str:
+    """The folder of spark.checkpoint.dir; one of our own only where none is set and all tasks run on this machine."""
+    sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        folder = spark.conf.get("spark.checkpoint.dir", None)
         if not folder and not sc.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="checkpoints-"))
+    return sc.getCheckpointDir()
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Compute once and cut the lineage, in the checkpoint folder."""
+    checkpoint_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
+def work_folder(spark: SparkSession) -> str:
+    """A new folder for tables of this run, in the checkpoint folder; what is left there goes with it."""
+    return f"{checkpoint_folder(spark)}/work/{uuid.uuid4().hex}"
+
+
 def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

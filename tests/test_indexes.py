@@ -80,3 +80,137 @@ def test_nearest_scope_of_handlers(spark):
     nodes = [("h1", "f", 45, "GET"), ("h2", "f", 30, "GET"), ("h3", "f", 29, "other"), ("h4", "g", 8, "none"), ("h5", "g", 0, "none"), ("h6", "g", None, "y"), ("h7", "nowhere", 1, "x")]
     got = link.nearest_scopes(spark.createDataFrame(nodes, "node_id string, file_path string, line int, wanted string"), spark.createDataFrame(scopes, "file_path string, function string, at int, text string"))
     assert dict(map(tuple, got.collect())) == {"h1": "get2", "h2": "get", "h3": "post", "h4": "gx", "h5": "gx", "h6": "gy"}
+
+
+# Search
+
+
+def test_text_index(spark, tmp_path):
+    from stratagraph.operators.lookup import search
+    from stratagraph.operators.text_index import TextIndex
+
+    rng = random.Random(6)
+    names = ["".join(rng.choice("abAB.é") for _ in range(rng.randint(0, 12))) for _ in range(80)] + ["100%_x", "a", None, "Order Items"]
+    nodes = [{"id": f"n{i}", "type": "module", "name": name, "file_path": None if i == 5 else f"src/{rng.choice('abc')}{i % 9}/{'x' * (i % 4)}.ts"} for i, name in enumerate(names)]
+    g = of_rows(spark, nodes, [])
+    index = TextIndex.build(g, str(tmp_path / "index"))
+    asked = ["ab", "aba", " BAB ", "src/a", "é", "%_", "100%_x", "zzz", "src/b1/x", "", None, ".ts", "order items", "ababab"]
+    for q in asked:
+        assert sorted(r.id for r in index.search(q).collect()) == sorted(r.id for r in search(g, q).collect()), q
+    got = {tuple(r) for r in index.search_all(spark.createDataFrame([(q,) for q in asked], "query string")).collect()}
+    want = {(q.strip().lower(), r.id) for q in asked if (q or "").strip() for r in search(g, q).collect()}
+    assert got == want
+    plan = index.search("src/b1/x")._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [bucket" in plan and plan.count("FileScan") == 1  # candidates come from a checkpoint
+    empty = TextIndex.build(of_rows(spark, [], []), str(tmp_path / "empty"))
+    assert empty.search("abc").count() == 0 and empty.search("").count() == 0
+
+
+# Fingerprints
+
+
+def test_merkle_trees(spark):
+    from stratagraph.operators import merkle
+
+    schema, rng = "path string, v long, w string", random.Random(2)
+    rows = [(f"{'abc'[i % 3]}/{i % 5}/f{i}.ts", i, None if i % 7 == 0 else str(i)) for i in range(60)] + [("top.ts", 1, "x"), ("a/short", 2, None)]
+    later = [(p, v + (v == 17), w) for p, v, w in rows if v != 23] + [("b/9/new.ts", 99, "n")]
+    tree = lambda some: merkle.build(spark.createDataFrame(some, schema).repartition(3), "path", ["path", "v", "w"], 3)
+    a, b = tree(rows), tree(later)
+    shuffled = rows[:]
+    rng.shuffle(shuffled)
+    assert tree(shuffled).root == a.root != b.root and tree([]).root == ""
+    assert merkle.changed_ranges(a, tree(shuffled)).count() == 0
+    changed = {(r.level, r.prefix) for r in merkle.changed_ranges(a, b).collect()}
+    touched = ["c/2/f17.ts", "c/3/f23.ts", "b/9/new.ts"]
+    assert changed == {(k, "/".join(p.split("/")[:k])) for p in touched for k in range(4)}
+    assert dict(map(tuple, merkle.changed_rows(a, b, "path").collect())) == {touched[0]: "changed", touched[1]: "removed", touched[2]: "added"}
+    both = merkle.merged([tree(rows[:20]).nodes, tree(rows[20:]).nodes]).select("level", "prefix", merkle.digest().alias("d"))
+    whole = a.nodes.select("level", "prefix", merkle.digest().alias("d"))
+    assert both.exceptAll(whole).count() == whole.exceptAll(both).count() == 0
+    assert merkle.changed_rows(tree([]), a, "path").count() == len(rows)
+
+
+# Limits
+
+
+def plain_verdicts(rows, per_window, window, in_flight):
+    states, out = {}, {}
+    for who, id_, at, takes in sorted(rows, key=lambda r: (r[2], r[1])):
+        s = states.setdefault(who, {"start": at, "n": 0, "ends": []})
+        if at - s["start"] >= window:
+            s["start"], s["n"] = at, 0
+        s["ends"] = [x for x in s["ends"] if x > at]
+        reason = "concurrency" if len(s["ends"]) >= in_flight else "rate" if s["n"] >= per_window else None
+        if reason is None:
+            s["n"] += 1
+            s["ends"].append(at + max(takes or 0, 0))
+        out[id_] = (who, at, reason is None, reason)
+    return out
+
+
+def requests(rng, n):
+    return [(rng.choice(["a", "b", None, "hot", "hot"]), i, rng.randrange(3000), rng.choice([None, -5, 0, 30, 200, 900])) for i in range(n)]
+
+
+def test_request_limits_one_by_one(spark):
+    from stratagraph.streaming import limits
+
+    rows = requests(random.Random(4), 300)
+    schema = "identity string, id long, at long, takes long"
+    got = limits.verdicts(spark.createDataFrame(rows, schema).repartition(5), 5, 300, 3).collect()
+    assert {r.id: (r.identity, r["at"], r.ok, r.reason) for r in got} == plain_verdicts(rows, 5, 300, 3)
+    assert {r.reason for r in got} == {None, "rate", "concurrency"}
+    lost = limits.verdicts(spark.createDataFrame([("a", 1, None, 5)], schema), 5, 300, 3).collect()
+    assert [(r.ok, r.reason) for r in lost] == [(False, "time")]
+    assert limits.verdicts(spark.createDataFrame([], schema), 5, 300, 3).count() == 0
+    busy = {r.identity: (r["at"], r.in_flight) for r in limits.busiest(spark.createDataFrame(rows, schema)).collect()}
+    for who in ("a", "hot"):
+        mine = [(t, t + d) for w, _, t, d in rows if w == who and (d or 0) > 0]
+        counts = {t: sum(s <= t < e for s, e in mine) for t, _ in mine}
+        most = max(counts.values())
+        assert busy[who] == (min(t for t, c in counts.items() if c == most), most)
+
+
+def test_request_limits_of_a_stream(spark, tmp_path):
+    """State goes from one micro-batch to the next; the verdicts are those of one batch."""
+    from stratagraph.streaming import limits
+
+    rows = sorted(((w or "none", i, t, d) for w, i, t, d in requests(random.Random(8), 120)), key=lambda r: (r[2], r[1]))
+    schema = "identity string, id long, at long, takes long"
+    for k in range(3):
+        spark.createDataFrame(rows[40 * k : 40 * k + 40], schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    asked = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    out = limits.stream_verdicts(asked, 5, 300, 3).writeStream.format("memory").queryName("verdicts").option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start()
+    out.awaitTermination(120)
+    got = spark.table("verdicts").collect()
+    assert {r.id: (r.identity, r["at"], r.ok, r.reason) for r in got} == plain_verdicts(rows, 5, 300, 3)
+
+
+# Deltas
+
+
+def test_delta_table(spark, tmp_path):
+    from stratagraph.sources.deltas import DeltaTable
+
+    frame = lambda *rows: spark.createDataFrame(rows, "id string, ord long, v string")
+    table = DeltaTable(spark, str(tmp_path / "t"), frame(("x", 0, "")).schema)
+    state = lambda: {r.id: r.v for r in table.read().collect()}
+    assert state() == {} and table.delete(frame(("a", 0, ""))) == 0
+    table.insert(frame(("a", 1, "first"), ("a", 0, "least"), ("b", 2, "b")))
+    table.insert(frame(("a", 3, "late"), ("c", 4, "c")))
+    assert state() == {"a": "least", "b": "b", "c": "c"}
+    table.upsert(frame(("a", 5, "new"), ("a", 6, "newer"), ("d", 7, None)))
+    assert table.delete(frame(("b", 0, ""), ("zz", 0, ""))) == 1
+    assert state() == {"a": "newer", "c": "c", "d": None}
+    table.compact()
+    assert state() == {"a": "newer", "c": "c", "d": None} and len(table._markers()) == 1
+    table.insert(frame(("a", 8, "ignored"), ("b", 9, "again")))
+    table.upsert(frame(("c", 1, "c2")))
+    want = {"a": "newer", "b": "again", "c": "c2", "d": None}
+    assert state() == want
+    table.compact()
+    assert state() == want and DeltaTable(spark, table.path, table.schema).read().count() == 4
+    # A delta without a marker, left by a writer that failed, doesn't count.
+    frame(("q", 0, "lost")).write.parquet(f"{table.path}/data/orphan")
+    assert state() == want
