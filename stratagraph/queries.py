@@ -343,7 +343,7 @@ UNION ALL SELECT 'dead_service', 'info', id FROM every WHERE type = 'service' AN
 
 def _some_issues(spark, sf) -> DataFrame:
     g = _with_lone(spark, sf)
-    return detect.unused_routes(g).unionByName(detect.dead_routes(g)).unionByName(detect.dead_services(g))
+    return detect.node_issues(g).where("type in ('unused_route', 'dead_route', 'dead_service') and message_key <> 'orphan_node'")
 
 
 @query(f"WITH {_ALL}, issues AS ({_ISSUES}) SELECT count(*) AS total, count(*) FILTER (severity = 'critical') AS critical, count(*) FILTER (severity = 'warning') AS warning, count(*) FILTER (severity = 'info') AS info FROM issues")

@@ -331,3 +331,23 @@ def test_path_aliases_of_a_tsconfig(tmp_path):
     aliases = path_aliases(str(tmp_path))
     assert "src/a/b.ts" in aliases.files("@/a/b", "p.ts") and "lib/a/b/index.tsx" in aliases.files("@/a/b", "p.ts") and "x/one.ts" in aliases.files("@one", "p.ts")
     assert aliases.files("./q", "d/p.ts")[1] == "d/q.ts" and aliases.files("react", "p.ts") == []
+
+
+def test_rules_in_one_pass(spark):
+    """The rules together find what they find one by one."""
+    import random
+
+    rng = random.Random(12)
+    kinds = ["page", "component", "api_route", "trpc_procedure", "express_route", "service", "module", "handler"]
+    nodes = [n(f"{k}:f{i % 4}:{i}", k, metadata=rng.choice(["{}", '{"method":"GET, POST"}', '{"method":"all"}', '{"isRouter":true}', '{"method":""}', "broken"])) for i, k in enumerate(rng.choice(kinds) for _ in range(60))]
+    ids = [x["id"] for x in nodes] + ["api_route:gone:1", "x"]
+    types = ["calls_api", "renders", "calls_service", "handles", "tests"]
+    edges = [e(rng.choice(ids), rng.choice(types), rng.choice(ids[20:]), metadata=rng.choice(["{}", '{"method":"put","callLine":3}', '{"method":"get"}', '{"method":""}']), ord=(0, 0, 0, i)) for i in range(200)]
+    nodes += [n("api_route:r", "api_route", metadata='{"method":"GET, POST"}'), n("trpc_procedure:p", "trpc_procedure", metadata='{"procedureName":"list"}')]
+    edges += [e("page:a:1", "calls_api", "api_route:r", metadata='{"method":"put","callLine":3}')] + [e("page:a:1", "calls_api", f"gone:{u}", metadata=f'{{"callType":"trpc","url":"{u}"}}') for u in ("x.list", "x.other")]
+    g = of_rows(spark, nodes, edges)
+    one_by_one = None
+    for rule in (detect.dead_calls, detect.unused_routes, detect.orphans, detect.method_mismatches, detect.missing_procedures, detect.dead_routes, detect.dead_components, detect.dead_services, detect.import_cycles):
+        one_by_one = rule(g) if one_by_one is None else one_by_one.unionByName(rule(g))
+    rows = lambda df: sorted(repr(r) for r in df.select(*one_by_one.columns).collect())
+    assert rows(detect.consistency(g)) == rows(one_by_one) and one_by_one.select("type").distinct().count() == 7
