@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .operators import asof, merkle, reachability, text_index
+from .plans import exports
 from .queries import _WITH
 from .runtime import load, work_folder
 from .sources import deltas, derived
@@ -197,6 +198,31 @@ def delta_state(spark, sf):
     return table.read()
 
 
+# Exports
+
+
+_DEFINED = "SELECT 'part/' || CAST(p_partkey AS STRING) AS file, 'f' || CAST(p_partkey % 50 AS STRING) AS name FROM {part}"
+_NAMED = """SELECT 'supplier/' || CAST(s_suppkey AS STRING) AS file, 'g' || CAST(s_suppkey % 50 AS STRING) AS name, 'supplier/' || CAST((s_suppkey + 1) % n AS STRING) AS to_file,
+CASE WHEN s_suppkey % 4 = 0 THEN 'g' ELSE 'f' END || CAST((s_suppkey + 1) % 50 AS STRING) AS to_name FROM {supplier}, (SELECT count(*) AS n FROM {supplier}) AS c"""
+_STARS = """SELECT 'supplier/' || CAST(s_suppkey AS STRING) AS file, 'supplier/' || CAST((s_suppkey * s_suppkey + 1) % n AS STRING) AS target FROM {supplier}, (SELECT count(*) AS n FROM {supplier}) AS c
+UNION ALL SELECT 'supplier/' || CAST(p_partkey % n AS STRING), 'part/' || CAST(p_partkey AS STRING) FROM {part}, (SELECT count(*) AS n FROM {supplier}) AS c"""
+_WANTED = """SELECT DISTINCT 'supplier/' || CAST(l_suppkey AS STRING) AS file, CASE WHEN l_linenumber % 2 = 0 THEN 'f' ELSE 'g' END || CAST(l_partkey % 60 AS STRING) AS name FROM {lineitem}"""
+
+
+@query(f"""WITH RECURSIVE d AS ({derived.text(_DEFINED)}), l AS ({derived.text(_NAMED)}), s AS ({derived.text(_STARS)}), w AS ({derived.text(_WANTED)}), most AS (SELECT count(*) AS n FROM supplier),
+far(file, target, depth) AS (SELECT file, target, 1 FROM s UNION SELECT f.file, s.target, f.depth + 1 FROM far AS f JOIN s ON s.file = f.target, most WHERE f.depth <= most.n),
+c AS MATERIALIZED (SELECT file, target, min(depth) AS depth FROM (SELECT * FROM far UNION ALL SELECT file, file, 0 FROM w UNION ALL SELECT to_file, to_file, 0 FROM l) GROUP BY file, target),
+p AS (SELECT file, name, CAST(NULL AS VARCHAR) AS to_file, CAST(NULL AS VARCHAR) AS to_name FROM d UNION ALL SELECT * FROM l),
+giver AS MATERIALIZED (SELECT c.file, p.name, arg_min(struct_pack(file := p.file, name := p.name, to_file := p.to_file, to_name := p.to_name), (c.depth, p.file)) AS g FROM c JOIN p ON p.file = c.target GROUP BY c.file, p.name),
+walk(file, name, g, k) AS (SELECT w.file, w.name, v.g, 0 FROM w JOIN giver AS v ON v.file = w.file AND v.name = w.name
+UNION SELECT a.file, a.name, v.g, a.k + 1 FROM walk AS a JOIN giver AS v ON v.file = a.g.to_file AND v.name = a.g.to_name, most WHERE a.k < most.n)
+SELECT file, name, g.file AS def_file, g.name AS def_name FROM walk WHERE g.to_file IS NULL""")
+def resolved_exports(spark, sf):
+    """Names that items ask of suppliers' files, which pass on those of others and of parts, in circles too."""
+    wanted, defined, links, stars = (derived.run(spark, sf, sql) for sql in (_WANTED, _DEFINED, _NAMED, _STARS))
+    return exports.resolve(wanted, defined, links, stars)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(_QUERIES)
 

@@ -13,6 +13,7 @@ from ..operators.lookup import ranked_first, route_of
 from ..operators.traverse import reach
 from ..runtime import cut, importable
 from ..schema import EDGE, NODE
+from .exports import resolve_imports
 
 _ROUTES = ("api_route", "trpc_procedure", "tsrpc_service", "tsrpc_api", "tsrpc_msg", "express_route", "kotlin_route")
 
@@ -163,8 +164,10 @@ def import_edges(facts: DataFrame, aliases: match.PathAliases | None = None) ->
     return rel.select("file", "specifier", "line", F.explode(candidates("file", "specifier")).alias("imported"))
 
 
-def call_edges(facts: DataFrame, aliases: match.PathAliases | None = None) -> DataFrame:
-    """(source, target): a function "file#name" to those it calls by name, its file's own or imported ones, if they exist."""
+def call_edges(facts: DataFrame, aliases: match.PathAliases | None = None, exports: DataFrame | None = None) -> DataFrame:
+    """(source, target): a function "file#name" to those it calls by name, its file's own or imported ones, if they exist.
+
+    With exports (as from `exports.export_facts`) a name leads to the file that defines it, through files that pass it on."""
     scopes = facts.where("kind = 'scope'").select(F.col("path").alias("file"), "name", F.col("value").alias("text"))
     known = scopes.select(F.concat_ws("#", "file", "name").alias("target")).distinct()
     called = F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(r"(?<![\w.$])([A-Za-z_$][\w$]*)\s*\("), F.lit(1))))
@@ -172,14 +175,19 @@ def call_edges(facts: DataFrame, aliases: match.PathAliases | None = None) -> Da
     names = facts.where("kind = 'import' and name <> ''").select(F.col("path").alias("file"), F.col("name").alias("local"), F.col("source").alias("specifier"), F.col("target").alias("wanted"))
     names = names.withColumn("wanted", F.when(F.col("wanted").isin("default", "*"), F.col("local")).otherwise(F.col("wanted")))
     abroad = calls.join(names, ["file", "local"]).join(import_edges(facts, aliases).select("file", "specifier", "imported").distinct(), ["file", "specifier"])
+    if exports is not None:
+        specifiers = exports.where("specifier is not null").select(F.lit("import").alias("kind"), F.col("file").alias("path"), F.col("specifier").alias("source"), F.lit(1).alias("line"))
+        paths = import_edges(facts.select("kind", "path", "source", "line").unionByName(specifiers), aliases).select("file", "specifier", "imported").distinct()
+        given = resolve_imports(abroad.select("imported", "wanted").distinct(), facts, exports, paths)
+        abroad = abroad.join(given, ["imported", "wanted"]).select("source", F.col("def_file").alias("imported"), F.col("def_name").alias("wanted"))
     found = abroad.select("source", F.concat_ws("#", "imported", "wanted").alias("target")).union(calls.select("source", F.concat_ws("#", "file", "local")))
     return found.join(known, "target", "left_semi").select("source", "target").where("source <> target").distinct()
 
 
-def call_chains(facts: DataFrame, starts: DataFrame, depth: int = 5, aliases: match.PathAliases | None = None) -> DataFrame:
+def call_chains(facts: DataFrame, starts: DataFrame, depth: int = 5, aliases: match.PathAliases | None = None, exports: DataFrame | None = None) -> DataFrame:
     """Functions "file#name" that those in `starts` (id) reach over at most `depth` calls. Calls are matched by name and
     import; methods of objects and types are not resolved."""
-    return reach(call_edges(facts, aliases), starts, depth)
+    return reach(call_edges(facts, aliases, exports), starts, depth)
 
 
 def link_tests(graph: Graph, facts: DataFrame, files: DataFrame, aliases: match.PathAliases | None = None) -> DataFrame:

@@ -214,3 +214,43 @@ def test_delta_table(spark, tmp_path):
     # A delta without a marker, left by a writer that failed, doesn't count.
     frame(("q", 0, "lost")).write.parquet(f"{table.path}/data/orphan")
     assert state() == want
+
+
+# Exports
+
+
+def test_exports_lead_to_the_defining_file(spark):
+    from stratagraph.plans import exports
+
+    texts = {
+        "index.ts": "export * from './a'\nexport * from './b'\n// export * from './gone'\nexport { deep as renamed, default as main } from './c'",
+        "a.ts": "export * from './b'; export * from './index' /* a circle */", "b.ts": "import { far } from './c'\nexport { far as near, local as own }",
+        "c.ts": "export * as whole from './b'\nexport { x } from './d'", "d.ts": "export { x } from './c'",
+    }
+    facts = exports.export_facts(spark.createDataFrame(list(texts.items()), "path string, text string"))
+    assert {(r.file, r.name, r.specifier, r.wanted) for r in facts.collect()} == {
+        ("index.ts", "*", "./a", "*"), ("index.ts", "*", "./b", "*"), ("index.ts", "renamed", "./c", "deep"), ("index.ts", "main", "./c", "default"), ("a.ts", "*", "./b", "*"), ("a.ts", "*", "./index", "*"),
+        ("b.ts", "near", None, "far"), ("b.ts", "own", None, "local"), ("c.ts", "whole", "./b", "*"), ("c.ts", "x", "./d", "x"), ("d.ts", "x", "./c", "x"),
+    }
+    scopes = [("b.ts", "local"), ("c.ts", "far"), ("c.ts", "deep"), ("c.ts", "default"), ("b.ts", "default")]
+    known = [(f, "scope", n, None, None) for f, n in scopes] + [("b.ts", "import", "far", "./c", "far")] + [(f, "file", None, None, None) for f in texts]
+    rows = spark.createDataFrame(known, "path string, kind string, name string, source string, target string")
+    paths = spark.createDataFrame([(f, f"./{t[:-3]}", x) for f in texts for t in [*texts, "gone.ts"] for x in (t, t + "x")], "file string, specifier string, imported string")
+    wanted = [("index.ts", n) for n in ("near", "own", "renamed", "main", "local", "default", "x", "nothing")] + [("a.ts", "renamed"), ("a.ts", "near"), ("c.ts", "x"), ("c.ts", "far"), ("d.ts", "x")]
+    got = exports.resolve_imports(spark.createDataFrame(wanted, "imported string, wanted string"), rows, facts, paths)
+    assert {(r.imported, r.wanted): (r.def_file, r.def_name) for r in got.collect()} == {
+        ("index.ts", "near"): ("c.ts", "far"), ("index.ts", "own"): ("b.ts", "local"), ("index.ts", "renamed"): ("c.ts", "deep"), ("index.ts", "main"): ("c.ts", "default"), ("index.ts", "local"): ("b.ts", "local"),
+        ("a.ts", "renamed"): ("c.ts", "deep"), ("a.ts", "near"): ("c.ts", "far"), ("c.ts", "far"): ("c.ts", "far"),
+    }
+
+
+def test_call_chains_through_a_barrel(spark):
+    from stratagraph.plans import exports, link
+
+    facts = [("a.ts", "scope", "start", None, None, "go(1)"), ("a.ts", "import", "go", "./lib", "run", None), ("lib/index.ts", "file", None, None, None, None), ("lib/more.ts", "file", None, None, None, None), ("lib/b.ts", "scope", "work", None, None, "return 1")]
+    df = spark.createDataFrame([(*f, 1, 0) for f in facts], "path string, kind string, name string, source string, target string, value string, line int, emit long")
+    texts = [("lib/index.ts", "export * from './more'"), ("lib/more.ts", "export { work as run } from './b'")]
+    given = exports.export_facts(spark.createDataFrame(texts, "path string, text string"))
+    starts = spark.createDataFrame([("a.ts#start",)], "id string")
+    assert {r.id for r in link.call_chains(df, starts, 5, exports=given).collect()} == {"a.ts#start", "lib/b.ts#work"}
+    assert {r.id for r in link.call_chains(df, starts, 5).collect()} == {"a.ts#start"}
