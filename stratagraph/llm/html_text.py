@@ -4,16 +4,19 @@ A first pass scores the containers of each page: a block's text, less what lies
 container and by half for each one further out. From the best one it climbs to the outermost article or main, else to the
 last container, short of body, whose text is mostly the best one's, so that a title or lede beside it stays. A page votes
 for that container's path of tags and classes, with numbers generalised. Spark counts votes by host, and a second pass extracts from the containers on the host's winning
-path; a page that has none uses its own best container. Only (host, path) counts are shuffled for the vote.
+path; a page that has none uses its own best container, and so does one whose own best lies outside of the winning path,
+holds more than twice its text, and isn't on a path that other pages of the host turned down. Only (host, path) counts are
+shuffled for the vote.
 
-Inside the container, elements that are never main text are left out: by tag (menus, headers, footers, sidebars, forms,
-scripts, styles) and by a class, id or role that is such a word or joins one to words of place (ad, site-promo,
+Inside the container, elements that are never main text are left out: by tag (menus, headers but for those of an article,
+footers, sidebars, forms, scripts, styles) and by a class, id or role that is such a word or joins one to words of place (ad, site-promo,
 comment-list; not with-sidebar, ad-free, related-work, share-price). Running text is never dropped by words. An element marked by a word stays if it holds an article, main or most of the page's
 unlinked text, unless another article or main with text stands beside it: threads and teasers are made of articles too.
 
 Edge cases: null and empty pages have an empty text; unclosed and stray tags, unclosed comments and very deep nesting are
-accepted; a null URL belongs to the host ""; repeated rows are extracted each; ties between paths go to the one with more
-text, then to the smaller path; an empty table gives no rows; other columns are ignored.
+accepted; a very long page is read whole, in one row; a null URL belongs to the host ""; repeated rows are extracted each;
+ties between paths go to the one with more text, then to the smaller path; an empty table gives no rows; other columns are
+ignored.
 """
 
 from __future__ import annotations
@@ -23,7 +26,7 @@ import re
 from bisect import bisect_left, bisect_right
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import columns, cut, gentle, map_frames
@@ -39,7 +42,7 @@ BROADCAST_BYTES, SALTS = 32_000_000, 64
 
 # Fixed values of HTML.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style textarea title noscript template iframe svg math object select".split())
+RAW = frozenset("script style textarea title noscript template iframe select".split())
 BLOCK = frozenset(
     "address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form "
     "h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split()
@@ -60,7 +63,7 @@ DROPPED_WORDS = frozenset(
 PLACES = frozenset(
     "area bar body bottom box button buttons center column container content end fixed global group header icon icons inner item items label left line "
     "link links list lists main media message middle mobile outer overlay page panel post posts right row section side site slot small start sticky "
-    "tab thread title top unit widgets wrap wrapper".split()
+    "tab thread title top unit user users reader readers visitor visitors widgets wrap wrapper".split()
 )
 #: Elements of running text are never dropped for their class.
 RUNNING = frozenset("html body article main p span em strong b i u a abbr cite code mark small sub sup q time h1 h2 h3 h4 h5 h6 pre blockquote td th tr".split())
@@ -90,7 +93,7 @@ class Page:
     def __init__(self, source: str):
         self.nodes: list[tuple[int, str, str, bool]] = [(-1, "", "", False)]
         self.blocks: list[tuple[int, str, int]] = []
-        self._stack, self._text, self._in_links = [0], [], 0
+        self._stack, self._text, self._in_links, self._in_articles = [0], [], 0, 0
         self._marked, self._raw = [], []  # elements marked by words; blocks as (node, [(node, text, in a link)])
         at = 0
         while at < len(source):
@@ -169,7 +172,9 @@ class Page:
         return lost
 
     def _pop(self) -> None:
-        self._in_links -= self.nodes[self._stack.pop()][2] == "a"
+        tag = self.nodes[self._stack.pop()][2]
+        self._in_links -= tag == "a"
+        self._in_articles -= tag in ("article", "main")
 
     def _start(self, tag: str, attributes: str) -> None:
         if tag in VOID:
@@ -194,12 +199,14 @@ class Page:
             return
         parent = self._stack[-1]
         label, marked = _describe(tag, attributes)
+        headline = tag == "header" and self._in_articles > 0  # an article's own header holds its title
         path = f"{self.nodes[parent][1]}>{label}" if tag in CONTAINER else self.nodes[parent][1]
-        self.nodes.append((parent, path, tag, tag in DROPPED or self.nodes[parent][3]))
+        self.nodes.append((parent, path, tag, tag in DROPPED and not headline or self.nodes[parent][3]))
         self._stack.append(len(self.nodes) - 1)
-        if marked and not self.nodes[-1][3]:
+        if marked and not headline and not self.nodes[-1][3]:
             self._marked.append(len(self.nodes) - 1)
         self._in_links += tag == "a"
+        self._in_articles += tag in ("article", "main")
 
     def _plain(self, parent: int, tag: str) -> int:
         self.nodes.append((parent, self.nodes[parent][1], tag, self.nodes[parent][3]))
@@ -218,6 +225,23 @@ class Page:
             if not block and name in BLOCK:
                 return
 
+    def _weights(self) -> list[int]:
+        """Unlinked text of each node, with all that lies in it."""
+        whole = [0] * len(self.nodes)
+        for n, text, links in self.blocks:
+            whole[n] += max(len(text) - 2 * links, 0)
+        for n in range(len(whole) - 1, 0, -1):
+            whole[self.nodes[n][0]] += whole[n]
+        return whole
+
+    def _around(self, node: int) -> list[int]:
+        """The node and all that it lies in."""
+        out = []
+        while node > 0:
+            out.append(node)
+            node = self.nodes[node][0]
+        return out
+
     def best(self) -> tuple[int, float] | None:
         """The container to take: from the one with the highest score up to all of its article. With its text's length."""
         score: dict[int, float] = {}
@@ -230,24 +254,39 @@ class Page:
                 node = self.nodes[node][0]
         if not score:
             return None
-        node = min(score, key=lambda n: (-score[n], n))
-        whole = [0] * len(self.nodes)
-        for n, text, links in self.blocks:
-            whole[n] += max(len(text) - 2 * links, 0)
-        for n in range(len(whole) - 1, 0, -1):
-            whole[self.nodes[n][0]] += whole[n]
-        main = outer = at = node
+        node, whole = min(score, key=lambda n: (-score[n], n)), self._weights()
+        main = outer = node
         named = False
-        while at > 0:
+        for at in self._around(node):
             tag = self.nodes[at][2]
             if tag in ("article", "main"):
                 main, named = at, True
             elif tag in CONTAINER and tag != "body" and 2 * whole[node] > whole[at]:
                 outer = at
-            at = self.nodes[at][0]
         top = main if named else outer
         return top, float(whole[top])
 
+    def passed_over(self, chosen: int) -> set[str]:
+        """Paths of the containers beside the chosen one that hold text."""
+        whole, ours = self._weights(), set(self._around(chosen))
+        apart = [False] * len(self.nodes)
+        for n in range(1, len(self.nodes)):
+            parent = self.nodes[n][0]
+            apart[n] = n not in ours and parent != chosen and (parent in ours or apart[parent] or parent == 0)
+        return {path for n, (_, path, tag, _) in enumerate(self.nodes) if apart[n] and whole[n] and tag in CONTAINER}
+
+    def main_text(self, path: str | None, refused: frozenset) -> str:
+        """The text on the host's path, else that of the page's own best container."""
+        chosen = {i for i, n in enumerate(self.nodes) if n[1] == path and n[2] in CONTAINER} if path else set()
+        text, best = self.within(chosen) if chosen else "", self.best()
+        if text and best and chosen.isdisjoint(self._around(best[0])) and self.nodes[best[0]][1] not in refused:
+            whole = self._weights()
+            tops = [n for n in chosen if chosen.isdisjoint(self._around(self.nodes[n][0]))]
+            if best[1] > 2 * sum(whole[n] for n in tops):
+                text = ""
+        bare = not best and any(len(t) > 2 * links for _, t, links in self.blocks)  # text in no container at all
+        return text or (self.within({best[0] if best else 0}) if best or bare else "")
+
     def within(self, chosen: set[int]) -> str:
         """Text of the blocks that lie in one of the nodes."""
         inside, out = {n: True for n in chosen}, []
@@ -265,37 +304,35 @@ class Page:
 
 
 def _votes(batches):
+    """Each page's vote, and the paths that it passes over."""
     for pdf in batches:
         rows = []
         for host, source in zip(pdf.host, pdf.html):
             page = Page(source or "")
             best = page.best()
             if best:
-                rows.append((host, page.nodes[best[0]][1], best[1]))
+                rows.append((host, page.nodes[best[0]][1], 1, best[1]))
+                rows += [(host, path, 0, 0.0) for path in page.passed_over(best[0])]
         if rows:
-            yield pd.DataFrame(rows, columns=["host", "path", "score"])
+            yield pd.DataFrame(rows, columns=["host", "path", "votes", "score"])
 
 
 def _texts(batches):
     for pdf in batches:
         rows = []
-        for page_id, url, source, path in zip(pdf.page_id, pdf.url, pdf.html, pdf.path):
-            page = Page(source or "")
-            chosen = {i for i, n in enumerate(page.nodes) if n[1] == path and n[2] in CONTAINER} if path else set()
-            text = page.within(chosen) if chosen else ""
-            if not text:
-                best = page.best()
-                text = page.within({best[0]}) if best else ""
+        for page_id, url, source, path, refused in zip(pdf.page_id, pdf.url, pdf.html, pdf.path, pdf.refused):
+            text = Page(source or "").main_text(path, frozenset(refused if refused is not None else ()))
             rows.append((page_id, url, text, len(text)))
         yield columns(rows, "page_id url text n_chars")
 
 
 def host_paths(pages: DataFrame) -> DataFrame:
-    """(host, path): the container path that most pages of a host vote for."""
-    votes = pages.select("host", "html").mapInPandas(_votes, "host string, path string, score double")
-    totals = votes.groupBy("host", "path").agg(F.count("*").alias("n"), F.sum(F.round("score").cast("long")).alias("score"))
-    order = Window.partitionBy("host").orderBy(F.desc("n"), F.desc("score"), "path")
-    return totals.withColumn("place", F.row_number().over(order)).where("place = 1").select("host", "path")
+    """(host, path, refused): the container path that most pages of a host vote for, and the paths that some of its pages
+    vote for and others pass over."""
+    votes = pages.select("host", "html").mapInPandas(_votes, "host string, path string, votes int, score double")
+    totals = votes.groupBy("host", "path").agg(F.sum("votes").alias("n"), F.count("*").alias("seen"), F.sum(F.round("score").cast("long")).alias("score")).where("n > 0")
+    first = F.min_by("path", F.struct(-F.col("n"), -F.col("score"), F.col("path"))).alias("path")
+    return totals.groupBy("host").agg(first, F.collect_list(F.when(F.col("seen") > F.col("n"), F.col("path"))).alias("refused"))
 
 
 def main_texts(pages: DataFrame) -> DataFrame:
@@ -303,7 +340,7 @@ def main_texts(pages: DataFrame) -> DataFrame:
     host = F.regexp_extract(F.coalesce("url", F.lit("")), r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1)
     pages = gentle(pages).select("page_id", "url", "html", F.lower(host).alias("host"))
     paths = cut(host_paths(pages))
-    size = paths.agg(F.sum(F.length("host") + F.length("path") + 40)).first()[0] or 0
+    size = paths.agg(F.sum(F.length("host") + F.length("path") + F.length(F.array_join("refused", "")) + 40)).first()[0] or 0
     if size <= BROADCAST_BYTES:
         joined = pages.join(F.broadcast(paths), "host", "left")  # pages stay where they were read
     else:  # a host's pages are dealt to several tasks, with its path beside each

@@ -62,7 +62,11 @@ def record(page_id, url, kind: str, payload: bytes, digest: str, refers_to) -> b
 def parse(raw: bytes) -> dict | None:
     """Headers and payload of an inflated record, or None if it is none."""
     head, gap, rest = raw.partition(b"\r\n\r\n")
-    lines = head.decode("utf-8", "surrogatepass").split("\r\n") if gap and head.startswith(b"WARC/") else []
+    try:
+        text = head.decode("utf-8", "surrogatepass")
+    except UnicodeDecodeError:  # bytes of another encoding, one character each
+        text = head.decode("latin-1")
+    lines = text.split("\r\n") if gap and head.startswith(b"WARC/") else []
     fields = {k.strip().lower(): v.strip() for k, sep, v in (x.partition(":") for x in lines[1:]) if sep}
     size = fields.get("content-length", "")
     if not size.isdigit() or "warc-type" not in fields or len(rest) < int(size):
