@@ -164,10 +164,13 @@ def call_issues(graph: Graph) -> DataFrame:
     ])
 
 
-def consistency(graph: Graph) -> DataFrame:
+def consistency(graph: Graph, edge_types: set[str] | None = None) -> DataFrame:
     """All rules on the graph alone: nodes are read twice, edges twice, whatever the number of rules. Calls to nothing can only
-    be found on a graph that isn't sanitized."""
-    return node_issues(graph).unionByName(call_issues(graph)).unionByName(missing_procedures(graph)).unionByName(import_cycles(graph))
+    be found on a graph that isn't sanitized. Rules on types of edges that edge_types, if given, leaves out have no input."""
+    out = node_issues(graph)
+    if edge_types is None or "calls_api" in edge_types:
+        out = out.unionByName(call_issues(graph)).unionByName(missing_procedures(graph))
+    return out.unionByName(import_cycles(graph)) if edge_types is None or "imports" in edge_types else out
 
 
 def unguarded_routes(graph: Graph, scopes: DataFrame) -> DataFrame:

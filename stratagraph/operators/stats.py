@@ -49,11 +49,21 @@ def table_digest(df: DataFrame, columns: list[str]) -> DataFrame:
     return sums.select("n", F.sha2(F.concat_ws("-", F.col("n").cast("string"), *[f"p{i}" for i in range(5)]), 256).alias("digest"))
 
 
+def digests(graph: Graph, *more: DataFrame) -> tuple[str, ...]:
+    """The digests of further tables (as from `table_digest`), then that of the graph, all from one job."""
+    nodes = table_digest(graph.nodes, ["id", "type", "name", "file_path", "line", "column", "metadata"])
+    edges = table_digest(graph.edges, ["id", "source", "target", "type", "confidence", "metadata"])
+    every = None
+    for i, df in enumerate((*more, nodes, edges)):
+        row = df.select(F.lit(i).alias("i"), "digest")
+        every = row if every is None else every.unionByName(row)
+    found = [r["digest"] for r in sorted(every.collect(), key=lambda r: r["i"])]
+    return *found[:-2], hashlib.sha256(f"{found[-2]}:{found[-1]}".encode()).hexdigest()
+
+
 def graph_digest(graph: Graph) -> str:
     """Digest of a graph's content: ids, types, names, places and metadata; ordinals and row order don't count."""
-    a = table_digest(graph.nodes, ["id", "type", "name", "file_path", "line", "column", "metadata"]).first()
-    b = table_digest(graph.edges, ["id", "source", "target", "type", "confidence", "metadata"]).first()
-    return hashlib.sha256(f"{a['digest']}:{b['digest']}".encode()).hexdigest()
+    return digests(graph)[0]
 
 
 def file_digests(files: DataFrame) -> DataFrame:

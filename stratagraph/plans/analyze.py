@@ -14,11 +14,11 @@ from ..graph import Graph
 from ..operators import detect
 from ..operators.match import PathAliases
 from ..operators.dedup import dedup_edges, dedup_nodes, sanitize, sanitized_edges, without_dangling
-from ..operators.stats import file_digests, graph_digest, table_digest
+from ..operators.stats import digests, file_digests, table_digest
 from ..runtime import cut
 from ..sources.files import collect_files, detect_project, load_config, path_aliases, read_files
 from ..sources.snapshots import SnapshotStore, WriteReport
-from .link import checked, import_edges, link, link_components, link_tests
+from .link import checked, import_edges, link, link_components, link_tests, shape
 
 PHASES = ("scan", "extract", "build", "tests", "link", "sanitize", "detect", "commit")
 
@@ -43,8 +43,9 @@ class Analysis:
     report: WriteReport | None = None
 
 
-def detectors(facts: DataFrame, aliases: PathAliases | None = None) -> dict[str, detect.Detector]:
-    """The default detectors over a graph and its sources' facts."""
+def detectors(facts: DataFrame, aliases: PathAliases | None = None, present: frozenset[str] | None = None) -> dict[str, detect.Detector]:
+    """The default detectors over a graph and its sources' facts; of those only that have input, as far as `present` tells."""
+    has = lambda *what: present is None or not present.isdisjoint(what)
     by_name = facts.where("kind = 'scope'").select(F.col("path").alias("file_path"), "name", F.col("value").alias("text"))
 
     def scopes(graph: Graph) -> DataFrame:
@@ -56,12 +57,16 @@ def detectors(facts: DataFrame, aliases: PathAliases | None = None) -> dict[str,
 
     directives = facts.where("kind = 'directive'").select(F.col("path").alias("file"), F.col("name").alias("directive"))
     loops = facts.where("kind = 'loop'").select(F.col("path").alias("file"), "line", F.col("name").alias("call"))
-    return {
-        "consistency": detect.consistency,
-        "auth": lambda g: detect.unguarded_routes(g, scopes(g)),
-        "n_plus_one": lambda g: detect.repeated_queries(g, loops),
-        "rsc": lambda g: detect.boundary_violations(g, import_edges(facts, aliases), directives),
-    }
+    edges = None if present is None else {p.removeprefix("edge:") for p in present if p.startswith("edge:")}
+    routes = has(*(f"node:{t}" for t in ("api_route", "trpc_procedure", "tsrpc_api", "express_route", "handler")))
+    found: dict[str, detect.Detector] = {"consistency": lambda g: detect.consistency(g, edges)}
+    if routes:
+        found["auth"] = lambda g: detect.unguarded_routes(g, scopes(g))
+    if has("fact:loop"):
+        found["n_plus_one"] = lambda g: detect.repeated_queries(g, loops)
+    if has("fact:directive"):
+        found["rsc"] = lambda g: detect.boundary_violations(g, import_edges(facts, aliases), directives)
+    return found
 
 
 def analyze_files(files: DataFrame, meta: dict, registry: Registry | None = None, extra: dict[str, detect.Detector] | None = None, progress: Callable[[str], None] = lambda phase: None, aborted: Callable[[], bool] = lambda: False, aliases: PathAliases | None = None) -> Analysis:
@@ -75,26 +80,33 @@ def analyze_files(files: DataFrame, meta: dict, registry: Registry | None = None
     phase("extract")
     raw, errors, facts = extract(files, meta, registry)
     phase("build")
-    production = Graph(dedup_nodes(raw.nodes.where("ord.stage = 0")), dedup_edges(raw.edges.where("ord.stage = 0")))
-    production = link_components(production)
-    production = without_dangling(production, exempt=("calls_api",))
-    production = Graph(cut(production.nodes), cut(production.edges))
+    present = shape(raw, facts)  # steps without input are left out; each would cost jobs and find nothing
+    has_production = any(p.startswith(("node:", "edge:")) for p in present)
+    if has_production:
+        production = Graph(dedup_nodes(raw.nodes.where("ord.stage = 0")), dedup_edges(raw.edges.where("ord.stage = 0")))
+        if not present.isdisjoint(("node:page", "node:component", "edge:renders")):
+            production = link_components(production)
+        production = without_dangling(production, exempt=("calls_api",))
+        production = Graph(cut(production.nodes), cut(production.edges))
     phase("link")
-    linked = link(production, facts)
+    if has_production:
+        linked = link(production, facts, present)
     phase("tests")
     tests = Graph(dedup_nodes(raw.nodes.where("ord.stage = 1")), dedup_edges(raw.edges.where("ord.stage = 1")))
-    both = checked(linked.union(tests))
+    both = checked(linked.union(tests) if has_production else tests)
     both = Graph(cut(both.nodes), cut(both.edges))
-    covered = link_tests(both, facts, files, aliases)
-    both = Graph(both.nodes, both.edges.unionByName(covered.select(*both.edges.columns)))
+    if has_production and "case:test" in present:
+        covered = link_tests(both, facts, files, aliases)
+        both = Graph(both.nodes, both.edges.unionByName(covered.select(*both.edges.columns)))
     phase("sanitize")
     removed = sanitize(both).removed.first().asDict()
     clean = Graph(both.nodes, cut(sanitized_edges(both)))
     phase("detect")
-    issues, failed = detect.run_detectors(clean, detectors(facts, aliases) | (extra or {}))
+    issues, failed = detect.run_detectors(clean, detectors(facts, aliases, present) | (extra or {}))
     issues = cut(detect.dedup_issues(issues))
-    source = table_digest(file_digests(files.select("path", F.encode("text", "UTF-8").alias("content"))), ["path", "digest"]).first()["digest"]
-    return Analysis(clean, errors, issues, failed, removed, source, graph_digest(clean))
+    sources = table_digest(file_digests(files.select("path", F.encode("text", "UTF-8").alias("content"))), ["path", "digest"])
+    source, digest = digests(clean, sources)
+    return Analysis(clean, errors, issues, failed, removed, source, digest)
 
 
 def analyze(spark: SparkSession, root: str, store: SnapshotStore | None = None, config: dict | None = None, registry: Registry | None = None, progress: Callable[[str], None] = lambda phase: None, aborted: Callable[[], bool] = lambda: False) -> Analysis:

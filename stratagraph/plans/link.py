@@ -213,13 +213,32 @@ def checked(graph: Graph) -> Graph:
     return Graph(graph.nodes.select(*[f.name for f in NODE]), graph.edges.select(*[f.name for f in EDGE]))
 
 
-def link(graph: Graph, facts: DataFrame) -> Graph:
-    """Calls, handlers, services, queries and Kotlin links, in this order."""
-    graph = Graph(graph.nodes, graph.edges.unionByName(resolve_calls(graph)))
-    graph = link_handlers(graph)
-    graph = link_services(Graph(cut(graph.nodes), cut(graph.edges)), facts)
-    graph = link_queries(Graph(cut(graph.nodes), graph.edges), facts)
-    kotlin = kotlin_links(graph)
-    for kind in ("handles", "calls_service", "queries_db"):
-        graph = Graph(graph.nodes, graph.edges.unionByName(as_edges(kotlin.where(F.col("type") == kind), kind, False, 8)))
+def link(graph: Graph, facts: DataFrame, present: frozenset[str] | None = None) -> Graph:
+    """Calls, handlers, services, queries and Kotlin links, in this order.
+
+    present: what there is, as from `shape`; a step whose input isn't there is left out, as it would add nothing."""
+    has = lambda *what: present is None or not present.isdisjoint(what)
+    routes = has(*(f"node:{t}" for t in ("api_route", "trpc_procedure", "tsrpc_api", "express_route")))
+    if has("edge:calls_api"):
+        graph = Graph(graph.nodes, graph.edges.unionByName(resolve_calls(graph)))
+    if routes:
+        graph = link_handlers(graph)
+    if has("fact:scope") and (routes or has("node:handler", "node:service")):
+        if has("fact:import"):
+            graph = link_services(Graph(cut(graph.nodes), cut(graph.edges)), facts)
+        if has("node:db_model"):
+            graph = link_queries(Graph(cut(graph.nodes), graph.edges), facts)
+    if has("node:kotlin_route", "node:kotlin_function", "node:kotlin_class"):
+        kotlin = kotlin_links(graph)
+        for kind in ("handles", "calls_service", "queries_db"):
+            graph = Graph(graph.nodes, graph.edges.unionByName(as_edges(kotlin.where(F.col("type") == kind), kind, False, 8)))
     return checked(graph)
+
+
+def shape(graph: Graph, facts: DataFrame) -> frozenset[str]:
+    """What there is in stage 0: node:TYPE, edge:TYPE and fact:KIND; and case:test where there are test cases. One small job,
+    with a row for each type."""
+    names = lambda df, what, kind: df.select(F.concat(F.lit(f"{what}:"), kind).alias("name"))
+    first = names(graph.nodes.where("ord.stage = 0"), "node", F.col("type")).union(names(graph.edges.where("ord.stage = 0"), "edge", F.col("type")))
+    rest = names(facts, "fact", F.col("kind")).union(graph.nodes.where("type = 'test_case'").select(F.lit("case:test")))
+    return frozenset(r["name"] for r in first.union(rest).distinct().collect())

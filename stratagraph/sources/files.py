@@ -61,8 +61,14 @@ def read_files(spark: SparkSession, root: str, paths: list[str]) -> DataFrame:
     base = str(Path(base).resolve()) if local else base
     if not paths:
         return spark.createDataFrame([], "path string, text string, ord long")
-    # Names such as [id] are names here and no patterns.
-    whole = spark.read.format("binaryFile").option("__globPaths__", "false").load([f"{base}/{p}" for p in paths])
+    # Names such as [id] are names here and no patterns. Local files are listed at once; a job for that takes longer.
+    listing, most = "spark.sql.sources.parallelPartitionDiscovery.threshold", spark.conf.get("spark.sql.sources.parallelPartitionDiscovery.threshold")
+    if local:
+        spark.conf.set(listing, max(int(most), len(paths)))
+    try:
+        whole = spark.read.format("binaryFile").option("__globPaths__", "false").load([f"{base}/{p}" for p in paths])
+    finally:
+        spark.conf.set(listing, most)
     name = F.regexp_extract(F.col("path"), re.escape(base.split("://")[-1]).replace("/", "/+") + "/+(.*)$", 1)
     ordered = spark.createDataFrame([(p, i) for i, p in enumerate(paths)], "path string, ord long")
     rows = whole.select(name.alias("path"), F.decode("content", "UTF-8").alias("text"))
