@@ -65,8 +65,10 @@ class Workspace:
     def errors(self, file: str | None = None, severity: str | None = None) -> DataFrame:
         return lookup.errors(self.store.load().errors, file, severity)
 
-    def issues(self) -> DataFrame:
-        return detect.ranked_issues(self.store.load().issues)
+    def issues(self, by: str = "rank") -> DataFrame:
+        """By severity and place, or by id."""
+        found = self.store.load().issues
+        return found.orderBy(F.collate(F.col("id"), "UNICODE")) if by == "id" else detect.ranked_issues(found)
 
     def issue_summary(self) -> dict:
         return detect.issue_summary(self.store.load().issues).first().asDict()

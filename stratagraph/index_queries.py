@@ -7,11 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .operators import asof, merkle, reachability, text_index
+from .graph import Graph
+from .operators import asof, dedup, detect, lookup, merkle, reachability, stats, text_index
 from .plans import exports
 from .queries import _WITH
 from .runtime import load, work_folder
-from .sources import deltas, derived
+from .sources import deltas, derived, snapshots
 from .streaming import limits
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -223,6 +224,39 @@ def resolved_exports(spark, sf):
     return exports.resolve(wanted, defined, links, stars)
 
 
+# Snapshots with shredded metadata, and builds
+
+
+def _typed(spark, sf):
+    store = snapshots.SnapshotStore(spark, work_folder(spark))
+    store.commit(derived.graph(spark, sf))
+    return store.load().typed
+
+
+@query("WITH kept AS (SELECT id, metadata FROM nodes WHERE type = 'api_route') SELECT id FROM kept WHERE json_extract_string(metadata, '$.route') = '/api/part/17/'", graph=True)
+def find_by_route_in_snapshot(spark, sf):
+    return lookup.find_by_route(_typed(spark, sf), "/api/part/17/").select("id")
+
+
+@query("""WITH kept AS (SELECT DISTINCT e.source, e.target, upper(json_extract_string(e.metadata, '$.method')) AS wants, upper(json_extract_string(n.metadata, '$.method')) AS has
+FROM edges AS e JOIN nodes AS n ON n.id = e.target AND n.type = 'api_route' WHERE e.type = 'calls_api' AND e.source IN (SELECT id FROM nodes))
+SELECT source, target, wants FROM kept WHERE NOT list_contains(string_split(has, ','), wants) AND NOT list_contains(string_split(has, ','), 'ALL')""", graph=True)
+def method_mismatch_in_snapshot(spark, sf):
+    found = detect.method_mismatches(_typed(spark, sf))
+    return found.select(F.col("related_nodes")[0].alias("source"), F.col("related_nodes")[1].alias("target"), F.col("message_params")["called"].alias("wants")).distinct()
+
+
+@query("""WITH kept AS (SELECT DISTINCT source, target, type FROM edges AS e WHERE type = 'calls_api' OR source IN (SELECT id FROM nodes) AND target IN (SELECT id FROM nodes)),
+counts AS (SELECT 'node' AS what, type, count(*) AS n FROM nodes GROUP BY type UNION ALL SELECT 'edge', type, count(*) FROM kept GROUP BY type)
+SELECT * FROM counts UNION ALL SELECT 'total_' || what || 's', NULL, sum(n) FROM counts GROUP BY what UNION ALL SELECT 'total_errors', NULL, 0
+UNION ALL SELECT 'skipped_edges', NULL, count(*) FROM edges WHERE type <> 'calls_api' AND NOT (source IN (SELECT id FROM nodes) AND target IN (SELECT id FROM nodes))""", graph=True)
+def build_stats(spark, sf):
+    """Of a build: what it keeps by type, and the edges that it skips."""
+    raw = derived.graph(spark, sf)
+    nodes, edges = dedup.dedup_nodes(raw.nodes), dedup.dedup_edges(raw.edges)
+    return stats.build_stats(raw, dedup.without_dangling(Graph(nodes, edges), exempt=("calls_api",)))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(_QUERIES)
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.columns import has_auth, is_public_route, severity_rank
 from ..graph import Graph
 from ..schema import EDGE_TYPES, ISSUE, SEVERITIES
-from .lookup import ranked_first
+from .lookup import field, ranked_first
 from .traverse import strong_components
 
 
@@ -37,7 +37,7 @@ def dead_calls(graph: Graph) -> DataFrame:
     """Calls to a node that isn't there."""
     ids = graph.nodes.select(F.col("id").alias("target")).distinct()
     lost = graph.edges.where("type = 'calls_api'").join(ids, "target", "left_anti")
-    lost = lost.withColumn("file", F.split("source", ":", 3)[1]).withColumn("line", F.get_json_object("metadata", "$.callLine").cast("int"))
+    lost = lost.withColumn("file", F.get(F.split("source", ":", 3), F.lit(1))).withColumn("line", F.get_json_object("metadata", "$.callLine").cast("int"))
     return _issues(lost, "dead_api_call", "warning", F.concat(F.lit("Calls "), "target", F.lit(", which does not exist")), F.concat_ws("-", F.lit("dead-api"), "id"), nodes=F.array("source"), edges=F.array("id"))
 
 
@@ -56,11 +56,12 @@ def orphans(graph: Graph) -> DataFrame:
 
 def method_mismatches(graph: Graph) -> DataFrame:
     """Calls with a method that the route's list hasn't; a list with ALL takes any."""
-    routes = graph.nodes.where("type = 'api_route'").select(F.col("id").alias("target"), F.upper(F.get_json_object("metadata", "$.method")).alias("has"))
-    calls = graph.edges.where("type = 'calls_api'").withColumn("wants", F.upper(F.get_json_object("metadata", "$.method"))).where("wants <> ''")
+    has, wants = field(graph.nodes, "method"), field(graph.edges, "method")
+    routes = graph.nodes.where((F.col("type") == "api_route") & (has != "")).select(F.col("id").alias("target"), F.upper(has).alias("has"))
+    calls = graph.edges.where((F.col("type") == "calls_api") & (wants != "")).withColumn("wants", F.upper(wants))
     list_ = F.transform(F.split("has", ","), lambda m: F.trim(m))
-    bad = calls.join(routes.where("has <> ''"), "target").where(~F.array_contains(list_, F.col("wants")) & ~F.array_contains(list_, "ALL"))
-    bad = bad.withColumn("file", F.split("source", ":", 3)[1]).withColumn("line", F.get_json_object("metadata", "$.callLine").cast("int"))
+    bad = calls.join(routes, "target").where(~F.array_contains(list_, F.col("wants")) & ~F.array_contains(list_, "ALL"))
+    bad = bad.withColumn("file", F.get(F.split("source", ":", 3), F.lit(1))).withColumn("line", F.get_json_object("metadata", "$.callLine").cast("int"))
     text = F.concat(F.lit("Calls with "), "wants", F.lit(" where only "), "has", F.lit(" is served"))
     params = F.create_map(F.lit("called"), F.col("wants"), F.lit("served"), F.col("has"))
     return _issues(bad, "method_mismatch", "warning", text, F.concat_ws("-", F.lit("method"), "id"), nodes=F.array("source", "target"), edges=F.array("id"), params=params)
@@ -75,7 +76,7 @@ def missing_procedures(graph: Graph) -> DataFrame:
     names = procedures.select(F.explode(F.array_compact(F.array("name", F.get_json_object("metadata", "$.procedureName")))).alias("known")).distinct()
     bad = calls.join(names.withColumnRenamed("known", "url"), "url", "left_anti").withColumn("part", F.get(F.split("url", r"\."), F.lit(1)))
     bad = bad.join(names.withColumnRenamed("known", "part"), "part", "left_anti")
-    bad = bad.withColumn("file", F.split("source", ":", 3)[1]).withColumn("line", F.get_json_object("metadata", "$.callLine").cast("int"))
+    bad = bad.withColumn("file", F.get(F.split("source", ":", 3), F.lit(1))).withColumn("line", F.get_json_object("metadata", "$.callLine").cast("int"))
     return _issues(bad, "missing_procedure", "warning", F.concat(F.lit("Procedure "), "url", F.lit(" does not exist")), F.concat_ws("-", F.lit("procedure"), "id"), nodes=F.array("source"), edges=F.array("id"))
 
 

@@ -59,7 +59,7 @@ def repaired_sources(graph: Graph) -> DataFrame:
     """Call edges whose source and target are both no node get the first component of the source's file, a page component first."""
     ids = graph.nodes.select("id").distinct()
     calls = graph.edges.where("type = 'calls_api'").join(ids.withColumnRenamed("id", "target"), "target", "left_anti")
-    lost = calls.join(ids.withColumnRenamed("id", "source"), "source", "left_anti").withColumn("file_path", F.split("source", ":", 3)[1])
+    lost = calls.join(ids.withColumnRenamed("id", "source"), "source", "left_anti").withColumn("file_path", F.get(F.split("source", ":", 3), F.lit(1)))
     plain = F.coalesce(F.get_json_object("metadata", "$.isPage") != "true", F.lit(True)).cast("int")
     first = graph.nodes.where("type = 'component'").groupBy("file_path").agg(F.min_by("id", F.struct(plain, F.col("ord"))).alias("component"))
     return lost.join(first, "file_path").select(F.col("id").alias("edge_id"), F.col("component").alias("source"), "target")

@@ -56,8 +56,14 @@ def route_of(metadata: str = "metadata") -> Column:
     return F.get_json_object(metadata, "$.route")
 
 
+def field(df: DataFrame, name: str) -> Column:
+    """A metadata field: its own column where the frame has one (snapshots do), so that filters reach the files; else from the
+    JSON text."""
+    return F.col(name) if name in df.columns else F.get_json_object("metadata", f"$.{name}")
+
+
 def find_by_route(graph: Graph, route: str) -> DataFrame:
-    return first(graph.nodes.where(route_of() == route))
+    return first(graph.nodes.where(field(graph.nodes, "route") == route))
 
 
 def find_by_file(graph: Graph, path: str) -> DataFrame:
@@ -70,7 +76,7 @@ def find_by_name(graph: Graph, name: str) -> DataFrame:
 
 def find_any(graph: Graph, query: str) -> DataFrame:
     """The first node by route; else by file; else by name. One scan."""
-    tier = F.when(route_of() == query, 0).when(F.col("file_path") == query, 1).when(F.col("name") == query, 2)
+    tier = F.when(field(graph.nodes, "route") == query, 0).when(F.col("file_path") == query, 1).when(F.col("name") == query, 2)
     return first(graph.nodes.withColumn("tier", tier).where("tier is not null"), "tier", "ord").drop("tier")
 
 

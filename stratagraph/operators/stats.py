@@ -17,6 +17,20 @@ def type_counts(graph: Graph) -> DataFrame:
     return count(graph.nodes, "node").unionByName(count(graph.edges, "edge"))
 
 
+def build_stats(raw: Graph, built: Graph, errors: int = 0) -> DataFrame:
+    """what, type, n of a build: the totals (type null), the nodes and edges it keeps by type, and `skipped_edges`: edges of the
+    bag `raw` with an end that `built` has not, calls aside, as those wait for the linker. Repeated edges aren't skipped."""
+    ids = built.nodes.select("id").distinct()
+    rest = raw.edges.where("type <> 'calls_api'").select("source", "target").join(ids.withColumnRenamed("id", "source").withColumn("_s", F.lit(True)), "source", "left")
+    skipped = rest.join(ids.withColumnRenamed("id", "target").withColumn("_t", F.lit(True)), "target", "left").where("_s is null or _t is null")
+    by_type = type_counts(built)
+    none = F.lit(None).cast("string").alias("type")
+    totals = by_type.groupBy(F.concat(F.lit("total_"), "what", F.lit("s")).alias("what")).agg(F.sum("n").alias("n")).select("what", none, "n")
+    one = lambda what, df: df.agg(F.count("*").alias("n")).select(F.lit(what).alias("what"), none, "n")
+    wrong = raw.spark.range(1).select(F.lit("total_errors").alias("what"), none, F.lit(errors).cast("long").alias("n"))
+    return by_type.unionByName(totals).unionByName(one("skipped_edges", skipped)).unionByName(wrong)
+
+
 def severity_counts(rows: DataFrame, severities=SEVERITIES) -> DataFrame:
     """severity, n for every severity, 0 where there is none; one row comes from one aggregation."""
     counts = rows.agg(*[F.count_if(F.col("severity") == s).alias(s) for s in severities])

@@ -37,8 +37,8 @@ def as_edges(pairs: DataFrame, kind: str, certain: bool, stage: int, metadata=No
 
 def link_components(graph: Graph) -> Graph:
     """Pages to the page components of their files, and renders of unknown tags to components by name."""
-    named = graph.edges.where("type = 'renders'").where(F.split("target", ":", 3)[1] == "unknown")
-    uses = named.select("source", F.split("source", ":", 3)[1].alias("file_path"), F.split("target", ":", 3)[2].alias("tag"), "confidence", "metadata")
+    named = graph.edges.where("type = 'renders'").where(F.get(F.split("target", ":", 3), F.lit(1)) == "unknown")
+    uses = named.select("source", F.get(F.split("source", ":", 3), F.lit(1)).alias("file_path"), F.get(F.split("target", ":", 3), F.lit(2)).alias("tag"), "confidence", "metadata")
     # The extractor marks a tag as certain where its file imports it; others stand for no component.
     imports = uses.where("confidence = 'certain'").select("file_path", "tag")
     found = component_uses(uses.select("source", "file_path", "tag").distinct(), imports, graph)
@@ -55,7 +55,7 @@ def resolve_calls(graph: Graph) -> DataFrame:
     ids = graph.nodes.select("id").distinct()
     lost = graph.edges.where("type = 'calls_api'").join(ids.withColumnRenamed("id", "target"), "target", "left_anti")
     fixed = repaired_sources(graph).select(F.col("edge_id").alias("id"), F.col("source").alias("fixed"))
-    calls = lost.join(fixed, "id", "left").withColumn("source", F.coalesce("fixed", "source")).withColumn("kind", _j("callType")).withColumn("url", F.coalesce(_j("url"), F.split("target", ":", 3)[2]))
+    calls = lost.join(fixed, "id", "left").withColumn("source", F.coalesce("fixed", "source")).withColumn("kind", _j("callType")).withColumn("url", F.coalesce(_j("url"), F.get(F.split("target", ":", 3), F.lit(2))))
     calls = cut(calls.select("source", "kind", "url", "metadata", "target"))
     routes = graph.nodes.where(F.col("type").isin(*_ROUTES))
     plain = match.match_urls(calls.where("kind in ('fetch', 'axios')"), routes.where(route_of().isNotNull()).select(route_of().alias("route"), F.col("id").alias("target"), "ord"))

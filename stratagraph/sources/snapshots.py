@@ -11,6 +11,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from ..graph import Graph, empty
 from ..operators.dedup import rejected_edges, without_dangling
@@ -19,6 +20,16 @@ from ..operators.stats import graph_digest, severity_counts, type_counts
 from ..schema import ERROR, ISSUE
 
 VERSION = 1
+#: Metadata fields that queries filter on, as columns of their own beside the JSON text.
+NODE_COLUMNS, EDGE_COLUMNS = ("route", "method"), ("method",)
+#: Mark of a snapshot whose rows were checked when written, with those columns.
+SHREDDED = "_shredded"
+
+
+def shredded(graph: Graph) -> Graph:
+    """The graph with the fields of NODE_COLUMNS and EDGE_COLUMNS taken out of the metadata."""
+    columns = lambda df, names: df.withColumns({n: F.get_json_object("metadata", f"$.{n}") for n in names})
+    return Graph(columns(graph.nodes, NODE_COLUMNS), columns(graph.edges, EDGE_COLUMNS))
 
 
 @dataclass(frozen=True)
@@ -26,6 +37,7 @@ class Snapshot:
     id: str
     digest: str
     graph: Graph
+    typed: Graph  # the graph with its shredded columns, where the snapshot has them; filters on them reach the files
     errors: DataFrame
     issues: DataFrame
     stats: DataFrame
@@ -64,11 +76,12 @@ class SnapshotStore:
         rejected = {r["reason"]: r["n"] for r in rejected_edges(graph).groupBy("reason").agg(F.count("*").alias("n")).collect()}
         good = without_dangling(graph)
         is_object = F.coalesce(F.schema_of_variant(F.try_parse_json("metadata")).startswith("OBJECT"), F.lit(False))
-        good = Graph(good.nodes, good.edges.where(is_object))
+        good = coerced(Graph(good.nodes, good.edges.where(is_object)))
         digest, name = graph_digest(good), uuid.uuid4().hex
         folder = f"{self.path}/snapshots/{name}"
-        good.nodes.write.partitionBy("type").parquet(f"{folder}/nodes")
-        good.edges.sortWithinPartitions("source").write.partitionBy("type").parquet(f"{folder}/edges")
+        typed = shredded(good)
+        typed.nodes.sortWithinPartitions("type", "route", "id").write.partitionBy("type").parquet(f"{folder}/nodes")
+        typed.edges.sortWithinPartitions("type", "source").write.partitionBy("type").parquet(f"{folder}/edges")
         (errors if errors is not None else self.spark.createDataFrame([], ERROR)).write.parquet(f"{folder}/errors")
         (issues if issues is not None else self.spark.createDataFrame([], ISSUE)).write.parquet(f"{folder}/issues")
         stats = type_counts(good)
@@ -76,10 +89,34 @@ class SnapshotStore:
             counts = severity_counts(issues).select(F.lit("issue").alias("what"), F.col("severity").alias("type"), "n")
             stats = stats.unionByName(counts)
         stats.write.parquet(f"{folder}/stats")
-        row = [(name, digest, VERSION, int(time.time() * 1000), {k: str(v) for k, v in (meta or {}).items()})]
+        self._point(name, digest, {k: str(v) for k, v in (meta or {}).items()} | {SHREDDED: "1"})
+        return WriteReport(name, digest, attempted, attempted - sum(rejected.values()), rejected)
+
+    def _point(self, name: str, digest: str, meta: dict[str, str]) -> None:
+        now = self.latest()
+        row = [(name, digest, VERSION, max(int(time.time() * 1000), now["created_ms"] + 1 if now else 0), meta)]
         pointer = self.spark.createDataFrame(row, "snapshot_id string, digest string, version int, created_ms long, meta map<string,string>")
         pointer.coalesce(1).write.mode("append").parquet(f"{self.path}/pointers")
-        return WriteReport(name, digest, attempted, attempted - sum(rejected.values()), rejected)
+
+    def set_meta(self, key: str, value: str) -> None:
+        """Sets a value beside the latest snapshot; the last one counts. Only the pointer is written."""
+        now = self._required()
+        self._point(now["snapshot_id"], now["digest"], dict(now["meta"] or {}) | {key: str(value)})
+
+    def get_meta(self, key: str) -> str | None:
+        now = self.latest()
+        return (now["meta"] or {}).get(key) if now else None
+
+    def append_errors(self, errors: DataFrame) -> None:
+        """Adds parse errors to the latest snapshot; nothing is rewritten."""
+        folder = f"{self.path}/snapshots/{self._required()['snapshot_id']}"
+        errors.select(*[f.name for f in ERROR]).write.mode("append").parquet(f"{folder}/errors")
+
+    def _required(self) -> dict:
+        now = self.latest()
+        if now is None:
+            raise LookupError("there is no snapshot")
+        return now
 
     def load(self, snapshot_id: str | None = None) -> Snapshot | None:
         """A snapshot, the latest by default; unknown enums and broken metadata come back as the model's defaults."""
@@ -90,8 +127,13 @@ class SnapshotStore:
         model = empty(self.spark)
         schemas = {"nodes": model.nodes.schema, "edges": model.edges.schema, "errors": ERROR, "issues": ISSUE, "stats": "what string, type string, n long"}
         read = lambda what: self.spark.read.schema(schemas[what]).parquet(f"{folder}/{what}")
-        graph = coerced(Graph(read("nodes").select(*model.nodes.columns), read("edges").select(*model.edges.columns)))
-        return Snapshot(at["snapshot_id"], at["digest"], graph, read("errors"), read("issues"), read("stats"), dict(at["meta"] or {}))
+        if (at["meta"] or {}).get(SHREDDED):  # checked when it was written
+            schemas |= {what: StructType([*schemas[what].fields, *[StructField(n, StringType()) for n in names]]) for what, names in (("nodes", NODE_COLUMNS), ("edges", EDGE_COLUMNS))}
+            typed = Graph(read("nodes"), read("edges"))
+            graph = Graph(typed.nodes.select(*model.nodes.columns), typed.edges.select(*model.edges.columns))
+        else:
+            typed = graph = coerced(Graph(read("nodes").select(*model.nodes.columns), read("edges").select(*model.edges.columns)))
+        return Snapshot(at["snapshot_id"], at["digest"], graph, typed, read("errors"), read("issues"), read("stats"), dict(at["meta"] or {}))
 
     def history(self) -> DataFrame | None:
         return self._pointers()
@@ -114,9 +156,8 @@ class SnapshotStore:
 
     def delete(self, node_ids: list[str] = (), edge_ids: list[str] = ()) -> WriteReport:
         """A new snapshot without the given nodes, their edges, and the given edges."""
+        self._required()
         now = self.load()
-        if now is None:
-            raise LookupError("there is no snapshot")
         nodes = now.graph.nodes.where(~F.col("id").isin(*node_ids)) if node_ids else now.graph.nodes
         edges = now.graph.edges.where(~F.col("id").isin(*edge_ids)) if edge_ids else now.graph.edges
         return self.commit(without_dangling(Graph(nodes, edges)), now.errors, now.issues, now.meta)

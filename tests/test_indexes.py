@@ -254,3 +254,29 @@ def test_call_chains_through_a_barrel(spark):
     starts = spark.createDataFrame([("a.ts#start",)], "id string")
     assert {r.id for r in link.call_chains(df, starts, 5, exports=given).collect()} == {"a.ts#start", "lib/b.ts#work"}
     assert {r.id for r in link.call_chains(df, starts, 5).collect()} == {"a.ts#start"}
+
+
+# Snapshots
+
+
+def test_shredded_metadata_reaches_the_files(spark, tmp_path):
+    from stratagraph.operators import detect, lookup
+    from stratagraph.sources.snapshots import SnapshotStore
+
+    nodes = [{"id": f"r{i}", "type": "api_route", "metadata": f'{{"route":"/api/{i}","method":"GET"}}'} for i in range(5)] + [{"id": "c", "type": "component"}, {"id": "odd", "type": "what"}]
+    edges = [{"source": "c", "type": "calls_api", "target": f"r{i}", "metadata": f'{{"method":"{m}"}}'} for i, m in enumerate(("get", "post", "", "GET", "put"))]
+    store = SnapshotStore(spark, str(tmp_path))
+    store.commit(of_rows(spark, nodes, edges), meta={"root": "x"})
+    now = store.load()
+    found = lookup.find_by_route(now.typed, "/api/3")
+    assert [r.id for r in found.collect()] == ["r3"] and "PushedFilters: [IsNotNull(route), EqualTo(route,/api/3)]" in found._jdf.queryExecution().executedPlan().toString()
+    bad = detect.method_mismatches(now.typed)
+    assert sorted(r.related_nodes[1] for r in bad.collect()) == ["r1", "r4"]
+    plan = bad._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(type" in plan and "Not(EqualTo(method,))" in plan
+    assert now.graph.nodes.where("id = 'odd'").first()["type"] == "module" and "route" not in now.graph.nodes.columns
+    assert sorted(r.related_nodes[1] for r in detect.method_mismatches(now.graph).collect()) == ["r1", "r4"]
+    store.set_meta("note", 7)
+    store.append_errors(spark.createDataFrame([("f.ts", "bad", "error", "p", None)], "file string, message string, severity string, parser string, code string"))
+    assert store.get_meta("note") == "7" and store.get_meta("root") == "x" and store.get_meta("none") is None
+    assert store.load().errors.count() == 1 and store.load().id == now.id
