@@ -32,8 +32,8 @@ def degrees(graph: Graph) -> DataFrame:
 
 
 def callers_by_type(graph: Graph) -> DataFrame:
-    """type, target, callers (distinct sources)."""
-    return graph.edges.groupBy("type", "target").agg(F.collect_set("source").alias("callers"))
+    """type, target, n_callers: how many different sources; a hot target's are counted and never listed in one row."""
+    return graph.edges.groupBy("type", "target").agg(F.countDistinct("source").alias("n_callers"))
 
 
 def page_components(graph: Graph) -> DataFrame:

@@ -156,7 +156,7 @@ def degree(spark, sf):
 
 @query("""SELECT type, target, count(DISTINCT source) AS n_callers FROM edges GROUP BY 1, 2""")
 def callers_by_type(spark, sf):
-    return joins.callers_by_type(_graph(spark, sf)).select("type", "target", F.size("callers").cast("long").alias("n_callers"))
+    return joins.callers_by_type(_graph(spark, sf))
 
 
 @query("""SELECT CASE WHEN source NOT IN (SELECT id FROM nodes) THEN 'missing_source' WHEN target NOT IN (SELECT id FROM nodes) THEN 'missing_target' ELSE 'ok' END AS verdict, count(*) AS n FROM edges GROUP BY 1""")
@@ -618,13 +618,13 @@ def page_components(spark, sf):
     return joins.page_components(Graph(pages.unionByName(g.nodes.where("type <> 'page'")), g.edges))
 
 
-@query("""WITH uses AS (SELECT s_suppkey AS source, 'shop/orders/c' || CAST(s_suppkey % 50 AS STRING) || '.tsx' AS place, CAST(s_suppkey * 7 AS STRING) AS tag FROM supplier),
-imports AS (SELECT DISTINCT 'shop/orders/c' || CAST(o_orderkey % 50 AS STRING) || '.tsx' AS place, CAST(o_orderkey + o_orderkey % 2 AS STRING) AS tag FROM orders)
+@query("""WITH uses AS (SELECT s_suppkey AS source, 'shop/orders/c' || CAST(s_suppkey - s_suppkey % 8 AS STRING) || '.tsx' AS place, CAST(s_suppkey + s_suppkey % 2 AS STRING) AS tag FROM supplier),
+imports AS (SELECT DISTINCT 'shop/orders/c' || CAST(o_orderkey - o_orderkey % 8 AS STRING) || '.tsx' AS place, CAST(o_orderkey + o_orderkey % 2 AS STRING) AS tag FROM orders)
 SELECT source, id AS target, tag FROM (SELECT u.source, n.id, u.tag, row_number() OVER (PARTITION BY u.source, u.tag ORDER BY (n.file_path = u.place), n.o1, n.o2) AS k
 FROM uses u JOIN imports USING (place, tag) JOIN nodes n ON n.name = u.tag AND n.type = 'component') WHERE k = 1""")
 def component_uses(spark, sf):
-    at = lambda c: F.concat(F.lit("shop/orders/c"), (F.col(c) % 50).cast("string"), F.lit(".tsx")).alias("file_path")
-    uses = load(spark, sf, "supplier").select(F.col("s_suppkey").alias("source"), at("s_suppkey"), (F.col("s_suppkey") * 7).cast("string").alias("tag"))
+    at = lambda c: F.concat(F.lit("shop/orders/c"), (F.col(c) - F.col(c) % 8).cast("string"), F.lit(".tsx")).alias("file_path")
+    uses = load(spark, sf, "supplier").select(F.col("s_suppkey").alias("source"), at("s_suppkey"), (F.col("s_suppkey") + F.col("s_suppkey") % 2).cast("string").alias("tag"))
     imports = load(spark, sf, "orders").select(at("o_orderkey"), (F.col("o_orderkey") + F.col("o_orderkey") % 2).cast("string").alias("tag"))
     return joins.component_uses(uses, imports, _graph(spark, sf))
 

@@ -1,5 +1,7 @@
 """A graph derived from the star-schema test tables: customer > orders > part > supplier > nation > region stand for page,
-component, API route, handler, service and model. One SQL text serves Spark and the comparison engine alike."""
+component, API route, handler, service and model. One SQL text serves Spark and the comparison engine alike.
+
+Files hold a few nodes each, however large the tables are, so what is paired within a file grows with the tables only."""
 
 from __future__ import annotations
 
@@ -10,16 +12,16 @@ from ..graph import Graph
 from ..runtime import load
 
 NODES = """
-SELECT 'page:customer:' || c_name AS id, 'page' AS type, c_name AS name, 'shop/customer/p' || CAST(c_custkey % 10 AS STRING) || '.tsx' AS file_path,
+SELECT 'page:customer:' || c_name AS id, 'page' AS type, c_name AS name, 'shop/customer/p' || CAST(c_custkey - c_custkey % 8 AS STRING) || '.tsx' AS file_path,
        '{"route":"/customer/' || CAST(c_custkey AS STRING) || '"}' AS metadata, 1 AS o1, c_custkey AS o2 FROM {customer}
 UNION ALL
-SELECT 'component:orders:' || CAST(o_orderkey AS STRING), 'component', CAST(o_orderkey AS STRING), 'shop/orders/c' || CAST(o_orderkey % 50 AS STRING) || '.tsx',
+SELECT 'component:orders:' || CAST(o_orderkey AS STRING), 'component', CAST(o_orderkey AS STRING), 'shop/orders/c' || CAST(o_orderkey - o_orderkey % 8 AS STRING) || '.tsx',
        '{"isPage":' || CASE WHEN o_orderpriority = '1-URGENT' THEN 'true' ELSE 'false' END || '}', 2, o_orderkey FROM {orders} WHERE o_orderstatus <> 'P'
 UNION ALL
 SELECT 'api_route:part:' || CAST(p_partkey AS STRING), 'api_route', p_name, 'backend/src/part/r' || CAST(p_partkey % 20 AS STRING) || '.ts',
        '{"method":"' || CASE WHEN p_size % 3 = 0 THEN 'GET,POST' WHEN p_size % 3 = 1 THEN 'GET' ELSE 'ALL' END || '","route":"/api/part/' || CAST(p_partkey AS STRING) || '/"}', 3, p_partkey FROM {part}
 UNION ALL
-SELECT 'handler:supplier:' || s_name, 'handler', s_name, 'backend/src/supplier/h' || CAST(s_suppkey % 5 AS STRING) || '.ts', '{}', 4, s_suppkey FROM {supplier}
+SELECT 'handler:supplier:' || s_name, 'handler', s_name, 'backend/src/supplier/h' || CAST(s_suppkey - s_suppkey % 4 AS STRING) || '.ts', '{}', 4, s_suppkey FROM {supplier}
 UNION ALL
 SELECT 'service:nation:' || n_name, 'service', n_name, 'backend/src/nation/' || n_name || '.ts', '{}', 5, CAST(n_nationkey AS BIGINT) FROM {nation}
 UNION ALL

@@ -4,7 +4,7 @@ import os
 
 import pytest
 
-from stratagraph import index_queries, queries, source_queries
+from stratagraph import index_queries, queries, rule_queries, source_queries
 
 FOLDER = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents pages conversations labels".split()
@@ -39,7 +39,7 @@ def test_every_query_has_sql():
     assert set(RUN) == set(SQL)
 
 
-REGISTRIES = (queries, source_queries, index_queries)
+REGISTRIES = (queries, source_queries, index_queries, rule_queries)
 RUN = {k: f for r in REGISTRIES for k, f in r.queries().items()}
 SQL = {k: f for r in REGISTRIES for k, f in r.oracle_sql().items()}
 
