@@ -196,11 +196,13 @@ def literal_contains_link(spark, sf):
     return joins.literal_links(texts, routes.withColumn("target", F.col("route")))
 
 
-@query("""SELECT 'conv' || CAST(conv_id AS STRING) AS suite, 'turn ' || CAST(turn AS STRING) AS name FROM conversations WHERE turn > 5""", graph=False)
+@query("""SELECT 'conv' || CAST(conv_id AS STRING) AS suite, 'none ' || CAST(turn AS STRING) AS name FROM conversations""", graph=False)
 def unmatched_cases(spark, sf):
+    """Results of every turn, and of as many cases that no file has."""
     c = load(spark, sf, "conversations")
-    results = c.select(F.concat(F.lit("conv"), F.col("conv_id").cast("string")).alias("suite"), F.concat(F.lit("turn "), F.col("turn").cast("string")).alias("name"))
-    cases = c.where("turn <= 5").select(F.concat(F.lit("conv"), F.col("conv_id").cast("string"), F.lit(" > turn "), F.col("turn").cast("string")).alias("name"))
+    suite, turn = F.concat(F.lit("conv"), F.col("conv_id").cast("string")).alias("suite"), F.col("turn").cast("string")
+    results = c.select(suite, F.concat(F.lit("turn "), turn).alias("name")).union(c.select(suite, F.concat(F.lit("none "), turn).alias("name")))
+    cases = c.select(F.concat(F.lit("conv"), F.col("conv_id").cast("string"), F.lit(" > turn "), turn).alias("name"))
     return joins.unmatched_cases(results, cases)
 
 
@@ -409,10 +411,10 @@ def affected_pages(spark, sf):
     return traverse.affected_pages(_graph(spark, sf), "service:nation:NATION_3").select("id", "name")
 
 
-@query(f"""WITH {_KEPT}, walk(id, parent, depth) AS (SELECT 'page:customer:' || (SELECT min(c_name) FROM customer JOIN orders ON o_custkey = c_custkey WHERE o_orderstatus <> 'P'), CAST(NULL AS STRING), 0
+@query(f"""WITH {_KEPT}, walk(id, parent, depth) AS (SELECT 'page:customer:' || (SELECT min(c_name) FROM customer JOIN orders ON o_custkey = c_custkey), CAST(NULL AS STRING), 0
 UNION ALL SELECT k.target, w.id, w.depth + 1 FROM walk w JOIN kept k ON k.source = w.id AND k.type = 'renders' WHERE w.depth < 3) SELECT id, parent AS parent_id, CAST(depth AS INTEGER) AS depth FROM walk""")
 def subtree_rows(spark, sf):
-    orders, customers = load(spark, sf, "orders").where("o_orderstatus <> 'P'"), load(spark, sf, "customer")
+    orders, customers = load(spark, sf, "orders"), load(spark, sf, "customer")
     root = "page:customer:" + (customers.join(orders, customers.c_custkey == orders.o_custkey).agg(F.min("c_name")).first()[0] or "")
     return traverse.subtree(_graph(spark, sf), root, "renders", 3).select("id", "parent_id", "depth")
 
@@ -560,10 +562,9 @@ def scalar_ids(spark, sf):
     return _graph(spark, sf).nodes.select("id", C.node_id_parts("id").alias("p")).select("id", "p.*")
 
 
-@query("""SELECT source || '--' || type || '--' || target AS id, source, type, target FROM edges WHERE type IN ('calls_service', 'queries_db')""")
+@query("""SELECT source || '--' || type || '--' || target AS id, source, type, target FROM edges""")
 def scalar_edge_ids(spark, sf):
-    edges = _graph(spark, sf).edges.where("type in ('calls_service', 'queries_db')")
-    return edges.select("id", C.edge_id_parts("id").alias("p")).select("id", "p.*")
+    return _graph(spark, sf).edges.select("id", C.edge_id_parts("id").alias("p")).select("id", "p.*")
 
 
 @query("""SELECT page_id, CASE WHEN starts_with(u, '/') THEN u ELSE '/' || u END AS normal, regexp_extract(u, '([^/]+)/*$', 1) AS last FROM (SELECT page_id, regexp_replace(split_part(url, '?', 1), '/$', '') AS u FROM pages)""", graph=False)
@@ -636,13 +637,14 @@ def edges_between(spark, sf):
     return joins.between(_graph(spark, sf), f"db_model:region:{name}", "service:nation:NATION_3").select("source", "target", "type")
 
 
-@query("""SELECT id AS path, 'root/' || split_part(id, '/', 2) || '/layout.tsx' AS layout FROM (SELECT 'root/' || p_brand || '/' || p_type || '/' || CAST(p_partkey AS STRING) || '/page.tsx' AS id FROM part) WHERE split_part(id, '/', 2) < 'Brand#3'
-UNION ALL SELECT id, 'root/layout.tsx' FROM (SELECT 'root/' || p_brand || '/' || p_type || '/' || CAST(p_partkey AS STRING) || '/page.tsx' AS id FROM part) WHERE split_part(id, '/', 2) >= 'Brand#3'""", graph=False)
+@query("""WITH f AS (SELECT p_brand, '/' || p_type || '/' || CAST(p_partkey AS STRING) || '/page.tsx' AS rest FROM part)
+SELECT 'root/' || p_brand || rest AS path, 'root/' || p_brand || '/layout.tsx' AS layout FROM f UNION ALL SELECT 'root/bare ' || p_brand || rest, 'root/layout.tsx' FROM f""", graph=False)
 def nearest_layout(spark, sf):
+    """Every part's page, once in a folder with a layout of its brand and once in one without."""
     part = load(spark, sf, "part")
-    files = part.select(F.concat_ws("/", F.lit("root"), "p_brand", "p_type", F.col("p_partkey").cast("string"), F.lit("page.tsx")).alias("path"))
-    own = part.where("p_brand < 'Brand#3'").select(F.concat_ws("/", F.lit("root"), "p_brand", F.lit("layout.tsx")).alias("path")).distinct()
-    return traverse.nearest_layout(files, own.union(spark.sql("SELECT 'root/layout.tsx'")))
+    file = lambda brand: part.select(F.concat_ws("/", F.lit("root"), brand, "p_type", F.col("p_partkey").cast("string"), F.lit("page.tsx")).alias("path"))
+    own = part.select(F.concat_ws("/", F.lit("root"), "p_brand", F.lit("layout.tsx")).alias("path")).distinct()
+    return traverse.nearest_layout(file(F.col("p_brand")).union(file(F.concat(F.lit("bare "), "p_brand"))), own.union(spark.sql("SELECT 'root/layout.tsx'")))
 
 
 @query("SELECT c_custkey, '/' || lower(c_mktsegment) || '/[id]' AS app, '/' || lower(c_mktsegment) AS pages FROM customer", graph=False)
@@ -696,10 +698,11 @@ def issues_deduplicated(spark, sf):
     return detect.dedup_issues(twice.unionByName(twice)).groupBy("type").agg(F.count("*").alias("n"))
 
 
-@query("SELECT o_orderkey AS id FROM orders WHERE o_orderstatus = 'P'", graph=False)
+@query("SELECT -1 - o_orderkey AS id FROM orders", graph=False)
 def new_nodes(spark, sf):
-    orders = load(spark, sf, "orders").select(F.col("o_orderkey").alias("id"), "o_orderstatus")
-    return dedup.new_nodes(orders.where("o_orderstatus <> 'P'"), orders).select("id")
+    """Orders against orders and as many that weren't there."""
+    before = load(spark, sf, "orders").select(F.col("o_orderkey").alias("id"))
+    return dedup.new_nodes(before, before.union(before.select((-1 - F.col("id")).alias("id"))))
 
 
 @query("SELECT date_trunc('hour', ts) AS start, event_type, count(*) AS n FROM events GROUP BY 1, 2", graph=False)

@@ -16,7 +16,7 @@ SELECT 'page:customer:' || c_name AS id, 'page' AS type, c_name AS name, 'shop/c
        '{"route":"/customer/' || CAST(c_custkey AS STRING) || '"}' AS metadata, 1 AS o1, c_custkey AS o2 FROM {customer}
 UNION ALL
 SELECT 'component:orders:' || CAST(o_orderkey AS STRING), 'component', CAST(o_orderkey AS STRING), 'shop/orders/c' || CAST(o_orderkey - o_orderkey % 8 AS STRING) || '.tsx',
-       '{"isPage":' || CASE WHEN o_orderpriority = '1-URGENT' THEN 'true' ELSE 'false' END || '}', 2, o_orderkey FROM {orders} WHERE o_orderstatus <> 'P'
+       '{"isPage":' || CASE WHEN o_orderpriority = '1-URGENT' THEN 'true' ELSE 'false' END || '}', 2, o_orderkey FROM {orders}
 UNION ALL
 SELECT 'api_route:part:' || CAST(p_partkey AS STRING), 'api_route', p_name, 'backend/src/part/r' || CAST(p_partkey % 20 AS STRING) || '.ts',
        '{"method":"' || CASE WHEN p_size % 3 = 0 THEN 'GET,POST' WHEN p_size % 3 = 1 THEN 'GET' ELSE 'ALL' END || '","route":"/api/part/' || CAST(p_partkey AS STRING) || '/"}', 3, p_partkey FROM {part}
@@ -44,6 +44,10 @@ SELECT 'api_route:part:' || CAST(l_partkey AS STRING), 'handler:supplier:' || s_
 UNION ALL
 SELECT 'handler:supplier:' || s_name, 'service:nation:' || n_name, 'calls_service', 'certain', '{}', 5, s_suppkey, CAST(0 AS BIGINT), CAST(0 AS BIGINT) FROM {supplier} JOIN {nation} ON s_nationkey = n_nationkey
 UNION ALL
+SELECT 'page:customer:' || c_name, 'component:gone:' || CAST(c_custkey AS STRING), 'renders', 'inferred', '{}', 7, c_custkey, CAST(0 AS BIGINT), CAST(0 AS BIGINT) FROM {customer}
+UNION ALL
+SELECT 'component:gone:' || CAST(s_suppkey AS STRING), 'api_route:part:' || CAST(s_suppkey AS STRING), 'calls_api', 'inferred', '{"method":"GET"}', 8, s_suppkey, CAST(0 AS BIGINT), CAST(0 AS BIGINT) FROM {supplier}
+UNION ALL
 SELECT 'service:nation:' || n_name, 'db_model:region:' || r_name, 'queries_db', 'certain', '{}', 6, CAST(n_nationkey AS BIGINT), CAST(0 AS BIGINT), CAST(0 AS BIGINT) FROM {nation} JOIN {region} ON n_regionkey = r_regionkey
 """
 
