@@ -11,13 +11,15 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import trace_layer
 from ..graph import Graph, endpoints
-from ..runtime import DRIVER_EDGES, cut, small
+from ..runtime import DRIVER_EDGES, broadcast_if_small, cut, small
 from ..schema import DATA_EDGES, LINK_EDGES, ROUTE_TYPES, TEST_TYPES, UPSTREAM_EDGES
 from .lookup import find_any, find_by_file, find_by_route, induced, ranked_first
 
 PARENT_ROUTE_DEPTH = 64
 TRACE_STEPS = 64
 SUBTREE_DEPTH = 1000
+#: Up to so many ids (some 50 bytes each) are broadcast to test the ends of edges; more are joined by shuffles.
+BROADCAST_IDS = 500_000
 
 
 def reach(edges: DataFrame, seeds: DataFrame, max_depth: int | None = None, stop: DataFrame | None = None) -> DataFrame:
@@ -217,11 +219,12 @@ def linear_traces(graph: Graph, roots: DataFrame, steps: int = TRACE_STEPS) -> D
 
     From the root upstream, then downstream, each step takes the first link edge to a node not yet on the path; both ways
     share one budget, upstream first. All roots go at once, by doubled paths of first choices."""
-    known = graph.nodes.select("id")
-    edges = graph.edges.where(F.col("type").isin(*LINK_EDGES) & (F.col("source") != F.col("target")))
-    edges = edges.groupBy("source", "target").agg(F.min(F.struct("ord", F.col("type").alias("via"))).alias("first"))
-    edges = edges.join(known.withColumnRenamed("id", "source"), "source", "left_semi").join(known.withColumnRenamed("id", "target"), "target", "left_semi")
-    edges = cut(edges.select("source", "target", "first.ord", "first.via"))
+    nodes = cut(graph.nodes.select("id", "name", "type"))
+    known = nodes.select("id")
+    ids = broadcast_if_small(known, BROADCAST_IDS)
+    edges = graph.edges.where(F.col("type").isin(*LINK_EDGES) & (F.col("source") != F.col("target"))).select("source", "target", "ord", F.col("type").alias("via"))
+    edges = edges.join(ids.withColumnRenamed("id", "source"), "source", "left_semi").join(ids.withColumnRenamed("id", "target"), "target", "left_semi")
+    edges = cut(edges)  # repeated edges stay: the first of all is also the first of its pair
     walkers = roots.select("id").distinct().join(known, "id", "left_semi").select(F.col("id").alias("root"), F.col("id").alias("at"), F.array("id").alias("seen"), F.lit(steps - 1).alias("left"))
     up = _walks(walkers, edges, "target", "source", steps - 1).select("root", F.col("root").alias("at"), "seen", "left", F.size("seen").alias("ups"))
     both = _walks(up.drop("ups"), edges, "source", "target", steps - 1).join(up.select("root", "ups"), "root")
@@ -229,8 +232,10 @@ def linear_traces(graph: Graph, roots: DataFrame, steps: int = TRACE_STEPS) -> D
     order = F.concat(F.reverse(F.slice("seen", F.lit(1), F.col("ups"))), F.slice("seen", F.col("ups") + 1, F.size("seen")))
     out = both.select("root", order.alias("path")).select("root", "path", F.posexplode("path").alias("place", "node_id"))
     out = out.select("root", (F.col("place") + 1).alias("index"), "node_id", F.when(F.col("place") > 0, F.get("path", F.col("place") - 1)).alias("_before"))
-    via = edges.select(F.col("source").alias("_before"), F.col("target").alias("node_id"), F.col("via").alias("edge_from_prev"))
-    named = out.join(via, ["_before", "node_id"], "left").join(graph.nodes.select(F.col("id").alias("node_id"), "name", "type"), "node_id")
+    out = cut(out)
+    pairs = broadcast_if_small(cut(out.where("_before is not null").select("_before", "node_id").distinct()))
+    via = edges.join(pairs, (edges["source"] == pairs["_before"]) & (edges["target"] == pairs["node_id"])).groupBy("_before", "node_id").agg(F.min_by("via", F.struct("ord", "via")).alias("edge_from_prev"))
+    named = out.join(via, ["_before", "node_id"], "left").join(nodes.withColumnRenamed("id", "node_id"), "node_id")
     return named.select("root", "index", "node_id", "name", "type", "edge_from_prev", trace_layer("type").alias("layer"))
 
 
