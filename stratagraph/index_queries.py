@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .graph import Graph
-from .operators import asof, dedup, detect, lookup, merkle, reachability, stats, text_index
+from .operators import asof, dedup, detect, lookup, merkle, reachability, stats, text_index, traverse
 from .plans import exports
 from .queries import _WITH
 from .runtime import load, work_folder
@@ -57,6 +57,30 @@ def handlers_that_reach_buyers(spark, sf):
     return reachability.reached_pairs(reachability.page_index(derived.graph(spark, sf)), pairs)
 
 
+# Depth-first trees
+
+
+@query("""WITH RECURSIVE size AS (SELECT count(*) AS n FROM supplier),
+edges AS (SELECT s_suppkey AS source, (s_suppkey * s_suppkey + 1) % n AS target, 1 AS place FROM supplier, size UNION ALL SELECT s_suppkey, (s_suppkey * 7 + 3) % n, 2 FROM supplier, size),
+kids AS MATERIALIZED (SELECT source, list(target ORDER BY place) AS targets FROM edges WHERE target IN (SELECT s_suppkey FROM supplier) GROUP BY source),
+walk(root, dfs_ord, id, parent_id, depth, seen, stack) AS (
+SELECT s_suppkey, 0, s_suppkey, CAST(NULL AS BIGINT), 0, [s_suppkey], list_transform(coalesce(targets, []), lambda t: {'id': t, 'parent': s_suppkey, 'depth': 1}) FROM supplier LEFT JOIN kids ON source = s_suppkey
+UNION ALL
+SELECT root, dfs_ord, top.id, top.parent, top.depth, list_append(seen, top.id),
+       list_concat(CASE WHEN top.depth < 4 THEN list_transform(coalesce(targets, []), lambda t: {'id': t, 'parent': top.id, 'depth': top.depth + 1}) ELSE [] END, rest)
+FROM (SELECT root, dfs_ord + 1 AS dfs_ord, seen, open_[1] AS top, open_[2:] AS rest FROM (SELECT root, dfs_ord, seen, list_filter(stack, lambda x: NOT list_contains(seen, x.id)) AS open_ FROM walk) WHERE len(open_) > 0)
+LEFT JOIN kids ON source = top.id)
+SELECT CAST(root AS VARCHAR) AS root, CAST(id AS VARCHAR) AS id, CAST(parent_id AS VARCHAR) AS parent_id, depth, dfs_ord FROM walk""")
+def import_trees(spark, sf):
+    """Of all suppliers at once: the depth-first tree of four levels over what they import, two each, cycles included."""
+    suppliers = load(spark, sf, "supplier").select(F.col("s_suppkey").alias("key"))
+    n = suppliers.agg(F.count("*")).scalar()
+    to = F.explode(F.array(F.struct(F.lit(1).alias("ord"), ((F.col("key") * F.col("key") + 1) % n).alias("to")), F.struct(F.lit(2).alias("ord"), ((F.col("key") * 7 + 3) % n).alias("to"))))
+    edges = suppliers.select(F.col("key").cast("string").alias("source"), to.alias("e")).select("source", F.col("e.to").cast("string").alias("target"), "e.ord")
+    nodes = suppliers.select(F.col("key").cast("string").alias("id"))
+    return traverse.subtrees(nodes, edges, nodes, 4)
+
+
 # As-of joins
 
 

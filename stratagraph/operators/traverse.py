@@ -1,5 +1,4 @@
-"""Traversals. Set-based ones run as frontier rounds of joins; walks whose result depends on order run on the driver behind
-a size check, and refuse more than it allows.
+"""Traversals as rounds of joins, those whose result depends on the order of a walk included.
 
 A round joins the frontier to the edges and drops what was visited before; its result is checkpointed, so the lineage stays
 short and a lost executor costs one round. Cycles end by the visited set, chains by the given bound."""
@@ -11,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import trace_layer
 from ..graph import Graph, endpoints
-from ..runtime import DRIVER_EDGES, broadcast_if_small, cut, small
+from ..runtime import broadcast_if_small, cut
 from ..schema import DATA_EDGES, LINK_EDGES, ROUTE_TYPES, TEST_TYPES, UPSTREAM_EDGES
 from .lookup import find_any, find_by_file, find_by_route, induced, ranked_first
 
@@ -57,35 +56,49 @@ def affected_pages(graph: Graph, id_: str, max_depth: int = 10) -> DataFrame:
     return graph.nodes.where("type = 'page'").join(found, "id")
 
 
+def subtrees(nodes: DataFrame, edges: DataFrame, roots: DataFrame, depth: int) -> DataFrame:
+    """(root, id, parent_id, depth, dfs_ord): for each root (id) the tree of a depth-first walk down to `depth`, in which a node
+    hangs where the walk comes to it first; at the last depth nodes are claimed but not left.
+
+    The walk claims a node by the least path, in the order of edges, along which all nodes before it are claimed the same way.
+    So each round gives every node the least of its parents' paths that don't hold it already, from the paths of the round
+    before. Taken in the walk's own order, a node is right one round after all before it are, and a false path never comes
+    before the right one for good; so the rounds end, and they end with the walk's tree. All roots go at once.
+
+    Edges (source, target, ord) with an unknown end are left out; of repeated ones the first counts, of equal places the
+    smaller id. Places in the walk are counted within ranges of the sorted paths, so no tree is sorted by one task."""
+    known = nodes.select("id").distinct()
+    edges = edges.where("source <> target").select("source", "target", "ord")
+    edges = cut(edges.join(known.withColumnRenamed("id", "source"), "source", "left_semi").join(known.withColumnRenamed("id", "target"), "target", "left_semi"))
+    step = F.struct(F.col("ord"), F.col("target").alias("id"))
+    start = roots.select("id").distinct().join(known, "id", "left_semi").select(F.col("id").alias("root"), "id", F.array().cast(f"array<{edges.select(step.alias('s')).schema['s'].dataType.simpleString()}>").alias("path"))
+    start = state = cut(start)
+    moved = depth > 0
+    while moved:
+        ahead = state.where(F.size("path") < depth).join(edges, state["id"] == edges["source"])
+        ahead = ahead.where((F.col("target") != F.col("root")) & ~F.exists("path", lambda x: x["id"] == F.col("target")))
+        after = cut(start.unionByName(ahead.groupBy("root", F.col("target").alias("id")).agg(F.min(F.array_append("path", step)).alias("path"))))
+        before = state.withColumnRenamed("path", "_before")
+        moved = bool(after.join(before, ["root", "id"], "full_outer").where(~F.col("path").eqNullSafe(F.col("_before"))).take(1))
+        state = after
+    parent = F.when(F.size("path") > 1, F.get("path", F.size("path") - 2)["id"]).when(F.size("path") == 1, F.col("root"))
+    ranges = cut(state.repartitionByRange("root", "path").withColumn("_range", F.spark_partition_id()))
+    upto = Window.partitionBy("root").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    first = ranges.groupBy("root", "_range").agg(F.count("*").alias("_n")).withColumn("_first", F.coalesce(F.sum("_n").over(upto), F.lit(0))).drop("_n")
+    place = F.row_number().over(Window.partitionBy("root", "_range").orderBy("path")) - 1
+    placed = ranges.withColumn("_place", place).join(first, ["root", "_range"])
+    return placed.select("root", "id", parent.alias("parent_id"), F.size("path").alias("depth"), (F.col("_first") + F.col("_place")).cast("int").alias("dfs_ord"))
+
+
 def subtree(graph: Graph, root: str, edge_type: str, depth) -> DataFrame:
-    """(root, id, parent_id, depth, dfs_ord): a depth-first tree in which a node hangs where it was reached first.
+    """(root, id, parent_id, depth, dfs_ord): the depth-first tree of one root over the edges of one type.
 
-    Depth is held in 0 to 1000, anything that is no number counts as 0. The order of the walk decides, so it runs on the
-    driver over the edges of one type within reach of the root, behind a size check."""
+    Depth is held in 0 to 1000, anything that is no number counts as 0."""
     try:
         depth = int(min(max(float(depth), 0), SUBTREE_DEPTH))
     except (TypeError, ValueError, OverflowError):
         depth = 0
-    edges = graph.edges.where(F.col("type") == edge_type)
-    within = reach(edges, graph.nodes.where(F.col("id") == root).select("id"), depth)
-    known = within.join(graph.nodes.select("id").distinct(), "id", "left_semi")
-    ours = induced(Graph(known.select("id"), edges), known.select("id")).edges.select("source", "target", "ord")
-    if not small(ours, DRIVER_EDGES):
-        raise ValueError(f"the subtree has more than {DRIVER_EDGES} edges; take a smaller depth")
-    children: dict[str, list[str]] = {}
-    for row in ours.orderBy("ord").collect():
-        children.setdefault(row["source"], []).append(row["target"])
-    rows, seen = [], set()
-    stack = [(root, None, 0)] if known.where(F.col("id") == root).take(1) else []
-    while stack:
-        id_, parent, at = stack.pop()
-        if id_ in seen:
-            continue
-        seen.add(id_)
-        rows.append((root, id_, parent, at, len(rows)))
-        if at < depth:
-            stack.extend((c, id_, at + 1) for c in reversed(children.get(id_, [])) if c not in seen)
-    return graph.spark.createDataFrame(rows, "root string, id string, parent_id string, depth int, dfs_ord int")
+    return subtrees(graph.nodes, graph.edges.where(F.col("type") == edge_type), graph.nodes.where(F.col("id") == root), depth)
 
 
 def component_tree(graph: Graph, query: str, depth: int = 3) -> DataFrame:

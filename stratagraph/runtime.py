@@ -10,9 +10,6 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows that a driver-side walk may hold; it refuses more.
-DRIVER_EDGES = 200_000
-
 
 def importable(spark: SparkSession) -> None:
     """Lets Python workers import this package from where the driver has it. Does nothing on a cluster that ships or

@@ -1,5 +1,7 @@
 """Operators on small graphs written by hand."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -105,6 +107,29 @@ def test_subtree_is_claimed_depth_first(spark):
     assert traverse.subtree(g, "zzz", "renders", 3).count() == 0
 
 
+def walked(edges, root, depth):
+    """A depth-first walk, step by step; edges in order."""
+    stack, rows = [(root, None, 0)], {}
+    while stack:
+        id_, parent, at = stack.pop()
+        if id_ not in rows:
+            rows[id_] = (parent, at, len(rows))
+            stack += [(c, id_, at + 1) for s, c in reversed(edges) if s == id_ and at < depth]
+    return {(root, k, *v) for k, v in rows.items()}
+
+
+@pytest.mark.parametrize("seed", range(2))
+def test_subtrees_equal_the_walk(spark, seed):
+    """Cycles, repeated edges and loops; a node claimed at the last depth blocks shorter ways through it."""
+    rng = random.Random(seed)
+    names = [f"n{i}" for i in range(10)]
+    edges = [(rng.choice(names), rng.choice(names)) for _ in range(22)]
+    g = of_rows(spark, [n(x, "component") for x in names], [e(a, "renders", b, ord=(0, 0, 0, i)) for i, (a, b) in enumerate(edges)] + [e("n1", "renders", "gone")])
+    for depth in (3, 1000):
+        got = {tuple(r) for r in traverse.subtrees(g.nodes, g.edges, g.nodes, depth).select("root", "id", "parent_id", "depth", "dfs_ord").collect()}
+        assert got == set().union(*(walked(edges, x, depth) for x in names))
+
+
 @pytest.mark.parametrize("value", ["Infinity", 1e9, -5, 2.5, True, [], "x"])
 def test_depth_is_checked(value):
     with pytest.raises(ValueError):
