@@ -187,32 +187,32 @@ def flow_edges(flows: DataFrame, models: DataFrame) -> DataFrame:
     )
 
 
-def _first_choices(edges: DataFrame, here: str, there: str, most: int) -> DataFrame:
-    """(at, path): the nodes that first edges lead to from each node, `most` of them at least where the walk is that long.
+def _first_choices(steps: DataFrame, most: int) -> DataFrame:
+    """(way, at, path): the nodes that first steps (way, at, to, ord) lead to from each node, `most` of them at least where the
+    walk is that long.
 
     Paths double: each takes on the path of its own end, so the rounds are the logarithm of the longest walk. A walk that
-    has run into a circle goes round it."""
-    paths = cut(edges.groupBy(F.col(here).alias("at")).agg(F.array(F.min(F.struct("ord", there))[there]).alias("path")))
-    length = 1
-    while length < most:
-        going = paths.where(F.size("path") == length)
-        if not going.take(1):
-            break
-        more = going.select(F.element_at("path", -1).alias("end")).distinct().join(paths.select(F.col("at").alias("end"), F.col("path").alias("rest")), "end")
-        paths = cut(paths.join(more, (F.size("path") == length) & (F.element_at("path", -1) == F.col("end")), "left").select("at", F.concat("path", F.coalesce("rest", F.array().cast("array<string>"))).alias("path")))
+    has run into a circle goes round it. Only paths that may still grow are written again."""
+    going = cut(steps.groupBy("way", "at").agg(F.array(F.min(F.struct("ord", "to"))["to"]).alias("path")))
+    done, length = going.limit(0), 1
+    while length < most and going.take(1):
+        rest = done.union(going).select("way", F.col("at").alias("_end"), F.col("path").alias("_rest"))
+        grown = going.withColumn("_end", F.element_at("path", -1)).join(rest, ["way", "_end"], "left")
+        grown = cut(grown.select("way", "at", F.concat("path", F.coalesce("_rest", F.array().cast("array<long>"))).alias("path")))
         length *= 2
-    return paths
+        done, going = done.union(grown.where(F.size("path") < length)), grown.where(F.size("path") == length)
+    return done.union(going)
 
 
-def _walks(walkers: DataFrame, edges: DataFrame, here: str, there: str, most: int) -> DataFrame:
-    """walkers (root, at, seen, left) after they have gone as far as they can: seen holds the nodes in order.
+def _walks(walkers: DataFrame, steps: DataFrame, choices: DataFrame, way: int) -> DataFrame:
+    """walkers (root, at, seen, left) after they have gone one way as far as they can: seen holds the nodes in order.
 
-    A walk follows first choices up to a node it has seen; there, in a repair round, it takes its first edge to another one
+    A walk follows first choices up to a node it has seen; there, in a repair round, it takes its first step to another one
     and follows the first choices from there. Walks that meet nothing of their own end in the first round."""
-    paths, done = _first_choices(edges, here, there, most), None
-    turns = edges.select(F.col(here).alias("_here"), F.col(there).alias("_there"), "ord")
+    paths, done = choices.where(F.col("way") == way).drop("way"), None
+    turns = steps.where(F.col("way") == way).select(F.col("at").alias("_here"), F.col("to").alias("_there"), "ord")
     while True:
-        ahead = walkers.join(paths, "at", "left").withColumn("path", F.slice(F.coalesce("path", F.array().cast("array<string>")), F.lit(1), F.col("left")))
+        ahead = walkers.join(paths, "at", "left").withColumn("path", F.slice(F.coalesce("path", F.array().cast("array<long>")), F.lit(1), F.col("left")))
         met = F.filter(F.sequence(F.lit(1), F.greatest(F.size("path"), F.lit(1))), lambda i: F.array_contains("seen", F.get("path", i - 1)) | (F.array_position("path", F.get("path", i - 1)) < i))
         ahead = ahead.withColumn("met", F.get(met, F.lit(0))).withColumn("good", F.when(F.col("met").isNull(), F.col("path")).otherwise(F.slice("path", F.lit(1), F.col("met") - 1)))
         moved = ahead.select("root", F.coalesce(F.get("good", F.size("good") - 1), F.col("at")).alias("at"), F.concat("seen", "good").alias("seen"), (F.col("left") - F.size("good")).alias("left"), F.col("met").isNotNull().alias("stuck"))
@@ -233,23 +233,27 @@ def linear_traces(graph: Graph, roots: DataFrame, steps: int = TRACE_STEPS) -> D
     From the root upstream, then downstream, each step takes the first link edge to a node not yet on the path; both ways
     share one budget, upstream first. All roots go at once, by doubled paths of first choices."""
     nodes = cut(graph.nodes.select("id", "name", "type"))
-    known = nodes.select("id")
+    # Nodes go by numbers in the order of their ids, so that edges and paths are short and equal places fall as by ids.
+    known = cut(nodes.select("id").distinct().repartitionByRange("id").sortWithinPartitions("id").withColumn("no", F.monotonically_increasing_id()))
     ids = broadcast_if_small(known, BROADCAST_IDS)
     edges = graph.edges.where(F.col("type").isin(*LINK_EDGES) & (F.col("source") != F.col("target"))).select("source", "target", "ord", F.col("type").alias("via"))
-    edges = edges.join(ids.withColumnRenamed("id", "source"), "source", "left_semi").join(ids.withColumnRenamed("id", "target"), "target", "left_semi")
+    edges = edges.join(ids.toDF("source", "a"), "source").join(ids.toDF("target", "b"), "target").select("a", "b", "ord", "via")
     edges = cut(edges)  # repeated edges stay: the first of all is also the first of its pair
-    walkers = roots.select("id").distinct().join(known, "id", "left_semi").select(F.col("id").alias("root"), F.col("id").alias("at"), F.array("id").alias("seen"), F.lit(steps - 1).alias("left"))
-    up = _walks(walkers, edges, "target", "source", steps - 1).select("root", F.col("root").alias("at"), "seen", "left", F.size("seen").alias("ups"))
-    both = _walks(up.drop("ups"), edges, "source", "target", steps - 1).join(up.select("root", "ups"), "root")
+    walkers = roots.select("id").distinct().join(known, "id").select(F.col("no").alias("root"), F.col("no").alias("at"), F.array("no").alias("seen"), F.lit(steps - 1).alias("left"))
+    one_way = lambda way, at, to: edges.select(F.lit(way).alias("way"), F.col(at).alias("at"), F.col(to).alias("to"), "ord")
+    both_ways = one_way(0, "b", "a").union(one_way(1, "a", "b"))
+    choices = _first_choices(both_ways, steps - 1)
+    up = _walks(walkers, both_ways, choices, 0).select("root", F.col("root").alias("at"), "seen", "left", F.size("seen").alias("ups"))
+    both = _walks(up.drop("ups"), both_ways, choices, 1).join(up.select("root", "ups"), "root")
     # seen: the root, its nodes upstream from near to far, then those downstream.
     order = F.concat(F.reverse(F.slice("seen", F.lit(1), F.col("ups"))), F.slice("seen", F.col("ups") + 1, F.size("seen")))
-    out = both.select("root", order.alias("path")).select("root", "path", F.posexplode("path").alias("place", "node_id"))
-    out = out.select("root", (F.col("place") + 1).alias("index"), "node_id", F.when(F.col("place") > 0, F.get("path", F.col("place") - 1)).alias("_before"))
-    out = cut(out)
-    pairs = broadcast_if_small(cut(out.where("_before is not null").select("_before", "node_id").distinct()))
-    via = edges.join(pairs, (edges["source"] == pairs["_before"]) & (edges["target"] == pairs["node_id"])).groupBy("_before", "node_id").agg(F.min_by("via", F.struct("ord", "via")).alias("edge_from_prev"))
-    named = out.join(via, ["_before", "node_id"], "left").join(nodes.withColumnRenamed("id", "node_id"), "node_id")
-    return named.select("root", "index", "node_id", "name", "type", "edge_from_prev", trace_layer("type").alias("layer"))
+    out = both.select("root", order.alias("path")).select("root", "path", F.posexplode("path").alias("place", "b"))
+    out = cut(out.select("root", (F.col("place") + 1).alias("index"), "b", F.when(F.col("place") > 0, F.get("path", F.col("place") - 1)).alias("a")))
+    pairs = broadcast_if_small(cut(out.where("a is not null").select("a", "b").distinct()))
+    via = edges.join(pairs, ["a", "b"]).groupBy("a", "b").agg(F.min_by("via", F.struct("ord", "via")).alias("edge_from_prev"))
+    named = nodes.join(ids, "id").select(F.col("no").alias("b"), F.col("id").alias("node_id"), "name", "type")
+    out = out.join(via, ["a", "b"], "left").join(named, "b").join(known.toDF("root_id", "root"), "root")
+    return out.select(F.col("root_id").alias("root"), "index", "node_id", "name", "type", "edge_from_prev", trace_layer("type").alias("layer"))
 
 
 _TEXTS = {
