@@ -16,14 +16,13 @@ than MOST_PATTERNS sets of sources raise an error.
 
 from __future__ import annotations
 
-from collections import defaultdict, deque
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 BINS = 1 << 12
-#: The flow's graph is held by the driver, so there is a bound on its nodes; beyond it the operator refuses.
-MOST_PATTERNS = 100_000
+#: The flow's graph is held by the driver, so there is a bound on its patterns: so many, of up to six of 300 sources each,
+#: take 20 s and 0.5 GB. Beyond it the operator refuses.
+MOST_PATTERNS = 500_000
 
 
 def words_in(text: Column) -> Column:
@@ -47,54 +46,89 @@ def targets(sizes: dict, total: float, weights: dict, limit: float) -> dict:
     return out
 
 
-def min_cost_flow(arcs: list[tuple], source, sink) -> list[int]:
-    """Flow on arcs (from, to, capacity, cost) by successive shortest paths; whole numbers throughout."""
-    to, cap, cost, out = [], [], [], defaultdict(list)
-    for a, b, c, w in arcs:
-        for u, v, k, x in ((a, b, c, w), (b, a, 0, -w)):
-            out[u].append(len(to))
-            to.append(v)
-            cap.append(k)
-            cost.append(x)
-    while True:
-        best, via, queue, queued = {source: 0}, {}, deque([source]), {source}
-        while queue:
-            u = queue.popleft()
-            queued.discard(u)
-            for e in out[u]:
-                if cap[e] and best[u] + cost[e] < best.get(to[e], 1 << 60):
-                    best[to[e]], via[to[e]] = best[u] + cost[e], e
-                    if to[e] not in queued:
-                        queue.append(to[e])
-                        queued.add(to[e])
-        if sink not in best:
-            return [cap[2 * i + 1] for i in range(len(arcs))]
-        path, u = [], sink
-        while u != source:
-            path.append(via[u])
-            u = to[via[u] ^ 1]
-        push = min(cap[e] for e in path)
-        for e in path:
-            cap[e] -= push
-            cap[e ^ 1] += push
+def min_cost_flow(sizes: list[int], members: list[list[int]], quota: list[int], repeats: int) -> list[int]:
+    """Words that flow through each pattern to its sources (members), which take no more than their quota.
+
+    The k-th pass over a pattern costs k a word, whichever source it serves. A way that frees words of other patterns gets
+    back what it pays for them, so the cheapest way left always costs what its first pattern's pass costs. Hence the passes
+    are opened one after another, and each time a maximum flow is added by shortest ways, many of one length at once."""
+    flow, used, left = [dict.fromkeys(m, 0) for m in members], [0] * len(sizes), list(quota)
+    back: list[dict] = [{} for _ in quota]  # patterns that serve a source
+    for k in range(1, repeats + 1):
+        while last := _layers(sizes, members, k, used, left, back):
+            of_pattern, of_source, depth = last
+            serving = {s: list(back[s]) for s, d in of_source.items() if d < depth}
+            at_source, at_pattern = dict.fromkeys(of_pattern, 0), dict.fromkeys(serving, 0)
+            for start in [p for p, d in of_pattern.items() if d == 0]:
+                trail = [start]  # pattern, source, pattern, source, ...
+                while trail:
+                    here = trail[-1]
+                    if len(trail) % 2:
+                        if at_source[here] == len(members[here]):
+                            trail.pop()
+                            if trail:
+                                at_pattern[trail[-1]] += 1
+                        elif of_source.get(s := members[here][at_source[here]]) == of_pattern[here] + 1:
+                            trail.append(s)
+                        else:
+                            at_source[here] += 1
+                    elif of_source[here] < depth:
+                        if at_pattern[here] == len(serving[here]):
+                            trail.pop()
+                            at_source[trail[-1]] += 1
+                        elif of_pattern.get(p := serving[here][at_pattern[here]]) == of_source[here] and flow[p][here]:
+                            trail.append(p)
+                        else:
+                            at_pattern[here] += 1
+                    elif not left[here]:
+                        trail.pop()
+                        at_source[trail[-1]] += 1
+                    else:
+                        freed = list(zip(trail[2::2], trail[1::2]))
+                        push = min(sizes[start] * k - used[start], left[here], *(flow[p][s] for p, s in freed))
+                        used[start] += push
+                        left[here] -= push
+                        for p, s in freed:
+                            flow[p][s] -= push
+                            if not flow[p][s]:
+                                del back[s][p]
+                        for p, s in zip(trail[::2], trail[1::2]):
+                            flow[p][s] += push
+                            back[s][p] = None
+                        trail = [start] if used[start] < sizes[start] * k else []
+    return used
+
+
+def _layers(sizes, members, k, used, left, back) -> tuple[dict, dict, int] | None:
+    """Distances of patterns and sources from those patterns that have words left, up to the nearest sources that want some;
+    None where none is in reach."""
+    of_pattern = {p: 0 for p, n in enumerate(sizes) if used[p] < n * k}
+    of_source: dict[int, int] = {}
+    layer, depth = list(of_pattern), 0
+    while layer:
+        depth += 1
+        new = []
+        for p in layer:
+            for s in members[p]:
+                if s not in of_source:
+                    of_source[s] = depth
+                    new.append(s)
+        if any(left[s] for s in new):
+            return of_pattern, of_source, depth
+        layer = []
+        for s in new:
+            for p in back[s]:
+                if p not in of_pattern:
+                    of_pattern[p] = depth
+                    layer.append(p)
+    return None
 
 
 def allot(patterns: dict[tuple, int], quota: dict, repeats: int) -> dict[tuple, int]:
     """Words that each membership pattern gives."""
-    arcs, mine = [], []
-    for p, size in patterns.items():
-        for k in range(1, repeats + 1):
-            arcs.append(("start", (p, k), size, 0))
-            for s in p:
-                mine.append((len(arcs), p))
-                arcs.append(((p, k), ("source", s), size, k))
-    for s, want in quota.items():
-        arcs.append((("source", s), "end", round(want), 0))
-    flow = min_cost_flow(arcs, "start", "end")
-    given: dict[tuple, int] = dict.fromkeys(patterns, 0)
-    for i, p in mine:
-        given[p] += flow[i]
-    return given
+    place = {s: i for i, s in enumerate(quota)}
+    given = min_cost_flow(list(patterns.values()), [[place[s] for s in p] for p in patterns], [round(w) for w in quota.values()], repeats)
+    return dict(zip(patterns, given))
 
 
 def mix_sources(docs: DataFrame, sources: Column | None = None, weights=(1, 2, 3), repeats: int = 3, seed: int = 17, with_row: bool = False) -> DataFrame:

@@ -356,6 +356,47 @@ def test_mixing(docs, texts, spark, nothing):
     assert [r.taken for r in mixing.mix_sources(spark.createDataFrame([(1, None, None), (2, "", None)], "doc_id long, text string, source string")).collect()] == [0, 0]
 
 
+def plain_flow(sizes, members, quota, repeats):
+    """Total and cost of a cheapest maximum flow, a unit and one shortest path at a time."""
+    arcs = {}  # (from, to) -> [capacity, cost]
+    for p, n in enumerate(sizes):
+        for k in range(1, repeats + 1):
+            arcs["start", (p, k)] = [n, 0]
+            arcs |= {((p, k), s): [n, k] for s in members[p]}
+    arcs |= {(s, "end"): [q, 0] for s, q in enumerate(quota)}
+    arcs |= {(b, a): [0, -w] for (a, b), (_, w) in list(arcs.items())}
+    total = cost = 0
+    while True:
+        best, via = {"start": 0}, {}
+        for _ in range(len(arcs)):
+            shorter = [(a, b) for (a, b), (c, w) in arcs.items() if c and a in best and best[a] + w < best.get(b, 1e9)]
+            if not shorter:
+                break
+            for a, b in shorter:
+                if best[a] + arcs[a, b][1] < best.get(b, 1e9):
+                    best[b], via[b] = best[a] + arcs[a, b][1], a
+        if "end" not in best:
+            return total, cost
+        total, cost, at = total + 1, cost + best["end"], "end"
+        while at != "start":
+            arcs[via[at], at][0] -= 1
+            arcs[at, via[at]][0] += 1
+            at = via[at]
+
+
+@pytest.mark.parametrize("seed", range(12))
+def test_flow_is_largest_and_cheapest(seed):
+    rng = random.Random(seed)
+    n_sources = rng.randint(1, 5)
+    members = [sorted(rng.sample(range(n_sources), rng.randint(0 if i == 0 else 1, n_sources))) for i in range(rng.randint(1, 6))]
+    sizes, quota = [rng.randint(0, 6) for _ in members], [rng.randint(0, 15) for _ in range(n_sources)]
+    given = mixing.min_cost_flow(sizes, members, quota, 3)
+    cost = sum(sum(k * min(max(g - (k - 1) * n, 0), n) for k in (1, 2, 3)) for g, n in zip(given, sizes))
+    assert all(0 <= g <= 3 * n for g, n in zip(given, sizes)) and (sum(given), cost) == plain_flow(sizes, members, quota, 3)
+    for chosen in range(1 << n_sources):  # the sources can share what the patterns give
+        assert sum(g for g, m in zip(given, members) if set(m) <= {s for s in range(n_sources) if chosen >> s & 1}) <= sum(q for s, q in enumerate(quota) if chosen >> s & 1)
+
+
 def test_overlapping_sources(spark):
     """Documents of two sources serve the one that lacks words."""
     rows = [(i, "w " * 10, ["a"]) for i in range(10)] + [(100 + i, "w " * 10, ["a", "b"]) for i in range(10)]
@@ -663,5 +704,5 @@ def test_packing_ranks_by_salts(spark, docs, monkeypatch):
 
 
 def test_tool_calls_of_many_levels(spark):
-    calls = spark.createDataFrame([(f"c{i}", [f"c{i - 1}"] if i else []) for i in range(12)], "call_id string, needs array<string>")
-    assert {r.call_id: r.level for r in tool_calls.levels(calls).collect()} == {f"c{i}": i + 1 for i in range(12)}
+    calls = spark.createDataFrame([(f"c{i}", [f"c{i - 1}"] if i else []) for i in range(18)], "call_id string, needs array<string>")
+    assert {r.call_id: r.level for r in tool_calls.levels(calls).collect()} == {f"c{i}": i + 1 for i in range(18)}
