@@ -63,6 +63,8 @@ def levels(calls: DataFrame) -> DataFrame:
         if not ready.take(1):
             break
         done = done.union(ready)
+        if level % 16 == 0:
+            done = cut(done)
         open_ = cut(open_.join(ready, "call_id", "left_anti"))
     return done
 
