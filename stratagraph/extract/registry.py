@@ -6,12 +6,12 @@ import json
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..graph import Graph
-from ..runtime import cut, importable
+from ..runtime import importable, joins_by_size, work_folder
 from ..schema import EDGE, ERROR, NODE
 from . import kotlin, models, tests, web
 from .code import Out, Source
@@ -77,9 +77,9 @@ class Registry:
     def register(self, name: str, applies: Applies, extract: Extract, stage: int = 0) -> None:
         self.extractors.append(Extractor(name, applies, extract, stage))
 
-    def run(self, path: str, text: str, meta: dict) -> list[tuple[int, int, Out]]:
+    def run(self, path: str, text: str, meta: dict, source: Source | None = None) -> list[tuple[int, int, Out]]:
         """(stage, place, output) of every extractor that applies; one that fails gives an error row."""
-        source, out = Source(path, text, kotlin=path.endswith(".kt")), []
+        source, out = source or Source(path, text, kotlin=path.endswith(".kt")), []
         for i, e in enumerate(self.extractors):
             try:
                 if e.applies(path, text, meta):
@@ -95,39 +95,66 @@ _COLUMNS = (
     "kind string, id string, type string, name string, file_path string, line int, column int, metadata string, source string, target string, confidence string, "
     "severity string, parser string, code string, stage long, file long, place long, emit long"
 )
+#: Files of a task: at least so many, and at most, if there are more tasks than four for each core.
+LEAST_FILES, MOST_FILES = 500, 20_000
 _FIELDS = [c.split()[0] for c in _COLUMNS.split(", ")]
+_json = json.JSONEncoder(sort_keys=True).encode
+_ARROW = pa.schema([(c.split()[0], {"string": pa.string(), "int": pa.int32(), "long": pa.int64()}[c.split()[1]]) for c in _COLUMNS.split(", ")])
+
+
+def _file_rows(registry: Registry, path: str, text: str, order: int, meta: dict):
+    """The rows of one file, as dicts of the fields they have; its source is masked once for all."""
+    source = Source(path, text, kotlin=path.endswith(".kt"))
+    for stage, place, out in registry.run(path, text, meta, source):
+        at = {"file": order, "stage": stage, "place": place, "parser": out.parser}
+        for i, n in enumerate(out.nodes):
+            yield at | n | {"kind": "node", "metadata": _json(n["metadata"]), "emit": i}
+        for i, e in enumerate(out.edges):
+            yield at | e | {"kind": "edge", "metadata": _json(e["metadata"]), "emit": i}
+        for i, e in enumerate(out.errors):
+            yield at | {"kind": "error", "file_path": e["file"], "name": e["message"], "severity": e["severity"], "code": e["code"], "emit": i}
+    if not _ts(path):
+        return
+    facts = web.client_facts(source)
+    at = {"file": order, "stage": 0, "place": 0, "file_path": path}
+    for k, i in enumerate(facts["imports"]):
+        for local, imported in (i["names"] or {"": ""}).items():
+            yield at | {"kind": "import", "name": local, "target": imported, "source": i["path"], "line": i["line"], "emit": k}
+    for k, s in enumerate(facts["scopes"]):
+        yield at | {"kind": "scope", "name": s["name"], "line": s["line"], "metadata": s["text"], "emit": k}
+    for k, q in enumerate(web.loop_queries(source)):
+        yield at | {"kind": "loop", "name": q["call"], "line": q["line"], "emit": k}
+    if facts["directive"]:
+        yield at | {"kind": "directive", "name": facts["directive"], "emit": 0}
 
 
 def extract(files: DataFrame, meta: dict, registry: Registry | None = None) -> tuple[Graph, DataFrame, DataFrame]:
     """(graph, errors, facts) of files (path, text, ord). The graph is the bag of all rows with their ordinals.
 
-    facts: path, kind (import, directive, scope, loop), name, value, line; what later joins need from the sources."""
+    facts: path, kind (import, directive, scope, loop), name, value, line; what later joins need from the sources.
+
+    Files are dealt out by their number first: a small table of many short files is one split, their texts compress too well
+    to be dealt out by size, and reading sources takes far longer than moving them. The rows lie in a table of the work folder, so later steps read only the columns they use."""
     registry = registry or Registry()
-    importable(files.sparkSession)
+    spark = files.sparkSession
+    importable(spark)
+    joins_by_size(spark)
 
     def run(batches):
-        for pdf in batches:
-            rows = []
-            for path, text, order in zip(pdf.path, pdf.text, pdf.ord):
-                base = dict.fromkeys(_FIELDS) | {"file": int(order)}
-                for stage, place, out in registry.run(path, text or "", meta):
-                    at = base | {"stage": stage, "place": place, "parser": out.parser}
-                    rows += [at | n | {"kind": "node", "metadata": json.dumps(n["metadata"], sort_keys=True), "emit": i} for i, n in enumerate(out.nodes)]
-                    rows += [at | e | {"kind": "edge", "metadata": json.dumps(e["metadata"], sort_keys=True), "emit": i} for i, e in enumerate(out.edges)]
-                    rows += [at | {"kind": "error", "file_path": e["file"], "name": e["message"], "severity": e["severity"], "code": e["code"], "emit": i} for i, e in enumerate(out.errors)]
-                if _ts(path):
-                    source = Source(path, text or "")
-                    facts = web.client_facts(source)
-                    at = base | {"stage": 0, "place": 0, "file_path": path}
-                    rows += [at | {"kind": "import", "name": local, "target": imported, "source": i["path"], "line": i["line"], "emit": k} for k, i in enumerate(facts["imports"]) for local, imported in (i["names"] or {"": ""}).items()]
-                    rows += [at | {"kind": "scope", "name": s["name"], "line": s["line"], "metadata": s["text"], "emit": k} for k, s in enumerate(facts["scopes"])]
-                    rows += [at | {"kind": "loop", "name": q["call"], "line": q["line"], "emit": k} for k, q in enumerate(web.loop_queries(source))]
-                    if facts["directive"]:
-                        rows.append(at | {"kind": "directive", "name": facts["directive"], "emit": 0})
-            yield pd.DataFrame(rows, columns=_FIELDS)
-
-    rows = files.select("path", "text", "ord").mapInPandas(run, _COLUMNS)
-    rows = cut(rows)
+        for batch in batches:
+            names = batch.schema.names
+            path, text, order = (batch.column(names.index(c)).to_pylist() for c in ("path", "text", "ord"))
+            columns = {f: [] for f in _FIELDS}
+            for one in zip(path, text, order):
+                for row in _file_rows(registry, one[0], one[1] or "", int(one[2]), meta):
+                    for f, values in columns.items():
+                        values.append(row.get(f))
+            yield pa.RecordBatch.from_arrays([pa.array(columns[f.name], f.type) for f in _ARROW], schema=_ARROW)
+
+    folder, n = f"{work_folder(spark)}/extracted", files.count()
+    tasks = min(-(-n // LEAST_FILES), max(4 * spark.sparkContext.defaultParallelism, -(-n // MOST_FILES)))
+    files.select("path", "text", "ord").repartition(max(tasks, 1), "path").mapInArrow(run, _COLUMNS).write.parquet(folder)
+    rows = spark.read.schema(_COLUMNS).parquet(folder)
     ord_ = F.struct(F.col("stage"), F.col("file"), F.col("place").alias("parser"), F.col("emit")).alias("ord")
     nodes = rows.where("kind = 'node'").select("id", "type", "name", "file_path", "line", "column", "metadata", ord_)
     edges = rows.where("kind = 'edge'").select("id", "source", "target", "type", "confidence", "metadata", ord_)

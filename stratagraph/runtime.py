@@ -41,6 +41,16 @@ def work_folder(spark: SparkSession) -> str:
     return f"{checkpoint_folder(spark)}/work/{uuid.uuid4().hex}"
 
 
+def joins_by_size(spark: SparkSession) -> None:
+    """From now on this session broadcasts a side of a join by its measured size, or by a hint, and not by the planner's guess:
+    it can't know how large the rows are that a Python function makes, takes them for the input's compressed size, and would
+    send gigabytes through the driver. AQE measures a side when it is shuffled, and broadcasts it below the same limit."""
+    guess, measured = "spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold"
+    if (limit := spark.conf.get(guess)) != "-1":
+        spark.conf.set(measured, spark.conf.get(measured, None) or limit)
+        spark.conf.set(guess, "-1")
+
+
 def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
