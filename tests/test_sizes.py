@@ -15,9 +15,10 @@ def test_many_short_files_are_dealt_out(spark):
     assert facts.select(F.input_file_name().alias("f")).distinct().count() == 4
 
 
-def test_extracted_rows_are_not_broadcast_unmeasured(spark):
+def test_extracted_rows_are_not_broadcast_unmeasured(spark, tmp_path):
     """The planner's guess of what a Python function returns must not decide that a side goes through the driver."""
     files = spark.createDataFrame([(f"lib/f{i}.ts", f"import {{ g{i} }} from './g{i}'\nexport function f{i}() {{ g{i}() }}\n", i) for i in range(20)], "path string, text string, ord long")
-    edges = link.call_edges(registry.extract(files, {})[2])
+    files.write.parquet(str(tmp_path / "files"))
+    edges = link.call_edges(registry.extract(spark.read.parquet(str(tmp_path / "files")), {})[2])
     plan = edges._jdf.queryExecution().executedPlan().toString()
     assert "BroadcastHashJoin" not in plan and "SortMergeJoin" in plan
