@@ -28,12 +28,13 @@ _BITS = (31, 8, 8, 8, 8)
 @dataclass(frozen=True)
 class ReachIndex:
     """nodes: id, node (its component); labels: node, spans (an interval (low, high) for each order) of those that reach a
-    goal; edges: source, target, spans of the target, only of targets that reach a goal; goals: id, node, at (its numbers)."""
+    goal; edges: source, target, spans of the target, only of targets that reach a goal; goals: id, node, at (its numbers); orders: how many there are."""
 
     nodes: DataFrame
     labels: DataFrame
     edges: DataFrame
     goals: DataFrame
+    orders: int
 
 
 def _numbers(nodes: DataFrame, edges: DataFrame, orders: int) -> DataFrame:
@@ -55,12 +56,15 @@ def _numbers(nodes: DataFrame, edges: DataFrame, orders: int) -> DataFrame:
 def build(edges: DataFrame, goals: DataFrame, orders: int = 3) -> ReachIndex:
     """The index of edges (source, target) towards goals (id). Goals without edges reach themselves."""
     edges = edges.select("source", "target").where("source <> target")
-    strong = cut(strong_components(edges))
+    # Edges into dead ends that are no goals go at once; what is left is derived and made distinct once for all steps.
+    alive = edges.select(F.col("source").alias("target")).union(goals.select("id")).distinct()
+    edges = cut(edges.join(alive, "target", "left_semi").select("source", "target").distinct())
+    strong = cut(strong_components(edges, distinct=True))
     ids = cut(endpoints(edges).union(goals.select("id")).distinct())
     nodes = cut(ids.join(strong, "id", "left").select("id", F.coalesce("component", "id").alias("node"))) if strong.take(1) else ids.select("id", F.col("id").alias("node"))
     to = lambda end: nodes.select(F.col("id").alias(end), F.col("node").alias(f"_{end}"))
-    between = edges.distinct() if not strong.take(1) else edges.join(to("source"), "source").join(to("target"), "target").select(F.col("_source").alias("source"), F.col("_target").alias("target")).where("source <> target").distinct()
-    between = cut(between)
+    between = edges if not strong.take(1) else edges.join(to("source"), "source").join(to("target"), "target").select(F.col("_source").alias("source"), F.col("_target").alias("target")).where("source <> target").distinct()
+    between = between if between is edges else cut(between)
     numbers = _numbers(nodes.select("node").distinct(), between, orders)
     ends = cut(goals.select("id").distinct().join(nodes, "id").join(numbers, "node").select("id", "node", "at"))
     # min and max of the numbers of all goals that a node reaches: what changed in a round is passed on to the nodes before it.
@@ -75,7 +79,7 @@ def build(edges: DataFrame, goals: DataFrame, orders: int = 3) -> ReachIndex:
         labels, changed = new.drop("moved"), new.where("moved").drop("moved")
     labels = labels.select("node", F.arrays_zip("low", "high").alias("spans"))
     kept = cut(between.join(labels.withColumnRenamed("node", "target"), "target").select("source", "target", "spans"))
-    return ReachIndex(nodes, labels, kept, ends)
+    return ReachIndex(nodes, labels, kept, ends, orders)
 
 
 def _inside(at: str, spans: str):
@@ -99,21 +103,30 @@ def goals_of(index: ReachIndex, seeds: DataFrame, max_depth: int | None = None)
 
 
 def reached_pairs(index: ReachIndex, pairs: DataFrame) -> DataFrame:
-    """Those of the pairs (seed, id) whose seed reaches the goal id. Intervals refuse most of the others without a walk."""
+    """Those of the pairs (seed, id) whose seed reaches the goal id. Intervals refuse most of the others without a walk.
+
+    All pairs of a seed share its walk, which enters a component only if the component's interval, in every order, meets the
+    range of the numbers that the seed's goals have; so a walk is as long as the seed's own and not once that for each pair."""
     asked = pairs.select("seed", "id").distinct().join(index.goals.select("id", F.col("node").alias("goal"), "at"), "id")
-    asked = asked.join(index.nodes.select(F.col("id").alias("seed"), "node"), "seed").join(index.labels, "node").where(_inside("at", "spans")).drop("spans")
-    frontier = cut(asked.select("seed", "id", "goal", "at", "node"))
-    seen, out, depth = frontier.select("seed", "id", "node"), cut(frontier.where("goal = node").select("seed", "id")), 0
-    while True:
-        open_ = frontier.join(out, ["seed", "id"], "left_anti").select("seed", "id", "goal", "at", "node")
-        steps = open_.join(index.edges, open_["node"] == index.edges["source"]).where(_inside("at", "spans"))
-        found = steps.select("seed", "id", "goal", "at", F.col("target").alias("node")).dropDuplicates(["seed", "id", "node"])
-        frontier = cut(found.join(seen, ["seed", "id", "node"], "left_anti").select("seed", "id", "goal", "at", "node"))
-        if not frontier.take(1):
-            return out
-        seen, out, depth = seen.union(frontier.select("seed", "id", "node")), out.union(frontier.where("goal = node").select("seed", "id")).distinct(), depth + 1
+    asked = asked.join(index.nodes.select(F.col("id").alias("seed"), "node"), "seed").join(index.labels, "node").where(_inside("at", "spans"))
+    asked = cut(asked.select("seed", "id", "goal", "at", "node"))
+    places = range(index.orders)
+    ends = [c for k in places for c in (F.min(F.get("at", F.lit(k))).alias(f"low{k}"), F.max(F.get("at", F.lit(k))).alias(f"high{k}"))]
+    bounds = [f"{end}{k}" for k in places for end in ("low", "high")]
+    meets = F.lit(True)
+    for k in places:
+        span = F.get("spans", F.lit(k))
+        meets &= (span["low"] <= F.col(f"high{k}")) & (span["high"] >= F.col(f"low{k}"))
+    frontier = cut(asked.groupBy("seed", "node").agg(*ends))
+    seen, depth = frontier.select("seed", "node"), 0
+    while frontier.take(1):
+        steps = frontier.join(index.edges, frontier["node"] == index.edges["source"]).where(meets)
+        found = steps.select("seed", F.col("target").alias("node"), *bounds).distinct()
+        frontier = cut(found.join(seen, ["seed", "node"], "left_anti"))
+        seen, depth = seen.union(frontier.select("seed", "node")), depth + 1
         if depth % 8 == 0:
-            seen, out = cut(seen), cut(out)
+            seen = cut(seen)
+    return asked.select("seed", "id", "goal").join(seen, (asked["seed"] == seen["seed"]) & (asked["goal"] == seen["node"]), "left_semi").select("seed", "id")
 
 
 def page_index(graph: Graph) -> ReachIndex:

@@ -274,12 +274,14 @@ def explained(steps: DataFrame) -> DataFrame:
     return steps.withColumn("explanation", F.concat_ws(", ", F.concat(what, F.lit(" "), F.col("name")), how))
 
 
-def strong_components(edges: DataFrame) -> DataFrame:
+def strong_components(edges: DataFrame, distinct: bool = False) -> DataFrame:
     """(id, component): nodes of strongly connected components of two nodes or more, named by their smallest id.
 
     Rounds of colouring: each node takes the largest id that reaches it; a colour's own node, followed backwards within the
-    colour, gives one component, which is then taken out. Nodes without edges in or out are trimmed first."""
-    edges = cut(edges.select("source", "target").where("source <> target").distinct())
+    colour, gives one component, which is then taken out. Nodes without edges in or out are trimmed first.
+
+    distinct: the edges are known to be different, without loops and cheap to read again."""
+    edges = edges if distinct else cut(edges.select("source", "target").where("source <> target").distinct())
     out = edges.select(F.col("source").alias("id"), F.col("source").alias("component")).limit(0)
     n = edges.count()
     while True:

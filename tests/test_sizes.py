@@ -22,3 +22,28 @@ def test_extracted_rows_are_not_broadcast_unmeasured(spark, tmp_path):
     edges = link.call_edges(registry.extract(spark.read.parquet(str(tmp_path / "files")), {})[2])
     plan = edges._jdf.queryExecution().executedPlan().toString()
     assert "BroadcastHashJoin" not in plan and "SortMergeJoin" in plan
+
+
+def test_pairs_of_a_seed_share_its_walk(spark):
+    """A seed with many steps and many goals: the walk holds a row for each step, not one for each step and goal."""
+    from stratagraph.operators import reachability
+
+    steps = [("s", f"m{i}") for i in range(60)] + [(f"m{i}", f"g{j}") for i in range(60) for j in range(60) if (i + j) % 2]
+    edges = spark.createDataFrame([*steps, ("g1", "dead"), ("m1", "dead")], "source string, target string")
+    goals = spark.createDataFrame([(f"g{j}",) for j in range(60)] + [("far",)], "id string")
+    pairs = spark.createDataFrame([("s", f"g{j}") for j in range(60)] + [("s", "far"), ("m1", "g1"), ("m1", "g2"), ("far", "far")], "seed string, id string")
+    index = reachability.build(edges, goals)
+    most, real = [0], reachability.cut
+
+    def counted(df):
+        out = real(df)
+        most[0] = max(most[0], out.count())
+        return out
+
+    reachability.cut = counted
+    try:
+        got = {tuple(r) for r in reachability.reached_pairs(index, pairs).collect()}
+    finally:
+        reachability.cut = real
+    assert got == {("s", f"g{j}") for j in range(60)} | {("m1", "g2"), ("far", "far")}
+    assert most[0] <= 130
