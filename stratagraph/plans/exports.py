@@ -1,7 +1,9 @@
 """Which file defines a name that others pass on: `export { a as b } from`, `export * from` and names exported after an import.
 
-Stars are closed by doubling: each round joins the relation to itself, so a chain of n barrels takes log n rounds, and
-circles end as nothing new comes. Named links are followed one at a time, since each may go on through stars of its own."""
+Names go up the stars from the files that provide them: a round takes each name one star further, to files that haven't had it
+from nearer, so there is at most one row for each file and name, and not one for each two files that stars connect. Only names
+that somebody asks for go. Named links are followed one at a time, since each may go on through stars of its own.
+`star_closure` gives the pairs of files themselves, by doubling; it is as large as there are such pairs."""
 
 from __future__ import annotations
 
@@ -41,6 +43,24 @@ def star_closure(stars: DataFrame) -> DataFrame:
     return near
 
 
+def nearest_givers(provided: DataFrame, stars: DataFrame, names: DataFrame) -> DataFrame:
+    """(file, name, giver) for each of the names (name) and each file that has it by stars (file, target) or of its own
+    (provided: file, name): the provider at the fewest steps, ties to the smaller path. `default` isn't passed on.
+
+    The least of (steps, path) for a file is that of its best target, a step further; rounds go by steps, so what a file gets
+    first is its best, and later rounds needn't come back to it. There are as many rounds as steps to the farthest giver."""
+    stars = cut(stars.select("file", "target").where("file <> target").distinct())
+    seen = cut(provided.select("file", "name").distinct().join(names.distinct(), "name", "left_semi").select("file", "name", F.col("file").alias("giver")))
+    frontier, depth = seen.where("name <> 'default'"), 0
+    while frontier.take(1):
+        above = frontier.withColumnRenamed("file", "target").join(stars, "target").groupBy("file", "name").agg(F.min("giver").alias("giver"))
+        frontier = cut(above.join(seen, ["file", "name"], "left_anti").select("file", "name", "giver"))
+        seen, depth = seen.union(frontier), depth + 1
+        if depth % 8 == 0:
+            seen = cut(seen)
+    return seen
+
+
 def resolve(wanted: DataFrame, defined: DataFrame, links: DataFrame, stars: DataFrame) -> DataFrame:
     """(file, name, def_file, def_name): where each wanted (file, name) is defined; those that nobody defines are left out.
 
@@ -51,16 +71,12 @@ def resolve(wanted: DataFrame, defined: DataFrame, links: DataFrame, stars: Data
     passed = links.groupBy("file", "name").agg(F.min(F.struct(F.col("to_file").alias("file"), F.col("to_name").alias("name"))).alias("to"))
     passed = passed.join(own.select("file", "name"), ["file", "name"], "left_anti")
     provided = cut(own.unionByName(passed))
-    closure = star_closure(stars)
+    asked = wanted.select("name").union(links.select(F.col("to_name").alias("name"))).distinct()
+    givers = nearest_givers(provided, stars, asked).withColumnRenamed("file", "at").join(provided.withColumnRenamed("file", "giver"), ["giver", "name"])
+    givers = cut(givers.select("at", "name", "giver", "to"))
     walks = cut(wanted.select("file", "name").distinct().select(F.struct("file", "name").alias("origin"), F.col("file").alias("at"), "name", F.array(F.concat_ws("#", "file", "name")).alias("seen")))
     out = None
     while True:
-        asked = walks.select("at", "name").distinct()
-        here = asked.join(provided, (asked["at"] == provided["file"]) & (asked["name"] == provided["name"]), "left_semi").select("at", "name", F.col("at").alias("giver"))
-        rest = asked.join(here.select("at", "name"), ["at", "name"], "left_anti").where("name <> 'default'")
-        above = rest.join(closure.withColumnRenamed("file", "at"), "at").join(provided.select(F.col("file").alias("target"), "name"), ["target", "name"])
-        above = above.groupBy("at", "name").agg(F.min(F.struct("depth", "target"))["target"].alias("giver"))
-        givers = here.unionByName(above).join(provided.withColumnRenamed("file", "giver"), ["giver", "name"])
         step = cut(walks.join(givers, ["at", "name"]).select("origin", "seen", "giver", "name", "to"))
         done = step.where("to is null").select("origin.file", "origin.name", F.col("giver").alias("def_file"), F.col("name").alias("def_name"))
         out = done if out is None else out.unionByName(done)

@@ -47,3 +47,29 @@ def test_pairs_of_a_seed_share_its_walk(spark):
         reachability.cut = real
     assert got == {("s", f"g{j}") for j in range(60)} | {("m1", "g2"), ("far", "far")}
     assert most[0] <= 130
+
+
+def test_names_go_up_stars_without_all_pairs_of_files(spark):
+    """A chain and a circle of barrels that one file ends: a row for each file and name, whatever stars connect."""
+    from stratagraph.plans import exports
+
+    n = 12
+    stars = [(f"b{i:02}", f"b{i + 1:02}") for i in range(n)] + [(f"b{n:02}", "end"), (f"b{n:02}", "b10"), ("b00", "near"), ("near", "last")]
+    defined = [("end", "f"), ("end", "default"), ("last", "g"), ("end", "g"), ("b05", "h"), ("end", "unasked")]
+    frame = lambda rows, columns: spark.createDataFrame(rows, columns)
+    asked = [("b00", "f"), ("b00", "g"), ("b01", "g"), ("b00", "h"), ("b11", "h"), ("b00", "default"), ("end", "default")]
+    sizes, real = [], exports.cut
+
+    def counted(df):
+        out = real(df)
+        sizes.append(out.count())
+        return out
+
+    exports.cut = counted
+    try:
+        got = exports.resolve(frame(asked, "file string, name string"), frame(defined, "file string, name string"), frame([], "file string, name string, to_file string, to_name string"), frame(stars, "file string, target string"))
+        got = {tuple(r) for r in got.collect()}
+    finally:
+        exports.cut = real
+    assert got == {("b00", "f", "end", "f"), ("b00", "g", "last", "g"), ("b01", "g", "end", "g"), ("b00", "h", "b05", "h"), ("end", "default", "end", "default")}
+    assert max(sizes) < 50  # 100 and more pairs of files are connected
