@@ -65,11 +65,18 @@ def repaired_sources(graph: Graph) -> DataFrame:
     return lost.join(first, "file_path").select(F.col("id").alias("edge_id"), F.col("component").alias("source"), "target")
 
 
-def same_file_links(graph: Graph, left: str, right: str, same_name: bool = False) -> DataFrame:
-    """Pairs of nodes of two types in one file; with same_name also of one name."""
+def same_file_links(graph: Graph, left: str, right: str, same_name: bool = False, spread: int = 1) -> DataFrame:
+    """Pairs of nodes of two types in one file; with same_name also of one name. With spread the pairs of a file are dealt out
+    to so many tasks, for a few files of many nodes; the right side is copied to each."""
     keys = ["file_path", "name"] if same_name else ["file_path"]
     a = graph.nodes.where(F.col("type") == left).select(*keys, F.col("id").alias("source"))
     b = graph.nodes.where(F.col("type") == right).select(*keys, F.col("id").alias("target"))
+    if spread > 1:
+        a = a.withColumn("_part", F.pmod(F.xxhash64("source"), F.lit(spread)).cast("int"))
+        b = b.withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(spread - 1))))
+        # Dealt out by number, as AQE would join the few bytes of ids in one task and write millions of pairs there.
+        keys = [*keys, "_part"]
+        a, b = a.repartition(spread, *keys), b.repartition(spread, *keys)
     return a.join(b, keys).where("source <> target").select("source", "target")
 
 

@@ -73,3 +73,23 @@ def test_names_go_up_stars_without_all_pairs_of_files(spark):
         exports.cut = real
     assert got == {("b00", "f", "end", "f"), ("b00", "g", "last", "g"), ("b01", "g", "end", "g"), ("b00", "h", "b05", "h"), ("end", "default", "end", "default")}
     assert max(sizes) < 50  # 100 and more pairs of files are connected
+
+
+def test_same_file_link_pairs_all_handlers_of_five_files(spark):
+    """n handlers, dealt over five files by their keys: n/5 * (n/5 - 1) pairs in each."""
+    from stratagraph.queries import queries
+
+    sf = "/root/testdata/sf0.01"
+    n = spark.read.parquet(f"{sf}/supplier.parquet").groupBy((F.col("s_suppkey") % 5).alias("k")).count()
+    pairs = n.agg(F.sum(F.col("count") * (F.col("count") - 1))).first()[0]
+    got = queries()["same_file_link"](spark, sf)
+    assert got.count() == pairs == got.distinct().count()
+
+
+def test_spread_pairs_are_the_same(spark):
+    from stratagraph.graph import of_rows
+    from stratagraph.operators.joins import same_file_links
+
+    g = of_rows(spark, [{"id": f"h{i}", "type": "handler", "file_path": f"f{i % 3}"} for i in range(20)] + [{"id": "s", "type": "service", "file_path": "f1"}], [])
+    for right in ("handler", "service"):
+        assert sorted(map(tuple, same_file_links(g, "handler", right, spread=4).collect())) == sorted(map(tuple, same_file_links(g, "handler", right).collect()))
