@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..graph import Graph
@@ -88,11 +88,21 @@ def endpoint_report(graph: Graph) -> DataFrame:
     return _ends(graph).groupBy(verdict.alias("verdict")).agg(F.count("*").alias("n"))
 
 
-def rejected_edges(graph: Graph) -> DataFrame:
-    """Edges that a commit refuses, with the reason: a missing end, or metadata that is no JSON object."""
-    bad = ~F.coalesce(F.schema_of_variant(F.try_parse_json("metadata")).startswith("OBJECT"), F.lit(False))
+def is_object(metadata: str = "metadata") -> Column:
+    """Whether a text is a JSON object; the empty one, which most edges have, isn't parsed."""
+    return (F.col(metadata) == "{}") | F.coalesce(F.schema_of_variant(F.try_parse_json(metadata)).startswith("OBJECT"), F.lit(False))
+
+
+def with_reasons(graph: Graph) -> DataFrame:
+    """All edges, with the reason for which a commit refuses them: a missing end, or metadata that is no JSON object; else null."""
+    bad = ~F.coalesce(is_object(), F.lit(False))
     reason = F.when(~F.col("has_source"), "missing_source").when(~F.col("has_target"), "missing_target").when(bad, "invalid_metadata")
-    return _ends(graph).withColumn("reason", reason).where("reason is not null").drop("has_source", "has_target")
+    return _ends(graph).withColumn("reason", reason).drop("has_source", "has_target")
+
+
+def rejected_edges(graph: Graph) -> DataFrame:
+    """Edges that a commit refuses, with the reason."""
+    return with_reasons(graph).where("reason is not null")
 
 
 def merge_coverage(*stages: DataFrame) -> DataFrame:

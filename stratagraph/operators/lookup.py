@@ -190,13 +190,15 @@ def typed_edges(graph: Graph, kind: str) -> DataFrame:
     return edges_by_type(graph, kind).withColumn("meta", typed_metadata(kind, EDGE_METADATA)).select(F.col("id").alias("edge_id"), "source", "target", "confidence", "meta.*")
 
 
-def coerced(graph: Graph) -> Graph:
-    """Rows with unknown enums brought back into the model: types to module and imports, confidence to inferred."""
+def coerced(graph: Graph, objects: bool = False) -> Graph:
+    """Rows with unknown enums brought back into the model: types to module and imports, confidence to inferred.
+
+    objects: the metadata of the edges is known to be JSON and isn't parsed again."""
     nodes = graph.nodes.withColumn("type", F.when(is_node_type(), F.col("type")).otherwise("module"))
     edges = graph.edges.withColumn("type", F.when(is_edge_type(), F.col("type")).otherwise("imports"))
     edges = edges.withColumn("confidence", F.when(is_confidence(), F.col("confidence")).otherwise("inferred"))
     fixed = F.when(F.try_parse_json("metadata").isNull(), "{}").otherwise(F.col("metadata"))
-    return Graph(nodes.withColumn("metadata", fixed), edges.withColumn("metadata", fixed))
+    return Graph(nodes.withColumn("metadata", fixed), edges if objects else edges.withColumn("metadata", fixed))
 
 
 def valid_depth(value, fallback: int) -> int:

@@ -1,7 +1,8 @@
 """The snapshot store: immutable Parquet folders and a pointer that is moved when all is written.
 
-A commit checks edges, counts again, digests, writes a new folder and then the pointer; a failure before that leaves the
-last snapshot readable. The pointer is a one-row table whose newest file counts, so the store needs nothing but Spark."""
+A commit checks edges, writes a new folder, counts and digests what lies in it, and then writes the pointer; a failure before
+that leaves the last snapshot readable. The given graph may be dear to derive, so it is read twice only: once for the counts of
+what is refused, once for what is written. The pointer is a one-row table whose newest file counts, so the store needs nothing but Spark."""
 
 from __future__ import annotations
 
@@ -14,9 +15,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
 from ..graph import Graph, empty
-from ..operators.dedup import rejected_edges, without_dangling
+from ..operators.dedup import is_object, with_reasons, without_dangling
 from ..operators.lookup import coerced
 from ..operators.stats import graph_digest, severity_counts, type_counts
+from ..runtime import joins_by_size
 from ..schema import ERROR, ISSUE
 
 VERSION = 1
@@ -72,19 +74,20 @@ class SnapshotStore:
 
     def commit(self, graph: Graph, errors: DataFrame | None = None, issues: DataFrame | None = None, meta: dict | None = None) -> WriteReport:
         """Writes a snapshot. Edges with a missing end or metadata that is no object are refused and counted."""
-        attempted = graph.edges.count()
-        rejected = {r["reason"]: r["n"] for r in rejected_edges(graph).groupBy("reason").agg(F.count("*").alias("n")).collect()}
+        joins_by_size(self.spark)
+        counts = {r["reason"]: r["n"] for r in with_reasons(graph).groupBy("reason").agg(F.count("*").alias("n")).collect()}
+        attempted, rejected = sum(counts.values()), {k: n for k, n in counts.items() if k is not None}
         good = without_dangling(graph)
-        is_object = F.coalesce(F.schema_of_variant(F.try_parse_json("metadata")).startswith("OBJECT"), F.lit(False))
-        good = coerced(Graph(good.nodes, good.edges.where(is_object)))
-        digest, name = graph_digest(good), uuid.uuid4().hex
+        name = uuid.uuid4().hex
         folder = f"{self.path}/snapshots/{name}"
-        typed = shredded(good)
+        typed = shredded(coerced(Graph(good.nodes, good.edges.where(is_object())), objects=True))
         typed.nodes.sortWithinPartitions("type", "route", "id").write.partitionBy("type").parquet(f"{folder}/nodes")
         typed.edges.sortWithinPartitions("type", "source").write.partitionBy("type").parquet(f"{folder}/edges")
+        written = Graph(*(self.spark.read.schema(df.schema).parquet(f"{folder}/{what}") for what, df in (("nodes", typed.nodes), ("edges", typed.edges))))
+        digest = graph_digest(written)
         (errors if errors is not None else self.spark.createDataFrame([], ERROR)).write.parquet(f"{folder}/errors")
         (issues if issues is not None else self.spark.createDataFrame([], ISSUE)).write.parquet(f"{folder}/issues")
-        stats = type_counts(good)
+        stats = type_counts(written)
         if issues is not None:
             counts = severity_counts(issues).select(F.lit("issue").alias("what"), F.col("severity").alias("type"), "n")
             stats = stats.unionByName(counts)

@@ -93,3 +93,24 @@ def test_spread_pairs_are_the_same(spark):
     g = of_rows(spark, [{"id": f"h{i}", "type": "handler", "file_path": f"f{i % 3}"} for i in range(20)] + [{"id": "s", "type": "service", "file_path": "f1"}], [])
     for right in ("handler", "service"):
         assert sorted(map(tuple, same_file_links(g, "handler", right, spread=4).collect())) == sorted(map(tuple, same_file_links(g, "handler", right).collect()))
+
+
+def test_commit_reads_the_given_graph_twice(spark, tmp_path):
+    """A graph that is dear to derive is read for the counts and for what is written; the digest comes from the written rows."""
+    from stratagraph.graph import Graph, of_rows
+    from stratagraph.operators.stats import graph_digest
+    from stratagraph.sources.snapshots import SnapshotStore
+
+    g = of_rows(spark, [{"id": "a"}, {"id": "b"}], [{"source": "a", "target": "b", "type": "imports"}, {"source": "a", "target": "gone", "type": "imports"}, {"source": "b", "target": "a", "type": "imports", "metadata": "[]"}])
+    reads = spark.sparkContext.accumulator(0)
+
+    def seen(batches):
+        for batch in batches:
+            reads.add(batch.num_rows)
+            yield batch
+
+    report = SnapshotStore(spark, str(tmp_path)).commit(Graph(g.nodes, g.edges.mapInArrow(seen, g.edges.schema)))
+    assert (report.attempted_edges, report.written_edges, report.rejected) == (3, 1, {"missing_target": 1, "invalid_metadata": 1})
+    assert reads.value == 2 * 3
+    snapshot = SnapshotStore(spark, str(tmp_path)).load()
+    assert report.digest == graph_digest(snapshot.graph) == graph_digest(Graph(g.nodes, g.edges.where("target = 'b'")))
