@@ -18,6 +18,8 @@ from ..schema import NODE
 BUCKET_NODES, LEAST_BUCKETS, RAREST = 1_000_000, 16, 3
 #: Candidate buckets are read by name up to so many candidates; with more, all buckets are.
 FEW = 10_000
+#: Many searched texts go by runs of the texts where the postings of their rarest grams hold more rows than this times the texts.
+RUNS_FROM = 4
 _SCHEMAS = {
     "postings": "gram string, doc long, bucket int", "counts": "gram string, n long, bucket int",
     "texts": f"doc long, id string, name string, path string, ord {NODE['ord'].dataType.simpleString()}, bucket int",
@@ -82,16 +84,32 @@ class TextIndex:
 
     def search_all(self, queries: DataFrame) -> DataFrame:
         """(query, id) of every different searched text of a column `query` at once, trimmed and lower-cased; blank ones find
-        nothing. A text meets the postings of its rarest gram only, by equality."""
+        nothing. A text meets the postings of its rarest gram only, by equality; where so many texts share grams that these
+        meetings would outnumber the nodes, they are looked up among the runs of names and paths instead."""
         asked = queries.select(F.lower(F.trim("query")).alias("query")).where("query <> ''").distinct()
         long = asked.where(F.length("query") >= 3)
         each = long.select("query", F.explode(grams("query")).alias("gram"))
         known = each.join(self.counts.select("gram", "n"), "gram", "left")  # a gram without postings counts as rarest
-        rarest = known.groupBy("query").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "gram"))["gram"].alias("gram"))
-        found = rarest.join(self.postings.select("gram", "doc"), "gram").select("query", "doc")
-        found = found.join(self.texts.select("doc", "id", "name", "path"), "doc").where(self._holds(F.col("query"))).select("query", "id")
+        rarest = known.groupBy("query").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "gram")).alias("r"))
+        rarest = cut(rarest.where("r.n > 0").select("query", F.col("r.n").alias("n"), F.col("r.gram").alias("gram")))
+        volume = rarest.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+        if volume <= RUNS_FROM * self.texts.count():
+            found = rarest.join(self.postings.select("gram", "doc"), "gram").select("query", "doc")
+            found = found.join(self.texts.select("doc", "id", "name", "path"), "doc").where(self._holds(F.col("query"))).select("query", "id")
+        else:
+            found = self._by_runs(rarest.select("query"))
         short = asked.where(F.length("query") < 3)
         if not short.take(1):
             return found
         runs = F.array_distinct(F.flatten(F.array(*[F.coalesce(grams(c, k), F.array().cast("array<string>")) for c in ("name", "path") for k in (1, 2)])))
         return found.unionByName(self.texts.select("id", F.explode(runs).alias("query")).join(broadcast_if_small(short), "query").select("query", "id").distinct())
+
+    def _by_runs(self, queries: DataFrame) -> DataFrame:
+        """(query, id) for many texts that share their grams: the runs of each name and path that begin with the first gram of a
+        searched text and have its length, joined by equality, so there are hardly more rows than finds."""
+        starts = queries.groupBy(F.substring("query", 1, 3).alias("gram")).agg(F.collect_set(F.length("query")).alias("lengths"))
+        texts = self.texts.select("id", F.explode(F.array("name", "path")).alias("text")).where("length(text) >= 3")
+        at = texts.select("id", "text", F.explode(F.sequence(F.lit(1), F.length("text") - 2)).alias("i"))
+        at = at.withColumn("gram", F.expr("substr(text, i, 3)")).join(broadcast_if_small(starts), "gram")
+        runs = at.select("id", "text", "i", F.explode("lengths").alias("k")).where("i + k - 1 <= length(text)")
+        return runs.select("id", F.expr("substr(text, i, k)").alias("query")).join(broadcast_if_small(queries, 500_000), "query").select("query", "id").distinct()

@@ -114,3 +114,22 @@ def test_commit_reads_the_given_graph_twice(spark, tmp_path):
     assert reads.value == 2 * 3
     snapshot = SnapshotStore(spark, str(tmp_path)).load()
     assert report.digest == graph_digest(snapshot.graph) == graph_digest(Graph(g.nodes, g.edges.where("target = 'b'")))
+
+
+def test_many_texts_that_share_grams_go_by_runs(spark, tmp_path):
+    """Numbers as searched texts: every pair of a number and a name shares grams, few are finds."""
+    from stratagraph.graph import of_rows
+    from stratagraph.operators.text_index import TextIndex
+
+    names = [f"x{i * 7919 % 100000:05}" for i in range(60)]
+    index = TextIndex.build(of_rows(spark, [{"id": n, "name": n, "file_path": f"p/{n[1:]}0{n[1:]}.ts"} for n in names], []), str(tmp_path / "index"))
+    asked = sorted({f"{a}{b}" for a in ("00", "01", "79", "x0") for b in range(300)} | {".ts", "P/0", "#12", "zzz"})
+    runs, real = [], TextIndex._by_runs
+    TextIndex._by_runs = lambda self, queries: runs.append(1) or real(self, queries)
+    try:
+        got = sorted(map(tuple, index.search_all(spark.createDataFrame([(q,) for q in asked], "query string")).collect()))
+    finally:
+        TextIndex._by_runs = real
+    text = {n: (n, f"p/{n[1:]}0{n[1:]}.ts") for n in names}
+    assert got == sorted((q.lower(), n) for q in asked for n in names if any(q.lower() in t for t in text[n]))
+    assert runs
