@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Callable
+from collections.abc import Callable, Iterable
 from dataclasses import dataclass, field
+from json.encoder import encode_basestring_ascii as _quoted
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -97,45 +98,62 @@ _COLUMNS = (
 )
 #: Files of a task: at least so many, and at most, if there are more tasks than four for each core.
 LEAST_FILES, MOST_FILES = 500, 20_000
-_FIELDS = [c.split()[0] for c in _COLUMNS.split(", ")]
-_json = json.JSONEncoder(sort_keys=True).encode
 _ARROW = pa.schema([(c.split()[0], {"string": pa.string(), "int": pa.int32(), "long": pa.int64()}[c.split()[1]]) for c in _COLUMNS.split(", ")])
+#: Kinds of facts.
+FACTS = frozenset(("import", "scope", "loop", "directive"))
+_whole = json.JSONEncoder(sort_keys=True).encode
 
 
-def _file_rows(registry: Registry, path: str, text: str, order: int, meta: dict):
-    """The rows of one file, as dicts of the fields they have; its source is masked once for all."""
+def _json(metadata: dict) -> str:
+    """JSON with sorted keys; plain values, as nearly all are, without an encoder of their own."""
+    out = []
+    for k in sorted(metadata):
+        v = metadata[k]
+        kind = type(v)
+        out.append(f'{_quoted(k)}: {_quoted(v) if kind is str else v if kind is int else str(v).lower() if kind is bool else _whole(v)}')
+    return "{" + ", ".join(out) + "}"
+
+
+def _file_rows(registry: Registry, path: str, text: str, order: int, meta: dict, graph: bool = True, facts: Iterable[str] = FACTS):
+    """The rows of one file, as tuples of the fields in their order; its source is masked once for all."""
     source = Source(path, text, kotlin=path.endswith(".kt"))
-    for stage, place, out in registry.run(path, text, meta, source):
-        at = {"file": order, "stage": stage, "place": place, "parser": out.parser}
+    for stage, place, out in registry.run(path, text, meta, source) if graph else ():
+        parser = out.parser
         for i, n in enumerate(out.nodes):
-            yield at | n | {"kind": "node", "metadata": _json(n["metadata"]), "emit": i}
+            yield "node", n["id"], n["type"], n["name"], n["file_path"], n["line"], n["column"], _json(n["metadata"]), None, None, None, None, parser, None, stage, order, place, i
         for i, e in enumerate(out.edges):
-            yield at | e | {"kind": "edge", "metadata": _json(e["metadata"]), "emit": i}
+            yield "edge", e["id"], e["type"], None, None, None, None, _json(e["metadata"]), e["source"], e["target"], e["confidence"], None, parser, None, stage, order, place, i
         for i, e in enumerate(out.errors):
-            yield at | {"kind": "error", "file_path": e["file"], "name": e["message"], "severity": e["severity"], "code": e["code"], "emit": i}
+            yield "error", None, None, e["message"], e["file"], None, None, None, None, None, None, e["severity"], parser, e["code"], stage, order, place, i
     if not _ts(path):
         return
-    facts = web.client_facts(source)
-    at = {"file": order, "stage": 0, "place": 0, "file_path": path}
-    for k, i in enumerate(facts["imports"]):
-        for local, imported in (i["names"] or {"": ""}).items():
-            yield at | {"kind": "import", "name": local, "target": imported, "source": i["path"], "line": i["line"], "emit": k}
-    for k, s in enumerate(facts["scopes"]):
-        yield at | {"kind": "scope", "name": s["name"], "line": s["line"], "metadata": s["text"], "emit": k}
-    for k, q in enumerate(web.loop_queries(source)):
-        yield at | {"kind": "loop", "name": q["call"], "line": q["line"], "emit": k}
-    if facts["directive"]:
-        yield at | {"kind": "directive", "name": facts["directive"], "emit": 0}
-
-
-def extract(files: DataFrame, meta: dict, registry: Registry | None = None) -> tuple[Graph, DataFrame, DataFrame]:
+    fact = lambda kind, name, i, line=None, value=None, source=None, target=None: (kind, None, None, name, path, line, None, value, source, target, None, None, None, None, 0, order, 0, i)
+    if "import" in facts:
+        for k, i in enumerate(source.imports()):
+            for local, imported in (i["names"] or {"": ""}).items():
+                yield fact("import", local, k, i["line"], None, i["path"], imported)
+    if "scope" in facts:
+        for k, s in enumerate(web.scopes(source)):
+            yield fact("scope", s["name"], k, s["line"], s["text"])
+    if "loop" in facts:
+        for k, q in enumerate(web.loop_queries(source)):
+            yield fact("loop", q["call"], k, q["line"])
+    if "directive" in facts and (directive := web.directive(source)):
+        yield fact("directive", directive, 0)
+
+
+def extract(files: DataFrame, meta: dict, registry: Registry | None = None, parts: Iterable[str] = ("graph", *FACTS)) -> tuple[Graph, DataFrame, DataFrame]:
     """(graph, errors, facts) of files (path, text, ord). The graph is the bag of all rows with their ordinals.
 
     facts: path, kind (import, directive, scope, loop), name, value, line; what later joins need from the sources.
+    parts: what the caller uses, the graph and kinds of facts; what none of them needs isn't made, and its frames are empty.
 
     Files are dealt out by their number first: a small table of many short files is one split, their texts compress too well
     to be dealt out by size, and reading sources takes far longer than moving them. The rows lie in a table of the work folder, so later steps read only the columns they use."""
-    registry = registry or Registry()
+    registry, parts = registry or Registry(), frozenset(parts)
+    if unknown := parts - {"graph"} - FACTS:
+        raise ValueError(f"no parts of an extraction: {sorted(unknown)}")
+    graph, kinds = "graph" in parts, parts & FACTS
     spark = files.sparkSession
     importable(spark)
     joins_by_size(spark)
@@ -144,12 +162,9 @@ def extract(files: DataFrame, meta: dict, registry: Registry | None = None) -> t
         for batch in batches:
             names = batch.schema.names
             path, text, order = (batch.column(names.index(c)).to_pylist() for c in ("path", "text", "ord"))
-            columns = {f: [] for f in _FIELDS}
-            for one in zip(path, text, order):
-                for row in _file_rows(registry, one[0], one[1] or "", int(one[2]), meta):
-                    for f, values in columns.items():
-                        values.append(row.get(f))
-            yield pa.RecordBatch.from_arrays([pa.array(columns[f.name], f.type) for f in _ARROW], schema=_ARROW)
+            rows = [row for p, t, o in zip(path, text, order) for row in _file_rows(registry, p, t or "", int(o), meta, graph, kinds)]
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(values, f.type) for values, f in zip(zip(*rows), _ARROW)], schema=_ARROW)
 
     folder, n = f"{work_folder(spark)}/extracted", files.count()
     tasks = min(-(-n // LEAST_FILES), max(4 * spark.sparkContext.defaultParallelism, -(-n // MOST_FILES)))
@@ -159,6 +174,6 @@ def extract(files: DataFrame, meta: dict, registry: Registry | None = None) -> t
     nodes = rows.where("kind = 'node'").select("id", "type", "name", "file_path", "line", "column", "metadata", ord_)
     edges = rows.where("kind = 'edge'").select("id", "source", "target", "type", "confidence", "metadata", ord_)
     errors = rows.where("kind = 'error'").select(F.col("file_path").alias("file"), F.col("name").alias("message"), "severity", "parser", "code")
-    facts = rows.where("kind in ('import', 'directive', 'scope', 'loop')").select(F.col("file_path").alias("path"), "kind", "name", "source", "target", F.col("metadata").alias("value"), "line", "emit")
+    facts = rows.where(F.col("kind").isin(*sorted(FACTS))).select(F.col("file_path").alias("path"), "kind", "name", "source", "target", F.col("metadata").alias("value"), "line", "emit")
     assert [f.name for f in NODE] == nodes.columns and [f.name for f in EDGE] == edges.columns and [f.name for f in ERROR] == errors.columns
     return Graph(nodes, edges), errors, facts

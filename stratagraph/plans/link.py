@@ -97,11 +97,11 @@ def nearest_scopes(nodes: DataFrame, scopes: DataFrame) -> DataFrame:
     scopes = scopes.groupBy("file_path", "function", F.col("at").cast("long").alias("line")).agg(F.min("text").alias("text"))
     nodes = nodes.withColumn("line", F.coalesce(F.col("line").cast("long"), F.lit(0)))
     own = nodes.withColumn("function", F.col("wanted"))
-    named = own.join(nearest(own, scopes, ["file_path", "function"], "line"), ["file_path", "function", "line"])
+    named = cut(own.join(nearest(own, scopes, ["file_path", "function"], "line"), ["file_path", "function", "line"]).select("node_id", "file_path", "function", "nearest"))
     others = nodes.join(named.select("node_id"), "node_id", "left_anti")
     first = scopes.groupBy("file_path", "line").agg(F.min("function").alias("function"))
     anywhere = others.join(nearest(others, first, ["file_path"], "line"), ["file_path", "line"]).join(first.withColumnRenamed("line", "nearest"), ["file_path", "nearest"])
-    found = named.select("node_id", "file_path", "function", "nearest").unionByName(anywhere.select("node_id", "file_path", "function", "nearest"))
+    found = named.unionByName(anywhere.select("node_id", "file_path", "function", "nearest"))
     return found.join(scopes.withColumnRenamed("line", "nearest"), ["file_path", "function", "nearest"]).select("node_id", "text")
 
 
@@ -109,6 +109,7 @@ def _handler_scopes(graph: Graph, facts: DataFrame) -> DataFrame:
     """(node_id, type, file_path, text): the handler's own function by name or nearest line, else by the whole file's scopes."""
     scopes = facts.where("kind = 'scope'").select(F.col("path").alias("file_path"), F.col("name").alias("function"), F.col("line").alias("at"), F.col("value").alias("text"))
     nodes = graph.nodes.where(F.col("type").isin("handler", "service")).select(F.col("id").alias("node_id"), "type", "file_path", "line", F.coalesce(_j("functionName"), _j("methodName"), F.col("name")).alias("wanted"))
+    nodes = cut(nodes)  # read several times below, and dear to derive where links made them
     return nodes.select("node_id", "type", "file_path").join(nearest_scopes(nodes.drop("type"), scopes), "node_id")
 
 

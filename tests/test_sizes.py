@@ -133,3 +133,36 @@ def test_many_texts_that_share_grams_go_by_runs(spark, tmp_path):
     text = {n: (n, f"p/{n[1:]}0{n[1:]}.ts") for n in names}
     assert got == sorted((q.lower(), n) for q in asked for n in names if any(q.lower() in t for t in text[n]))
     assert runs
+
+
+def test_extraction_makes_only_the_parts_that_are_used(spark):
+    """A query of loops runs no extractor, one of a graph writes no texts of functions; their rows are those of the whole."""
+    text = "'use client'\nimport { g } from './g'\nexport function Card(x) {\n  for (const a of x) { await prisma.order.create(a) }\n  fetch('/api/x')\n}\n"
+    files = spark.createDataFrame([("ui/Card.tsx", text, 0)], "path string, text string, ord long")
+    graph, _, facts = registry.extract(files, {})
+    kinds = lambda g, f: (g.nodes.count(), g.edges.count(), sorted(map(tuple, f.collect())))
+    whole = kinds(graph, facts)
+    assert whole[0] and whole[1] and {r[1] for r in whole[2]} == registry.FACTS
+    assert kinds(*registry.extract(files, {}, parts=("graph",))[::2]) == (whole[0], whole[1], [])
+    for kind in registry.FACTS:
+        assert kinds(*registry.extract(files, {}, parts=(kind,))[::2]) == (0, 0, [r for r in whole[2] if r[1] == kind])
+
+
+def test_brackets_of_a_text_are_matched_in_one_pass(monkeypatch):
+    """Calls within calls: every closing bracket is looked up, not searched for from each opening one."""
+    from stratagraph.extract import code
+
+    n, seen, real = 300, [0], code._BRACKET
+
+    class Counted:
+        def finditer(self, *args):
+            for m in real.finditer(*args):
+                seen[0] += 1
+                yield m
+
+    monkeypatch.setattr(code, "_BRACKET", Counted())
+    text = "f(" * n + "{ ] x" + ")" * (n - 1) + "}" + ")" * n
+    for at in range(n):
+        assert code.closing(text, 2 * at + 1) == len(text) - 1 - at
+    assert code.closing(text, 2 * n) == text.index("}") and code.closing("(]", 0) == 2 and code.closing("x", 0) == 1
+    assert seen[0] <= 4 * n + 10
