@@ -20,6 +20,9 @@ ignored.
 
 from __future__ import annotations
 
+import json
+import re
+import struct
 import zlib
 from bisect import bisect_right, insort
 from collections import defaultdict
@@ -36,13 +39,23 @@ RANKED = 250_000
 BROADCAST_BASES = 500_000
 _MEMO, _FLUSH = 400_000, 100_000
 _tokenizers: dict = {}
+#: What a tokenizer must do before its model for `_Encoder` to look up stems: lower-case, and take a run of letters as one piece.
+_NORMALIZERS = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]
+_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+#: Lower case of A-Z and of the letters of Latin-1, which are two bytes in UTF-8, and what may follow a stem as one piece.
+_LOWER = bytes(b + 32 if 65 <= b <= 90 or 0x80 <= b <= 0x9E and b != 0x97 else b for b in range(256))
+_SIGNS = bytes(b for b in range(33, 127) if not chr(b).isalnum())
+_STEM = re.compile(rb"(?:[a-z]|\xc3[\x9f-\xb6\xb8-\xbf])+")
 
 
 class _Encoder:
     """Ids of texts as little-endian uint32 bytes, by words: this tokenizer drops white space, and no merge crosses it.
 
-    The ids of words are kept in two generations of at most _MEMO words each; words that are new go through the tokenizer
-    many at a time, with a mark between them that none of them holds."""
+    The ids of words are kept in two generations of at most _MEMO words each. Most new words are a stem of Latin letters
+    and signs behind it: their ids are those of the lower-case stem, which the tokenizer's model makes once for all its
+    forms, and those of the signs. A stem is looked up in bytes; letters of other scripts never are one, as only Latin-1
+    letters begin with the byte C3. All other words go through the tokenizer many at a time, with a mark between them that
+    none of them holds."""
 
     MARK = "~"
 
@@ -54,10 +67,55 @@ class _Encoder:
 
         self.tokenizer, self.memo, self.before = Tokenizer.from_file(path), {}, {}
         (self.mark,) = self._ids(self.MARK)
+        self.stems, self.stems_before, self.signs = {}, {}, {b"": b""}
+        normalizer, before_model = (json.loads(part.__getstate__()) if part else {} for part in (self.tokenizer.normalizer, self.tokenizer.pre_tokenizer))
+        steps = before_model.get("pretokenizers", [])
+        self.by_stems = (
+            normalizer.get("normalizers") == _NORMALIZERS and [s["type"] for s in steps] == ["Split", "ByteLevel"] and not getattr(self.tokenizer.model, "dropout", None)
+            and (steps[0]["pattern"], steps[0]["behavior"], steps[0]["invert"], steps[1]["add_prefix_space"], steps[1]["use_regex"]) == ({"Regex": _SPLIT}, "Removed", True, False, False)
+        )
+        if self.by_stems:
+            from tokenizers.pre_tokenizers import ByteLevel
+
+            level = ByteLevel(add_prefix_space=False, use_regex=False)
+            self.model, self.bytes = self.tokenizer.model, {c: level.pre_tokenize_str(chr(c))[0][0] for c in range(0xDF, 0x100)}
 
     def _ids(self, text: str) -> list[int]:
         return self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids
 
+    def _by_stems(self, words: set[bytes]) -> set[bytes]:
+        """Learns the words that are a stem and signs; returns the others."""
+        if len(self.stems) > _MEMO:
+            self.stems, self.stems_before = {}, self.stems
+        memo, stems, before, signs, tokenize, rest = self.memo, self.stems, self.stems_before, self.signs, self.model.tokenize, set()
+        for w in words:
+            low = w.translate(_LOWER)
+            stem = low.rstrip(_SIGNS)
+            ids = stems.get(stem)
+            if ids is None:
+                ids = before.get(stem)
+                if ids is None:
+                    if stem.isalpha():  # of ASCII letters only
+                        text = stem.decode()
+                    elif _STEM.fullmatch(stem):
+                        text = stem.decode().translate(self.bytes)
+                    else:
+                        rest.add(w)
+                        continue
+                    found = tokenize(text)
+                    ids = struct.pack(f"<{len(found)}I", *[t.id for t in found])
+                stems[stem] = ids
+            if len(stem) < len(low):
+                tail = low[len(stem) :]
+                after = signs.get(tail)
+                if after is None:
+                    after = np.array(self._ids(tail.decode()), dtype="<u4").tobytes()
+                    if len(signs) < _MEMO:
+                        signs[tail] = after
+                ids += after
+            memo[w] = ids
+        return rest
+
     def learn(self, words: set[bytes]) -> None:
         if len(self.memo) > _MEMO:
             self.memo, self.before = {}, self.memo
@@ -66,6 +124,8 @@ class _Encoder:
             kept = new.intersection(self.before)
             self.memo.update(zip(kept, map(self.before.__getitem__, kept)))
             new -= kept
+        if self.by_stems:
+            new = self._by_stems(new)
         odd = [w for w in new if b"~" in w]
         plain = [w for w in new if b"~" not in w]
         for w in odd:
