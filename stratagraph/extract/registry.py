@@ -115,7 +115,7 @@ def _json(metadata: dict) -> str:
 
 
 def _file_rows(registry: Registry, path: str, text: str, order: int, meta: dict, graph: bool = True, facts: Iterable[str] = FACTS):
-    """The rows of one file, as tuples of the fields in their order; its source is masked once for all."""
+    """The rows of one file, as tuples of the fields in their order; its source is masked once for all that read code, and not at all if none does."""
     source = Source(path, text, kotlin=path.endswith(".kt"))
     for stage, place, out in registry.run(path, text, meta, source) if graph else ():
         parser = out.parser

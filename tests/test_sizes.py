@@ -166,3 +166,18 @@ def test_brackets_of_a_text_are_matched_in_one_pass(monkeypatch):
         assert code.closing(text, 2 * at + 1) == len(text) - 1 - at
     assert code.closing(text, 2 * n) == text.index("}") and code.closing("(]", 0) == 2 and code.closing("x", 0) == 1
     assert seen[0] <= 4 * n + 10
+
+
+def test_sources_are_masked_only_where_code_is_read(monkeypatch):
+    """Directives stand in the first characters, and loops without an awaited call hold no query: neither masks the source.
+    A source that several extractors read is masked once."""
+    from stratagraph.extract import code
+
+    masked, real = [], code.mask
+    monkeypatch.setattr(code, "mask", lambda *a, **k: masked.append(a) or real(*a, **k))
+    plain = "'use client'\nexport function f(x) {\n  for (const a of x) { g(a) }\n}\n"
+    query = "for (const a of x) {\n  // await prisma.order.never()\n  await prisma.order.create(a)\n}\n"
+    rows = lambda text, graph, facts: [(r[0], r[3], r[5]) for r in registry._file_rows(registry.Registry(), "ui/f.tsx", text, 0, {}, graph, facts)]
+    assert rows(plain, False, {"directive"}) == [("directive", "client", None)] and rows(plain, False, {"loop"}) == [] and not masked
+    assert rows(query, False, {"loop"}) == [("loop", "prisma.order.create", 3)] and len(masked) == 1
+    assert {r[0] for r in rows(plain + query, True, registry.FACTS)} == {"directive", "scope", "loop"} and len(masked) == 2
