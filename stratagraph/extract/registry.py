@@ -27,6 +27,7 @@ class Extractor:
     applies: Applies
     extract: Extract
     stage: int = 0  # 0: production, 1: tests
+    needs: tuple[str, str] | None = None  # what the project's manifest must name; asked once a project, not once a file
 
 
 def _ts(path: str) -> bool:
@@ -44,23 +45,23 @@ def _route_like(path: str) -> bool:
 
 DEFAULT = [
     Extractor("prisma", lambda p, t, m: p.endswith(".prisma"), models.prisma),
-    Extractor("next_app", lambda p, t, m: _has(m, "frontend", "next") and web.app_file(p), web.next_app),
-    Extractor("next_pages", lambda p, t, m: _has(m, "frontend", "next") and web.pages_file(p), web.next_pages),
-    Extractor("trpc", lambda p, t, m: _has(m, "backend", "trpc") and _ts(p) and not web.is_test(p) and "outer" in t, web.trpc),
-    Extractor("tsrpc", lambda p, t, m: _has(m, "backend", "tsrpc") and _ts(p) and not web.is_test(p) and (any(w in p for w in ("protocol", "/api/")) or p.rsplit("/", 1)[-1].startswith(("Ptl", "Api", "Msg"))), web.tsrpc),
-    Extractor("express", lambda p, t, m: _has(m, "backend", "express") and _ts(p) and not web.is_test(p) and _route_like(p), web.express),
-    Extractor("typeorm", lambda p, t, m: _has(m, "database", "typeorm") and _ts(p) and "@Entity" in t, models.typeorm),
+    Extractor("next_app", lambda p, t, m: web.app_file(p), web.next_app, needs=("frontend", "next")),
+    Extractor("next_pages", lambda p, t, m: web.pages_file(p), web.next_pages, needs=("frontend", "next")),
+    Extractor("trpc", lambda p, t, m: _ts(p) and not web.is_test(p) and "outer" in t, web.trpc, needs=("backend", "trpc")),
+    Extractor("tsrpc", lambda p, t, m: _ts(p) and not web.is_test(p) and (any(w in p for w in ("protocol", "/api/")) or p.rsplit("/", 1)[-1].startswith(("Ptl", "Api", "Msg"))), web.tsrpc, needs=("backend", "tsrpc")),
+    Extractor("express", lambda p, t, m: _ts(p) and not web.is_test(p) and _route_like(p), web.express, needs=("backend", "express")),
+    Extractor("typeorm", lambda p, t, m: _ts(p) and "@Entity" in t, models.typeorm, needs=("database", "typeorm")),
     Extractor("api_calls", lambda p, t, m: _ts(p) and not web.is_test(p) and "node_modules" not in p, web.api_calls),
     Extractor("react", lambda p, t, m: p.endswith((".tsx", ".jsx")) and not web.is_test(p), web.components),
-    Extractor("nest_controller", lambda p, t, m: _has(m, "backend", "nestjs") and _ts(p) and "controller" in p.lower() and not web.is_test(p), web.nest_controller),
-    Extractor("nest_module", lambda p, t, m: _has(m, "backend", "nestjs") and _ts(p) and "module" in p.lower() and not web.is_test(p), web.nest_module),
-    Extractor("nest_service", lambda p, t, m: _has(m, "backend", "nestjs") and _ts(p) and any(w in p.lower() for w in ("service", "provider")) and not web.is_test(p), web.nest_service),
-    Extractor("drizzle", lambda p, t, m: _has(m, "database", "drizzle") and _ts(p) and any(w in p.lower() for w in ("schema", "model")), models.drizzle),
+    Extractor("nest_controller", lambda p, t, m: _ts(p) and "controller" in p.lower() and not web.is_test(p), web.nest_controller, needs=("backend", "nestjs")),
+    Extractor("nest_module", lambda p, t, m: _ts(p) and "module" in p.lower() and not web.is_test(p), web.nest_module, needs=("backend", "nestjs")),
+    Extractor("nest_service", lambda p, t, m: _ts(p) and any(w in p.lower() for w in ("service", "provider")) and not web.is_test(p), web.nest_service, needs=("backend", "nestjs")),
+    Extractor("drizzle", lambda p, t, m: _ts(p) and any(w in p.lower() for w in ("schema", "model")), models.drizzle, needs=("database", "drizzle")),
     Extractor("kotlin", lambda p, t, m: p.endswith(".kt") and "/test/" not in "/" + p, kotlin.base),
-    Extractor("spring", lambda p, t, m: _has(m, "backend", "spring") and p.endswith(".kt") and "/test/" not in "/" + p, kotlin.spring),
-    Extractor("ktor", lambda p, t, m: _has(m, "backend", "ktor") and p.endswith(".kt") and "/test/" not in "/" + p, kotlin.ktor),
-    Extractor("room", lambda p, t, m: _has(m, "database", "room") and p.endswith(".kt") and "/test/" not in "/" + p, kotlin.room),
-    Extractor("exposed", lambda p, t, m: _has(m, "database", "exposed") and p.endswith(".kt") and "/test/" not in "/" + p, kotlin.exposed),
+    Extractor("spring", lambda p, t, m: p.endswith(".kt") and "/test/" not in "/" + p, kotlin.spring, needs=("backend", "spring")),
+    Extractor("ktor", lambda p, t, m: p.endswith(".kt") and "/test/" not in "/" + p, kotlin.ktor, needs=("backend", "ktor")),
+    Extractor("room", lambda p, t, m: p.endswith(".kt") and "/test/" not in "/" + p, kotlin.room, needs=("database", "room")),
+    Extractor("exposed", lambda p, t, m: p.endswith(".kt") and "/test/" not in "/" + p, kotlin.exposed, needs=("database", "exposed")),
     Extractor("vitest_jest", lambda p, t, m: _ts(p) and tests.is_vitest_jest(p, t) and not tests.is_cypress(p, t), tests.vitest_jest, 1),
     Extractor("playwright", lambda p, t, m: _ts(p) and "@playwright/test" in t, tests.playwright, 1),
     Extractor("cypress", lambda p, t, m: _ts(p) and tests.is_cypress(p, t), tests.cypress, 1),
@@ -74,14 +75,22 @@ class Registry:
     """Extractors by order; more may be registered."""
 
     extractors: list[Extractor] = field(default_factory=lambda: list(DEFAULT))
+    _wanted: tuple | None = field(default=None, init=False, repr=False, compare=False)
 
     def register(self, name: str, applies: Applies, extract: Extract, stage: int = 0) -> None:
         self.extractors.append(Extractor(name, applies, extract, stage))
 
+    def wanted(self, meta: dict) -> list[tuple[int, Extractor]]:
+        """(place, extractor) of those that the manifest calls for; made again if it or the extractors change."""
+        key = (meta, list(self.extractors))
+        if self._wanted is None or self._wanted[0] != key:
+            self._wanted = (({**meta}, key[1]), [(i, e) for i, e in enumerate(self.extractors) if e.needs is None or _has(meta, *e.needs)])
+        return self._wanted[1]
+
     def run(self, path: str, text: str, meta: dict, source: Source | None = None) -> list[tuple[int, int, Out]]:
         """(stage, place, output) of every extractor that applies; one that fails gives an error row."""
         source, out = source or Source(path, text, kotlin=path.endswith(".kt")), []
-        for i, e in enumerate(self.extractors):
+        for i, e in self.wanted(meta):
             try:
                 if e.applies(path, text, meta):
                     out.append((e.stage, i, e.extract(source, meta)))

@@ -15,6 +15,37 @@ def test_many_short_files_are_dealt_out(spark):
     assert facts.select(F.input_file_name().alias("f")).distinct().count() == 4
 
 
+def test_a_manifest_is_asked_once_a_project():
+    """Which extractors a project calls for doesn't depend on its files, so the work a file takes doesn't either."""
+    asked = [0]
+
+    class Manifest(dict):
+        def get(self, *key):
+            asked[0] += 1
+            return super().get(*key)
+
+    meta, found, own = Manifest(frontend="next"), registry.Registry(), []
+    for i in range(50):
+        own.append([e.parser for _, _, e in found.run(f"app/p{i}/page.tsx", "export default function Page() {}\n", meta)])
+    assert asked[0] <= len(found.extractors) and own == [["next_app", "api_calls", "react"]] * 50
+    meta["frontend"] = "none"
+    found.register("late", lambda p, t, m: True, lambda src, m: registry.Out(src, "late"))
+    assert [e.parser for _, _, e in found.run("app/p/page.tsx", "", meta)] == ["api_calls", "react", "late"]
+
+
+def test_the_word_import_costs_no_more_than_its_text():
+    """Once quadratic: a long run of blanks after the word, without any quote."""
+    import time
+
+    from stratagraph.extract.code import Source
+
+    began = time.perf_counter()
+    source = Source("a.ts", "import x" + " " * 40_000 + "(\nimport type { A, b as c } from './a'\nimport d, * as e from \"./d\"\nimport './s'\n")
+    assert len(source.imports()) == 1 or source.imports()[-1]["path"] == "./s"
+    assert Source("b.ts", "import" + " " * 40_000 + "x;").imports() == []
+    assert time.perf_counter() - began < 2
+
+
 def test_extracted_rows_are_not_broadcast_unmeasured(spark, tmp_path):
     """The planner's guess of what a Python function returns must not decide that a side goes through the driver."""
     files = spark.createDataFrame([(f"lib/f{i}.ts", f"import {{ g{i} }} from './g{i}'\nexport function f{i}() {{ g{i}() }}\n", i) for i in range(20)], "path string, text string, ord long")
