@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import trace_layer
 from ..graph import Graph, endpoints
-from ..runtime import broadcast_if_small, cut
+from ..runtime import broadcast_if_small, cut, small, tabled
 from ..schema import DATA_EDGES, LINK_EDGES, ROUTE_TYPES, TEST_TYPES, UPSTREAM_EDGES
 from .lookup import find_any, find_by_file, find_by_route, induced, ranked_first
 
@@ -19,6 +19,8 @@ TRACE_STEPS = 64
 SUBTREE_DEPTH = 1000
 #: Up to so many ids (some 50 bytes each) are broadcast to test the ends of edges; more are joined by shuffles.
 BROADCAST_IDS = 500_000
+#: Steps of a trace that are looked up node by node, before the first steps of all nodes are made.
+LOOKUP_ROUNDS = 6
 
 
 def reach(edges: DataFrame, seeds: DataFrame, max_depth: int | None = None, stop: DataFrame | None = None) -> DataFrame:
@@ -187,44 +189,97 @@ def flow_edges(flows: DataFrame, models: DataFrame) -> DataFrame:
     )
 
 
-def _first_choices(steps: DataFrame, most: int) -> DataFrame:
-    """(way, at, path): the nodes that first steps (way, at, to, ord) lead to from each node, `most` of them at least where the
+def _known_of(nodes: DataFrame, ids: DataFrame) -> DataFrame:
+    """(id): those of the ids (one column, id) that are nodes."""
+    return nodes.select("id").join(broadcast_if_small(ids.distinct(), BROADCAST_IDS), "id", "left_semi").distinct()
+
+
+def _first_steps(steps: DataFrame, nodes: DataFrame, here: DataFrame) -> DataFrame:
+    """(at, to, via): the first of the steps (at, to, ord, via) from each node `here` (at) to a known node, null if none is.
+
+    Edges that lead nowhere are few: only nodes whose first one does have all their steps looked up among the nodes."""
+    least = F.min(F.struct("ord", "via", "to")).alias("s")
+    first = cut(steps.join(here, "at").groupBy("at").agg(least).select("at", "s.to", "s.via"))
+    good = cut(first.join(_known_of(nodes, first.select(F.col("to").alias("id"))).toDF("to"), "to", "left_semi").select("at", "to", "via"))
+    lost = cut(first.join(good, "at", "left_anti").select("at"))
+    if lost.take(1):
+        more = cut(steps.join(broadcast_if_small(lost, BROADCAST_IDS), "at").groupBy("at", "to").agg(F.min(F.struct("ord", "via")).alias("o")).select("at", "to", "o.ord", "o.via"))
+        more = more.join(_known_of(nodes, more.select(F.col("to").alias("id"))).toDF("to"), "to", "left_semi").groupBy("at").agg(least)
+        good = good.union(more.select("at", "s.to", "s.via"))
+    return here.join(good, "at", "left").select("at", "to", "via")
+
+
+def _first_choices(steps: DataFrame, nodes: DataFrame, done: DataFrame | None, here: DataFrame) -> tuple[DataFrame, bool]:
+    """(first steps, whether they are those of all nodes): `done`, and those of all nodes that first steps from `here` (at) lead to.
+
+    Short walks from few nodes take a round a step, each a pass over the edges that shuffles next to nothing. After that many
+    rounds, or from more nodes than are broadcast, the first steps of all nodes are made at once."""
+    fresh = here.distinct()
+    for _ in range(LOOKUP_ROUNDS):
+        fresh = cut(fresh if done is None else fresh.join(done, "at", "left_anti"))
+        if done is not None and not fresh.take(1):
+            return done, False
+        if not small(fresh, BROADCAST_IDS):
+            break
+        found = tabled(_first_steps(steps, nodes, F.broadcast(fresh)))
+        done = found if done is None else done.union(found)
+        fresh = found.where("to is not null").select(F.col("to").alias("at")).distinct()
+    known = steps.join(nodes.select(F.col("id").alias("to")), "to", "left_semi")
+    return cut(known.groupBy("at").agg(F.min(F.struct("ord", "via", "to")).alias("s")).select("at", "s.to", "s.via")), True
+
+
+def _paths(first: DataFrame, most: int) -> DataFrame:
+    """(at, path): the (to, via) that first steps (at, to, via) lead over from each node, `most` of them at least where the
     walk is that long.
 
     Paths double: each takes on the path of its own end, so the rounds are the logarithm of the longest walk. A walk that
     has run into a circle goes round it. Only paths that may still grow are written again."""
-    going = cut(steps.groupBy("way", "at").agg(F.array(F.min(F.struct("ord", "to"))["to"]).alias("path")))
+    going = cut(first.where("to is not null").select("at", F.array(F.struct("to", "via")).alias("path")))
     done, length = going.limit(0), 1
     while length < most and going.take(1):
-        rest = done.union(going).select("way", F.col("at").alias("_end"), F.col("path").alias("_rest"))
-        grown = going.withColumn("_end", F.element_at("path", -1)).join(rest, ["way", "_end"], "left")
-        grown = cut(grown.select("way", "at", F.concat("path", F.coalesce("_rest", F.array().cast("array<long>"))).alias("path")))
+        rest = done.union(going).select(F.col("at").alias("_end"), F.col("path").alias("_rest"))
+        grown = going.withColumn("_end", F.element_at("path", -1)["to"]).join(rest, "_end", "left")
+        grown = cut(grown.select("at", F.when(F.col("_rest").isNull(), F.col("path")).otherwise(F.concat("path", "_rest")).alias("path")))
         length *= 2
         done, going = done.union(grown.where(F.size("path") < length)), grown.where(F.size("path") == length)
     return done.union(going)
 
 
-def _walks(walkers: DataFrame, steps: DataFrame, choices: DataFrame, way: int) -> DataFrame:
-    """walkers (root, at, seen, left) after they have gone one way as far as they can: seen holds the nodes in order.
+def _walks(walkers: DataFrame, steps: DataFrame, nodes: DataFrame, most: int) -> DataFrame:
+    """walkers (root, at, seen, vias, left, ups) after they have gone as far as they can by the steps (at, to, ord, via): seen
+    holds the nodes in order, vias the types of the edges between them.
 
     A walk follows first choices up to a node it has seen; there, in a repair round, it takes its first step to another one
     and follows the first choices from there. Walks that meet nothing of their own end in the first round."""
-    paths, done = choices.where(F.col("way") == way).drop("way"), None
-    turns = steps.where(F.col("way") == way).select(F.col("at").alias("_here"), F.col("to").alias("_there"), "ord")
+    first, whole, paths, done = None, False, None, None
     while True:
-        ahead = walkers.join(paths, "at", "left").withColumn("path", F.slice(F.coalesce("path", F.array().cast("array<long>")), F.lit(1), F.col("left")))
-        met = F.filter(F.sequence(F.lit(1), F.greatest(F.size("path"), F.lit(1))), lambda i: F.array_contains("seen", F.get("path", i - 1)) | (F.array_position("path", F.get("path", i - 1)) < i))
+        before = first
+        if not whole:
+            first, whole = _first_choices(steps, nodes, first, walkers.where("left > 0").select("at"))
+        if first is not before:
+            paths = _paths(first, most)
+        none = F.array().cast("array<struct<to:string,via:string>>")
+        ahead = walkers.join(paths, "at", "left").withColumn("path", F.slice(F.coalesce("path", none), F.lit(1), F.col("left")))
+        ahead = ahead.withColumn("ids", F.transform("path", lambda x: x["to"]))
+        met = F.filter(F.sequence(F.lit(1), F.greatest(F.size("ids"), F.lit(1))), lambda i: F.array_contains("seen", F.get("ids", i - 1)) | (F.array_position("ids", F.get("ids", i - 1)) < i))
         ahead = ahead.withColumn("met", F.get(met, F.lit(0))).withColumn("good", F.when(F.col("met").isNull(), F.col("path")).otherwise(F.slice("path", F.lit(1), F.col("met") - 1)))
-        moved = ahead.select("root", F.coalesce(F.get("good", F.size("good") - 1), F.col("at")).alias("at"), F.concat("seen", "good").alias("seen"), (F.col("left") - F.size("good")).alias("left"), F.col("met").isNotNull().alias("stuck"))
+        moved = ahead.select(
+            "root", F.coalesce(F.get("good", F.size("good") - 1)["to"], F.col("at")).alias("at"), F.concat("seen", F.transform("good", lambda x: x["to"])).alias("seen"),
+            F.concat("vias", F.transform("good", lambda x: x["via"])).alias("vias"), (F.col("left") - F.size("good")).alias("left"), "ups", F.col("met").isNotNull().alias("stuck"),
+        )
         moved = cut(moved)
         stuck = moved.where("stuck and left > 0")
-        done = moved.drop("stuck").where("not stuck or left = 0") if done is None else done.unionByName(moved.where("not stuck or left = 0").drop("stuck"))
+        ended = moved.where("not stuck or left = 0").drop("stuck")
+        done = ended if done is None else done.unionByName(ended)
         if not stuck.take(1):
             return done
-        turn = stuck.join(turns, stuck["at"] == turns["_here"]).where(~F.array_contains("seen", F.col("_there"))).groupBy("root").agg(F.min(F.struct("ord", "_there"))["_there"].alias("next"))
-        turned = cut(stuck.join(turn, "root", "left"))
-        done = done.unionByName(turned.where("next is null").select("root", "at", "seen", "left"))
-        walkers = turned.where("next is not null").select("root", F.col("next").alias("at"), F.array_append("seen", F.col("next")).alias("seen"), (F.col("left") - 1).alias("left"))
+        turns = cut(steps.join(broadcast_if_small(stuck.select("at").distinct(), BROADCAST_IDS), "at").groupBy("at", "to").agg(F.min(F.struct("ord", "via")).alias("o")))
+        turns = turns.join(_known_of(nodes, turns.select(F.col("to").alias("id"))).toDF("to"), "to", "left_semi")
+        turn = stuck.join(turns, "at").where(~F.array_contains("seen", F.col("to"))).groupBy("root").agg(F.min(F.struct("o", "to")).alias("next"))
+        turned = cut(stuck.drop("stuck").join(turn, "root", "left"))
+        done = done.unionByName(turned.where("next is null").drop("next"))
+        to = F.col("next.to")
+        walkers = turned.where("next is not null").select("root", to.alias("at"), F.array_append("seen", to).alias("seen"), F.array_append("vias", F.col("next.o.via")).alias("vias"), (F.col("left") - 1).alias("left"), "ups")
 
 
 def linear_traces(graph: Graph, roots: DataFrame, steps: int = TRACE_STEPS) -> DataFrame:
@@ -232,28 +287,22 @@ def linear_traces(graph: Graph, roots: DataFrame, steps: int = TRACE_STEPS) -> D
 
     From the root upstream, then downstream, each step takes the first link edge to a node not yet on the path; both ways
     share one budget, upstream first. All roots go at once, by doubled paths of first choices."""
-    nodes = cut(graph.nodes.select("id", "name", "type"))
-    # Nodes go by numbers in the order of their ids, so that edges and paths are short and equal places fall as by ids.
-    known = cut(nodes.select("id").distinct().repartitionByRange("id").sortWithinPartitions("id").withColumn("no", F.monotonically_increasing_id()))
-    ids = broadcast_if_small(known, BROADCAST_IDS)
-    edges = graph.edges.where(F.col("type").isin(*LINK_EDGES) & (F.col("source") != F.col("target"))).select("source", "target", "ord", F.col("type").alias("via"))
-    edges = edges.join(ids.toDF("source", "a"), "source").join(ids.toDF("target", "b"), "target").select("a", "b", "ord", "via")
-    edges = cut(edges)  # repeated edges stay: the first of all is also the first of its pair
-    walkers = roots.select("id").distinct().join(known, "id").select(F.col("no").alias("root"), F.col("no").alias("at"), F.array("no").alias("seen"), F.lit(steps - 1).alias("left"))
-    one_way = lambda way, at, to: edges.select(F.lit(way).alias("way"), F.col(at).alias("at"), F.col(to).alias("to"), "ord")
-    both_ways = one_way(0, "b", "a").union(one_way(1, "a", "b"))
-    choices = _first_choices(both_ways, steps - 1)
-    up = _walks(walkers, both_ways, choices, 0).select("root", F.col("root").alias("at"), "seen", "left", F.size("seen").alias("ups"))
-    both = _walks(up.drop("ups"), both_ways, choices, 1).join(up.select("root", "ups"), "root")
+    # A table and no checkpoint: ids of one kind compress well, and a pass reads only the columns it uses.
+    edges = tabled(graph.edges.where(F.col("type").isin(*LINK_EDGES) & (F.col("source") != F.col("target"))).select("source", "target", "ord", F.col("type").alias("via")))
+    one_way = lambda at, to: edges.select(F.col(at).alias("at"), F.col(to).alias("to"), "ord", "via")
+    known = cut(_known_of(graph.nodes, roots.select("id")))
+    walkers = known.select(F.col("id").alias("root"), F.col("id").alias("at"), F.array("id").alias("seen"), F.array().cast("array<string>").alias("vias"), F.lit(steps - 1).alias("left"), F.lit(1).alias("ups"))
+    up = _walks(walkers, one_way("target", "source"), graph.nodes, steps - 1)
+    up = up.select("root", F.col("root").alias("at"), "seen", "vias", "left", F.size("seen").alias("ups"))
+    both = _walks(up, one_way("source", "target"), graph.nodes, steps - 1)
     # seen: the root, its nodes upstream from near to far, then those downstream.
-    order = F.concat(F.reverse(F.slice("seen", F.lit(1), F.col("ups"))), F.slice("seen", F.col("ups") + 1, F.size("seen")))
-    out = both.select("root", order.alias("path")).select("root", "path", F.posexplode("path").alias("place", "b"))
-    out = cut(out.select("root", (F.col("place") + 1).alias("index"), "b", F.when(F.col("place") > 0, F.get("path", F.col("place") - 1)).alias("a")))
-    pairs = broadcast_if_small(cut(out.where("a is not null").select("a", "b").distinct()))
-    via = edges.join(pairs, ["a", "b"]).groupBy("a", "b").agg(F.min_by("via", F.struct("ord", "via")).alias("edge_from_prev"))
-    named = nodes.join(ids, "id").select(F.col("no").alias("b"), F.col("id").alias("node_id"), "name", "type")
-    out = out.join(via, ["a", "b"], "left").join(named, "b").join(known.toDF("root_id", "root"), "root")
-    return out.select(F.col("root_id").alias("root"), "index", "node_id", "name", "type", "edge_from_prev", trace_layer("type").alias("layer"))
+    ahead, after = F.col("ups"), F.size("seen")
+    order = F.concat(F.reverse(F.slice("seen", F.lit(1), ahead)), F.slice("seen", ahead + 1, after))
+    via = F.concat(F.array(F.lit(None).cast("string")), F.reverse(F.slice("vias", F.lit(1), ahead - 1)), F.slice("vias", ahead, after))
+    out = both.select("root", F.posexplode(F.arrays_zip(order.alias("node_id"), via.alias("edge_from_prev"))).alias("place", "step"))
+    out = cut(out.select("root", (F.col("place") + 1).alias("index"), "step.node_id", "step.edge_from_prev"))
+    named = graph.nodes.select(F.col("id").alias("node_id"), "name", "type").join(broadcast_if_small(out.select("node_id").distinct(), BROADCAST_IDS), "node_id", "left_semi")
+    return out.join(named, "node_id").select("root", "index", "node_id", "name", "type", "edge_from_prev", trace_layer("type").alias("layer"))
 
 
 _TEXTS = {

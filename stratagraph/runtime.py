@@ -41,6 +41,14 @@ def work_folder(spark: SparkSession) -> str:
     return f"{checkpoint_folder(spark)}/work/{uuid.uuid4().hex}"
 
 
+def tabled(df: DataFrame) -> DataFrame:
+    """As `cut`, by a table of the work folder: smaller where values repeat, and later plans take over no constraints of this
+    one, which a checkpoint hands on and which double round by round where each round joins the one before."""
+    folder = work_folder(df.sparkSession)
+    df.write.parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)
+
+
 def joins_by_size(spark: SparkSession) -> None:
     """From now on this session broadcasts a side of a join by its measured size, or by a hint, and not by the planner's guess:
     it can't know how large the rows are that a Python function makes, takes them for the input's compressed size, and would

@@ -212,3 +212,26 @@ def test_sources_are_masked_only_where_code_is_read(monkeypatch):
     assert rows(plain, False, {"directive"}) == [("directive", "client", None)] and rows(plain, False, {"loop"}) == [] and not masked
     assert rows(query, False, {"loop"}) == [("loop", "prisma.order.create", 3)] and len(masked) == 1
     assert {r[0] for r in rows(plain + query, True, registry.FACTS)} == {"directive", "scope", "loop"} and len(masked) == 2
+
+
+def test_a_short_trace_moves_only_what_it_meets(spark, monkeypatch):
+    """A graph much larger than the walk: its nodes aren't numbered and its edges aren't joined to them. Edges that lead
+    nowhere, though first, are passed over."""
+    from stratagraph.graph import of_rows
+    from stratagraph.operators import traverse
+
+    edge = lambda source, type_, target, at: {"source": source, "type": type_, "target": target, "ord": (0, 0, 0, at)}
+    nodes = [{"id": f"c{i:03}", "type": "component"} for i in range(300)] + [{"id": i, "type": t} for i, t in (("r", "api_route"), ("h", "handler"), ("s", "service"))]
+    edges = [edge(f"c{i:03}", "calls_api", "r", 300 - i) for i in range(300)] + [edge("gone", "calls_api", "r", 0), edge("h", "calls_service", "lost", 0), edge("r", "handles", "h", 1), edge("h", "calls_service", "s", 2)]
+    most, real = [0], traverse.cut
+
+    def counted(df):
+        out = real(df)
+        most[0] = max(most[0], 0 if {"ord"} & set(out.columns) else out.count())  # ord: all steps of nodes whose first one leads nowhere
+        return out
+
+    monkeypatch.setattr(traverse, "cut", counted)
+    g = of_rows(spark, nodes, edges)
+    rows = traverse.linear_traces(g, g.nodes.where("type = 'handler'").select("id")).orderBy("index").collect()
+    assert [(r.node_id, r.edge_from_prev) for r in rows] == [("c299", None), ("r", "calls_api"), ("h", "handles"), ("s", "calls_service")]
+    assert most[0] <= 8
