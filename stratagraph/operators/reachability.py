@@ -17,12 +17,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..graph import Graph, endpoints
-from ..runtime import cut
+from ..runtime import broadcast_if_small, cut, tabled
 from ..schema import UPSTREAM_EDGES
-from .traverse import reversed_edges, strong_components
+from .traverse import BROADCAST_IDS, reversed_edges, strong_components
 
 #: Ancestors whose hashes make a number, and the bits of each; the first needs most, as it tells the trees apart.
 _BITS = (31, 8, 8, 8, 8)
+#: Seeds that share a number as its bits.
+_SEEDS = 63
 
 
 @dataclass(frozen=True)
@@ -129,6 +131,32 @@ def reached_pairs(index: ReachIndex, pairs: DataFrame) -> DataFrame:
     return asked.select("seed", "id", "goal").join(seen, (asked["seed"] == seen["seed"]) & (asked["goal"] == seen["node"]), "left_semi").select("seed", "id")
 
 
+def goals_by_sets(edges: DataFrame, seeds: DataFrame, goals: DataFrame, max_depth: int) -> DataFrame:
+    """(seed, id): each goal (id) that each seed (id) reaches over at most `max_depth` edges, itself included; goals aren't
+    left again.
+
+    No index is made. A node holds the seeds that reach it as bits of a number, `_SEEDS` of them in a row, so a walk of all
+    seeds moves a row a node and not one for each seed and node. Edges into dead ends that are no goals go first."""
+    goals = tabled(goals.select("id").distinct())
+    edges = tabled(edges.select("source", "target").where("source <> target"))
+    alive = edges.select(F.col("source").alias("target")).union(goals.toDF("target")).distinct()
+    edges = tabled(edges.join(alive, "target", "left_semi").select("source", "target"))
+    numbered = tabled(seeds.select(F.col("id").alias("seed")).distinct().withColumn("no", F.monotonically_increasing_id()))
+    numbered = numbered.select("seed", F.floor(F.col("no") / _SEEDS).alias("block"), (F.col("no") % _SEEDS).cast("int").alias("bit"))
+    seen = frontier = tabled(numbered.select(F.col("seed").alias("id"), "block", F.expr("shiftleft(1L, bit)").alias("bits")))
+    for _ in range(max_depth):
+        going = broadcast_if_small(frontier.join(goals, "id", "left_anti"), BROADCAST_IDS)
+        found = edges.join(going, edges["source"] == going["id"]).groupBy(F.col("target").alias("id"), "block").agg(F.bit_or("bits").alias("bits"))
+        held = seen.groupBy("id", "block").agg(F.bit_or("bits").alias("_held"))
+        new = found.join(held, ["id", "block"], "left").withColumn("bits", F.col("bits").bitwiseAND(F.bitwise_not(F.coalesce("_held", F.lit(0).cast("long")))))
+        frontier = tabled(new.where("bits <> 0").select("id", "block", "bits"))
+        if not frontier.take(1):
+            break
+        seen = seen.union(frontier)
+    each = seen.join(goals, "id", "left_semi").select("id", "block", F.explode(F.filter(F.sequence(F.lit(0), F.lit(_SEEDS - 1)), lambda i: F.getbit("bits", i) == 1)).alias("bit"))
+    return each.join(broadcast_if_small(numbered), ["block", "bit"]).select("seed", "id")
+
+
 def page_index(graph: Graph) -> ReachIndex:
     """Towards pages, against the direction of calls. Pages are not passed through, as nothing leaves them here."""
     pages = graph.nodes.where("type = 'page'").select("id")
@@ -137,6 +165,10 @@ def page_index(graph: Graph) -> ReachIndex:
 
 
 def affected_pages_of(graph: Graph, ids: DataFrame, max_depth: int = 10, index: ReachIndex | None = None) -> DataFrame:
-    """(seed, id): the pages that a change of each of the nodes `ids` affects, all at once; a page isn't its own."""
-    seeds = ids.select("id").join(graph.nodes.select("id"), "id", "left_semi")
-    return goals_of(index or page_index(graph), seeds, max_depth + 1).where("seed <> id")
+    """(seed, id): the pages that a change of each of the nodes `ids` affects, all at once; a page isn't its own. Without an
+    index none is made, as that takes far more than one walk."""
+    if index is not None:
+        return goals_of(index, ids.select("id").join(graph.nodes.select("id"), "id", "left_semi"), max_depth + 1).where("seed <> id")
+    seeds = graph.nodes.select("id").join(broadcast_if_small(ids.select("id").distinct(), BROADCAST_IDS), "id", "left_semi")
+    edges = reversed_edges(graph.edges.where(F.col("type").isin(*UPSTREAM_EDGES)))
+    return goals_by_sets(edges, seeds, graph.nodes.where("type = 'page'"), max_depth + 1).where("seed <> id")

@@ -235,3 +235,24 @@ def test_a_short_trace_moves_only_what_it_meets(spark, monkeypatch):
     rows = traverse.linear_traces(g, g.nodes.where("type = 'handler'").select("id")).orderBy("index").collect()
     assert [(r.node_id, r.edge_from_prev) for r in rows] == [("c299", None), ("r", "calls_api"), ("h", "handles"), ("s", "calls_service")]
     assert most[0] <= 8
+
+
+def test_affected_pages_of_many_need_no_index(spark, monkeypatch):
+    """More seeds than fit one number, with a circle, a page above a page, and a bound: as by a walk of each, without an index."""
+    from stratagraph.graph import of_rows
+    from stratagraph.operators import reachability
+
+    ids = [f"s{i}" for i in range(70)]
+    nodes = [{"id": i, "type": "service"} for i in ids] + [{"id": p, "type": "page"} for p in ("p0", "p1", "p2")]
+    calls = [(ids[i + 1], ids[i]) for i in range(69)] + [("s3", "s5"), ("p0", "s4"), ("p1", "s66"), ("p1", "gone"), ("p2", "p1")]
+    g = of_rows(spark, nodes, [{"source": a, "type": "calls_service", "target": b} for a, b in calls])
+    want = set()
+    for seed in [*ids, "p1"]:
+        ring, seen = {seed}, {seed}
+        for _ in range(11):
+            ring = {a for a, b in calls if b in ring and not (b[0] == "p")} - seen
+            seen |= ring
+        want |= {(seed, p) for p in seen if p[0] == "p" and p != seed}
+    monkeypatch.setattr(reachability, "build", None)
+    seeds = spark.createDataFrame([(i,) for i in (*ids, "p1", "unknown")], "id string")
+    assert sorted(map(tuple, reachability.affected_pages_of(g, seeds).collect())) == sorted(want) and len({s for s, _ in want}) > 10
