@@ -34,7 +34,7 @@ def test_a_manifest_is_asked_once_a_project():
 
 
 def test_the_word_import_costs_no_more_than_its_text():
-    """Once quadratic: a long run of blanks after the word, without any quote."""
+    """Once cubic: a long run of blanks after the word, without any quote."""
     import time
 
     from stratagraph.extract.code import Source
