@@ -106,13 +106,13 @@ def import_cycles(graph: Graph) -> DataFrame:
 
 def edge_masks(edges: DataFrame) -> DataFrame:
     """(id, into, out): of every id at an end of an edge, the types of edges into it and out of it as bits of EDGE_TYPES. One
-    aggregation, which combines before the shuffle."""
+    aggregation, which combines before the shuffle; the edges are read once."""
     bit = F.lit(0).cast("long")
     for i, kind in enumerate(EDGE_TYPES):
         bit = F.when(F.col("type") == kind, F.lit(1 << i).cast("long")).otherwise(bit)
     bits, none = edges.select("source", "target", bit.alias("bit")), F.lit(0).cast("long")
-    ends = bits.select(F.col("source").alias("id"), none.alias("into"), F.col("bit").alias("out")).unionByName(bits.select(F.col("target").alias("id"), F.col("bit").alias("into"), none.alias("out")))
-    return ends.groupBy("id").agg(F.bit_or("into").alias("into"), F.bit_or("out").alias("out"))
+    both = F.array(F.struct(F.col("source").alias("id"), none.alias("into"), F.col("bit").alias("out")), F.struct(F.col("target").alias("id"), F.col("bit").alias("into"), none.alias("out")))
+    return bits.select(F.explode(both).alias("end")).select("end.*").groupBy("id").agg(F.bit_or("into").alias("into"), F.bit_or("out").alias("out"))
 
 
 def _has(mask: str, kind: str) -> Column:

@@ -5,6 +5,8 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -59,6 +61,18 @@ def joins_by_size(spark: SparkSession) -> None:
         spark.conf.set(guess, "-1")
 
 
+@contextmanager
+def small_splits(spark: SparkSession, size: str = "16m") -> Iterator[None]:
+    """Within it files are read by tasks of this size, so that a task that makes wide rows of narrow ones can sort them in memory."""
+    name = "spark.sql.files.maxPartitionBytes"
+    before = spark.conf.get(name)
+    spark.conf.set(name, size)
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -1,8 +1,11 @@
 """The snapshot store: immutable Parquet folders and a pointer that is moved when all is written.
 
 A commit checks edges, writes a new folder, counts and digests what lies in it, and then writes the pointer; a failure before
-that leaves the last snapshot readable. The given graph may be dear to derive, so it is read twice only: once for the counts of
-what is refused, once for what is written. The pointer is a one-row table whose newest file counts, so the store needs nothing but Spark."""
+that leaves the last snapshot readable. The given graph may be dear to derive, so it is read twice only: once for the ends that
+are no nodes, once for what is written. Whole edges are not shuffled for it: lost ends are broadcast, but for types of edges that
+have too many of them; these alone meet theirs by a shuffle, for which the graph is read once more. Refused edges are written
+beside the others, by their reason, so they are counted from the files. The pointer is a one-row table whose newest file counts,
+so the store needs nothing but Spark."""
 
 from __future__ import annotations
 
@@ -15,11 +18,13 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
 from ..graph import Graph, empty
-from ..operators.dedup import is_object, with_reasons, without_dangling
+from ..operators.dedup import is_object, without_dangling
+from ..operators.detect import edge_masks
 from ..operators.lookup import coerced
 from ..operators.stats import graph_digest, severity_counts, type_counts
-from ..runtime import joins_by_size
-from ..schema import ERROR, ISSUE
+from ..operators.traverse import BROADCAST_IDS
+from ..runtime import joins_by_size, small_splits, tabled
+from ..schema import EDGE_TYPES, ERROR, ISSUE
 
 VERSION = 1
 #: Metadata fields that queries filter on, as columns of their own beside the JSON text.
@@ -34,6 +39,44 @@ def shredded(graph: Graph) -> Graph:
     return Graph(columns(graph.nodes, NODE_COLUMNS), columns(graph.edges, EDGE_COLUMNS))
 
 
+def _kept(edges: DataFrame) -> DataFrame:
+    """Edges of a snapshot without those that were refused; snapshots without a reason hold none of these."""
+    return edges.where("reason is null").drop("reason")
+
+
+def _reasoned(edges: DataFrame, ids: DataFrame, limit: int) -> DataFrame:
+    """The edges, of known types, with the reason for which a commit refuses them; null for those that it keeps.
+
+    ids: the ids of all nodes. Lost ends are looked up by a broadcast up to `limit` of them; types of edges that go beyond meet
+    theirs by a shuffle."""
+    masks = edge_masks(edges).select("id", F.col("into").bitwiseOR(F.col("out")).alias("types"))
+    lost = tabled(masks.join(ids, "id", "left_anti"))
+    has = lambda i: F.col("types").bitwiseAND(F.lit(1 << i).cast("long")) != 0
+    counts = lost.agg(*[F.count_if(has(i)) for i in range(len(EDGE_TYPES))]).first()
+    room, few = limit, []
+    for n, i in sorted((n, i) for i, n in enumerate(counts)):
+        if n <= room:
+            room, few = room - n, [*few, i]
+    many = [i for i in range(len(EDGE_TYPES)) if i not in few]
+
+    def flagged(some: list[int], hint) -> DataFrame:
+        any_ = F.lit(False)
+        for i in some:
+            any_ |= has(i)
+        mine = hint(lost.where(any_).select("id"))
+        at = lambda end: mine.select(F.col("id").alias(end), F.lit(True).alias(f"no_{end}"))
+        own = edges if len(some) == len(EDGE_TYPES) else edges.where(F.col("type").isin(*[EDGE_TYPES[i] for i in some]))
+        return own.join(at("source"), "source", "left").join(at("target"), "target", "left")
+
+    out = flagged(few, F.broadcast)
+    if many:
+        out = out.unionByName(flagged(many, lambda df: df))
+    gone = lambda end: F.col(end).isNull() | F.col(f"no_{end}").isNotNull()
+    bad = ~F.coalesce(is_object(), F.lit(False))
+    reason = F.when(gone("source"), "missing_source").when(gone("target"), "missing_target").when(bad, "invalid_metadata")
+    return out.select(*edges.columns, reason.alias("reason"))
+
+
 @dataclass(frozen=True)
 class Snapshot:
     id: str
@@ -75,15 +118,19 @@ class SnapshotStore:
     def commit(self, graph: Graph, errors: DataFrame | None = None, issues: DataFrame | None = None, meta: dict | None = None) -> WriteReport:
         """Writes a snapshot. Edges with a missing end or metadata that is no object are refused and counted."""
         joins_by_size(self.spark)
-        counts = {r["reason"]: r["n"] for r in with_reasons(graph).groupBy("reason").agg(F.count("*").alias("n")).collect()}
-        attempted, rejected = sum(counts.values()), {k: n for k, n in counts.items() if k is not None}
-        good = without_dangling(graph)
         name = uuid.uuid4().hex
         folder = f"{self.path}/snapshots/{name}"
-        typed = shredded(coerced(Graph(good.nodes, good.edges.where(is_object())), objects=True))
-        typed.nodes.sortWithinPartitions("type", "route", "id").write.partitionBy("type").parquet(f"{folder}/nodes")
-        typed.edges.sortWithinPartitions("type", "source").write.partitionBy("type").parquet(f"{folder}/edges")
-        written = Graph(*(self.spark.read.schema(df.schema).parquet(f"{folder}/{what}") for what, df in (("nodes", typed.nodes), ("edges", typed.edges))))
+        known = coerced(graph, objects=True)
+        nodes = shredded(known).nodes
+        read = lambda df, what: self.spark.read.schema(df.schema).parquet(f"{folder}/{what}")
+        with small_splits(self.spark):
+            nodes.sortWithinPartitions("type", "route", "id").write.option("compression", "zstd").partitionBy("type").parquet(f"{folder}/nodes")
+            edges = shredded(Graph(nodes, _reasoned(known.edges, read(nodes, "nodes").select("id"), BROADCAST_IDS))).edges
+            edges.sortWithinPartitions("reason", "type", "source").write.option("compression", "zstd").partitionBy("reason", "type").parquet(f"{folder}/edges")
+        every = read(edges, "edges")
+        counts = {r["reason"]: r["n"] for r in every.groupBy("reason").agg(F.count("*").alias("n")).collect()}
+        attempted, rejected = sum(counts.values()), {k: n for k, n in counts.items() if k is not None}
+        written = Graph(read(nodes, "nodes"), _kept(every))
         digest = graph_digest(written)
         (errors if errors is not None else self.spark.createDataFrame([], ERROR)).write.parquet(f"{folder}/errors")
         (issues if issues is not None else self.spark.createDataFrame([], ISSUE)).write.parquet(f"{folder}/issues")
@@ -132,7 +179,8 @@ class SnapshotStore:
         read = lambda what: self.spark.read.schema(schemas[what]).parquet(f"{folder}/{what}")
         if (at["meta"] or {}).get(SHREDDED):  # checked when it was written
             schemas |= {what: StructType([*schemas[what].fields, *[StructField(n, StringType()) for n in names]]) for what, names in (("nodes", NODE_COLUMNS), ("edges", EDGE_COLUMNS))}
-            typed = Graph(read("nodes"), read("edges"))
+            schemas["edges"] = schemas["edges"].add("reason", StringType())
+            typed = Graph(read("nodes"), _kept(read("edges")))
             graph = Graph(typed.nodes.select(*model.nodes.columns), typed.edges.select(*model.edges.columns))
         else:
             typed = graph = coerced(Graph(read("nodes").select(*model.nodes.columns), read("edges").select(*model.edges.columns)))

@@ -1,5 +1,6 @@
 """Steps that must not grow faster than their input: how work is dealt out, and what is sent to the driver."""
 
+import pytest
 from pyspark.sql import functions as F
 
 from stratagraph.extract import registry
@@ -256,3 +257,39 @@ def test_affected_pages_of_many_need_no_index(spark, monkeypatch):
     monkeypatch.setattr(reachability, "build", None)
     seeds = spark.createDataFrame([(i,) for i in (*ids, "p1", "unknown")], "id string")
     assert sorted(map(tuple, reachability.affected_pages_of(g, seeds).collect())) == sorted(want) and len({s for s, _ in want}) > 10
+
+
+def _shuffled(spark) -> int:
+    """Bytes that all stages so far have written to shuffles."""
+    stages = spark.sparkContext._jsc.sc().statusStore().stageList(None, False, False, spark.sparkContext._gateway.new_array(spark._jvm.double, 0), spark._jvm.java.util.ArrayList())
+    return sum(stages.apply(i).shuffleWriteBytes() for i in range(stages.size()))
+
+
+@pytest.mark.parametrize("limit", [500_000, 2, 0])
+def test_commit_does_not_shuffle_whole_edges(spark, tmp_path, monkeypatch, limit):
+    """Edges with large metadata; a type with more lost ends than the limit meets them by a shuffle, with the same outcome."""
+    import hashlib
+
+    from stratagraph.graph import of_rows
+    from stratagraph.sources import snapshots
+
+    monkeypatch.setattr(snapshots, "BROADCAST_IDS", limit, raising=False)
+    big = lambda i: '{"method":"' + "".join(hashlib.sha256(f"{i} {k}".encode()).hexdigest() for k in range(16)) + '"}'
+    nodes = [{"id": f"n{i}", "type": "api_route", "metadata": f'{{"route":"/{i}"}}'} for i in range(40)]
+    calls = [{"id": f"c{i}", "source": f"n{i % 40}", "target": f"n{i * 7 % 40}", "type": "calls_api", "metadata": big(i)} for i in range(1500)]
+    odd = [{"source": "n1", "target": f"gone{i}", "type": "renders"} for i in range(5)] + [{"source": "gone1", "target": "n1", "type": "what", "metadata": "3"}, {"source": "n2", "target": "n3", "type": "handles", "metadata": "[]"}]
+    odd += [{"id": "none", "source": None, "target": "n3", "type": None}, {"id": "half", "source": "n4", "target": None, "type": "renders"}, {"source": "n4", "target": "n5", "type": "renders"}, {"id": "typeless", "source": "n4", "target": "n5", "type": None}]
+    g = of_rows(spark, nodes, calls + odd)
+    g.nodes.write.parquet(str(tmp_path / "nodes"))
+    g.edges.write.parquet(str(tmp_path / "edges"))
+    g = snapshots.Graph(*(spark.read.parquet(str(tmp_path / what)) for what in ("nodes", "edges")))
+    before, store = _shuffled(spark), snapshots.SnapshotStore(spark, str(tmp_path / "store"))
+    report = store.commit(g)
+    if limit:
+        assert _shuffled(spark) - before < 200_000
+    assert (report.attempted_edges, report.rejected) == (1511, {"missing_source": 2, "missing_target": 6, "invalid_metadata": 1})
+    got = store.load()
+    assert got.graph.edges.count() == report.written_edges == 1502 and "reason" not in got.typed.edges.columns
+    assert {r["id"]: r["type"] for r in got.graph.edges.where("type <> 'calls_api'").collect()} == {"n4--renders--n5": "renders", "typeless": "imports"}
+    assert {(r["type"], r["n"]) for r in got.stats.where("what = 'edge'").collect()} == {("calls_api", 1500), ("renders", 1), ("imports", 1)}
+    assert got.typed.nodes.where("route = '/7'").first()["id"] == "n7" and got.digest == report.digest
