@@ -131,32 +131,72 @@ def reached_pairs(index: ReachIndex, pairs: DataFrame) -> DataFrame:
     return asked.select("seed", "id", "goal").join(seen, (asked["seed"] == seen["seed"]) & (asked["goal"] == seen["node"]), "left_semi").select("seed", "id")
 
 
-def goals_by_sets(edges: DataFrame, seeds: DataFrame, goals: DataFrame, max_depth: int) -> DataFrame:
-    """(seed, id): each goal (id) that each seed (id) reaches over at most `max_depth` edges, itself included; goals aren't
-    left again.
+def _numbered(seeds: DataFrame) -> DataFrame:
+    """(seed, block, bit): a place for each seed, `_SEEDS` to a block; seeds that follow each other share blocks."""
+    numbered = tabled(seeds.select(F.col("id").alias("seed")).distinct().orderBy("seed").withColumn("no", F.monotonically_increasing_id()))
+    return numbered.select("seed", F.floor(F.col("no") / _SEEDS).alias("block"), (F.col("no") % _SEEDS).cast("int").alias("bit"))
+
+
+def _bit():
+    return F.expr("shiftleft(1L, bit)")
+
 
-    No index is made. A node holds the seeds that reach it as bits of a number, `_SEEDS` of them in a row, so a walk of all
-    seeds moves a row a node and not one for each seed and node. Edges into dead ends that are no goals go first."""
+def _seeds_of_goals(edges: DataFrame, numbered: DataFrame, goals: DataFrame, max_depth: int | None) -> DataFrame:
+    """(id, block, bits): of each goal (id) the seeds that reach it over at most `max_depth` edges, as bits of their blocks; in
+    several rows where they came in several rounds. Goals aren't left again.
+
+    A node holds the seeds that reach it as bits of a number, `_SEEDS` of them in a row, so a walk of all seeds moves a row a
+    node and block and not one for each seed and node. Edges into dead ends that are no goals go first."""
     goals = tabled(goals.select("id").distinct())
     edges = tabled(edges.select("source", "target").where("source <> target"))
     alive = edges.select(F.col("source").alias("target")).union(goals.toDF("target")).distinct()
     edges = tabled(edges.join(alive, "target", "left_semi").select("source", "target"))
-    numbered = tabled(seeds.select(F.col("id").alias("seed")).distinct().withColumn("no", F.monotonically_increasing_id()))
-    numbered = numbered.select("seed", F.floor(F.col("no") / _SEEDS).alias("block"), (F.col("no") % _SEEDS).cast("int").alias("bit"))
-    seen = frontier = tabled(numbered.select(F.col("seed").alias("id"), "block", F.expr("shiftleft(1L, bit)").alias("bits")))
-    for _ in range(max_depth):
-        going = broadcast_if_small(frontier.join(goals, "id", "left_anti"), BROADCAST_IDS)
+    marked = lambda df: tabled(df.join(goals.withColumn("goal", F.lit(True)), "id", "left").select("id", "block", "bits", F.coalesce("goal", F.lit(False)).alias("goal")))
+    seen = frontier = marked(numbered.select(F.col("seed").alias("id"), "block", _bit().alias("bits")))
+    depth = 0
+    while (max_depth is None or depth < max_depth) and frontier.take(1):
+        going = broadcast_if_small(frontier.where("not goal").select("id", "block", "bits"), BROADCAST_IDS)
         found = edges.join(going, edges["source"] == going["id"]).groupBy(F.col("target").alias("id"), "block").agg(F.bit_or("bits").alias("bits"))
         held = seen.groupBy("id", "block").agg(F.bit_or("bits").alias("_held"))
         new = found.join(held, ["id", "block"], "left").withColumn("bits", F.col("bits").bitwiseAND(F.bitwise_not(F.coalesce("_held", F.lit(0).cast("long")))))
-        frontier = tabled(new.where("bits <> 0").select("id", "block", "bits"))
-        if not frontier.take(1):
-            break
-        seen = seen.union(frontier)
-    each = seen.join(goals, "id", "left_semi").select("id", "block", F.explode(F.filter(F.sequence(F.lit(0), F.lit(_SEEDS - 1)), lambda i: F.getbit("bits", i) == 1)).alias("bit"))
+        frontier = marked(new.where("bits <> 0").select("id", "block", "bits"))
+        seen, depth = seen.union(frontier), depth + 1
+        if depth % 16 == 0:
+            seen = tabled(seen)
+    return seen.where("goal").select("id", "block", "bits")
+
+
+def _listed(sets: DataFrame, numbered: DataFrame) -> DataFrame:
+    """(seed, id): the seeds of each id by their bits."""
+    each = sets.select("id", "block", F.explode(F.filter(F.sequence(F.lit(0), F.lit(_SEEDS - 1)), lambda i: F.getbit("bits", i) == 1)).alias("bit"))
     return each.join(broadcast_if_small(numbered), ["block", "bit"]).select("seed", "id")
 
 
+def goals_by_sets(edges: DataFrame, seeds: DataFrame, goals: DataFrame, max_depth: int) -> DataFrame:
+    """(seed, id): each goal (id) that each seed (id) reaches over at most `max_depth` edges, itself included; goals aren't
+    left again. No index is made."""
+    numbered = _numbered(seeds)
+    return _listed(_seeds_of_goals(edges, numbered, goals, max_depth), numbered)
+
+
+def pairs_by_sets(edges: DataFrame, pairs: DataFrame, goals: DataFrame) -> DataFrame:
+    """Those of the pairs (seed, id) whose seed reaches the goal id, itself included; goals aren't left again. No index is made:
+    where the seeds of the pairs are many, one walk of all moves less than an index and the walks that it leaves. The pairs of a
+    goal are bits of its blocks as well, so a seed and a goal stand in a row of their own only where the pair is found."""
+    pairs = tabled(pairs.select("seed", "id"))
+    numbered = _numbered(pairs.select(F.col("seed").alias("id")))
+    asked = pairs.join(broadcast_if_small(numbered), "seed").groupBy("id", "block").agg(F.bit_or(_bit()).alias("bits"))
+    reached = _seeds_of_goals(edges, numbered, goals, None).groupBy("id", "block").agg(F.bit_or("bits").alias("_reached"))
+    both = asked.join(reached, ["id", "block"]).select("id", "block", F.col("bits").bitwiseAND(F.col("_reached")).alias("bits"))
+    return _listed(both.where("bits <> 0"), numbered)
+
+
+def page_pairs(graph: Graph, pairs: DataFrame) -> DataFrame:
+    """Those of the pairs (seed, id) of a node and a page of which a change of the node affects the page."""
+    edges = reversed_edges(graph.edges.where(F.col("type").isin(*UPSTREAM_EDGES)))
+    return pairs_by_sets(edges, pairs, graph.nodes.where("type = 'page'"))
+
+
 def page_index(graph: Graph) -> ReachIndex:
     """Towards pages, against the direction of calls. Pages are not passed through, as nothing leaves them here."""
     pages = graph.nodes.where("type = 'page'").select("id")

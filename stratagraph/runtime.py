@@ -47,7 +47,7 @@ def tabled(df: DataFrame) -> DataFrame:
     """As `cut`, by a table of the work folder: smaller where values repeat, and later plans take over no constraints of this
     one, which a checkpoint hands on and which double round by round where each round joins the one before."""
     folder = work_folder(df.sparkSession)
-    df.write.parquet(folder)
+    df.write.option("compression", "zstd").parquet(folder)
     return df.sparkSession.read.schema(df.schema).parquet(folder)
 
 

@@ -1,5 +1,6 @@
 """Indexes, as-of joins, doubled walks and stateful folds against brute force on small inputs."""
 
+import os
 import random
 
 import pytest
@@ -55,6 +56,33 @@ def test_reach_index_walks_fewer_edges(spark):
     assert reachability.affected_pages_of(of_rows(spark, [], []), seeds).count() == 0
 
 
+@pytest.mark.parametrize("acyclic", [True, False])
+def test_pairs_by_sets(spark, monkeypatch, acyclic):
+    """Pairs of more seeds than a block holds against walks one by one, cycles, repeated rows and seeds that are goals included;
+    no index is made."""
+    rng = random.Random(acyclic)
+    monkeypatch.setattr(reachability, "build", None)
+    nodes = [{"id": f"n{i:03}", "type": "page" if i % 7 == 0 else "service"} for i in range(150)]
+    edges = [tuple(sorted(rng.sample(range(150), 2))) if acyclic else tuple(rng.sample(range(150), 2)) for _ in range(260)]
+    g = of_rows(spark, nodes, [{"source": f"n{b:03}", "type": "queries_db", "target": f"n{a:03}"} for a, b in [*edges, edges[0], (5, 5), (3, 14), (14, 21)]])
+    pages = {n["id"] for n in nodes if n["type"] == "page"} | {"n999"}
+    ups = {(r["target"], r["source"]) for r in g.edges.collect() if r["target"] not in pages}
+    asked = [(s, p) for s in [*(n["id"] for n in nodes), "unknown"] for p in pages if rng.random() < 0.5 or s == p or (s, p) == ("n003", "n014")]
+    want = {(s, p) for s, p in asked if p in reached(ups, s) and p != "n999"}
+    got = reachability.page_pairs(g, spark.createDataFrame(asked + asked[:50], "seed string, id string")).collect()
+    assert len(got) == len(want) and {tuple(r) for r in got} == want and 0 < len(want) < len(asked)
+    assert reachability.page_pairs(of_rows(spark, [], []), spark.createDataFrame(asked, "seed string, id string")).count() == 0
+    assert reachability.page_pairs(g, spark.createDataFrame([], "seed string, id string")).count() == 0
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="no test tables here")
+def test_reached_buyers_make_no_index(spark, monkeypatch):
+    from stratagraph import index_queries
+
+    monkeypatch.setattr(reachability, "build", None)
+    assert index_queries.handlers_that_reach_buyers(spark, "/root/testdata/sf0.001").take(1)
+
+
 def test_nearest(spark):
     rng = random.Random(9)
     right = [(rng.choice("abc"), rng.randrange(200)) for _ in range(60)] + [("hot", p) for p in range(0, 400, 7)] + [("a", None), (None, 5)]
