@@ -3,7 +3,9 @@
 Postings (gram, doc) lie in buckets of the gram, sorted by it, so a search reads the buckets and row groups of a few grams;
 texts lie in buckets of the doc, so only the candidates' buckets are read to verify them. The rarest grams of the searched
 text are intersected; what they leave is tested for the whole text, so more grams would change the work and not the result.
-Texts of one or two characters, which have no trigram, are compared with all grams of that length; a blank text finds all."""
+Texts of one or two characters, which have no trigram, are compared with all grams of that length; a blank text finds all.
+
+`search_once` searches many texts at once without an index, where it would serve no second search."""
 
 from __future__ import annotations
 
@@ -11,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..graph import Graph
-from ..runtime import broadcast_if_small, cut, small
+from ..runtime import broadcast_if_small, cut, small, tabled, work_folder
 from ..schema import NODE
 
 #: Nodes to a bucket, the least number of buckets, and the grams of a searched text that are intersected.
@@ -20,6 +22,10 @@ BUCKET_NODES, LEAST_BUCKETS, RAREST = 1_000_000, 16, 3
 FEW = 10_000
 #: Many searched texts go by runs of the texts where the postings of their rarest grams hold more rows than this times the texts.
 RUNS_FROM = 4
+#: A search without an index keeps so many beginnings of searched texts by length in its plan; with more, an index is made.
+MOST_STARTS = 20_000
+#: Between the texts of a node; a searched text that holds it goes by an index.
+_BETWEEN = "\0"
 _SCHEMAS = {
     "postings": "gram string, doc long, bucket int", "counts": "gram string, n long, bucket int",
     "texts": f"doc long, id string, name string, path string, ord {NODE['ord'].dataType.simpleString()}, bucket int",
@@ -113,3 +119,42 @@ class TextIndex:
         at = at.withColumn("gram", F.expr("substr(text, i, 3)")).join(broadcast_if_small(starts), "gram")
         runs = at.select("id", "text", "i", F.explode("lengths").alias("k")).where("i + k - 1 <= length(text)")
         return runs.select("id", F.expr("substr(text, i, k)").alias("query")).join(broadcast_if_small(queries, 500_000), "query").select("query", "id").distinct()
+
+
+def search_once(graph: Graph, queries: DataFrame, most_starts: int = MOST_STARTS) -> DataFrame:
+    """(query, id) as from `TextIndex.search_all`, without an index, which costs more than one search of all nodes. Each node's
+    runs are those that begin as a searched text of their length does; they are made distinct within the node, so neither
+    positions nor finds are shuffled. Nodes are gathered by id first, as an id may come with several names and paths."""
+    asked = queries.select(F.lower(F.trim("query")).alias("query")).where("query <> ''").distinct()
+    asked = tabled(asked.select("query", F.substring("query", 1, 3).alias("start"), F.length("query").alias("k")))
+    kinds = asked.select("start", "k").distinct()
+    if not small(kinds, most_starts) or asked.where(F.contains("query", F.lit(_BETWEEN))).take(1):
+        return TextIndex.build(graph, work_folder(graph.spark)).search_all(queries)
+    by_length: dict[int, list[str]] = {}
+    for r in kinds.collect():
+        by_length.setdefault(r["k"], []).append(r["start"])
+    long = {k: set(some) for k, some in by_length.items() if k >= 3}
+    every = sorted(set().union(*long.values()))
+    run = lambda i, k: F.substr(F.col("text"), i, F.lit(k))
+    places = lambda k: F.when(F.length("text") >= k, F.sequence(F.lit(1), F.length("text") - (k - 1))).otherwise(F.array().cast("array<int>"))
+    held = F.array_union(F.collect_set(F.lower("name")), F.collect_set(F.lower("file_path")))
+    texts = graph.nodes.groupBy("id").agg(F.array_join(held, _BETWEEN).alias("text"))
+    texts = tabled(texts.select("id", "text", F.filter(places(3), lambda i: run(i, 3).isin(every)).alias("at")))
+    # Beginnings that no node has go, and with them the searched texts that need not be compared.
+    known = {r["start"] for r in texts.select(F.explode(F.transform("at", lambda i: run(i, 3))).alias("start")).distinct().collect()}
+    long = {k: sorted(some & known) for k, some in sorted(long.items()) if some & known}
+    starts = sorted(known)
+
+    def longer(k: int, some: list[str]):
+        """The runs of k characters at places where one of the given beginnings stands."""
+        fits = lambda i: i <= F.length("text") - (k - 1)
+        mine = F.filter("at", lambda i: fits(i) & run(i, 3).isin(some)) if len(some) < len(starts) else F.filter("at", fits)
+        return F.transform(mine, lambda i: run(i, k))
+
+    short = [F.filter(F.transform(places(k), lambda i: run(i, k)), lambda g: g.isin(by_length[k])) for k in (1, 2) if k in by_length]
+    found = short + [longer(k, some) for k, some in long.items()]
+    if not found:
+        return texts.select(F.lit("").alias("query"), "id").where(F.lit(False))
+    live = asked.where((F.col("k") < 3) | F.col("start").isin(starts)).select("query")
+    each = texts.select(F.explode(F.array_distinct(F.concat(*found))).alias("query"), "id")
+    return each.join(broadcast_if_small(live, 500_000), "query").select("query", "id")

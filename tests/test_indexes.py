@@ -134,6 +134,36 @@ def test_text_index(spark, tmp_path):
     assert empty.search("abc").count() == 0 and empty.search("").count() == 0
 
 
+@pytest.mark.parametrize("most", [20_000, 3])
+def test_search_once(spark, most):
+    """Against a search one by one; with more beginnings than allowed, or a text with the separator, by an index."""
+    from stratagraph.operators.lookup import search
+    from stratagraph.operators.text_index import search_once
+
+    rng = random.Random(7)
+    names = ["".join(rng.choice("abAB.é") for _ in range(rng.randint(0, 12))) for _ in range(60)] + ["100%_x", "a", "ab", None, "Order Items", "x\ny", "p\0q", "abc"]
+    nodes = [{"id": f"n{i // 2}", "type": "module", "name": name, "file_path": None if i in (5, 62) else f"src/{rng.choice('abc')}{i % 9}/{'x' * (i % 4)}.ts"} for i, name in enumerate(names)]
+    g = of_rows(spark, nodes, [])
+    ask = lambda some: spark.createDataFrame([(q,) for q in some], "query string")
+    asked = ["ab", "aba", " BAB ", "src/a", "é", "%_", "100%_x", "zzz", "#12", "src/b1/x", "", "  ", None, ".ts", "order items", "ababab", "x\ny", "a", "A", "abc", "abcs", "cs"]
+    for some in (asked, [*asked, "p\0q"], ["zzz", "#1"], [None]):
+        got = [tuple(r) for r in search_once(g, ask(some), most).collect()]
+        want = {(q.strip().lower(), r.id) for q in some if (q or "").strip() for r in search(g, q).collect()}
+        assert set(got) == want, some
+        assert len(got) == len(want) or most == 3 or "p\0q" in some
+    assert search_once(of_rows(spark, [], []), ask(asked), most).count() == 0
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="no test tables here")
+def test_search_of_many_texts_makes_no_index(spark, monkeypatch):
+    from stratagraph import index_queries
+    from stratagraph.operators.text_index import TextIndex
+
+    monkeypatch.setattr(TextIndex, "build", None)
+    plan = index_queries.search_many(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange hashpartitioning" not in plan  # neither places nor finds are shuffled
+
+
 # Fingerprints
 
 
