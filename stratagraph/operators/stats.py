@@ -58,8 +58,11 @@ def canonical(*columns: str) -> Column:
 def table_digest(df: DataFrame, columns: list[str]) -> DataFrame:
     """One row (n, digest) that doesn't depend on row order or partitions: row digests are summed as numbers, in Spark."""
     row = F.sha2(canonical(*columns), 256)
-    parts = [F.conv(F.substring(row, 1 + 12 * i, 12), 16, 10).cast("decimal(38,0)") for i in range(5)]
-    sums = df.select(*[p.alias(f"p{i}") for i, p in enumerate(parts)]).agg(F.count("*").alias("n"), *[F.coalesce(F.sum(f"p{i}"), F.lit(0)).cast("string").alias(f"p{i}") for i in range(5)])
+    parts = [F.conv(F.substring(row, 1 + 12 * i, 12), 16, 10).cast("long") for i in range(5)]
+    # 48-bit parts are summed as halves of 24 bits, which no number of rows takes out of a long, and put together at the end.
+    halves = [h for i in range(5) for h in (F.sum(F.shiftright(f"p{i}", 24)).alias(f"h{i}"), F.sum(F.col(f"p{i}").bitwiseAND(F.lit(0xFFFFFF))).alias(f"l{i}"))]
+    whole = lambda i: F.coalesce((F.col(f"h{i}").cast("decimal(38,0)") * F.lit(1 << 24) + F.col(f"l{i}")).cast("decimal(38,0)"), F.lit(0)).cast("string").alias(f"p{i}")
+    sums = df.select(*[p.alias(f"p{i}") for i, p in enumerate(parts)]).agg(F.count("*").alias("n"), *halves).select("n", *[whole(i) for i in range(5)])
     return sums.select("n", F.sha2(F.concat_ws("-", F.col("n").cast("string"), *[f"p{i}" for i in range(5)]), 256).alias("digest"))
 
 

@@ -63,14 +63,17 @@ def joins_by_size(spark: SparkSession) -> None:
 
 @contextmanager
 def small_splits(spark: SparkSession, size: str = "16m") -> Iterator[None]:
-    """Within it files are read by tasks of this size, so that a task that makes wide rows of narrow ones can sort them in memory."""
-    name = "spark.sql.files.maxPartitionBytes"
-    before = spark.conf.get(name)
-    spark.conf.set(name, size)
+    """Within it files and shuffles are read by tasks of this size, so that a task that makes wide rows of narrow ones can sort
+    them in memory."""
+    names = ("spark.sql.files.maxPartitionBytes", "spark.sql.adaptive.advisoryPartitionSizeInBytes")
+    before = {name: spark.conf.get(name, None) for name in names}
+    for name in names:
+        spark.conf.set(name, size)
     try:
         yield
     finally:
-        spark.conf.set(name, before)
+        for name, value in before.items():
+            spark.conf.unset(name) if value is None else spark.conf.set(name, value)
 
 
 def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -35,7 +35,7 @@ SHREDDED = "_shredded"
 
 def shredded(graph: Graph) -> Graph:
     """The graph with the fields of NODE_COLUMNS and EDGE_COLUMNS taken out of the metadata."""
-    columns = lambda df, names: df.withColumns({n: F.get_json_object("metadata", f"$.{n}") for n in names})
+    columns = lambda df, names: df.withColumns({n: F.when(F.col("metadata") != "{}", F.get_json_object("metadata", f"$.{n}")) for n in names})
     return Graph(columns(graph.nodes, NODE_COLUMNS), columns(graph.edges, EDGE_COLUMNS))
 
 
